@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.common import read
+from quire.llm.mixing import mix_to_targets
 from quire.llm.sharding import shard_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,4 +18,8 @@ def op10_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES |= {f.__name__: f for f in (op10_shuffle_shards,)}
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_to_targets(read(spark, sf_dir, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (op1_mix_sources, op10_shuffle_shards)}
