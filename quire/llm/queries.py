@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.common import read
 from quire.llm.mixing import mix_to_targets
+from quire.llm.packing import pack_documents
+from quire.llm.quality import quality_verdicts
 from quire.llm.sharding import shard_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,4 +25,13 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_targets(read(spark, sf_dir, "documents"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_mix_sources, op10_shuffle_shards)}
+def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+QUERIES |= {f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_quality_rules, op10_shuffle_shards)}
