@@ -194,7 +194,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, identity: list[Column] | N
     Only the length histogram reaches the driver: capacity numbers. The plan that returns to the tasks has a row for each place in
     each configuration, a number bounded by capacity and rounds. Which piece of a length gets which of its places goes by hash.
     """
-    names = [c for c in pieces.columns if c != "length"]
+    columns = pieces.columns
     ranked_by = F.xxhash64(*(identity or [F.col(c) for c in pieces.columns]))
     hashed = keep(pieces.withColumn("_h", ranked_by), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
@@ -202,17 +202,17 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, identity: list[Column] | N
         counts[row["length"]] = row["n"]
     places = slots(plan_sequences(counts, capacity, rounds))
     key = places["length"] * (1 << 40) + places["rank"]
-    ranked = spread_rank(hashed, ["length"], "_h", "_rank", bits_for(int(counts.max()), 200_000), ties=[F.col(c) for c in names])
+    ranked = spread_rank(hashed, ["length"], "_h", "_rank", bits_for(int(counts.max()), 200_000), ties=[F.col(c) for c in columns])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "_rank"))
             at = np.searchsorted(key, length * (1 << 40) + rank, side="right") - 1
             added = [pa.array(places["sequence"][at] + rank - places["rank"][at]), pa.array(places["offset"][at])]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in pieces.columns), *added], [*pieces.columns, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *added], [*columns, "sequence_id", "offset"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return ranked.select(*pieces.columns, "_rank").mapInArrow(place, schema)
+    return ranked.select(*columns, "_rank").mapInArrow(place, schema)
 
 
 def pack_documents(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
