@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.common import read
+from quire.llm.minhash import near_duplicates
 from quire.llm.mixing import mix_to_targets
 from quire.llm.packing import pack_documents
 from quire.llm.quality import quality_verdicts
@@ -34,4 +35,8 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
-QUERIES |= {f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_quality_rules, op10_shuffle_shards)}
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_quality_rules, op8_minhash_near_dedup, op10_shuffle_shards)}
