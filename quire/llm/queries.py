@@ -11,8 +11,10 @@ from quire.llm.common import read
 from quire.llm.minhash import near_duplicates
 from quire.llm.mixing import mix_to_targets
 from quire.llm.packing import pack_documents
+from quire.llm.pii import pseudonymize
 from quire.llm.quality import quality_verdicts
 from quire.llm.sharding import shard_documents
+from quire.llm.urlfilter import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,8 +37,16 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymize(read(spark, sf_dir, "documents").select("doc_id", "text"), count="n_replaced")
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(read(spark, sf_dir, "pages"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_quality_rules, op8_minhash_near_dedup, op10_shuffle_shards)}
+QUERIES |= {f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_quality_rules, op4_pii_pseudonyms, op5_url_filter, op8_minhash_near_dedup, op10_shuffle_shards)}
