@@ -15,11 +15,22 @@ from quire.llm.common import bits_for, keep, spread_rank
 
 CAPACITY = 2048
 #: Token ids cached per task: words up to so many bytes, and so many of them in each Python worker before it starts anew.
-CACHED_BYTES, CACHED_WORDS = 48, 600_000
+CACHED_BYTES, CACHED_WORDS = 48, 1_000_000
 #: Texts whose new words are tokenized together.
 TOGETHER = 256
 
 
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def marks_apart(word: bytes) -> tuple[bytes, bytes] | None:
+    """The word and the ASCII marks at its end, if it ends in an ASCII letter or digit, or a Latin letter of two bytes, before them."""
+    stem = word.rstrip(MARKS)
+    if b"<|" in word or not (stem[-1:].isalnum() or (len(stem) > 1 and stem[-2] == 0xC3 and stem[-1] not in (0x97, 0xB7))):
+        return None
+    return stem, word[len(stem) :]
+
+
 class Tokens:
     """Ids of texts by a tokenizer file. Its words never span ASCII white space, so each word between is tokenized once and remembered."""
 
@@ -42,25 +53,27 @@ class Tokens:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit numbers.
 
-        The tokenizer lowers case, so A-Z are lowered before; special tokens alone keep theirs. A stop or comma right behind an
-        ASCII letter or digit is always a word of its own to it, so it is looked up apart.
+        The tokenizer lowers case, so A-Z are lowered before; special tokens alone keep theirs. ASCII marks right behind a
+        letter or digit are a word of their own to it, so they are looked up apart.
         """
         if len(self.known) > CACHED_WORDS:
             self.known = {}
         words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        known = self.known
-        new = {w for text in words for w in text if w not in known}
-        parts = {w: (w[:-1], w[-1:]) for w in new if w[-1] in b".," and w[-2:-1].isalnum()}
-        whole = [w for w in {x for w in new for x in parts.get(w, (w,))} if w not in known]
-        fresh: dict[bytes, bytes] = {}
+        known, new = self.known, set()
+        for text in words:
+            new.update(text)
+        new.difference_update(known)
+        parts = {w: cut for w in new if w[-1] in MARKS and (cut := marks_apart(w))}
+        whole = list({x for w in new for x in parts.get(w, (w,))}.difference(known))
         found = self.tokenizer.encode_batch_fast([w.decode() for w in whole], add_special_tokens=False) if whole else []
         for word, one in zip(whole, found, strict=True):
-            (known if len(word) <= CACHED_BYTES else fresh)[word] = np.array(one.ids, "<u4").tobytes()
+            known[word] = np.array(one.ids, "<u4").tobytes()
         for word, (stem, mark) in parts.items():
-            (known if len(word) <= CACHED_BYTES else fresh)[word] = (known.get(stem) or fresh[stem]) + known[mark]
-        if fresh:
-            return [b"".join([known[w] if w in known else fresh[w] for w in text]) for text in words]
-        return [b"".join([known[w] for w in text]) for text in words]
+            known[word] = known[stem] + known[mark]
+        out = [b"".join(map(known.__getitem__, text)) for text in words]
+        for word in {w for w in (*whole, *parts) if len(w) > CACHED_BYTES}:
+            del known[word]
+        return out
 
 
 def token_pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -69,9 +82,9 @@ def token_pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens.of(tokenizer)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
             for at in range(0, len(batch), TOGETHER):
-                part = [(t or "").encode() for t in texts.slice(at, TOGETHER).to_pylist()]
+                part = [t or b"" for t in texts.slice(at, TOGETHER).to_pylist()]
                 owner, piece, length, crc = [], [], [], []
                 for row, data in enumerate(tokens.encode(part)):
                     data += b"\0\0\0\0"
