@@ -14,6 +14,8 @@ from quire.llm.packing import pack_documents
 from quire.llm.pii import pseudonymize
 from quire.llm.quality import quality_verdicts
 from quire.llm.sharding import shard_documents
+from quire.llm.substring import dedup_substrings
+from quire.llm.suffix import dedup_bytes
 from quire.llm.urlfilter import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,8 +47,16 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(read(spark, sf_dir, "documents"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_bytes(read(spark, sf_dir, "documents"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_quality_rules, op4_pii_pseudonyms, op5_url_filter, op8_minhash_near_dedup, op10_shuffle_shards)}
+QUERIES |= {f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_quality_rules, op4_pii_pseudonyms, op5_url_filter, op7_substring_dedup, op8_minhash_near_dedup, op9_suffix_dedup, op10_shuffle_shards)}

@@ -1,0 +1,238 @@
+"""Windows of a text that occur before, exactly, over all texts: sampled anchors, contexts around them, windows only where contexts part.
+
+A window of size units holds size - k + 1 runs of k units; the one of least hash, the leftmost of equals, is its anchor, which depends on the
+window's content alone. Windows in a row with the same anchor form a context. So equal windows have equal anchors at equal places, and:
+
+* anchors that occur once are dropped;
+* an anchor whose contexts are all equal goes on alike wherever it occurs: the first occurrence stands for all its windows;
+* where contexts of an anchor part, the first occurrence of each distinct context is cut into pieces of a few windows, aligned to the
+  anchor, and pieces that part are cut into windows.
+
+So work follows texts' lengths and the number of places where repeats begin, end or differ, not the sizes of groups of copies.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quire.llm.common import keep
+from quire.llm.textarrays import U64, Block, Prefix, blocks, mix
+
+#: Stands for a null doc_id: such rows come last.
+NO_ID = (1 << 63) - 1
+#: Units looked at together, and bits of a place among them, which replace the lowest of a hash to find its leftmost place.
+CHUNK, PLACE_BITS = 1 << 23, 24
+#: Windows of a piece.
+PIECE = 8
+
+
+@dataclass
+class Units:
+    """Words or bytes of a block: a value for each, and the first and the one behind the last of each text."""
+
+    values: np.ndarray
+    first: np.ndarray
+    end: np.ndarray
+
+
+@dataclass
+class Scheme:
+    """What a window is made of. strict: only windows of documents with a smaller doc_id count as earlier, else earlier places of the same too."""
+
+    size: int
+    k: int
+    strict: bool
+    units: Callable[[Block], Units]
+
+
+def word_units(block: Block) -> Units:
+    return Units(block.word_hash, *block.word_range)
+
+
+def byte_units(block: Block) -> Units:
+    return Units(block.bytes_prefix.values, block.start, block.end)
+
+
+def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
+    """Least of each run of width values."""
+    span = 1
+    while span * 2 <= width:
+        values = np.minimum(values[:-span], values[span:])
+        span *= 2
+    return np.minimum(values[: len(values) - (width - span)], values[width - span :]) if width > span else values
+
+
+def contexts(units: Units, scheme: Scheme) -> dict[str, np.ndarray]:
+    """All contexts: their text, first window, number of windows, anchor's hash, and hash of content and place of the anchor."""
+    found: dict[str, list[np.ndarray]] = {name: [] for name in ("text", "start", "n", "shift", "anchor", "content")}
+    size, k, total = scheme.size, scheme.k, len(units.values)
+    length = units.end - units.first
+    for low in range(0, max(total - size + 1, 0), CHUNK):
+        high = min(total, low + CHUNK + size - 1)
+        prefix = Prefix(units.values[low:high], 2)
+        at = np.arange(high - low - k + 1)
+        runs = prefix.hash(at, at + k)
+        least = sliding_least((runs & ~U64((1 << PLACE_BITS) - 1)) | at.astype(U64), size - k + 1)
+        text = np.repeat(np.arange(len(length)), length)[low:high]
+        start = np.flatnonzero(text[: len(least)] == text[size - 1 : size - 1 + len(least)])
+        if not len(start):
+            continue
+        owner = (least[start] & U64((1 << PLACE_BITS) - 1)).astype(np.int64)
+        new = np.ones(len(start), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1) | (text[start[1:]] != text[start[:-1]])
+        place = np.flatnonzero(new)
+        n = np.diff(np.append(place, len(start)))
+        begin, owner = start[place], owner[place]
+        found["text"].append(text[begin])
+        found["start"].append(begin + low - units.first[text[begin]])
+        found["n"].append(n)
+        found["anchor"].append(runs[owner])
+        found["shift"].append(owner - begin)
+        found["content"].append(mix(prefix.hash(begin, begin + n - 1 + size) ^ mix((owner - begin).astype(U64))))
+    return {name: np.concatenate(parts) if parts else np.zeros(0, np.int64 if name in ("text", "start", "n", "shift") else U64) for name, parts in found.items()}
+
+
+def tagged(documents: DataFrame) -> DataFrame:
+    """_doc (doc_id, null last), _tag (16 bits of the text's hash, to tell rows apart that share a doc_id) and the text."""
+    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_doc"), F.xxhash64("text").bitwiseAND(F.lit(0xFFFF)).alias("_tag"), "text")
+
+
+def _packed(start: np.ndarray, n: np.ndarray, shift: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    """Place in a text, number of windows, place of the anchor from there and tag in one long that sorts by place."""
+    return (start << 32) | (n << 24) | (shift << 16) | tag
+
+
+def _place(at: str) -> Column:
+    return F.shiftright(at, 32)
+
+
+def _windows(at: str) -> Column:
+    return F.shiftright(at, 24).bitwiseAND(F.lit(0xFF))
+
+
+def _tag(at: str) -> Column:
+    return F.col(at).bitwiseAND(F.lit(0xFFFF))
+
+
+def context_rows(documents: DataFrame, scheme: Scheme) -> DataFrame:
+    """anchor, content, doc and at (packed) of all contexts."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, tag = (batch.column(i).to_numpy() for i in (0, 1))
+            for block in blocks(batch.column(2)):
+                c = contexts(scheme.units(block), scheme)
+                row = c["text"] + block.first
+                arrays = [c["anchor"].view(np.int64), c["content"].view(np.int64), doc[row], _packed(c["start"], c["n"], c["shift"], tag[row])]
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["anchor", "content", "doc", "at"])
+
+    return tagged(documents).mapInArrow(rows, "anchor long, content long, doc long, at long")
+
+
+def _earlier(scheme: Scheme, first: str) -> Column:
+    """Whether a row (doc, at) comes after the first one of its group."""
+    after = F.col("doc") > F.col(f"{first}.doc")
+    return after if scheme.strict else after | ((F.col("doc") == F.col(f"{first}.doc")) & (_place("at") > _place(f"{first}.at")))
+
+
+def pieces_of(open_: DataFrame, documents: DataFrame, scheme: Scheme, step: int) -> DataFrame:
+    """The windows of contexts or pieces (anchor, doc, at), in runs that start a multiple of step before the anchor: anchor, content, doc, at and part.
+
+    part: number of the run, counted from the anchor. Equal windows are in runs of equal anchor and part.
+    """
+    size = scheme.size
+    wanted = open_.groupBy("doc", _tag("at").alias("tag")).agg(F.collect_list(F.struct("at", "anchor")).alias("wanted"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, tag = (batch.column(i).to_numpy() for i in (0, 1))
+            lists = batch.column(3)
+            offsets = lists.offsets.to_numpy()
+            fields = lists.values.flatten()
+            for block in blocks(batch.column(2)):
+                units = scheme.units(block)
+                prefix = Prefix(units.values, 2)
+                counts = np.diff(offsets[block.first : block.first + len(block) + 1])
+                inside = slice(int(offsets[block.first]), int(offsets[block.first + len(block)]))
+                at, anchor = (fields[i].to_numpy()[inside] for i in (0, 1))
+                text = np.repeat(np.arange(len(block)), counts)
+                start, n, shift = at >> 32, (at >> 24) & 0xFF, (at >> 16) & 0xFF
+                head = shift % step  # windows before the first multiple of step
+                runs = (head > 0) + np.maximum(n - head + step - 1, 0) // step
+                owner = np.repeat(np.arange(len(at)), runs)
+                nth = np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs)
+                nth -= head[owner] > 0
+                begin = np.maximum(head[owner] + nth * step, 0)
+                stop = np.minimum(head[owner] + (nth + 1) * step, n[owner])
+                low = start[owner] + units.first[text[owner]] + begin
+                left = shift[owner] - begin
+                content = mix(prefix.hash(low, low + (stop - begin) - 1 + size) ^ mix(left.astype(U64)))
+                row = text[owner] + block.first
+                arrays = [anchor[owner], content.view(np.int64), doc[row], _packed(start[owner] + begin, stop - begin, left, tag[row]), (left + step - 1) // step]
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["anchor", "content", "doc", "at", "part"])
+
+    texts = tagged(documents)
+    joined = texts.join(wanted, (texts._doc == wanted.doc) & (texts._tag == wanted.tag)).select("_doc", "_tag", "text", "wanted")
+    return joined.mapInArrow(rows, "anchor long, content long, doc long, at long, part long")
+
+
+def settle(rows: DataFrame, parts: list[str], scheme: Scheme) -> tuple[DataFrame, DataFrame]:
+    """Of contexts or pieces: those all of whose windows occur earlier, and those that must be looked into.
+
+    Rows of equal content are represented by the first; what comes after it occurs earlier. The first ones
+    of parts with several contents are open, for their windows may be in another content.
+    """
+    first = rows.groupBy(*parts, "content").agg(F.min(F.struct("doc", "at")).alias("first"))
+    several = first.groupBy(*parts).agg(F.min("content").alias("_low"), F.max("content").alias("_high")).where("_low < _high").select(*parts, F.lit(True).alias("parted"))
+    known = keep(first.join(several, parts, "left").withColumn("parted", F.coalesce("parted", F.lit(False))), "first")
+    judged = keep(rows.join(known, [*parts, "content"]).withColumn("again", _earlier(scheme, "first")).where("again or parted").select("anchor", "doc", "at", "again"), "judged")
+    return judged.where("again").select("doc", "at"), judged.where("not again").select("anchor", "doc", "at")
+
+
+def earlier_windows(documents: DataFrame, scheme: Scheme) -> DataFrame:
+    """doc, tag and spans (array of packed start and number of windows) of documents with windows that occur earlier."""
+    every = keep(context_rows(documents, scheme), "contexts")
+    some = F.min("doc") < F.max("doc") if scheme.strict else F.count("*") > 1
+    repeated = every.groupBy("anchor").agg(some.alias("_some")).where("_some").select("anchor")
+    rows = keep(every.join(repeated, "anchor"), "repeated")
+    again, open_ = settle(rows, ["anchor"], scheme)
+    spans = again
+    for step in (PIECE, 1):
+        rows = keep(pieces_of(open_, documents, scheme, step), "pieces")
+        again, open_ = settle(rows, ["anchor", "part"], scheme)
+        spans = spans.union(again)
+    return spans.groupBy("doc", _tag("at").alias("tag")).agg(F.collect_list(F.shiftright("at", 24)).alias("spans"))
+
+
+def without_repeats(documents: DataFrame, scheme: Scheme, rows: Callable, schema: str) -> DataFrame:
+    """rows(block, units, covered) of every text, where covered says for each unit whether a window that occurs earlier covers it."""
+    spans = earlier_windows(documents, scheme)
+    texts = tagged(documents)
+    joined = texts.join(spans, (texts._doc == spans.doc) & (texts._tag == spans.tag), "left").select("_doc", "text", "spans")
+    size = scheme.size
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc = batch.column(0).to_numpy()
+            lists = batch.column(2).fill_null([])
+            offsets = lists.offsets.to_numpy()
+            values = lists.values.to_numpy()
+            for block in blocks(batch.column(1)):
+                units = scheme.units(block)
+                span = values[offsets[block.first] : offsets[block.first + len(block)]]
+                text = np.repeat(np.arange(len(block)), np.diff(offsets[block.first : block.first + len(block) + 1]))
+                start = (span >> 8) + units.first[text]
+                change = np.zeros(len(units.values) + 1, np.int64)
+                np.add.at(change, start, 1)
+                np.add.at(change, start + (span & 0xFF) - 1 + size, -1)
+                found = rows(block, units, np.cumsum(change[:-1]) > 0)
+                ids = doc[block.first : block.first + len(block)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NO_ID), *map(pa.array, found.values())], ["doc_id", *found])
+
+    return joined.mapInArrow(judged, schema)

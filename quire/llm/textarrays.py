@@ -50,6 +50,7 @@ class Prefix:
     """Sums of values times powers, from which the hash of any stretch follows."""
 
     def __init__(self, values: np.ndarray, kind: int = 0) -> None:
+        self.values = values
         self.up, self.down = powers(kind, len(values) + 1)
         self.sums = np.zeros(len(values) + 1, U64)
         np.cumsum(values * self.up[: len(values)], out=self.sums[1:])
