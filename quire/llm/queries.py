@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.llm.ann import nearest_neighbours
 from quire.llm.common import read
 from quire.llm.minhash import near_duplicates
 from quire.llm.mixing import mix_to_targets
@@ -47,6 +48,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"))
 
 
+def op6_multi_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(read(spark, sf_dir, "embeddings"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(read(spark, sf_dir, "documents"))
 
@@ -59,4 +64,4 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_quality_rules, op4_pii_pseudonyms, op5_url_filter, op7_substring_dedup, op8_minhash_near_dedup, op9_suffix_dedup, op10_shuffle_shards)}
+QUERIES |= {f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_quality_rules, op4_pii_pseudonyms, op5_url_filter, op6_multi_index_search, op7_substring_dedup, op8_minhash_near_dedup, op9_suffix_dedup, op10_shuffle_shards)}
