@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,7 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model.tokenize
         self.known: dict[bytes, bytes] = {}
 
     @classmethod
@@ -51,7 +53,7 @@ class Tokens:
         return cls._open[path]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit numbers.
+        """Ids as unsigned 32-bit numbers, little-endian as all machines that Spark runs on are.
 
         The tokenizer lowers case, so A-Z are lowered before; special tokens alone keep theirs. ASCII marks right behind a
         letter or digit are a word of their own to it, so they are looked up apart.
@@ -62,12 +64,18 @@ class Tokens:
         known, new = self.known, set()
         for text in words:
             new.update(text)
-        new.difference_update(known)
+        new = new.difference(known)  # looks only at the new ones
         parts = {w: cut for w in new if w[-1] in MARKS and (cut := marks_apart(w))}
         whole = list({x for w in new for x in parts.get(w, (w,))}.difference(known))
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in whole], add_special_tokens=False) if whole else []
-        for word, one in zip(whole, found, strict=True):
-            known[word] = np.array(one.ids, "<u4").tobytes()
+        other = []
+        for word in whole:
+            if word.isalpha() and word.islower():  # to the tokenizer one word, as it is: only the merges are left to do
+                known[word] = array("I", [t.id for t in self.merges(word.decode())]).tobytes()
+            else:
+                other.append(word)
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False) if other else []
+        for word, one in zip(other, found, strict=True):
+            known[word] = array("I", one.ids).tobytes()
         for word, (stem, mark) in parts.items():
             known[word] = known[stem] + known[mark]
         out = [b"".join(map(known.__getitem__, text)) for text in words]
