@@ -1,10 +1,64 @@
-"""A corpus pipeline of the operators in quire.llm."""
+"""A corpus pipeline: quality rules, near duplicates, personal data, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a table that is written before the next reads it. All but the last return documents with
+their columns.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.llm.common import keep, read
+from quire.llm.minhash import drop_near_duplicates
+from quire.llm.mixing import take_mix
+from quire.llm.packing import pack_documents
+from quire.llm.pii import pseudonymize
+from quire.llm.quality import keep_good
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the trees keep."""
+    return keep_good(docs, read(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group of near duplicates."""
+    return drop_near_duplicates(docs)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by pseudonyms; n_chars follows the new text."""
+    return pseudonymize(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as many times as the mix of sources takes them, none or one or two."""
+    return take_mix(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their sequence and offset."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("minhash near-dedup", near_dedup),
+    ("pii", pii),
+    ("mixing sources", mix_sources),
+    ("best-fit packing", best_fit_packing),
+]
+
+#: Trees, keyed digests and the packing plan are beyond SQL; tests/llm compares with plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for n, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if n < len(STAGES) - 1:
+            docs = keep(docs, f"stage{n}")
+    return docs

@@ -179,3 +179,14 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     labelled, group = near_duplicate_links(documents)
     found = labelled.join(group, labelled.alike == group.node, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "alike")).alias("component_id"))
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def drop_near_duplicates(documents: DataFrame) -> DataFrame:
+    """The documents that near_duplicates keeps, with all their columns; of rows alike in doc_id and text one stays."""
+    ids = near_duplicates(documents)
+    kept = keep(ids.select("doc_id", "kept"), "kept")
+    repeated = not kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    good = kept.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = documents.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.struct("*").alias("_row"))
+    out = rows.join(good, F.col("_id") == F.col("_kept"), "left_semi").union(rows.where("_id is null"))
+    return (out.dropDuplicates(["_id", "_text"]) if repeated else out).select("_row.*")

@@ -28,6 +28,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def row_key(seed: int) -> Column:
+    """Hash by which documents are told apart and put in order."""
+    return F.xxhash64(F.lit(seed), "doc_id", "source", "text")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """source_key, source, source_size and target: share of all words by weight, none above most times its source's size.
 
@@ -104,7 +109,7 @@ def settle(rated: DataFrame, most: float) -> DataFrame:
 
 
 def mix_to_targets(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 11) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies and rate of each document, for the mix of sources described at source_targets.
+    """doc_id, size, source_size, target, taken, copies, rate and row_key of each document, for the mix of sources described at source_targets.
 
     Rates (entropy_rates) become whole copies: each takes the whole part, and along the sizes of a source running sums of the
     fractions say how many documents of a size take one more, those of the smallest hashes. What a source's words then miss of its
@@ -112,7 +117,7 @@ def mix_to_targets(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, s
     last; repeated rows count each; the result depends on neither order nor partitions. An empty table gives an empty result.
     """
     source_key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
-    base = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_h")).withColumn("source_key", source_key)
+    base = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_key(seed).alias("_h")).withColumn("source_key", source_key)
     base = keep(base, "sized")
     groups = keep(base.groupBy("source_key", "source", "size").agg(F.count("*").alias("n")), "sizes")
     targets = keep(source_targets(groups.groupBy("source_key", "source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share, most), "targets")
@@ -129,4 +134,18 @@ def mix_to_targets(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, s
     n = groups.agg(F.sum("n")).first()[0] or 0
     ranked = spread_rank(base.select("doc_id", "source_key", "size", "_h"), ["source_key", "size"], "_h", "_rank", bits_for(n, 1_000_000), extra=rated)
     copies = F.least(F.col("_whole") + (F.col("_rank") < F.col("_more")).cast("int"), F.lit(int(most)))
-    return ranked.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate")
+    return ranked.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate", F.col("_h").alias("row_key"))
+
+
+def take_mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 11) -> DataFrame:
+    """documents, each repeated as often as mix_to_targets takes it, with all their columns.
+
+    Rows alike in doc_id, source and text are one row taken as often as all of them together.
+    """
+    mixed = mix_to_targets(documents, weights, share, most, seed)
+    copies = keep(mixed.groupBy("row_key").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")), "copies")
+    rows = documents.select(row_key(seed).alias("_key"), F.struct("*").alias("_row"))
+    if not copies.where("_rows > 1").isEmpty():
+        rows = rows.dropDuplicates(["_key"])
+    taken = rows.join(copies.where("_copies > 0"), F.col("_key") == F.col("row_key"))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")

@@ -28,7 +28,7 @@ def op10_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_to_targets(read(spark, sf_dir, "documents"))
+    return mix_to_targets(read(spark, sf_dir, "documents")).drop("row_key")
 
 
 def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
