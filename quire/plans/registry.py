@@ -1,6 +1,353 @@
-"""Queries over the reading-state operators and their SQL."""
+"""The operators applied to whole tables, by name, and DuckDB SQL for the same rows.
+
+Stand-ins: users of events are documents opened by time, event types are kinds of updates; sources of documents are titles and texts
+paths; urls of pages are paths and their html titles metadata.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.functions import labels as L
+from quire.functions import normalize as N
+from quire.functions import paths as P
+from quire.operators import events as E
+from quire.operators import library as B
+from quire.schemas import PANE_EVENT
+from quire.session import table
+from quire.sources.files import parse_store
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: The stand-in events are minutes apart, so the gap of saves and the guard against echoes are hours here.
+HOURS_US = 6 * 3600 * 1_000_000
+ORDER = ["ts", "event_id"]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _props(name: str = "k"):
+    return F.get_json_object("props", f"$.{name}").cast("double")
+
+
+def view_events(events: DataFrame) -> DataFrame:
+    """Stand-in pane events: user as document, event type as kind, value and props as fields."""
+    kind = F.col("event_type")
+    k, value = _props(), F.col("value")
+    pane = F.when(F.col("event_id") % 2 == 0, "original").otherwise("companion")
+    kinds = F.when(kind == "view", "goto").when(kind == "click", "rotate").when(kind == "signup", "toggle_sync").when(kind == "error", F.when(F.col("event_id") % 3 == 0, "activate").otherwise("zoom_in")).otherwise("scroll")
+    return events.select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("doc_id"), pane.alias("pane_id"), kinds.alias("kind"),
+        k.alias("page_number"), F.pmod(value, F.lit(1.0)).alias("relative_offset_y"), F.lit(None).cast("string").alias("scale_value"),
+        F.lit(None).cast("double").alias("scale"), F.lit(None).cast("double").alias("rotation"),
+    ).to(PANE_EVENT)
+
+
+_LATEST = "SELECT event_id, ts, user_id, event_type, value, props FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1"
+
+
+@query(f"SELECT * FROM ({_LATEST}) ORDER BY ts DESC, user_id LIMIT 20")
+def recent_topk(spark, d):
+    return B.recent(B.latest_per_key(table(spark, d, "events"), "user_id", ORDER), "ts", "user_id")
+
+
+@query(_LATEST)
+def latest_per_key(spark, d):
+    return B.latest_per_key(table(spark, d, "events"), "user_id", ORDER)
+
+
+@query("SELECT event_id, ts, user_id, event_type, value, props FROM events WHERE event_id = 7")
+def point_lookup(spark, d):
+    return B.lookup(table(spark, d, "events"), "event_id", 7)
+
+
+@query("SELECT doc_id, source, lang FROM (SELECT * FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20) WHERE contains(lower(source || ' ' || text), 'the')")
+def search_recent(spark, d):
+    return B.search(B.recent(table(spark, d, "documents"), "n_chars", "doc_id"), " The ", "source", "text").select("doc_id", "source", "lang")
+
+
+@query("SELECT doc_id, source, lang FROM documents WHERE contains(lower(source || ' ' || text), 'src1 the')")
+def search_all(spark, d):
+    return B.search(table(spark, d, "documents"), "SRC1 the", "source", "text").select("doc_id", "source", "lang")
+
+
+@query("""
+WITH r AS (SELECT * FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20)
+SELECT (SELECT count(*) FROM r) AS n_recent, (SELECT count(*) FROM r WHERE contains(lower(source || ' ' || text), '%')) AS n_found,
+  CASE WHEN (SELECT count(*) FROM r WHERE contains(lower(source || ' ' || text), '%')) = 0 THEN '일치하는 논문이 없습니다.' END AS message""")
+def recent_summary(spark, d):
+    return B.recent_summary(B.recent(table(spark, d, "documents"), "n_chars", "doc_id"), "%", "source", "text")
+
+
+@query("""
+SELECT page_id, 'doc_' || lpad(lower(to_hex(list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(url, ''), lambda c: unicode(c)::BIGINT)),
+  lambda a, b: ((xor(a, b) * 16777619) & 4294967295)))), 8, '0') AS id FROM pages""")
+def document_id(spark, d):
+    return table(spark, d, "pages").select("page_id", P.document_id(F.col("url")).alias("id"))
+
+
+@query(r"SELECT page_id, coalesce(nullif(regexp_extract(url, '([^/\\]*)$', 1), ''), 'Untitled.pdf') AS name FROM pages")
+def file_name(spark, d):
+    return table(spark, d, "pages").select("page_id", P.file_name(F.col("url")).alias("name"))
+
+
+@query(r"""
+SELECT page_id, coalesce(nullif(trim(CASE WHEN page_id % 3 = 0 THEN '' ELSE regexp_extract(html, '<title>([^<]*)</title>', 1) END, E' \t\n\r'), ''),
+  regexp_replace(coalesce(nullif(regexp_extract(url, '([^/\\]*)$', 1), ''), 'Untitled.pdf'), '\.html$', '', 'i')) AS title FROM pages""")
+def title_fallback(spark, d):
+    title = F.when(F.col("page_id") % 3 == 0, "").otherwise(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    return table(spark, d, "pages").select("page_id", P.title_or(title, P.file_name(F.col("url")), "html").alias("title"))
+
+
+@query(r"""
+SELECT page_id, regexp_matches(url, '[^/\\]\.html$', 'i') AS has_ending, starts_with(url, 'browser://') AS in_browser,
+  CASE WHEN NOT regexp_matches(url, '[^/\\]\.pdf$', 'i') THEN 'not a pdf' END AS error, ends_with(lower(url), '.pdf') AS accepted FROM pages""")
+def path_checks(spark, d):
+    url = F.col("url")
+    return table(spark, d, "pages").select(
+        "page_id", url.rlike(r"(?i)[^/\\]\.html\z").alias("has_ending"), P.is_browser_path(url).alias("in_browser"),
+        P.path_error(url, F.lit(True), F.lit(True)).alias("error"), P.browser_accepts(F.lit("text/html"), url).alias("accepted"),
+    )
+
+
+_OPENED = """SELECT d.doc_id AS id, 10 AS page_count, coalesce(l.quality + 2, 1) AS page_number, coalesce(l.toxic / 2.0, 0.0) AS relative_offset_y,
+  CASE WHEN l.doc_id IS NULL THEN 'page-width' ELSE 'page-fit' END AS scale_value, CASE WHEN l.doc_id IS NULL THEN 1.0 ELSE 8.0 END::DOUBLE AS scale,
+  CASE WHEN l.doc_id IS NULL THEN 0 ELSE 100 END AS rotation, CASE WHEN l.doc_id IS NULL THEN 'side-by-side' ELSE 'single' END AS split_mode,
+  l.doc_id IS NULL AS sync_enabled FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
+
+
+def _opened(spark, d) -> DataFrame:
+    saved = table(spark, d, "labels").select(
+        F.col("doc_id").alias("id"), (F.col("quality") + 2).alias("page_number"), (F.col("toxic") / 2).alias("relative_offset_y"), F.lit("page-fit").alias("scale_value"),
+        F.lit(8.0).alias("scale"), F.lit(100).alias("rotation"), F.lit("single").alias("split_mode"), F.lit(False).alias("sync_enabled"),
+    )
+    return B.with_previous(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit(10).alias("page_count")), saved)
+
+
+@query(_OPENED)
+def restore_defaults(spark, d):
+    return _opened(spark, d)
+
+
+@query(f"SELECT id, page_number, relative_offset_y, scale_value, least(scale, 4.0) AS scale, CASE WHEN rotation = 100 THEN 90 ELSE 0 END AS rotation, 'original' AS active FROM ({_OPENED})")
+def restore_views(spark, d):
+    return B.restore(_opened(spark, d)).select("id", "original.*", "active")
+
+
+_OLD = "SELECT user_id AS id, count(*) AS n, max(value) AS top, max(ts) AS opened FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id HAVING user_id % 3 <> 0"
+_NEW = "SELECT user_id AS id, count(*) AS n, max(value) AS top, max(ts) AS opened FROM events WHERE event_type NOT IN ('view', 'click') GROUP BY user_id HAVING user_id % 3 <> 1"
+
+
+def _slices(spark, d) -> tuple[DataFrame, DataFrame]:
+    """A library and a batch of updates: users of two kinds of events."""
+    rows = table(spark, d, "events").withColumnRenamed("user_id", "id")
+    made = lambda part: part.groupBy("id").agg(F.count("*").alias("n"), F.max("value").alias("top"), F.max("ts").alias("opened"))
+    some = F.col("event_type").isin("view", "click")
+    return made(rows.where(some)).where("id % 3 <> 0"), made(rows.where(~some)).where("id % 3 <> 1")
+
+
+@query(f"WITH o AS ({_OLD}), n AS ({_NEW}) SELECT * FROM n UNION ALL SELECT * FROM o WHERE id NOT IN (SELECT id FROM n)")
+def upsert(spark, d):
+    return B.upsert(*_slices(spark, d))
+
+
+@query(f"WITH o AS ({_OLD}), n AS ({_NEW}) SELECT o.id, o.n, coalesce(n.top, o.top) AS top, coalesce(n.opened, o.opened) AS opened FROM o LEFT JOIN n ON o.id = n.id")
+def partial_update(spark, d):
+    return B.partial_update(*_slices(spark, d), ["top", "opened"])
+
+
+_STORE = "SELECT user_id AS id, max(ts) AS opened, user_id AS position FROM events GROUP BY user_id"
+
+
+def _store(spark, d) -> DataFrame:
+    """A browser's list: users in order of their numbers."""
+    return table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.max("ts").alias("opened")).withColumn("position", F.col("id"))
+
+
+@query(f"WITH s AS ({_STORE}) SELECT id, opened, 0 AS position FROM s WHERE id = 5 UNION ALL SELECT id, opened, position + 1 FROM s WHERE id <> 5")
+def move_to_front(spark, d):
+    store = _store(spark, d)
+    return B.move_to_front(store, store.where("id = 5").drop("position"))
+
+
+@query(f"WITH s AS ({_STORE}) SELECT id, opened, row_number() OVER (ORDER BY position) - 1 AS position FROM s ORDER BY position LIMIT 20")
+def truncating_write(spark, d):
+    return B.renumber(_store(spark, d))
+
+
+@query(f"SELECT s.id, CASE WHEN s.id % 2 = 0 THEN TIMESTAMP '2025-01-01' ELSE opened END AS opened, position FROM ({_STORE}) s")
+def update_in_place(spark, d):
+    store = _store(spark, d)
+    return B.partial_update(store, store.where("id % 2 = 0").select("id", F.lit("2025-01-01").cast("timestamp_ntz").alias("opened")), ["opened"])
+
+
+@query(f"SELECT id, 'path-' || id AS file_path, page_number, relative_offset_y, scale, rotation, sync_enabled::INT AS sync_enabled, split_mode FROM ({_OPENED})")
+def nest_flatten(spark, d):
+    rows = _opened(spark, d).withColumns({"file_path": F.concat(F.lit("path-"), "id"), "title": F.lit("t"), "last_opened_at": F.lit(None).cast("timestamp")})
+    return B.flatten(B.nest(rows)).select("id", "file_path", "page_number", "relative_offset_y", "scale", "rotation", "sync_enabled", "split_mode")
+
+
+@query("""
+SELECT event_id, user_id, last_value(CASE WHEN event_type = 'view' THEN least(greatest(value, 0), 1) END IGNORE NULLS) OVER w AS relative_offset_y,
+  last_value(CASE WHEN event_type = 'click' THEN least(greatest(CAST(json_extract_string(props, '$.k') AS DOUBLE) / 20, 0.25), 4) END IGNORE NULLS) OVER w AS scale
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def merge_fold(spark, d):
+    rows = table(spark, d, "events").select(
+        "event_id", "user_id", "ts", F.when(F.col("event_type") == "view", N.normalize_offset(F.col("value"))).alias("relative_offset_y"),
+        F.when(F.col("event_type") == "click", N.normalize_scale(_props() / 20)).alias("scale"),
+    )
+    return E.fold_absolute(rows, ["user_id"], ["relative_offset_y", "scale"], ORDER).drop("ts")
+
+
+@query("SELECT user_id, (90 * count(*) FILTER (event_type = 'click')) % 360 AS rotation FROM events GROUP BY user_id")
+def rotate_fold(spark, d):
+    return E.rotations(table(spark, d, "events"), "user_id", F.col("event_type") == "click")
+
+
+@query("""
+SELECT user_id, list_reduce(list_prepend(1::DOUBLE, list(CASE WHEN event_type = 'view' THEN 1.1::DOUBLE ELSE 1::DOUBLE / 1.1::DOUBLE END ORDER BY ts, event_id)),
+  lambda a, f: least(greatest(a * f, 0.25::DOUBLE), 4::DOUBLE)) AS scale FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id""")
+def zoom_fold(spark, d):
+    rows = table(spark, d, "events").where(F.col("event_type").isin("view", "click"))
+    return E.zooms(rows, "user_id", ORDER, F.col("event_type") == "view")
+
+
+@query("""
+SELECT event_id, t.target FROM events, (VALUES ('original'), ('companion')) t(target)
+WHERE user_id % 2 = 0 OR t.target = CASE WHEN event_type = 'view' THEN 'original' ELSE 'companion' END""")
+def sync_fanout(spark, d):
+    pane = F.when(F.col("event_type") == "view", "original").otherwise("companion")
+    return E.fan_out(table(spark, d, "events").withColumn("pane_id", pane), F.col("user_id") % 2 == 0).select("event_id", "target")
+
+
+@query("""
+SELECT event_id, user_id, ts FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS following FROM events)
+WHERE following IS NULL OR following >= ts + INTERVAL 6 HOUR""")
+def debounce_persist(spark, d):
+    return E.debounce(table(spark, d, "events"), ["user_id"], ORDER, HOURS_US).select("event_id", "user_id", "ts")
+
+
+@query("""
+SELECT event_id, user_id FROM (SELECT *, max(CASE WHEN event_type = 'purchase' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS applied FROM events)
+WHERE event_type <> 'purchase' AND (applied IS NULL OR ts > applied + INTERVAL 6 HOUR)""")
+def echo_suppress(spark, d):
+    applies = F.col("event_type") == "purchase"
+    return E.suppress_echoes(table(spark, d, "events"), ["user_id"], ORDER, applies, HOURS_US).select("event_id", "user_id")
+
+
+@query("""
+SELECT event_id, coalesce(event_type = lag(event_type) OVER w AND abs(value - lag(value) OVER w) < 0.002, false) AS close
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def state_close(spark, d):
+    from pyspark.sql import Window
+
+    view = F.struct(F.lit(1).alias("page_number"), F.lit(0.0).alias("relative_offset_y"), F.col("event_type").alias("scale_value"), F.col("value").alias("scale"), F.lit(0).alias("rotation"))
+    rows = table(spark, d, "events").withColumn("view", view)
+    rows = rows.withColumn("before", F.lag("view").over(Window.partitionBy("user_id").orderBy(*ORDER)))
+    return rows.select("event_id", F.coalesce(N.view_is_close(F.col("view"), F.col("before")), F.lit(False)).alias("close"))
+
+
+@query("""
+SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER w AS before, row_number() OVER w AS n FROM events
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE n = 1 OR event_type <> before""")
+def apply_on_change(spark, d):
+    return E.on_change(table(spark, d, "events"), ["user_id"], ORDER, ["event_type"]).select("event_id", "user_id", "event_type")
+
+
+@query("SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS frame_start, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL")
+def scroll_coalesce(spark, d):
+    rows = table(spark, d, "events")
+    return E.coalesce_scrolls(rows, ["user_id"], "1 hour", "value", ORDER).select("user_id", F.col("frame_start").cast("timestamp_ntz").alias("frame_start"), "value")
+
+
+@query("SELECT event_id, floor(value * 100 + 0.5)::BIGINT AS percent FROM events")
+def percent(spark, d):
+    return table(spark, d, "events").select("event_id", N.percent(F.col("value")).alias("percent"))
+
+
+@query("SELECT event_id, (((floor((value - 50) * 7 / 90 + 0.5) * 90)::BIGINT % 360) + 360) % 360 AS rotation FROM events")
+def normalize_rotation(spark, d):
+    return table(spark, d, "events").select("event_id", N.normalize_rotation((F.col("value") - 50) * 7).cast("bigint").alias("rotation"))
+
+
+@query("""
+SELECT event_id, floor(least(greatest(value, 1), greatest(user_id % 40, 1)) + 0.5)::INT AS page_number, least(greatest(value - 1, 0), 1) AS relative_offset_y FROM events""")
+def normalize_anchor(spark, d):
+    page = N.normalize_page(F.col("value"), (F.col("user_id") % 40).cast("int"))
+    return table(spark, d, "events").select("event_id", page.alias("page_number"), N.normalize_offset(F.col("value") - 1).alias("relative_offset_y"))
+
+
+@query("""
+SELECT event_id, least(greatest((value / 20) * CASE WHEN event_type = 'view' THEN 1.1::DOUBLE ELSE 1::DOUBLE / 1.1::DOUBLE END, 0.25::DOUBLE), 4::DOUBLE) AS scale FROM events""")
+def scale_step(spark, d):
+    return table(spark, d, "events").select("event_id", N.scale_by(F.col("value") / 20, F.col("event_type") == "view").alias("scale"))
+
+
+@query("SELECT event_id, 100 + least(greatest((value * 30 - 100) / greatest(value, 1), 0), 1) * greatest(value, 1) AS scroll_top, "
+       "least(greatest((value * 30 - 100) / greatest(value, 1), 0), 1) AS anchor FROM events")
+def scroll_anchor(spark, d):
+    value = F.col("value")
+    anchor = N.scroll_to_anchor(value * 30, F.lit(100.0), value)
+    return table(spark, d, "events").select("event_id", anchor.alias("anchor"), N.anchor_to_scroll(anchor, F.lit(100.0), value).alias("scroll_top"))
+
+
+@query("SELECT event_id, k AS page FROM events, unnest(from_json('[' || props || ']', '[{\"k\":\"DOUBLE\"}]')) u(p), LATERAL (SELECT p.k AS k)")
+def page_input(spark, d):
+    return table(spark, d, "events").select("event_id", L.page_input(F.concat(F.lit(" \t"), F.get_json_object("props", "$.k"), F.lit(" "))).alias("page"))
+
+
+@query("""
+SELECT event_id, CASE WHEN user_id % 7 = 0 THEN '준비됨' ELSE CASE event_type WHEN 'view' THEN '원문' WHEN 'click' THEN '좌우 분할' ELSE '상하 분할' END
+  || ' · ' || CASE WHEN user_id % 2 = 0 THEN '동기화됨' ELSE '독립 보기' END END AS status,
+  'p. ' || user_id || ' · ' || floor(value * 100 + 0.5)::BIGINT || '% · ' || 90 || '°' AS footer FROM events""")
+def status_labels(spark, d):
+    mode = F.when(F.col("event_type") == "view", "single").when(F.col("event_type") == "click", "side-by-side").otherwise("stacked")
+    status = L.status_label(F.col("user_id") % 7 != 0, mode, F.col("user_id") % 2 == 0)
+    return table(spark, d, "events").select("event_id", status.alias("status"), L.position_label(F.col("user_id"), F.col("value"), F.lit(90)).alias("footer"))
+
+
+@query("""
+SELECT doc_id, doc_id <= 1 AS previous_off, doc_id >= 50 AS next_off, source = 'src1' AS sync_off, doc_id = 7 AS active FROM documents""")
+def navigation_guards(spark, d):
+    page, mode = F.col("doc_id"), F.when(F.col("source") == "src1", "single").otherwise("stacked")
+    return table(spark, d, "documents").select("doc_id", (page <= 1).alias("previous_off"), (page >= 50).alias("next_off"), (mode == "single").alias("sync_off"), (F.col("doc_id") == 7).alias("active"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS n_documents, CASE WHEN event_id % 2 = 0 THEN user_id END AS page_count FROM events")
+def browser_store_scan(spark, d):
+    good = F.concat(F.lit('[{"id":"a","page_count":'), F.col("user_id"), F.lit("}]"))
+    text = F.when(F.col("event_id") % 2 == 0, good).otherwise(F.when(F.col("event_id") % 3 == 0, "not json"))
+    rows = table(spark, d, "events").select("event_id", parse_store(text).alias("list"))
+    return rows.select("event_id", F.size("list").alias("n_documents"), F.get("list", F.lit(0))["page_count"].cast("bigint").alias("page_count"))
+
+
+@query()
+def label_recent(spark, d):
+    return table(spark, d, "events").select("event_id", L.recent_label(F.col("ts"), F.lit("2024-01-30 12:00:00").cast("timestamp")).alias("label"))
+
+
+@query()
+def pane_fold(spark, d):
+    events = view_events(table(spark, d, "events"))
+    folded = E.fold_panes(events, F.lit(80)).select("doc_id", "state.*")
+    return folded.select("doc_id", "sync", "active", *(F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in ("original", "companion") for c in ("page_number", "relative_offset_y", "scale", "rotation")))
+
+
+@query()
+def debounce_sessions(spark, d):
+    """The same saves by sessions instead of a look at the next event; a gap equal to the threshold merges here."""
+    rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    sessions = rows.groupBy("user_id", F.session_window("ts", "6 hours").alias("_s")).agg(F.max_by("event_id", F.struct(*ORDER)).alias("event_id"))
+    return sessions.select("event_id", "user_id")
