@@ -4,25 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-VIEW_STATE = T.StructType.fromDDL("page_number int, relative_offset_y double, scale_value string, scale double, rotation int")
 
-LIBRARY = T.StructType.fromDDL(
-    "id string not null, file_path string not null, title string, page_count int, last_opened_at timestamp, page_number int, "
-    "relative_offset_y double, scale_value string, scale double, rotation int, split_mode string, sync_enabled boolean, updated_at timestamp"
-)
 
-READER_DOCUMENT = (
-    T.StructType.fromDDL("id string, file_path string, title string, page_count int, last_opened_at timestamp")
-    .add("view_state", VIEW_STATE)
-    .add("split_mode", T.StringType())
-    .add("sync_enabled", T.BooleanType())
-)
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+_TEXT, _INT, _LONG, _REAL, _FLAG, _TIME = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.BooleanType(), T.TimestampType()
+
+VIEW_STATE = _struct(page_number=_INT, relative_offset_y=_REAL, scale_value=_TEXT, scale=_REAL, rotation=_INT)
+
+LIBRARY = _struct(
+    id=_TEXT, file_path=_TEXT, title=_TEXT, page_count=_INT, last_opened_at=_TIME, page_number=_INT, relative_offset_y=_REAL, scale_value=_TEXT, scale=_REAL,
+    rotation=_INT, split_mode=_TEXT, sync_enabled=_FLAG, updated_at=_TIME,
+)
+
+READER_DOCUMENT = _struct(id=_TEXT, file_path=_TEXT, title=_TEXT, page_count=_INT, last_opened_at=_TIME, view_state=VIEW_STATE, split_mode=_TEXT, sync_enabled=_FLAG)
 
 #: An update of a view. Null means that a field is absent. page_number and rotation are rounded on merge.
-PANE_EVENT = T.StructType.fromDDL(
-    "event_id bigint, ts timestamp, doc_id string, pane_id string, kind string, page_number double, relative_offset_y double, "
-    "scale_value string, scale double, rotation double"
-)
+PANE_EVENT = _struct(
+    event_id=_LONG, ts=_TIME, doc_id=_TEXT, pane_id=_TEXT, kind=_TEXT, page_number=_REAL, relative_offset_y=_REAL, scale_value=_TEXT, scale=_REAL, rotation=_REAL,
+)
 
 # Fixed values of the data model.
 DEFAULT_VIEW = {"page_number": 1, "relative_offset_y": 0.0, "scale_value": "page-width", "scale": 1.0, "rotation": 0}

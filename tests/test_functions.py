@@ -1,0 +1,90 @@
+"""Scalar functions against values worked out by hand."""
+
+import math
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from quire.functions import labels as L
+from quire.functions import normalize as N
+from quire.functions import paths as P
+
+
+def one(spark, *columns):
+    row = spark.range(1).select(*(c.alias(f"c{i}") for i, c in enumerate(columns))).first()
+    return tuple(row) if len(columns) > 1 else row[0]
+
+
+def test_anchor_is_normalized_into_the_document(spark):
+    assert one(spark, N.normalize_page(F.lit(99.0), F.lit(12)), N.normalize_offset(F.lit(-0.2))) == (12, 0.0)
+    assert one(spark, N.normalize_page(F.lit(3.0), F.lit(0)), N.normalize_page(F.lit(2.5), F.lit(9))) == (1, 3)
+
+
+@pytest.mark.parametrize(("turn", "expected"), [(450, 90), (-90, 270), (44, 0), (45, 90), (-45, 0), (360, 0)])
+def test_rotation(spark, turn, expected):
+    assert one(spark, N.normalize_rotation(F.lit(float(turn)))) == expected
+
+
+def test_zoom_stays_in_bounds(spark):
+    assert one(spark, N.scale_by(F.lit(4.0), F.lit(True)), N.scale_by(F.lit(0.25), F.lit(False))) == (4.0, 0.25)
+
+
+def test_clamp_keeps_null_and_nan(spark):
+    null, nan = one(spark, N.clamp(F.lit(None).cast("double"), 0.0, 1.0), N.clamp(F.lit(math.nan), 0.0, 1.0))
+    assert null is None and math.isnan(nan)
+
+
+def test_merge_keeps_what_is_absent(spark):
+    current = F.struct(F.lit(1).alias("page_number"), F.lit(0.0).alias("relative_offset_y"), F.lit("page-width").alias("scale_value"), F.lit(1.0).alias("scale"), F.lit(0).alias("rotation"))
+    update = {"page_number": F.lit(4), "relative_offset_y": F.lit(0.75), "rotation": F.lit(90)}
+    assert tuple(one(spark, N.merge_view(current, update, F.lit(8)))) == (4, 0.75, "page-width", 1.0, 90)
+
+
+def test_rounding_is_half_up(spark):
+    assert one(spark, N.round_half_up(F.lit(-0.5)), N.round_half_up(F.lit(2.5)), N.percent(F.lit(1.005))) == (0, 3, 100)
+
+
+@pytest.mark.parametrize(("path", "expected"), [("", "doc_811c9dc5"), ("a", "doc_e40c292c"), ("foobar", "doc_bf9cf968")])
+def test_document_id(spark, path, expected):
+    assert one(spark, P.document_id(F.lit(path))) == expected
+
+
+def test_document_id_hashes_utf16_units(spark):
+    h = 2166136261
+    for unit in (0xD83D, 0xDE00):
+        h = ((h ^ unit) * 16777619) & 0xFFFFFFFF
+    assert one(spark, P.document_id(F.lit("\U0001f600"))) == f"doc_{h:08x}"
+
+
+@pytest.mark.parametrize(("path", "expected"), [("/a/b/", "Untitled.pdf"), ("C:\\x\\y.PDF", "y.PDF"), ("", "Untitled.pdf"), ("plain", "plain")])
+def test_file_name(spark, path, expected):
+    assert one(spark, P.file_name(F.lit(path))) == expected
+
+
+@pytest.mark.parametrize(("title", "fallback", "expected"), [(" \t", "y.PDF", "y"), ("\t\u00a0 A b\ufeff\n", "z", "A b"), (None, "a.pdf.pdf", "a.pdf")])
+def test_title(spark, title, fallback, expected):
+    assert one(spark, P.title_or(F.lit(title).cast("string"), F.lit(fallback))) == expected
+
+
+def test_path_checks_come_in_order(spark):
+    error = lambda path, exists, is_file: P.path_error(F.lit(path), F.lit(exists), F.lit(is_file))
+    assert one(spark, error("/a/.pdf", True, True), error("a.pdf", False, False), error("a.Pdf", True, False), error("a.pdf", True, True)) == ("not a pdf", "not found", "not a file", None)
+    assert one(spark, P.browser_accepts(F.lit(None).cast("string"), F.lit(".PDF")), P.browser_accepts(F.lit("application/pdf"), F.lit("x")), P.is_browser_path(F.lit("browser://x"))) == (True, True, True)
+
+
+@pytest.mark.parametrize(("text", "expected"), [("", 0.0), (" 12 ", 12.0), ("0x10", 16.0), ("1e2", 100.0), ("x", None), ("Infinity", None), ("NaN", None), ("1e999", None), ("-3", -3.0)])
+def test_page_input(spark, text, expected):
+    assert one(spark, L.page_input(F.lit(text))) == expected
+
+
+def test_labels(spark):
+    assert one(spark, L.number_text(F.lit(4.0)), L.preset_or_number(F.lit(""), F.lit(1.5))) == ("4", "1.5")
+    assert one(spark, L.status_label(F.lit(True), F.lit("single"), F.lit(False)), L.position_label(F.lit(3), F.lit(1.1), F.lit(90))) == ("원문 · 독립 보기", "p. 3 · 110% · 90°")
+    now = F.lit(datetime(2024, 3, 5, 20, 0))
+    assert one(spark, L.recent_label(F.lit(datetime(2024, 3, 5, 15, 5)), now), L.recent_label(F.lit(datetime(2024, 2, 3)), now)) == ("오후 03:05", "2월 3일")
+
+
+def test_scroll_and_anchor_are_inverse(spark):
+    anchor = N.scroll_to_anchor(F.lit(150.0), F.lit(100.0), F.lit(200.0))
+    assert one(spark, anchor, N.anchor_to_scroll(anchor, F.lit(100.0), F.lit(200.0)), N.scroll_to_anchor(F.lit(5.0), F.lit(0.0), F.lit(0.0))) == (0.25, 150.0, 1.0)
