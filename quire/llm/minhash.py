@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import keep
@@ -19,10 +19,12 @@ LINK = 75
 BANDS, ROWS = 32, 4
 #: Low bits kept of each minimum; 16 minima fill a long.
 BITS = 4
-#: Pairs whose estimate is below are not confirmed; six standard deviations below LINK.
-LEAST_ESTIMATE = 0.5
-#: Rounds that link members of a bucket to one of its documents before pairs across what is left apart are taken.
-STARS = 3
+#: Pairs whose estimate is below are not confirmed; five standard deviations below LINK.
+LEAST_ESTIMATE = 0.55
+#: Turns that link members of a bucket to one of its documents before pairs across what is left apart are taken.
+STARS = 4
+#: Pairs whose sets are compared together.
+TOGETHER = 1_000
 
 _DRAWN = np.random.default_rng(77).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.int64).astype(U64)
 _SALTS, _FACTORS = _DRAWN[0], _DRAWN[1] | U64(1)
@@ -95,24 +97,36 @@ def estimate(left: str, right: str) -> Column:
     return (1 - differing / float(BANDS * ROWS) - chance) / (1 - chance)
 
 
+def _set_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each text and hash of each of its shingles."""
+    places, values = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
+    for block in blocks(texts, lower=True):
+        text, value = shingles(block)
+        places.append(text + block.first)
+        values.append(value)
+    return np.concatenate(places), np.concatenate(values)
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sides = []
-        for column in (2, 3):
-            texts, values = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
-            for block in blocks(batch.column(column), lower=True):
-                text, value = shingles(block)
-                texts.append(text + block.first)
-                values.append(value)
-            sides.append((np.concatenate(texts), np.concatenate(values)))
-        pair = np.concatenate([s[0] for s in sides])
-        value = np.concatenate([s[1] for s in sides])
-        order = sorted_within(pair, value)
-        pair, value = pair[order], value[order]
-        shared = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (value[1:] == value[:-1])], minlength=len(batch))
-        union = np.bincount(pair, minlength=len(batch)) - shared
-        keep_ = pa.array((100 * shared >= LINK * union) & (union > 0))
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep_), batch.column(1).filter(keep_)], ["a", "b"])
+        for at in range(0, len(batch), TOGETHER):
+            part = batch.slice(at, TOGETHER)
+            left, right = _set_rows(part.column(2)), _set_rows(part.column(3))
+            pair, value = (np.concatenate([x, y]) for x, y in zip(left, right, strict=True))
+            order = sorted_within(pair, value)
+            pair, value = pair[order], value[order]
+            shared = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (value[1:] == value[:-1])], minlength=len(part))
+            union = np.bincount(pair, minlength=len(part)) - shared
+            linked = pa.array((100 * shared >= LINK * union) & (union > 0))
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(linked), part.column(1).filter(linked)], ["a", "b"])
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), TOGETHER):
+            part = batch.slice(at, TOGETHER)
+            place, value = _set_rows(part.column(1))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(place)), pa.array(value.view(np.int64))], ["doc_id", "shingle"])
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -121,11 +135,33 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, "a long, b long")
 
 
+def rare_shingles(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """bucket, doc_id, n_shingles and component, with the rarest shingles of documents of rows as buckets in place of bands.
+
+    A link needs 7 * intersection >= 3 * sum of sizes. So of a document's shingles, the rarest among these documents first, all but that
+    many, and one more, must have one in common with those of the other document. A document that shares
+    much with very many, yet too little with any, meets nobody there. least is the smallest size in its bands' buckets.
+    """
+    rows = keep(rows, "rows")
+    smallest = rows.groupBy("bucket").agg(F.min("n_shingles").alias("_least"))
+    per_doc = rows.join(smallest, "bucket").groupBy("doc_id", "component").agg(F.max("n_shingles").alias("n_shingles"), F.min("n_shingles").alias("_n"), F.min("_least").alias("_least"))
+    other = F.greatest("_least", F.ceil(F.col("_n") * LINK / 100))
+    room = F.when(F.col("_n") == F.col("n_shingles"), F.col("_n") - F.ceil(3 * (F.col("_n") + other) / 7) + 1).otherwise(1 << 40)  # several texts: all shingles
+    per_doc = keep(per_doc.select("doc_id", "component", "n_shingles", room.alias("_room")), "documents")
+    sets = keep(texts.join(per_doc.select("doc_id"), "doc_id").select("doc_id", "text").mapInArrow(_shingle_rows, "doc_id long, shingle long"), "sets")
+    shared = sets.groupBy("shingle").agg(F.count("*").alias("_df"), F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high")).where("_low < _high").select("shingle", "_df")
+    known = sets.join(shared, "shingle")
+    total = sets.groupBy("doc_id").agg(F.count("*").alias("_all"))
+    alone = known.groupBy("doc_id").agg(F.count("*").alias("_met")).join(total, "doc_id").select("doc_id", (F.col("_all") - F.col("_met")).alias("_own"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("_df", "shingle"))
+    return known.withColumn("_rank", rank).join(alone, "doc_id").join(per_doc, "doc_id").where("_rank + _own <= _room").select(F.col("shingle").alias("bucket"), "doc_id", "n_shingles", "component")
+
+
 def near_duplicate_links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All documents with doc_id, n_shingles and alike (the smallest doc_id of those with the same set), and the components of these.
 
-    Documents with equal sets are one from here on. Documents that share a band are candidates; a bucket's are first linked to one of them,
-    later to one of each group that is still apart, and in the end to every member of the other groups, so that a
+    Documents with equal sets are one from here on. Documents that share a band are candidates. A bucket's are first linked to one of them, drawn
+    anew each turn while groups are apart; in the end all pairs across groups that share a rare shingle are taken, so a
     link is missed only if no band is shared. Candidates pass the estimate, then full sets decide.
     """
     signed = keep(document_signatures(documents), "signatures")
@@ -148,19 +184,28 @@ def near_duplicate_links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         return pairs.join(a, "a").join(b, "b").where(size & (estimate("packed_a", "packed_b") >= LEAST_ESTIMATE)).select("a", "b").distinct()
 
     links = group = None
-    for _ in range(STARS):
-        grouped = band.withColumn("component", F.col("doc_id")) if group is None else band.join(group, band.doc_id == group.node, "left").select("bucket", band.doc_id, F.coalesce("component", band.doc_id).alias("component"))
-        centre = grouped.groupBy("bucket").agg(F.min(F.struct("component", "doc_id")).alias("_c"), F.max("component").alias("_high")).where("_c.component < _high").select("bucket", F.col("_c.component").alias("_own"), F.col("_c.doc_id").alias("a"))
-        pairs = grouped.join(centre, "bucket").where("component <> _own").select("a", F.col("doc_id").alias("b")).distinct()
-        if group is None:
-            pairs = pairs.groupBy("b").agg(F.min("a").alias("a"))
-        found = keep(confirm(keep(candidates(pairs), "stars"), texts), "links")
+
+    def grouped() -> DataFrame:
+        """bucket, doc_id, n_shingles and component (so far) of buckets whose documents are not all in one."""
+        rows = band.withColumn("component", F.col("doc_id")) if group is None else band.join(group, band.doc_id == group.node, "left").select(*band.columns, F.coalesce("component", "doc_id").alias("component"))
+        apart = rows.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("bucket")
+        return rows.join(apart, "bucket")
+
+    for turn in range(STARS):
+        rows = keep(grouped(), "apart")
+        centre = rows.groupBy("bucket").agg(F.min_by(F.struct("doc_id", "component"), F.struct(F.xxhash64(F.lit(turn), "doc_id"), "doc_id")).alias("_c")).select("bucket", F.col("_c.doc_id").alias("a"), F.col("_c.component").alias("_own"))
+        pairs = rows.join(centre, "bucket").where("component <> _own").groupBy(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).agg(F.count("*").alias("n"))
+        if group is None:  # most need no more than the centre they share most bands with
+            pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
+        found = keep(confirm(keep(candidates(pairs.select("a", "b")), "stars"), texts), "links")
         links = found if links is None else links.union(found)
         group = components(links)
-    grouped = keep(band.join(group, band.doc_id == group.node, "left").select("bucket", band.doc_id, F.coalesce("component", band.doc_id).alias("component")), "grouped")
-    each = grouped.select("bucket", "component").distinct()
+    rows = keep(rare_shingles(grouped(), texts), "rare")
+    each = rows.select("bucket", "component").distinct()
     apart = each.join(each.select("bucket", F.col("component").alias("other")), "bucket").where("component < other")
-    sides = apart.join(grouped.withColumnRenamed("doc_id", "a"), ["bucket", "component"]).join(grouped.select("bucket", F.col("component").alias("other"), F.col("doc_id").alias("b")), ["bucket", "other"])
+    left = rows.select("bucket", "component", F.col("doc_id").alias("a"))
+    right = rows.select("bucket", F.col("component").alias("other"), F.col("doc_id").alias("b"))
+    sides = apart.join(left, ["bucket", "component"]).join(right, ["bucket", "other"])
     last = keep(confirm(keep(candidates(sides.select("a", "b").distinct()), "rest"), texts), "links")
     if not last.isEmpty():
         links = links.union(last)
