@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -33,13 +34,25 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._scratch = path
+    return kept
+
+
+def forget(kept: DataFrame) -> None:
+    """Delete a scratch table that nothing still to be computed reads, and let Spark drop the shuffle files of what led to it."""
+    _delete(kept.sparkSession, kept._scratch)
+    gc.collect()
+    kept.sparkSession.sparkContext._jvm.System.gc()
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete every scratch table of this application. Results not yet computed need them."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    _delete(spark, scratch_dir(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

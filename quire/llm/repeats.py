@@ -6,7 +6,7 @@ window's content alone. Windows in a row with the same anchor form a context. So
 * anchors that occur once are dropped;
 * an anchor whose contexts are all equal goes on alike wherever it occurs: the first occurrence stands for all its windows;
 * where contexts of an anchor part, the first occurrence of each distinct context is cut into pieces of a few windows, aligned to the
-  anchor, and pieces that part are cut into windows.
+  anchor, and pieces that part but agree in what all their windows share are cut into windows.
 
 So work follows texts' lengths and the number of places where repeats begin, end or differ, not the sizes of groups of copies.
 """
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import keep
+from quire.llm.common import forget, keep
 from quire.llm.textarrays import U64, Block, Prefix, blocks, mix
 
 #: Stands for a null doc_id: such rows come last.
@@ -142,9 +142,10 @@ def _earlier(scheme: Scheme, first: str) -> Column:
 
 
 def pieces_of(open_: DataFrame, documents: DataFrame, scheme: Scheme, step: int) -> DataFrame:
-    """The windows of contexts or pieces (anchor, doc, at), in runs that start a multiple of step before the anchor: anchor, content, doc, at and part.
+    """The windows of contexts or pieces (anchor, doc, at), in runs that start a multiple of step before the anchor: anchor, core, content, doc and at.
 
-    part: number of the run, counted from the anchor. Equal windows are in runs of equal anchor and part.
+    core: hash of what all windows of a full run have in common, and of the run's place. Equal windows are in runs of equal anchor and core,
+    so a run whose core is found nowhere else has none.
     """
     size = scheme.size
     wanted = open_.groupBy("doc", _tag("at").alias("tag")).agg(F.collect_list(F.struct("at", "anchor")).alias("wanted"))
@@ -173,40 +174,58 @@ def pieces_of(open_: DataFrame, documents: DataFrame, scheme: Scheme, step: int)
                 low = start[owner] + units.first[text[owner]] + begin
                 left = shift[owner] - begin
                 content = mix(prefix.hash(low, low + (stop - begin) - 1 + size) ^ mix(left.astype(U64)))
+                part = (left + step - 1) // step  # number of the run, counted from the anchor
+                last = low + left - part * step + step - 1  # where a full run's last window starts
+                core = mix(prefix.hash(last, last - step + 1 + size) ^ mix(part.astype(U64)))
                 row = text[owner] + block.first
-                arrays = [anchor[owner], content.view(np.int64), doc[row], _packed(start[owner] + begin, stop - begin, left, tag[row]), (left + step - 1) // step]
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["anchor", "content", "doc", "at", "part"])
+                arrays = [anchor[owner], core.view(np.int64), content.view(np.int64), doc[row], _packed(start[owner] + begin, stop - begin, left, tag[row])]
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["anchor", "core", "content", "doc", "at"])
 
     texts = tagged(documents)
     joined = texts.join(wanted, (texts._doc == wanted.doc) & (texts._tag == wanted.tag)).select("_doc", "_tag", "text", "wanted")
-    return joined.mapInArrow(rows, "anchor long, content long, doc long, at long, part long")
+    return joined.mapInArrow(rows, "anchor long, core long, content long, doc long, at long")
 
 
-def settle(rows: DataFrame, parts: list[str], scheme: Scheme) -> tuple[DataFrame, DataFrame]:
+def _several(scheme: Scheme) -> Column:
+    """For an aggregate over rows (doc, at): whether one can come after another."""
+    return F.min("doc") < F.max("doc") if scheme.strict else F.count("*") > 1
+
+
+def settle(rows: DataFrame, keys: list[str], scheme: Scheme) -> tuple[DataFrame, DataFrame]:
     """Of contexts or pieces: those all of whose windows occur earlier, and those that must be looked into.
 
     Rows of equal content are represented by the first; what comes after it occurs earlier. The first ones
-    of parts with several contents are open, for their windows may be in another content.
+    of keys with several contents are open, for their windows may be in another content.
     """
-    first = rows.groupBy(*parts, "content").agg(F.min(F.struct("doc", "at")).alias("first"))
-    several = first.groupBy(*parts).agg(F.min("content").alias("_low"), F.max("content").alias("_high")).where("_low < _high").select(*parts, F.lit(True).alias("parted"))
-    known = keep(first.join(several, parts, "left").withColumn("parted", F.coalesce("parted", F.lit(False))), "first")
-    judged = keep(rows.join(known, [*parts, "content"]).withColumn("again", _earlier(scheme, "first")).where("again or parted").select("anchor", "doc", "at", "again"), "judged")
+    first = keep(rows.groupBy(*keys, "content").agg(F.min(F.struct("doc", "at")).alias("first"), _several(scheme).alias("more")), "first")
+    parted = first.groupBy(*keys).agg(F.min("content").alias("_low"), F.max("content").alias("_high")).where("_low < _high").select(*keys, F.lit(True).alias("parted"))
+    known = first.join(parted, keys, "left").withColumn("parted", F.coalesce("parted", F.lit(False))).where("more or parted")
+    judged = rows.join(known, [*keys, "content"]).withColumn("again", _earlier(scheme, "first")).where("again or parted")
+    judged = keep(judged.select("anchor", "doc", "at", "again"), "judged")
+    forget(first)
     return judged.where("again").select("doc", "at"), judged.where("not again").select("anchor", "doc", "at")
 
 
+def found_earlier(rows: DataFrame, scheme: Scheme) -> DataFrame:
+    """Of single windows, those that occur earlier."""
+    first = rows.groupBy("anchor", "content").agg(F.min(F.struct("doc", "at")).alias("first"), _several(scheme).alias("more")).where("more")
+    return keep(rows.join(first, ["anchor", "content"]).where(_earlier(scheme, "first")).select("doc", "at"), "windows")
+
+
 def earlier_windows(documents: DataFrame, scheme: Scheme) -> DataFrame:
     """doc, tag and spans (array of packed start and number of windows) of documents with windows that occur earlier."""
     every = keep(context_rows(documents, scheme), "contexts")
-    some = F.min("doc") < F.max("doc") if scheme.strict else F.count("*") > 1
-    repeated = every.groupBy("anchor").agg(some.alias("_some")).where("_some").select("anchor")
+    repeated = every.groupBy("anchor").agg(_several(scheme).alias("_some")).where("_some").select("anchor")
     rows = keep(every.join(repeated, "anchor"), "repeated")
-    again, open_ = settle(rows, ["anchor"], scheme)
-    spans = again
-    for step in (PIECE, 1):
-        rows = keep(pieces_of(open_, documents, scheme, step), "pieces")
-        again, open_ = settle(rows, ["anchor", "part"], scheme)
-        spans = spans.union(again)
+    forget(every)
+    spans, open_ = settle(rows, ["anchor"], scheme)
+    forget(rows)
+    rows = keep(pieces_of(open_, documents, scheme, PIECE), "pieces")
+    again, open_ = settle(rows, ["anchor", "core"], scheme)
+    forget(rows)
+    rows = keep(pieces_of(open_, documents, scheme, 1), "single")
+    spans = spans.union(again).union(found_earlier(rows, scheme))
+    forget(rows)
     return spans.groupBy("doc", _tag("at").alias("tag")).agg(F.collect_list(F.shiftright("at", 24)).alias("spans"))
 
 
