@@ -15,7 +15,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of texts that are looked at together; a longer text is looked at alone.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 _RANDOM = np.random.default_rng(20240229)
 _CODES = _RANDOM.integers(1, 2**63, 256, dtype=U64)
 _BASES = [int(x) | 1 for x in _RANDOM.integers(2**62, 2**63, 4, dtype=U64)]
