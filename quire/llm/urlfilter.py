@@ -89,7 +89,7 @@ def bounded_sample(rows: DataFrame, n: int, most: int) -> DataFrame:
     return rows if n <= most else rows.where(F.pmod("_h", F.lit(1 << 30)) < int((1 << 30) * most / n))
 
 
-def filter_urls(pages: DataFrame, threshold: float = 0.5) -> DataFrame:
+def filter_urls(pages: DataFrame, threshold: float = 0.5, rows: int = TRAIN_ROWS) -> DataFrame:
     """page_id, host, path, rule, verdict and score of each page.
 
     The trees learn from URLs that rules decide, blocked or allowed, and from undecided ones as presumed allows of less weight, since rules that
@@ -104,8 +104,8 @@ def filter_urls(pages: DataFrame, threshold: float = 0.5) -> DataFrame:
     columns = ["page_id", "host", "path", "rule"]
     if not n.get("block") or not n.get("allow"):
         return full.select(*columns, F.coalesce("verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    ruled = bounded_sample(full.where("verdict is not null"), n["block"] + n["allow"], TRAIN_ROWS).withColumn("weight", F.lit(1.0))
-    other = bounded_sample(full.where("verdict is null"), n.get(None, 0), TRAIN_ROWS).withColumn("weight", F.lit(PRESUMED))
+    ruled = bounded_sample(full.where("verdict is not null"), n["block"] + n["allow"], rows).withColumn("weight", F.lit(1.0))
+    other = bounded_sample(full.where("verdict is null"), n.get(None, 0), rows).withColumn("weight", F.lit(PRESUMED))
     train = keep(ruled.unionByName(other).select(*FEATURES, "weight", (F.coalesce("verdict", F.lit("allow")) == "block").cast("double").alias("label")).coalesce(4), "train")
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="_features", handleInvalid="keep")
     trees = GBTClassifier(featuresCol="_features", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=SEED)
