@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import keep
+from quire.llm.common import forget, keep
 from quire.llm.components import components
 from quire.llm.textarrays import U64, Block, Prefix, blocks, distinct_within, mix, sorted_within
 
@@ -154,7 +154,30 @@ def rare_shingles(rows: DataFrame, texts: DataFrame) -> DataFrame:
     total = sets.groupBy("doc_id").agg(F.count("*").alias("_all"))
     alone = known.groupBy("doc_id").agg(F.count("*").alias("_met")).join(total, "doc_id").select("doc_id", (F.col("_all") - F.col("_met")).alias("_own"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("_df", "shingle"))
-    return known.withColumn("_rank", rank).join(alone, "doc_id").join(per_doc, "doc_id").where("_rank + _own <= _room").select(F.col("shingle").alias("bucket"), "doc_id", "n_shingles", "component")
+    rare = keep(known.withColumn("_rank", rank).join(alone, "doc_id").join(per_doc, "doc_id").where("_rank + _own <= _room").select(F.col("shingle").alias("bucket"), "doc_id", "component"), "rare")
+    for table in (rows, per_doc, sets):
+        forget(table)
+    return rare
+
+
+def across(rare: DataFrame, bits: DataFrame) -> DataFrame:
+    """Pairs (a, b) of documents in different components that share a rare shingle and may be alike by size and estimate, each once.
+
+    In a bucket the members of its largest component are not compared with each other: one side is always of another component.
+    """
+    sizes = rare.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("_most"), F.count("*").alias("_groups")).where("_groups > 1").select("bucket", "_most")
+    all_rare = rare.groupBy("doc_id").agg(F.sort_array(F.collect_set("bucket")).alias("rare"))
+    full = keep(rare.join(largest, "bucket").join(bits.join(all_rare, "doc_id"), "doc_id"), "meeting")
+    side = lambda c: full.select("bucket", F.col("doc_id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("component", "_most", "n_shingles", "packed", "rare")))
+    once = (F.col("component_b") == F.col("_most_b")) | (F.col("a") < F.col("b"))
+    size = (100 * F.least("n_shingles_a", "n_shingles_b")) >= LINK * F.greatest("n_shingles_a", "n_shingles_b")
+    first = F.array_min(F.array_intersect("rare_a", "rare_b")) == F.col("bucket")
+    alike = estimate("packed_a", "packed_b") >= LEAST_ESTIMATE
+    met = side("a").where("component_a <> _most_a").join(side("b"), "bucket").where((F.col("component_a") != F.col("component_b")) & once & size & alike & first)
+    pairs = keep(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
+    forget(full)
+    return pairs
 
 
 def near_duplicate_links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -192,7 +215,7 @@ def near_duplicate_links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         return rows.join(apart, "bucket")
 
     for turn in range(STARS):
-        rows = keep(grouped(), "apart")
+        rows = keep(grouped(), "apart")  # small against the texts, and needed until the pairs are written
         centre = rows.groupBy("bucket").agg(F.min_by(F.struct("doc_id", "component"), F.struct(F.xxhash64(F.lit(turn), "doc_id"), "doc_id")).alias("_c")).select("bucket", F.col("_c.doc_id").alias("a"), F.col("_c.component").alias("_own"))
         pairs = rows.join(centre, "bucket").where("component <> _own").groupBy(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).agg(F.count("*").alias("n"))
         if group is None:  # most need no more than the centre they share most bands with
@@ -200,16 +223,13 @@ def near_duplicate_links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = keep(confirm(keep(candidates(pairs.select("a", "b")), "stars"), texts), "links")
         links = found if links is None else links.union(found)
         group = components(links)
-    rows = keep(rare_shingles(grouped(), texts), "rare")
-    each = rows.select("bucket", "component").distinct()
-    apart = each.join(each.select("bucket", F.col("component").alias("other")), "bucket").where("component < other")
-    left = rows.select("bucket", "component", F.col("doc_id").alias("a"))
-    right = rows.select("bucket", F.col("component").alias("other"), F.col("doc_id").alias("b"))
-    sides = apart.join(left, ["bucket", "component"]).join(right, ["bucket", "other"])
-    last = keep(confirm(keep(candidates(sides.select("a", "b").distinct()), "rest"), texts), "links")
+    rare = rare_shingles(grouped(), texts)
+    last = keep(confirm(across(rare, bits), texts), "links")
     if not last.isEmpty():
         links = links.union(last)
         group = components(links)
+    for table in (first, band, texts, bits, rare):
+        forget(table)
     labelled = signed.select("doc_id", *own).join(alike, own, "left").select("doc_id", "n_shingles", F.coalesce("alike", "doc_id").alias("alike"))
     return labelled, group
 
