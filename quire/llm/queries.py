@@ -11,6 +11,7 @@ from quire.llm.ann import nearest_neighbours
 from quire.llm.common import read
 from quire.llm.minhash import near_duplicates
 from quire.llm.mixing import mix_to_targets
+from quire.llm.oracles import NEAR_DUPLICATES, REPEATED_BYTES, WINDOWS_OF_WORDS
 from quire.llm.packing import pack_documents
 from quire.llm.pii import pseudonymize
 from quire.llm.quality import quality_verdicts
@@ -20,7 +21,8 @@ from quire.llm.suffix import dedup_bytes
 from quire.llm.urlfilter import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+#: The other operators' verdicts, draws, plans and digests are beyond SQL; tests/llm compares them with plain Python.
+ORACLES = {"op7_substring_dedup": WINDOWS_OF_WORDS, "op8_minhash_near_dedup": NEAR_DUPLICATES, "op9_suffix_dedup": REPEATED_BYTES}
 
 
 def op10_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
