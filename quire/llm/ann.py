@@ -16,9 +16,11 @@ from quire.llm.common import keep
 #: Vectors the codebooks are fitted to, about: a sample by hash above that. Every vector is indexed.
 SAMPLE = 20_000
 #: Cells a query takes hold this share of all distinct vectors at least, and LEAST of them.
-SHARE, LEAST = 0.3, 2_000
+SHARE, LEAST = 0.45, 2_000
 #: Distinct vectors of a bucket, which is a run of cells or a part of a large one, and queries looked up together.
-BUCKET, TOGETHER = 4_096, 256
+BUCKET, TOGETHER = 4_096, 64
+#: Centroids of a half at most; fewer for smaller tables, so that cells hold about three vectors.
+MOST_CENTROIDS = 1_024
 ITERATIONS, SEED = 12, 3
 
 
@@ -108,7 +110,7 @@ def nearest_neighbours(embeddings: DataFrame, every: int = 100, k: int = 10, sha
         return spark.createDataFrame([], schema)
     picked = distinct if total <= SAMPLE else distinct.where(F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) < int((1 << 30) * SAMPLE / total))
     sample = np.array(sorted(r["vector"] for r in picked.select("vector").collect()))  # bounded by SAMPLE
-    rng, k_cells = np.random.default_rng(SEED), min(1024, max(8, math.isqrt(total // 32)))
+    rng, k_cells = np.random.default_rng(SEED), min(MOST_CENTROIDS, max(8, math.isqrt(total // 3)))
     books = [centroids(part, k_cells, rng) for part in (sample[:, :half], sample[:, half:])]
     width, n_cells = len(books[1]), len(books[0]) * len(books[1])
 
@@ -138,8 +140,11 @@ def nearest_neighbours(embeddings: DataFrame, every: int = 100, k: int = 10, sha
                 part = batch.slice(at, TOGETHER)
                 ids, x = part.column(0).to_numpy(), _matrix(part.column(1), size)
                 first, second = squared(x[:, :half], books[0]), squared(x[:, half:], books[1])
-                pairs = [(bucket[c] + p, q, c) for q in range(len(x)) for c in cells_in_order(first[q], second[q], counts, enough) for p in range(parts[c])]
-                to, query, cell = np.array(pairs, np.int64).reshape(-1, 3).T
+                taken = [np.array(cells_in_order(first[q], second[q], counts, enough), np.int64) for q in range(len(x))]
+                cell, query = np.concatenate(taken), np.repeat(np.arange(len(x)), list(map(len, taken)))
+                times = parts[cell]  # a large cell is in several buckets
+                to = np.repeat(bucket[cell], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                cell, query = np.repeat(cell, times), np.repeat(query, times)
                 order = np.argsort(to, kind="stable")
                 to, query, cell = to[order], query[order], cell[order]
                 cut = np.flatnonzero(np.diff(to, prepend=-1))
