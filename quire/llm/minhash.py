@@ -22,7 +22,7 @@ BITS = 4
 #: Pairs whose estimate is below are not confirmed; five standard deviations below LINK.
 LEAST_ESTIMATE = 0.55
 #: Turns that link members of a bucket to one of its documents before pairs across what is left apart are taken.
-STARS = 4
+STARS = 2
 #: Pairs whose sets are compared together.
 TOGETHER = 1_000
 
