@@ -17,18 +17,18 @@ SHINGLE = 5
 #: A link: 100 * intersection >= 75 * union.
 LINK = 75
 BANDS, ROWS = 32, 4
-#: Low bits kept of each minimum; 16 minima fill a long.
-BITS = 4
-#: Pairs whose estimate is below are not confirmed; five standard deviations below LINK.
-LEAST_ESTIMATE = 0.55
+#: Minima of a document, the first of which make the bands, and low bits kept of each; 16 minima fill a long.
+MINIMA, BITS = 256, 4
+#: Pairs whose estimate is below are not confirmed; over four standard deviations (0.028 each) below LINK.
+LEAST_ESTIMATE = 0.63
 #: Turns that link members of a bucket to one of its documents before pairs across what is left apart are taken.
 STARS = 2
 #: Pairs whose sets are compared together.
 TOGETHER = 1_000
 
-_DRAWN = np.random.default_rng(77).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.int64).astype(U64)
+_DRAWN = np.random.default_rng(77).integers(0, 2**63, (2, MINIMA), dtype=np.int64).astype(U64)
 _SALTS, _FACTORS = _DRAWN[0], _DRAWN[1] | U64(1)
-_LONGS = BANDS * ROWS * BITS // 64
+_LONGS = MINIMA * BITS // 64
 _SHINGLES = {"doc_id": "long", "n_shingles": "long", "set_a": "long", "set_b": "long", "packed": "array<long>", "bands": "array<long>"}
 
 
@@ -56,12 +56,13 @@ def signatures(block: Block) -> dict[str, np.ndarray]:
     out["set_a"][some] = np.add.reduceat(mix(value), first)
     out["set_b"][some] = np.add.reduceat(mix(value ^ U64(0xD6E8FEB86659FD93)), first)
     buffer = np.empty_like(value)
-    for k in range(BANDS * ROWS):
+    for k in range(MINIMA):
         np.bitwise_xor(value, _SALTS[k], out=buffer)
         np.multiply(buffer, _FACTORS[k], out=buffer)
         least = mix(np.minimum.reduceat(buffer, first))
-        band = out["bands"][:, k // ROWS]
-        band[some] = mix(band[some] * U64(0x9DDFEA08EB382D69) + least + U64(k // ROWS))
+        if k < BANDS * ROWS:
+            band = out["bands"][:, k // ROWS]
+            band[some] = mix(band[some] * U64(0x9DDFEA08EB382D69) + least + U64(k // ROWS))
         per_long = 64 // BITS
         out["packed"][some, k // per_long] |= (least & U64(2**BITS - 1)) << U64(BITS * (k % per_long))
     return out
@@ -94,7 +95,7 @@ def estimate(left: str, right: str) -> Column:
         count = F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
         differing = count if differing is None else differing + count
     chance = 2.0**-BITS
-    return (1 - differing / float(BANDS * ROWS) - chance) / (1 - chance)
+    return (1 - differing / float(MINIMA) - chance) / (1 - chance)
 
 
 def _set_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -8,7 +8,7 @@ import cases
 import pytest
 
 from quire.llm.components import components
-from quire.llm.minhash import BANDS, BITS, ROWS, drop_near_duplicates, estimate, near_duplicates
+from quire.llm.minhash import BITS, MINIMA, drop_near_duplicates, estimate, near_duplicates
 from quire.llm.substring import dedup_substrings
 from quire.llm.suffix import dedup_bytes
 
@@ -62,7 +62,7 @@ def test_near_duplicates(spark, rows):
 
 def test_estimate_is_near_the_similarity(spark):
     rng = random.Random(4)
-    longs = lambda: [rng.getrandbits(63) for _ in range(BANDS * ROWS * BITS // 64)]
+    longs = lambda: [rng.getrandbits(63) for _ in range(MINIMA * BITS // 64)]
     a = longs()
     half = a[: len(a) // 2] + longs()[len(a) // 2 :]
     df = spark.createDataFrame([(a, a), (a, half), (a, longs())], "a array<long>, b array<long>")
