@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 import cases  # noqa: E402
 
+from quire.llm.common import drop_scratch  # noqa: E402
 from quire.session import share_code  # noqa: E402
 
 
 @pytest.fixture(scope="session", autouse=True)
 def shared(spark):
     share_code(spark)
+    yield
+    drop_scratch(spark)
 
 
 @pytest.fixture(scope="session")
