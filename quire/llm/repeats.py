@@ -215,9 +215,10 @@ def found_earlier(rows: DataFrame, scheme: Scheme) -> DataFrame:
 def earlier_windows(documents: DataFrame, scheme: Scheme) -> DataFrame:
     """doc, tag and spans (array of packed start and number of windows) of documents with windows that occur earlier."""
     every = keep(context_rows(documents, scheme), "contexts")
-    repeated = every.groupBy("anchor").agg(_several(scheme).alias("_some")).where("_some").select("anchor")
+    repeated = keep(every.groupBy("anchor").agg(_several(scheme).alias("_some")).where("_some").select("anchor"), "anchors")  # written, so that a hot one can be split in the join
     rows = keep(every.join(repeated, "anchor"), "repeated")
     forget(every)
+    forget(repeated)
     spans, open_ = settle(rows, ["anchor"], scheme)
     forget(rows)
     rows = keep(pieces_of(open_, documents, scheme, PIECE), "pieces")
