@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from quire.functions.labels import number_text, preset_or_number
 from quire.functions.normalize import merge_view, scale_by
+from quire.llm.common import forget, keep
 from quire.schemas import DEBOUNCE_MS, DEFAULT_SPLIT, DEFAULT_SYNC, DEFAULT_VIEW, ECHO_MS, LEAST_SCALE, MOST_SCALE, SCALE_STEP
 
 PANE_KINDS = ("page", "scale", "rotation", "scroll")
 TOOLBAR_KINDS = ("goto", "zoom_in", "zoom_out", "fit", "rotate")
 _EVENT = ("ts", "event_id", "pane_id", "kind", "page_number", "relative_offset_y", "scale_value", "scale", "rotation")
+#: Events of a key that meet in one array at most.
+RANGE = 100_000
 STATE = "struct<original:{v},companion:{v},sync:boolean,active:string,split:string,applied:timestamp>".format(v="struct<page_number:int,relative_offset_y:double,scale_value:string,scale:double,rotation:int>")
 
 
@@ -73,18 +76,67 @@ def next_state(state: Column, event: Column, page_count: Column, echo_ms: int =
     )
 
 
-def fold_panes(events: DataFrame, page_count: Column, key: str = "doc_id", before: DataFrame | None = None) -> DataFrame:
-    """key and state after all events of each key, in order of ts and event_id.
+def in_ranges(events: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
+    """Add _range, from 0, which cuts each key's events in order into ranges of most events each, the last one may have fewer.
 
-    before: key and state to start from, else the default. A fold depends on order, so a key's events meet in one task, as one array.
+    A key's events need not meet in a task: all are sorted by range partitioning, numbered within their partition, and the partitions' counts,
+    summed up in order, are added. Where no key has more than most, all events are in range 0 as they are.
     """
-    rows = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*_EVENT))).alias("_events"), F.max(page_count).alias("_pages"))
-    start = initial_state()
+    if not events.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).take(1):
+        return events.withColumn("_range", F.lit(0).cast("long"))
+    cut = keep(events.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()), "cut")
+    counts = cut.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_at")).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_key", "_at", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order)) - 1
+    placed = cut.join(offsets, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_at"))).withColumn("_range", F.floor(place / most))
+    ranged = keep(placed.drop("_key", "_at", "_part", "_before").repartitionByRange("_range", key), "ranges")  # so that a reader of one range skips the others
+    forget(cut)
+    return ranged
+
+
+def _folded(rows: DataFrame, key: str, before: DataFrame | None) -> DataFrame:
+    """key, _pages and state after rows, from before (the same columns or key and state), else the default state."""
+    rows = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*_EVENT))).alias("_events"), F.max("_pages").alias("_pages"))
+    start, pages = initial_state(), F.col("_pages")
     if before is not None:
-        rows = rows.join(before.select(F.col(key).alias("_key"), F.col("state").alias("_before")), F.col(key) == F.col("_key"), "left")
+        rows = rows.join(before.select(F.col(key).alias("_key"), F.col("state").alias("_before"), *([F.col("_pages").alias("_most")] if "_pages" in before.columns else [])), F.col(key).eqNullSafe(F.col("_key")), "left")
         start = F.coalesce("_before", start)
-    folded = F.aggregate("_events", start, lambda s, e: next_state(s, e, F.col("_pages")))
-    return rows.select(key, folded.alias("state"))
+        pages = F.col("_most") if "_most" in rows.columns else pages
+    folded = F.aggregate("_events", start, lambda s, e: next_state(s, e, pages))
+    return rows.select(key, pages.alias("_pages"), folded.alias("state"))
+
+
+def fold_panes(events: DataFrame, page_count: Column, key: str = "doc_id", before: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """key and state after all events of each key, in order of ts and event_id.
+
+    before: key and state to start from, else the default. A fold depends on order, so a key's events are folded range by range (in_ranges),
+    each from the state after the one before; no array has more than most (RANGE) events. Keys of one range are done after the first turn; the
+    others, at most one for each RANGE events, are carried along.
+    """
+    ranged = in_ranges(events.select(key, *(c for c in _EVENT if c != key), page_count.alias("_pages")), key, ["ts", "event_id"], most or RANGE)
+    if not hasattr(ranged, "_scratch"):
+        return _folded(ranged, key, before).select(key, "state")
+    pages = ranged.groupBy(F.col(key)).agg(F.max("_pages").alias("_pages"))
+    if before is None:
+        start = pages.withColumn("state", initial_state())
+    else:
+        old = before.select(F.col(key).alias("_key"), F.col("state").alias("_before"))
+        start = pages.join(old, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, "_pages", F.coalesce("_before", initial_state()).alias("state"))
+    first = keep(_folded(ranged.where("_range = 0"), key, start), "states")
+    longer = ranged.where("_range = 1").select(F.col(key).alias("_key")).distinct()
+    match = F.col(key).eqNullSafe(F.col("_key"))
+    carried = keep(first.join(longer, match, "left_semi"), "states")
+    for turn in range(1, ranged.agg(F.max("_range")).first()[0] + 1):
+        folded = _folded(ranged.where(F.col("_range") == turn), key, carried)
+        new = folded.select(F.col(key).alias("_key"), F.col("state").alias("_state"))
+        after = keep(carried.join(new, match, "left").select(key, "_pages", F.coalesce("_state", "state").alias("state")), "states")
+        forget(carried)
+        carried = after
+    done = keep(first.join(longer, match, "left_anti").unionByName(carried).select(key, "state"), "states")
+    for table in (ranged, first, carried):
+        forget(table)
+    return done
 
 
 def fold_absolute(events: DataFrame, keys: list[str], fields: list[str], order: list[str]) -> DataFrame:
@@ -98,11 +150,22 @@ def rotations(events: DataFrame, key: str, turns: Column) -> DataFrame:
     return events.groupBy(key).agg(F.pmod(90 * F.count_if(turns), F.lit(360)).alias("rotation"))
 
 
-def zooms(events: DataFrame, key: str, order: list[str], zoom_in: Column) -> DataFrame:
-    """Scale of each key after its zoom steps in order; each is clamped, so order counts."""
+def zooms(events: DataFrame, key: str, order: list[str], zoom_in: Column, most: int | None = None) -> DataFrame:
+    """Scale of each key after its zoom steps in order; each is clamped, so order counts.
+
+    Steps in a row are one clamped product: min(max(scale * factor, low), high). So each range of most (RANGE) steps of a key is reduced to that,
+    and a key's ranges are applied one after the other. The first is followed from 1 exactly; later ones may differ from single steps by rounding.
+    """
+    clamped = lambda x: F.least(F.greatest(x, F.lit(LEAST_SCALE)), F.lit(MOST_SCALE))
     factor = F.when(zoom_in, F.lit(SCALE_STEP)).otherwise(F.lit(1.0 / SCALE_STEP))
-    steps = F.transform(F.array_sort(F.collect_list(F.struct(*order, factor.alias("_f")))), lambda x: x["_f"])
-    return events.groupBy(key).agg(F.aggregate(steps, F.lit(1.0), lambda s, f: F.least(F.greatest(s * f, F.lit(LEAST_SCALE)), F.lit(MOST_SCALE))).alias("scale"))
+    ranged = in_ranges(events.select(key, *(c for c in order if c != key), factor.alias("_f")), key, order, most or RANGE)
+    steps = F.transform(F.array_sort(F.collect_list(F.struct(*order, "_f"))), lambda x: x["_f"])
+    whole = F.struct(F.lit(1.0).alias("factor"), F.lit(0.0).alias("low"), F.lit(float("inf")).alias("high"), F.lit(1.0).alias("one"))
+    step = lambda s, f: F.struct((s["factor"] * f).alias("factor"), *(clamped(s[c] * f).alias(c) for c in ("low", "high", "one")))
+    products = ranged.groupBy(key, "_range").agg(F.aggregate(steps, whole, step).alias("_p"))
+    in_order = products.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_range", "_p"))).alias("_all"))
+    first, later = F.get("_all", F.lit(0))["_p"]["one"], F.slice("_all", F.lit(2), F.size("_all"))
+    return in_order.select(key, F.aggregate(later, first, lambda s, r: F.least(F.greatest(s * r["_p"]["factor"], r["_p"]["low"]), r["_p"]["high"])).alias("scale"))
 
 
 def fan_out(events: DataFrame, sync: Column, pane: str = "pane_id") -> DataFrame:

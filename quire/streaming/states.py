@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quire.llm.common import forget
 from quire.operators.events import STATE, fold_panes
 from quire.operators.library import partial_update
 from quire.schemas import DEBOUNCE_MS
@@ -41,8 +42,10 @@ def fold_stream(events: DataFrame, folder: str, checkpoint: str, page_count: int
         spark = batch.sparkSession
         before = states(spark, folder, number, kind)
         folded = fold_panes(batch, F.lit(page_count), "doc_id", before)
-        rest = before.join(folded.select("doc_id"), "doc_id", "left_anti")
+        rest = before.join(folded.select(F.col("doc_id").alias("_done")), F.col("doc_id").eqNullSafe(F.col("_done")), "left_anti")
         folded.unionByName(rest).write.mode("overwrite").parquet(f"{folder}/v{number}")
+        if hasattr(folded, "_scratch"):
+            forget(folded)
 
     writer = events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()

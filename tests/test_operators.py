@@ -165,6 +165,40 @@ def test_fold_is_the_sequential_one(spark, seed):
         assert (s["original"], s["companion"], s["sync"], s["active"], s["split"]) == (panes["original"], panes["companion"], sync, active, split)
 
 
+@pytest.mark.parametrize("most", [1, 7, 16])
+def test_fold_of_long_keys_goes_by_ranges(spark, most):
+    events = made_events(5, 48, 1) + [{**e, "doc_id": None, "event_id": 100 + n} for n, e in enumerate(made_events(6, 20, 1))] + [{**e, "doc_id": "few"} for e in made_events(7, 1, 1)]
+    df = spark.createDataFrame([tuple(e.values()) for e in events], PANE_EVENT).repartition(3)
+    folded = E.fold_panes(df, F.when(F.col("event_id") == 47, 12).otherwise(3), most=most).collect()
+    assert rows(E.fold_panes(df, F.when(F.col("event_id") == 47, 12).otherwise(3))) == sorted(map(tuple, folded), key=repr)
+    assert sorted(r["doc_id"] or "" for r in folded) == ["", "d0", "few"]
+    for row in folded:
+        panes, sync, active, split = plain_fold([e for e in events if e["doc_id"] == row["doc_id"]], 12 if row["doc_id"] == "d0" else 3)
+        s = row["state"].asDict(True)
+        assert (s["original"], s["companion"], s["sync"], s["active"], s["split"]) == (panes["original"], panes["companion"], sync, active, split)
+
+
+def test_zooms_of_long_keys_go_by_ranges(spark):
+    rng, made = random.Random(9), []
+    for key, n, up in (("up", 300, 0.6), ("even", 500, 0.5), (None, 90, 0.4), ("swing", 40, None), ("one", 1, 1)):
+        made += [(key, T0 + timedelta(seconds=i // 3), i, (i % 2 == 0) if up is None else rng.random() < up) for i in range(n)]
+    expected = {}
+    for key, _, _, zoom_in in made:
+        expected[key] = min(max(expected.get(key, 1.0) * (1.1 if zoom_in else 1 / 1.1), 0.25), 4.0)
+    df = spark.createDataFrame(random.Random(1).sample(made, len(made)), "k string, ts timestamp, event_id int, up boolean").repartition(3)
+    for most in (1, 7, 64, 10_000):
+        found = {r["k"]: r["scale"] for r in E.zooms(df, "k", ["ts", "event_id"], F.col("up"), most).collect()}
+        assert found == (expected if most == 10_000 else pytest.approx(expected, rel=1e-12))
+
+
+def test_ranges_are_full_and_in_order(spark):
+    made = [("hot" if i % 3 else None, T0 + timedelta(seconds=i // 4), i) for i in range(400)]
+    cut = E.in_ranges(spark.createDataFrame(made, "k string, ts timestamp, event_id int").repartition(5), "k", ["ts", "event_id"], 30).collect()
+    for key in ("hot", None):
+        places = [r["_range"] for r in sorted((r for r in cut if r["k"] == key), key=lambda r: (r["ts"], r["event_id"]))]
+        assert places == [n // 30 for n in range(len(places))]
+
+
 def test_fold_without_pages_changes_nothing(spark):
     df = spark.createDataFrame([tuple(e.values()) for e in made_events(4) if e["kind"] in ("page", "goto", "rotate")], PANE_EVENT)
     assert {r["state"]["original"]["page_number"] for r in E.fold_panes(df, F.lit(0)).collect()} == {1}
