@@ -145,9 +145,11 @@ def rare_shingles(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """
     rows = keep(rows, "rows")
     smallest = rows.groupBy("bucket").agg(F.min("n_shingles").alias("_least"))
-    per_doc = rows.join(smallest, "bucket").groupBy("doc_id", "component").agg(F.max("n_shingles").alias("n_shingles"), F.min("n_shingles").alias("_n"), F.min("_least").alias("_least"))
-    other = F.greatest("_least", F.ceil(F.col("_n") * LINK / 100))
-    room = F.when(F.col("_n") == F.col("n_shingles"), F.col("_n") - F.ceil(3 * (F.col("_n") + other) / 7) + 1).otherwise(1 << 40)  # several texts: all shingles
+    per_doc = rows.join(smallest, "bucket").groupBy("doc_id", "component").agg(F.max("n_shingles").alias("n_shingles"), F.min("_least").alias("_least"))
+    per_doc = per_doc.join(texts.groupBy("doc_id").agg(F.count("*").alias("_texts")), "doc_id")
+    n = F.col("n_shingles")
+    other = F.greatest("_least", F.ceil(n * LINK / 100))
+    room = F.when(F.col("_texts") == 1, n - F.ceil(3 * (n + other) / 7) + 1).otherwise(1 << 40)  # several texts: all shingles
     per_doc = keep(per_doc.select("doc_id", "component", "n_shingles", room.alias("_room")), "documents")
     sets = keep(texts.join(per_doc.select("doc_id"), "doc_id").select("doc_id", "text").mapInArrow(_shingle_rows, "doc_id long, shingle long"), "sets")
     shared = sets.groupBy("shingle").agg(F.count("*").alias("_df"), F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high")).where("_low < _high").select("shingle", "_df")
@@ -226,12 +228,14 @@ def near_duplicate_links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         group = components(links)
     rare = rare_shingles(grouped(), texts)
     last = keep(confirm(across(rare, bits), texts), "links")
-    if not last.isEmpty():
-        links = links.union(last)
+    labelled = signed.select("doc_id", *own).join(alike, own, "left").select("doc_id", "n_shingles", F.coalesce("alike", "doc_id").alias("alike"))
+    sets = labelled.where("doc_id is not null").groupBy("doc_id").agg(F.min("alike").alias("_low"), F.max("alike").alias("_high")).where("_low < _high").select("doc_id")
+    same = keep(labelled.join(sets, "doc_id").where("doc_id <> alike").select(F.col("doc_id").alias("a"), F.col("alike").alias("b")).distinct(), "same")  # an id of several sets links them
+    if not (last.isEmpty() and same.isEmpty()):
+        links = links.union(last).union(same)
         group = components(links)
     for table in (first, band, texts, bits, rare):
         forget(table)
-    labelled = signed.select("doc_id", *own).join(alike, own, "left").select("doc_id", "n_shingles", F.coalesce("alike", "doc_id").alias("alike"))
     return labelled, group
 
 

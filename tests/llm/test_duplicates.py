@@ -6,9 +6,10 @@ import random
 
 import cases
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm.components import components
-from quire.llm.minhash import BITS, MINIMA, drop_near_duplicates, estimate, near_duplicates
+from quire.llm.minhash import BITS, MINIMA, drop_near_duplicates, estimate, near_duplicates, rare_shingles
 from quire.llm.substring import dedup_substrings
 from quire.llm.suffix import dedup_bytes
 
@@ -82,6 +83,24 @@ def test_near_duplicates_of_nulls_repeats_and_none(spark, empty, docs, clashing)
     assert sorted(r["doc_id"] or 0 for r in drop_near_duplicates(twice).collect()) == [0, 1]
 
 
+def test_an_id_with_several_texts_is_one_document(spark):
+    text = lambda c: " ".join(f"{c}{k}" for k in range(60))
+    a, b, c = map(text, "abc")
+    rows = [(5, a, "s"), (5, b, "s"), (3, b, "s"), (8, a + " more", "s"), (9, None, "s"), (9, c, "s"), (4, c, "s"), (6, text("d"), "s")]
+    df = cases.documents(spark, rows)
+    found = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(df).collect())
+    assert found == [(3, 3, True), (4, 4, True), (5, 3, False), (5, 3, False), (6, 6, True), (8, 3, False), (9, 4, False), (9, 4, False)]
+    assert sorted(r["doc_id"] for r in drop_near_duplicates(df).collect()) == [3, 4, 6]
+
+
+def test_texts_of_equal_size_under_one_id_keep_all_their_shingles(spark):
+    words = lambda c: [f"{c}{k}" for k in range(64)]
+    texts = cases.documents(spark, [(1, " ".join(words("a")), "s"), (1, " ".join(words("b")), "s"), (2, " ".join(words("a")), "s"), (3, " ".join(words("b")), "s")]).select("doc_id", "text")
+    buckets = spark.createDataFrame([(7, i, 60, i) for i in (1, 2, 3)], "bucket long, doc_id long, n_shingles long, component long")
+    n = {r["doc_id"]: r["n"] for r in rare_shingles(buckets, texts).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert n == {1: 120, 2: 9, 3: 9}
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (7, 7)]
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
