@@ -55,12 +55,13 @@ class Tokens:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids as unsigned 32-bit numbers, little-endian as all machines that Spark runs on are.
 
-        The tokenizer lowers case, so A-Z are lowered before; special tokens alone keep theirs. ASCII marks right behind a
+        The tokenizer lowers case last, so A-Z of ASCII words are lowered before; other words, whose letters may first be composed with marks
+        behind them, and special tokens stay as they are. ASCII marks right behind a
         letter or digit are a word of their own to it, so they are looked up apart.
         """
         if len(self.known) > CACHED_WORDS:
             self.known = {}
-        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        words = [t.lower().split() if t.isascii() and b"<|" not in t else [w.lower() if w.isascii() and b"<|" not in t else w for w in t.split()] for t in texts]
         known, new = self.known, set()
         for text in words:
             new.update(text)

@@ -26,6 +26,11 @@ def test_tokens_are_the_tokenizers(plain):
     assert [np.frombuffer(x, "<u4").tolist() for x in Tokens(PATH).encode([t.encode() for t in texts])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_letters_are_composed_before_they_are_lowered(plain):
+    texts = ["H\u0331", "T\u0308", "W\u030a", "J\u030c", "aH\u0331B, Plain WORDS, \u00c9T\u00c9!", "J\u030c <|endoftext|> ABC"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in Tokens(PATH).encode([t.encode() for t in texts])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_pieces_and_places(docs, plain):
     expected = {}
     for i, t, _ in cases.prose():
