@@ -3,7 +3,7 @@
 The graph's edges are runs of K words; of these the sampled ones, one at least in every 50-word window, carry the graph (quire.llm.repeats).
 An anchor whose contexts are all equal does not branch: the path through it is compact, and all its copies are settled at once by
 a join with the first document on it. Only where paths branch are contexts spelled out. What is removed are windows, placed by their source coordinates
-and equal in content by two independent 64-bit hashes.
+and equal in content by two 64-bit hashes, of anchor and context, from one polynomial.
 """
 
 from __future__ import annotations
