@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.labels import number_text, preset_or_number
 from quire.functions.normalize import merge_view, scale_by
-from quire.llm.common import forget, keep
+from quire.scratch import forget, keep
 from quire.schemas import DEBOUNCE_MS, DEFAULT_SPLIT, DEFAULT_SYNC, DEFAULT_VIEW, ECHO_MS, LEAST_SCALE, MOST_SCALE, SCALE_STEP
 
 PANE_KINDS = ("page", "scale", "rotation", "scroll")

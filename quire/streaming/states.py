@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quire.llm.common import forget
+from quire.scratch import forget
 from quire.operators.events import STATE, fold_panes
 from quire.operators.library import partial_update
 from quire.schemas import DEBOUNCE_MS
