@@ -1,61 +1,24 @@
-"""What the corpus operators share: scratch tables, reads and ranks that spread hot keys."""
+"""What the corpus operators share: reads, and ranks that spread hot keys."""
 
 from __future__ import annotations
 
-import gc
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.scratch import drop_scratch, forget, keep, scratch_dir
+
+__all__ = ["WORD", "bits_for", "drop_scratch", "forget", "keep", "read", "scratch_dir", "spread_rank"]
+
 #: A word: anything between the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_OWN: dict[str, str] = {}
-
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir; a temporary one only where that is unset."""
-    app = spark.sparkContext.applicationId
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _OWN.setdefault(app, tempfile.mkdtemp(prefix="quire-"))
-    return f"{base.rstrip('/')}/quire-{app}"
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df below the shared scratch folder and read it back: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    kept = spark.read.schema(df.schema).parquet(path)
-    kept._scratch = path
-    return kept
-
-
-def forget(kept: DataFrame) -> None:
-    """Delete a scratch table that nothing still to be computed reads, and let Spark drop the shuffle files of what led to it."""
-    _delete(kept.sparkSession, kept._scratch)
-    gc.collect()
-    kept.sparkSession.sparkContext._jvm.System.gc()
-
-
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete every scratch table of this application. Results not yet computed need them."""
-    _delete(spark, scratch_dir(spark))
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def bits_for(rows: int, target: int = 20_000) -> int:
     """Bits of a uniform hash that cut rows into pieces of about target rows each, 3 at least and 24 at most."""
     return min(24, max(3, math.ceil(math.log2(max(rows, 1) / target)) if rows > target else 3))
