@@ -25,10 +25,13 @@ LEAST_ESTIMATE = 0.63
 STARS = 2
 #: Pairs whose sets are compared together.
 TOGETHER = 1_000
+#: Documents with so many differences from their centre are compared where they meet; longer ones by their texts.
+INLINE = 512
 
 _DRAWN = np.random.default_rng(77).integers(0, 2**63, (2, MINIMA), dtype=np.int64).astype(U64)
 _SALTS, _FACTORS = _DRAWN[0], _DRAWN[1] | U64(1)
 _LONGS = MINIMA * BITS // 64
+_DIFFERENCES = {"centre": "long", "doc_id": "long", "text": "long", "base": "long", "size": "long", "extra": "long", "weight": "long", "differing": "array<long>"}
 _SHINGLES = {"doc_id": "long", "n_shingles": "long", "set_a": "long", "set_b": "long", "packed": "array<long>", "bands": "array<long>"}
 
 
@@ -122,86 +125,142 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0).filter(linked), part.column(1).filter(linked)], ["a", "b"])
 
 
-def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of documents linked by their full shingle sets."""
+    left, right = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, "a long, b long")
+
+
+def _difference_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, len(batch), TOGETHER):
             part = batch.slice(at, TOGETHER)
-            place, value = _set_rows(part.column(1))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(place)), pa.array(value.view(np.int64))], ["doc_id", "shingle"])
+            n = len(part)
+            (pair, value), (other, theirs) = _set_rows(part.column(2)), _set_rows(part.column(3))
+            base, size = np.bincount(pair, minlength=n), np.bincount(other, minlength=n)
+            text = np.zeros(n, U64)
+            np.add.at(text, other, mix(theirs))
+            side = np.concatenate([np.zeros(len(value), bool), np.ones(len(theirs), bool)])
+            pair, value = np.concatenate([pair, other]), np.concatenate([value, theirs])
+            order = sorted_within(pair, value)
+            pair, value, side = pair[order], value[order], side[order]
+            same = (pair[1:] == pair[:-1]) & (value[1:] == value[:-1])
+            single = np.append(True, ~same) & np.append(~same, True) if n else np.zeros(0, bool)
+            pair, value, side = pair[single], value[single], side[single]
+            extra = np.bincount(pair[side], minlength=n)
+            held = np.bincount(pair, minlength=n)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(held)]), pa.int32()), pa.array(((value << U64(1)) | side.astype(U64)).view(np.int64)))
+            weight = 4 * (held - extra) + 3 * extra
+            numbers = [pa.array(x) for x in (text.view(np.int64), base, size, extra, weight)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *numbers, lists], list(_DIFFERENCES))
+
+
+def differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """For each (centre, doc_id): the shingles that a document's set lacks of the centre's (missing) and has beyond it (extra; these are odd).
+
+    With base the centre's size and weight = 4 * missing + 3 * extra, two documents that share s of their differences from one centre have
+    7 * intersection - 3 * sum of sizes = base - weight - weight + 7 * s, and are linked when that is not negative. So the full sets decide,
+    but only what differs has to be compared. Of a centre with several texts any one serves; a document's are rows of their own (text).
+    """
+    centres = pairs.select("centre").distinct().join(texts, F.col("centre") == F.col("doc_id")).groupBy("centre").agg(F.min("text").alias("text_a"))
+    both = pairs.join(centres, "centre").join(texts.withColumnRenamed("text", "text_b"), "doc_id")
+    return both.select("centre", "doc_id", "text_a", "text_b").mapInArrow(_difference_rows, ", ".join(f"{k} {v}" for k, v in _DIFFERENCES.items()))
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of documents linked by their full shingle sets."""
-    left, right = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, "a long, b long")
+def lightest_other(rows: DataFrame) -> DataFrame:
+    """rows (centre, doc_id, component, weight) with other_weight and other, the least weight around the centre in another component and who has it."""
+    light = F.min(F.struct("weight", "component", "doc_id"))
+    first = rows.groupBy("centre").agg(light.alias("_first"))
+    second = rows.join(first, "centre").where("component <> _first.component").groupBy("centre").agg(light.alias("_second"))
+    both = first.join(second, "centre")
+    other = F.when(F.col("component") == F.col("_first.component"), F.col("_second")).otherwise(F.col("_first"))
+    return rows.join(both, "centre").withColumn("_other", other).withColumns({"other_weight": F.col("_other.weight"), "other": F.col("_other.doc_id")}).drop("_first", "_second", "_other")
 
 
-def rare_shingles(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """bucket, doc_id, n_shingles and component, with the rarest shingles of documents of rows as buckets in place of bands.
+def light_links(different: DataFrame) -> DataFrame:
+    """Links (a, b) of documents to the lightest of another component, where weights alone decide.
 
-    A link needs 7 * intersection >= 3 * sum of sizes. So of a document's shingles, the rarest among these documents first, all but that
-    many, and one more, must have one in common with those of the other document. A document that shares
-    much with very many, yet too little with any, meets nobody there. least is the smallest size in its bands' buckets.
+    Where two documents' weights add up to base at most, each one's also does with the lightest, so no other such link is needed.
     """
-    rows = keep(rows, "rows")
-    smallest = rows.groupBy("bucket").agg(F.min("n_shingles").alias("_least"))
-    per_doc = rows.join(smallest, "bucket").groupBy("doc_id", "component").agg(F.max("n_shingles").alias("n_shingles"), F.min("_least").alias("_least"))
-    per_doc = per_doc.join(texts.groupBy("doc_id").agg(F.count("*").alias("_texts")), "doc_id")
-    n = F.col("n_shingles")
-    other = F.greatest("_least", F.ceil(n * LINK / 100))
-    room = F.when(F.col("_texts") == 1, n - F.ceil(3 * (n + other) / 7) + 1).otherwise(1 << 40)  # several texts: all shingles
-    per_doc = keep(per_doc.select("doc_id", "component", "n_shingles", room.alias("_room")), "documents")
-    sets = keep(texts.join(per_doc.select("doc_id"), "doc_id").select("doc_id", "text").mapInArrow(_shingle_rows, "doc_id long, shingle long"), "sets")
-    shared = sets.groupBy("shingle").agg(F.count("*").alias("_df"), F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high")).where("_low < _high").select("shingle", "_df")
-    known = sets.join(shared, "shingle")
-    total = sets.groupBy("doc_id").agg(F.count("*").alias("_all"))
-    alone = known.groupBy("doc_id").agg(F.count("*").alias("_met")).join(total, "doc_id").select("doc_id", (F.col("_all") - F.col("_met")).alias("_own"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("_df", "shingle"))
-    rare = keep(known.withColumn("_rank", rank).join(alone, "doc_id").join(per_doc, "doc_id").where("_rank + _own <= _room").select(F.col("shingle").alias("bucket"), "doc_id", "component"), "rare")
-    for table in (rows, per_doc, sets):
-        forget(table)
-    return rare
+    return lightest_other(different).where("weight + other_weight <= base").select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
 
 
-def across(rare: DataFrame, bits: DataFrame) -> DataFrame:
-    """Pairs (a, b) of documents in different components that share a rare shingle and may be alike by size and estimate, each once.
+def heavy_links(different: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between components of documents around a centre whose weights do not decide: they share some of their differences.
 
-    In a bucket the members of its largest component are not compared with each other: one side is always of another component.
+    A document needs at least (weight + other_weight - base) / 7 shared differences with any, so of its differences that others have
+    too, rarest first, all but that many and one more must have one in common with the other document's. Those with more differences of their own
+    than a link allows are left out; documents of a component with equal differences are one, the lightest. Documents that meet are compared at
+    once, by their differences; those with over INLINE are paired first and confirmed by their texts.
     """
-    sizes = rare.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("_most"), F.count("*").alias("_groups")).where("_groups > 1").select("bucket", "_most")
-    all_rare = rare.groupBy("doc_id").agg(F.sort_array(F.collect_set("bucket")).alias("rare"))
-    full = keep(rare.join(largest, "bucket").join(bits.join(all_rare, "doc_id"), "doc_id"), "meeting")
-    side = lambda c: full.select("bucket", F.col("doc_id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("component", "_most", "n_shingles", "packed", "rare")))
-    once = (F.col("component_b") == F.col("_most_b")) | (F.col("a") < F.col("b"))
-    size = (100 * F.least("n_shingles_a", "n_shingles_b")) >= LINK * F.greatest("n_shingles_a", "n_shingles_b")
-    first = F.array_min(F.array_intersect("rare_a", "rare_b")) == F.col("bucket")
-    alike = estimate("packed_a", "packed_b") >= LEAST_ESTIMATE
-    met = side("a").where("component_a <> _most_a").join(side("b"), "bucket").where((F.col("component_a") != F.col("component_b")) & once & size & alike & first)
-    pairs = keep(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
-    forget(full)
-    return pairs
+    size = F.col("size")
+    rows = lightest_other(different)
+    least = different.groupBy("centre").agg(F.min("size").alias("_least"))
+    rows = keep(rows.join(least, "centre"), "around")
+    spelled = rows.select("centre", "doc_id", "text", "component", F.explode("differing").alias("element"))
+    shared = keep(
+        spelled.groupBy("centre", "element").agg(F.count("*").alias("_df"), F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("centre", "element", "_df"), "shared"
+    )
+    met = spelled.join(shared, ["centre", "element"]).groupBy("centre", "doc_id", "text").agg(F.transform(F.sort_array(F.collect_list(F.struct("_df", "element"))), lambda x: x["element"]).alias("common"))
+    need = F.greatest(F.ceil((F.col("weight") + F.col("other_weight") - F.col("base")) / 7), F.lit(1))
+    n_common = F.size("common")
+    held = rows.drop("differing").join(met, ["centre", "doc_id", "text"]).withColumn("_need", need)
+    # what a document has beyond the centre and shares with nobody is in no intersection
+    alone = F.col("extra") - F.size(F.filter("common", lambda x: x.bitwiseAND(F.lit(1)) == 1))
+    held = held.where((n_common >= F.col("_need")) & (7 * (size - alone) >= 3 * (size + F.col("_least"))))
+    classes = keep(held.groupBy("centre", "component", "base", "common").agg(F.min(F.struct("weight", "doc_id", "_need")).alias("_one")).select("centre", "component", "base", "common", "_one.*"), "classes")
+    sizes = classes.groupBy("centre", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("centre").agg(F.max_by("component", F.struct("n", "component")).alias("_most"), F.count("*").alias("_groups")).where("_groups > 1").select("centre", "_most")
+    n_common = F.size("common")
+    tokens = classes.join(largest, "centre").select(
+        "centre", "base", "_most", "component", "doc_id", "weight", n_common.alias("n"), F.when(n_common <= INLINE, F.col("common")).alias("common"),
+        F.explode(F.slice("common", F.lit(1), (n_common - F.col("_need") + 1).cast("int"))).alias("token"),
+    )
+    tokens = keep(tokens, "tokens")
+    side = lambda c: tokens.select("centre", "token", *(F.col(x).alias(f"{x}_{c}") for x in ("base", "_most", "component", "doc_id", "weight", "n", "common")))
+    once = (F.col("component_b") == F.col("_most_b")) | (F.col("doc_id_a") < F.col("doc_id_b"))
+    lacking = F.col("weight_a") + F.col("weight_b") - F.col("base_a")
+    fits = lacking <= 7 * F.least("n_a", "n_b")
+    linked = F.coalesce(lacking <= 7 * F.size(F.array_intersect("common_a", "common_b")), F.lit(True))
+    found = side("a").where("component_a <> _most_a").join(side("b"), ["centre", "token"]).where((F.col("component_a") != F.col("component_b")) & once & fits & linked)
+    decided = F.col("common_a").isNotNull() & F.col("common_b").isNotNull()
+    found = keep(found.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b"), decided.alias("decided")).distinct(), "met")
+    links = keep(found.where("decided").select("a", "b").union(confirm(found.where("not decided").select("a", "b"), texts)), "links")
+    for table in (rows, shared, classes, tokens, found):
+        forget(table)
+    return links
+
+
+def around_centres(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """centre, doc_id and component of rows (bucket, doc_id, component): a bucket's centre is the most linked document of its largest component."""
+    ends = links.select(F.col("a").alias("_end")).union(links.select("b")).groupBy("_end").agg(F.count("*").alias("_n"))
+    members = rows.select("component", "doc_id").distinct()
+    rank = F.struct(F.coalesce("_n", F.lit(0)), -F.col("doc_id"))
+    middle = members.join(ends, F.col("doc_id") == F.col("_end"), "left").groupBy("component").agg(F.max_by("doc_id", rank).alias("centre"))
+    sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("component"))
+    return rows.join(largest.join(middle, "component").select("bucket", "centre"), "bucket").select("centre", "doc_id", "component").distinct()
 
 
 def near_duplicate_links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All documents with doc_id, n_shingles and alike (the smallest doc_id of those with the same set), and the components of these.
 
     Documents with equal sets are one from here on. Documents that share a band are candidates. A bucket's are first linked to one of them, drawn
-    anew each turn while groups are apart; in the end all pairs across groups that share a rare shingle are taken, so a
-    link is missed only if no band is shared. Candidates pass the estimate, then full sets decide.
+    anew each turn while groups are apart; in the end those still apart are compared by their differences from a common centre (differences), so a
+    link is missed only if no band is shared.
     """
     signed = keep(document_signatures(documents), "signatures")
     alike = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("alike"))
     alike = keep(alike, "alike")
     own = ["set_a", "set_b", "n_shingles"]
     first = keep(signed.join(alike.withColumn("doc_id", F.col("alike")), [*own, "doc_id"]).select("doc_id", "n_shingles", "packed", "bands").dropDuplicates(["doc_id", "n_shingles", "packed"]), "first")
-    band = first.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
+    band = first.select("doc_id", F.explode("bands").alias("bucket"))
     shared = band.groupBy("bucket").agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high")).where("_low < _high").select("bucket")
-    band = keep(band.join(shared, "bucket").select("bucket", "doc_id", "n_shingles"), "buckets")
+    band = keep(band.join(shared, "bucket").select("bucket", "doc_id"), "buckets")
     used = band.select("doc_id").distinct()
     texts = keep(documents.select(F.col("doc_id").cast("long"), "text").join(used, "doc_id").dropDuplicates(["doc_id", "text"]), "texts")
-    bits = first.join(used, "doc_id").select("doc_id", "n_shingles", "packed")
-    bits = keep(bits, "bits")
+    bits = keep(first.join(used, "doc_id").select("doc_id", "n_shingles", "packed"), "bits")
+    forget(first)
 
     def candidates(pairs: DataFrame) -> DataFrame:
         a = bits.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("packed").alias("packed_a"))
@@ -209,34 +268,45 @@ def near_duplicate_links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         size = (100 * F.least("n_a", "n_b")) >= LINK * F.greatest("n_a", "n_b")
         return pairs.join(a, "a").join(b, "b").where(size & (estimate("packed_a", "packed_b") >= LEAST_ESTIMATE)).select("a", "b").distinct()
 
-    links = group = None
+    def labelled(rows: DataFrame, group: DataFrame | None) -> DataFrame:
+        """rows with component, so far."""
+        if group is None:
+            return rows.withColumn("component", F.col("doc_id"))
+        return rows.join(group, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id")).drop("node")
 
-    def grouped() -> DataFrame:
-        """bucket, doc_id, n_shingles and component (so far) of buckets whose documents are not all in one."""
-        rows = band.withColumn("component", F.col("doc_id")) if group is None else band.join(group, band.doc_id == group.node, "left").select(*band.columns, F.coalesce("component", "doc_id").alias("component"))
-        apart = rows.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("bucket")
-        return rows.join(apart, "bucket")
+    def apart(group: DataFrame | None) -> DataFrame:
+        """bucket, doc_id and component of buckets whose documents are not all in one."""
+        rows = labelled(band, group)
+        several = rows.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("bucket")
+        return keep(rows.join(several, "bucket"), "apart")
 
+    links = group = None
     for turn in range(STARS):
-        rows = keep(grouped(), "apart")  # small against the texts, and needed until the pairs are written
+        rows = apart(group)
         centre = rows.groupBy("bucket").agg(F.min_by(F.struct("doc_id", "component"), F.struct(F.xxhash64(F.lit(turn), "doc_id"), "doc_id")).alias("_c")).select("bucket", F.col("_c.doc_id").alias("a"), F.col("_c.component").alias("_own"))
         pairs = rows.join(centre, "bucket").where("component <> _own").groupBy(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).agg(F.count("*").alias("n"))
         if group is None:  # most need no more than the centre they share most bands with
             pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
-        found = keep(confirm(keep(candidates(pairs.select("a", "b")), "stars"), texts), "links")
+        pairs = keep(candidates(pairs.select("a", "b")), "stars")
+        found = keep(confirm(pairs, texts), "links")
         links = found if links is None else links.union(found)
         group = components(links)
-    rare = rare_shingles(grouped(), texts)
-    last = keep(confirm(across(rare, bits), texts), "links")
-    labelled = signed.select("doc_id", *own).join(alike, own, "left").select("doc_id", "n_shingles", F.coalesce("alike", "doc_id").alias("alike"))
-    sets = labelled.where("doc_id is not null").groupBy("doc_id").agg(F.min("alike").alias("_low"), F.max("alike").alias("_high")).where("_low < _high").select("doc_id")
-    same = keep(labelled.join(sets, "doc_id").where("doc_id <> alike").select(F.col("doc_id").alias("a"), F.col("alike").alias("b")).distinct(), "same")  # an id of several sets links them
+        forget(rows)
+        forget(pairs)
+    rows = apart(group)
+    different = keep(differences(around_centres(rows, links).select("centre", "doc_id"), texts), "differences")
+    links = links.union(keep(light_links(labelled(different, group)), "links"))
+    group = components(links)
+    last = heavy_links(labelled(different, group), texts)
+    documents_of = signed.select("doc_id", *own).join(alike, own, "left").select("doc_id", "n_shingles", F.coalesce("alike", "doc_id").alias("alike"))
+    sets = documents_of.where("doc_id is not null").groupBy("doc_id").agg(F.min("alike").alias("_low"), F.max("alike").alias("_high")).where("_low < _high").select("doc_id")
+    same = keep(documents_of.join(sets, "doc_id").where("doc_id <> alike").select(F.col("doc_id").alias("a"), F.col("alike").alias("b")).distinct(), "same")  # an id of several sets links them
     if not (last.isEmpty() and same.isEmpty()):
         links = links.union(last).union(same)
         group = components(links)
-    for table in (first, band, texts, bits, rare):
+    for table in (band, texts, bits, rows, different):
         forget(table)
-    return labelled, group
+    return documents_of, group
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -252,11 +322,14 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(documents: DataFrame) -> DataFrame:
-    """The documents that near_duplicates keeps, with all their columns; of rows alike in doc_id and text one stays."""
+    """The documents that near_duplicates keeps, with all their columns; of rows alike in doc_id and text one stays, the least by its other columns' hash."""
     ids = near_duplicates(documents)
     kept = keep(ids.select("doc_id", "kept"), "kept")
     repeated = not kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    good = kept.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = documents.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.struct("*").alias("_row"))
+    good = kept.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct().hint("shuffle_merge")
+    rows = documents.select(F.col("doc_id").alias("_id"), F.struct("*").alias("_row"))
     out = rows.join(good, F.col("_id") == F.col("_kept"), "left_semi").union(rows.where("_id is null"))
-    return (out.dropDuplicates(["_id", "_text"]) if repeated else out).select("_row.*")
+    if not repeated:
+        return out.select("_row.*")
+    one = F.min_by("_row", F.xxhash64("_row"))
+    return out.groupBy("_id", F.xxhash64("_row.text").alias("_a"), F.xxhash64(F.lit(1), "_row.text").alias("_b")).agg(one.alias("_row")).select("_row.*")
