@@ -15,13 +15,18 @@ from quire.llm.common import keep
 
 #: Vectors the codebooks are fitted to, about: a sample by hash above that. Every vector is indexed.
 SAMPLE = 20_000
-#: Cells a query takes hold this share of all distinct vectors at least, and LEAST of them.
-SHARE, LEAST = 0.45, 2_000
+#: Vectors of the sample that are searched in it, exactly and by cells, to find the share of vectors a query has to take,
+#: and the part of their neighbours that must be among these.
+TRIED, RECALL = 400, 0.94
 #: Distinct vectors of a bucket, which is a run of cells or a part of a large one, and queries looked up together.
 BUCKET, TOGETHER = 4_096, 64
-#: Centroids of a half at most; fewer for smaller tables, so that cells hold about three vectors.
-MOST_CENTROIDS = 1_024
-ITERATIONS, SEED = 12, 3
+#: Vectors of the sample for each centroid of a half, and centroids of a half at most. Fine halves make summed distances tell cells apart.
+PER_CENTROID, MOST_CENTROIDS = 4, 2_048
+ITERATIONS, SEED = 6, 3
+#: Rows of a matrix of distances at a time.
+CHUNK = 2_000
+#: Relative error of distances by expanded squares, generously.
+ERROR = 1e-11
 
 
 def usable(vector: Column, size: int) -> Column:
@@ -47,10 +52,9 @@ def centroids(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(ITERATIONS):
         at = nearest(x, c)
-        n = np.bincount(at, minlength=len(c))
-        sums = np.zeros_like(c)
-        np.add.at(sums, at, x)
-        c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
+        order = np.argsort(at, kind="stable")
+        some, first = np.unique(at[order], return_index=True)
+        c[some] = np.add.reduceat(x[order], first) / np.diff(np.append(first, len(x)))[:, None]
     return c
 
 
@@ -59,42 +63,73 @@ def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return squared(x, c).argmin(1)
-
-
-def cells_in_order(first: np.ndarray, second: np.ndarray, counts: np.ndarray, enough: int) -> list[int]:
-    """Cells (a pair of centroids) by summed distance of their halves, empty ones left out, until they hold enough vectors.
-
-    Multi-sequence order: both lists are sorted, and a heap holds the pairs whose predecessors have been taken.
-    """
-    a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
-    heap, done = [(first[a[0]] + second[b[0]], 0, 0)], set()
-    found, held, next_in_row = [], 0, np.zeros(len(a), np.int64)
-    while heap and held < enough:
-        _, i, j = heapq.heappop(heap)
-        done.add((i, j))
-        cell = int(a[i]) * len(b) + int(b[j])
-        if counts[cell]:
-            found.append(cell)
-            held += int(counts[cell])
-        next_in_row[i] = j + 1
-        if j + 1 < len(b) and (i == 0 or next_in_row[i - 1] > j + 1):
-            heapq.heappush(heap, (first[a[i]] + second[b[j + 1]], i, j + 1))
-        if i + 1 < len(a) and next_in_row[i + 1] == j:
-            heapq.heappush(heap, (first[a[i + 1]] + second[b[j]], i + 1, j))
-    return found
+    parts = [squared(x[at : at + CHUNK], c).argmin(1) for at in range(0, len(x), CHUNK)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+class Cells:
+    """The cells (a pair of centroids, one of each half) that hold vectors, in order of the first centroid, and how many each holds."""
+
+    def __init__(self, cell: np.ndarray, counts: np.ndarray, width: int) -> None:
+        order = np.argsort(cell)
+        self.cell, self.counts = cell[order], counts[order]
+        self.first, self.second = self.cell // width, self.cell % width
+        self.rows = np.flatnonzero(np.diff(self.first, prepend=-1))
+        self.ends = np.append(self.rows[1:], len(self.cell))
+
+    def in_order(self, first: np.ndarray, second: np.ndarray, enough: int) -> np.ndarray:
+        """Places of cells by summed distance of their halves, until they hold enough vectors.
+
+        Multi-sequence order over the cells in use: the cells of a first centroid are a list sorted by the second's distance, and a heap holds
+        the next cell of each list.
+        """
+        sums = first[self.first] + second[self.second]
+        order = np.lexsort((sums, self.first))
+        value, held = sums[order].tolist(), self.counts[order].tolist()
+        heap = [(value[at], at, end) for at, end in zip(self.rows.tolist(), self.ends.tolist(), strict=True)]
+        heapq.heapify(heap)
+        found = []
+        while heap and enough > 0:
+            _, at, end = heap[0]
+            found.append(at)
+            enough -= held[at]
+            if at + 1 < end:
+                heapq.heapreplace(heap, (value[at + 1], at + 1, end))
+            else:
+                heapq.heappop(heap)
+        return order[found]
+
+
+def share_for(sample: np.ndarray, books: list[np.ndarray], half: int, k: int, recall: float) -> float:
+    """Share of vectors, taken cell by cell, that holds a part recall of the k nearest neighbours of vectors of the sample within it."""
+    if len(sample) <= k + 1:
+        return 1.0
+    at = [nearest(part, book) for part, book in zip((sample[:, :half], sample[:, half:]), books, strict=True)]
+    queries = sample[:: max(1, len(sample) // TRIED)]
+    places = []
+    for low in range(0, len(queries), 50):
+        q = queries[low : low + 50]
+        far = squared(q, sample)
+        true = np.argpartition(far, k, axis=1)[:, : k + 1]
+        summed = squared(q[:, :half], books[0])[:, at[0]] + squared(q[:, half:], books[1])[:, at[1]]
+        mine = np.take_along_axis(summed, true, 1)
+        places.append(np.stack([np.searchsorted(np.sort(row), m, side="right") for row, m in zip(summed, mine, strict=True)]))
+    own = np.sort(np.concatenate(places), axis=1)[:, 1:]  # but for the query itself, mostly the first
+    return min(1.0, float(np.quantile(own, recall)) / len(sample))
 
 
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
 
 
-def nearest_neighbours(embeddings: DataFrame, every: int = 100, k: int = 10, share: float = SHARE) -> DataFrame:
+def nearest_neighbours(embeddings: DataFrame, every: int = 100, k: int = 10, share: float | None = None, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) of the k nearest found to each row whose vec_id is divisible by every.
 
-    Candidates are all rows of another vec_id. Rows with a null vec_id, a vector that is null, zero, of another length than most or has null or
-    non-finite components take no part; rows alike in vec_id and vector count once. Fewer candidates than k are all returned, nearest first, ties
-    to the smaller vec_id. Other columns are not read; without usable rows the result is empty.
+    A query takes cells until they hold a share of all distinct vectors: the one given, or else what a part recall of neighbours needs within a
+    sample. Candidates are all rows of another vec_id. Rows with a null vec_id, a vector that is null, zero, of another length than most or has null or
+    non-finite components take no part; rows alike in vec_id and vector count once, and a vec_id with several vectors is as near as its nearest
+    is to any of the query's. Fewer candidates than k are all returned, nearest first, ties to the smaller vec_id. Other columns are not
+    read; without usable rows the result is empty.
     """
     spark = embeddings.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -109,38 +144,44 @@ def nearest_neighbours(embeddings: DataFrame, every: int = 100, k: int = 10, sha
     if not total:
         return spark.createDataFrame([], schema)
     picked = distinct if total <= SAMPLE else distinct.where(F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) < int((1 << 30) * SAMPLE / total))
-    sample = np.array(sorted(r["vector"] for r in picked.select("vector").collect()))  # bounded by SAMPLE
-    rng, k_cells = np.random.default_rng(SEED), min(MOST_CENTROIDS, max(8, math.isqrt(total // 3)))
+    sample = _matrix(picked.select("vector").toArrow().column(0).combine_chunks(), size)  # bounded by SAMPLE
+    sample = sample[np.lexsort(sample.T)]
+    rng, k_cells = np.random.default_rng(SEED), min(MOST_CENTROIDS, max(8, len(sample) // PER_CENTROID))
     books = [centroids(part, k_cells, rng) for part in (sample[:, :half], sample[:, half:])]
-    width, n_cells = len(books[1]), len(books[0]) * len(books[1])
+    width = len(books[1])
+    enough = math.ceil(total * (share_for(sample, books, half, k, recall) if share is None else share))
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(0), size)
-            cell = nearest(x[:, :half], books[0]) * width + nearest(x[:, half:], books[1]) if len(x) else np.zeros(0, np.int64)
+            cell = nearest(x[:, :half], books[0]) * width + nearest(x[:, half:], books[1])
             yield pa.RecordBatch.from_arrays([pa.array(cell), *batch.columns], ["cell", "vector", "ids"])
 
     index = keep(distinct.select("vector", "ids").mapInArrow(indexed, "cell long, vector array<double>, ids array<long>"), "index")
-    counts = np.zeros(n_cells, np.int64)
-    for r in index.groupBy("cell").agg(F.count("*").alias("n")).collect():  # a million cells at most
-        counts[r["cell"]] = r["n"]
-    parts = np.maximum(1, -(-counts // BUCKET))
+    counted = index.groupBy("cell").agg(F.count("*").alias("n")).toArrow()  # at most MOST_CENTROIDS squared rows
+    cells = Cells(*(counted.column(c).to_numpy() for c in ("cell", "n")), width)
+    parts = np.maximum(1, -(-cells.counts // BUCKET))
     large = parts > 1
-    bucket = np.cumsum(np.where(large, 0, counts)) // BUCKET
+    bucket = np.cumsum(np.where(large, 0, cells.counts)) // BUCKET
     bucket[large] = bucket.max(initial=0) + 1 + np.cumsum(parts[large]) - parts[large]
-    layout = spark.createDataFrame([(int(c), int(bucket[c]), int(parts[c])) for c in np.flatnonzero(counts)], "cell long, _bucket long, _parts long")
-    placed = index.join(F.broadcast(layout), "cell").withColumn("bucket", F.col("_bucket") + F.pmod(F.xxhash64("vector"), F.col("_parts")))
-    entries = placed.groupBy("bucket").agg(F.collect_list(F.struct("cell", "vector", "ids")).alias("entries"))
-    enough = max(LEAST, math.ceil(share * total))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each vector's bucket, and the place of its cell among all."""
+        for batch in batches:
+            at = np.searchsorted(cells.cell, batch.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[at] + batch.column(3).to_numpy() % parts[at]), pa.array(at), *batch.columns[1:3]], ["bucket", "cell", "vector", "ids"])
+
+    dealt = index.withColumn("_hash", F.xxhash64("vector").bitwiseAND(F.lit((1 << 62) - 1))).mapInArrow(placed, "bucket long, cell long, vector array<double>, ids array<long>")
+    entries = dealt.groupBy("bucket").agg(F.collect_list(F.struct("cell", "vector", "ids")).alias("entries"))
 
     def lookups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For blocks of queries and each bucket they touch: the queries and the cells each takes there."""
         for batch in batches:
-            for at in range(0, len(batch), TOGETHER):
-                part = batch.slice(at, TOGETHER)
+            for start in range(0, len(batch), TOGETHER):
+                part = batch.slice(start, TOGETHER)
                 ids, x = part.column(0).to_numpy(), _matrix(part.column(1), size)
                 first, second = squared(x[:, :half], books[0]), squared(x[:, half:], books[1])
-                taken = [np.array(cells_in_order(first[q], second[q], counts, enough), np.int64) for q in range(len(x))]
+                taken = [cells.in_order(first[q], second[q], enough) for q in range(len(x))]
                 cell, query = np.concatenate(taken), np.repeat(np.arange(len(x)), list(map(len, taken)))
                 times = parts[cell]  # a large cell is in several buckets
                 to = np.repeat(bucket[cell], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
@@ -151,37 +192,48 @@ def nearest_neighbours(embeddings: DataFrame, every: int = 100, k: int = 10, sha
                 for low, high in zip(cut, np.append(cut[1:], len(to)), strict=True):
                     some, local = np.unique(query[low:high], return_inverse=True)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([to[low]]), *(pa.array([v.tolist()]) for v in (ids[some], x[some].ravel(), local, cell[low:high]))], ["bucket", "queries", "vectors", "of", "cells"]
+                        [pa.array([to[low]]), *(pa.array([v]) for v in (ids[some], x[some].ravel(), local, cell[low:high]))], ["bucket", "queries", "vectors", "of", "cells"]
                     )
 
-    queries = rows.where(F.col("vec_id") % every == 0).distinct()
-    asked = queries.mapInArrow(lookups, "bucket long, queries array<long>, vectors array<double>, of array<long>, cells array<long>")
+    queries = keep(rows.where(F.col("vec_id") % every == 0).distinct(), "queries")
+    blocks = min(10_000, queries.count() // TOGETHER + 1)
+    asked = queries.repartition(blocks, "vec_id").mapInArrow(lookups, "bucket long, queries array<long>, vectors array<double>, of array<long>, cells array<long>")
+
+    def nearest_ids(q: np.ndarray, query: int, far: np.ndarray, x: np.ndarray, owned: list) -> list[tuple[float, int]]:
+        """Distance and vec_id of the k nearest ids; far: squared distances with an error, infinite for vectors that are not taken."""
+        some = np.flatnonzero(np.isfinite(far))
+        error = ERROR * ((q * q).sum() + (x[some] * x[some]).sum(1).max(initial=0))
+        most = k + 1
+        while True:
+            good = some if most >= len(some) else some[far[some] <= np.partition(far[some], most - 1)[most - 1] + 2 * error]
+            exact = np.sqrt(((x[good] - q) ** 2).sum(1))
+            close: dict[int, float] = {}
+            for d, e in sorted(zip(exact.tolist(), good.tolist(), strict=True)):
+                for v in owned[e]:
+                    if v != query:
+                        close.setdefault(v, d)
+            if len(close) >= k or len(good) == len(some):
+                return sorted((d, v) for v, d in close.items())[:k]
+            most *= 2
 
     def reranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(len(batch)):
-                ids, vectors, of, cells = (batch.column(i)[row].values.to_numpy(zero_copy_only=False) for i in range(4))
+                ids, vectors, of, wanted = (batch.column(i)[row].values.to_numpy(zero_copy_only=False) for i in range(4))
                 entry = batch.column(4)[row].values
                 cell, x, owned = entry.field("cell").to_numpy(), _matrix(entry.field("vector"), size), entry.field("ids").to_pylist()
                 q = vectors.reshape(-1, size)
                 known, place = np.unique(cell, return_inverse=True)
                 taken = np.zeros((len(ids), len(known) + 1), bool)
-                here = np.searchsorted(known, cells)
-                here[known[np.minimum(here, len(known) - 1)] != cells] = len(known)
+                here = np.searchsorted(known, wanted)
+                here[known[np.minimum(here, len(known) - 1)] != wanted] = len(known)
                 taken[of, here] = True
                 far = np.where(taken[:, place], squared(q, x), math.inf)
-                most = min(2 * (k + 1), len(x))
-                some = np.argpartition(far, most - 1, axis=1)[:, :most]
-                out = []
-                for n, query in enumerate(ids.tolist()):
-                    good = some[n][np.isfinite(far[n, some[n]])]
-                    exact = np.sqrt(((x[good] - q[n]) ** 2).sum(1))
-                    close = sorted((d, v) for e, d in zip(good.tolist(), exact.tolist(), strict=True) for v in owned[e] if v != query)
-                    out += [(query, v, d) for d, v in close[:k]]
+                out = [(query, v, d) for n, query in enumerate(ids.tolist()) for d, v in nearest_ids(q[n], query, far[n], x, owned)]
                 columns = list(zip(*out, strict=True)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "vec_id", "score"])
 
     met = asked.join(entries, "bucket").select("queries", "vectors", "of", "cells", "entries")
-    near = met.mapInArrow(reranked, "query_id long, vec_id long, score double")
+    near = met.mapInArrow(reranked, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return near.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -11,7 +11,7 @@ ROUNDS = 8
 #: The key is a secret of its user; this one serves tests and the fixed queries.
 KEY = "quire-demo-key"
 #: What is looked for, in this order at each place.
-EMAIL = r"(?<![\p{L}\p{N}._%+'-])[\p{L}\p{N}._%+'-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+"
+EMAIL = r"(?<![\p{L}\p{N}._%+'-])[\p{L}\p{N}._%+'-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 SECRET = r"(?<![A-Za-z])(?i:token|secret|password|passwd|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/=-]{16,}"
 IBAN = r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
 DATE = r"(?<![\w.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\w-])|(?<![\w./])[0-9]{2}([./])[0-9]{2}\1[0-9]{4}(?![\w/])"
@@ -20,6 +20,12 @@ SOCIAL = r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"
 PHONE = r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[.-])[0-9]{3,4}[ .-][0-9]{3,4}(?![\w-])|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?!\w)"
 CARD = r"(?<!\w)(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?!\w)"
 ALL = "|".join((EMAIL, SECRET, IBAN, DATE, ADDRESS, SOCIAL, PHONE, CARD))
+# Calling codes of one and of two digits; all others have three.
+CODES_OF_ONE = ("1", "7")
+CODES_OF_TWO = (
+    "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58",
+    "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
+)
 #: Dates are permuted among these days; others stay.
 FIRST_DAY, DAYS = "1900-01-01", 73_049
 
@@ -146,11 +152,15 @@ def social(text: Column, key: str) -> Column:
 
 
 def phone(text: Column, key: str) -> Column:
-    """Numbers of 7 to 15 digits: all but a country code behind + is permuted."""
-    code = F.length(digits_of(F.regexp_extract(text, r"^\+[0-9]{1,3}(?=[ .(-])|^\+[0-9]", 0)))
-    digits = digits_of(text)
-    new = F.concat(F.substring(digits, F.lit(1), code), permuted_digits(F.substring(digits, code + 1, F.length(digits)), key, "phone"))
-    return F.when(F.length(digits).between(7, 15), overlay(text, new)).otherwise(text)
+    """Numbers of 7 to 15 digits: all but the calling code behind + is permuted, however the digits are spaced."""
+
+    def replaced(digits: Column) -> Column:
+        listed = F.when(F.substring(digits, 1, 1).isin(*CODES_OF_ONE), 1).when(F.substring(digits, 1, 2).isin(*CODES_OF_TWO), 2).otherwise(3)
+        code = F.when(F.startswith(text, F.lit("+")), listed).otherwise(0)
+        new = F.concat(F.substring(digits, F.lit(1), code), permuted_digits(F.substring(digits, code + 1, F.length(digits)), key, "phone"))
+        return F.when(F.length(digits).between(7, 15), overlay(text, new)).otherwise(text)
+
+    return let(digits_of(text), replaced)
 
 
 def email(text: Column, key: str) -> Column:

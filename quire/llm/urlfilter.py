@@ -77,11 +77,17 @@ def lexical_features(pages: DataFrame) -> DataFrame:
     )
 
 
-def suffix_statistics(decided: DataFrame) -> DataFrame:
-    """For each last label of a host: its share of all URLs, and the share of its URLs that rules block, over all pages."""
-    counts = keep(decided.groupBy("suffix").agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "block").alias("blocked")), "suffixes")
-    total = counts.agg(F.sum("n")).first()[0] or 1
-    return counts.select(F.col("suffix").alias("_suffix"), (F.col("n") / total).alias("suffix_share"), ((F.col("blocked") + 1) / (F.col("n") + 10)).alias("suffix_blocked"))
+def with_suffix_statistics(decided: DataFrame) -> DataFrame:
+    """decided with, for the last label of each host, its share of all pages and the share of its other pages that rules block.
+
+    A page's own verdict is left out of its share, so that the trees don't read a label off a feature.
+    """
+    counts = keep(decided.groupBy("suffix").agg(F.count("*").alias("_n"), F.count_if(F.col("verdict") == "block").alias("_blocked")), "suffixes")
+    total = counts.agg(F.sum("_n")).first()[0] or 1
+    own = F.coalesce(F.col("verdict") == "block", F.lit(False)).cast("int")
+    full = decided.join(counts.withColumnRenamed("suffix", "_suffix"), F.col("suffix") == F.col("_suffix"), "left").drop("_suffix")
+    others = (F.col("_blocked") - own + 1) / (F.col("_n") - 1 + 10)
+    return full.withColumns({"suffix_share": F.col("_n") / total, "suffix_blocked": others}).drop("_n", "_blocked")
 
 
 def bounded_sample(rows: DataFrame, n: int, most: int) -> DataFrame:
@@ -97,10 +103,9 @@ def filter_urls(pages: DataFrame, threshold: float = 0.5, rows: int = TRAIN_ROWS
     allowed. Null URLs, and such without ://, have empty host and path and are judged alike; repeated rows are judged each; the html is not read.
     """
     decided = keep(lexical_features(pages), "urls")
-    stats = suffix_statistics(decided)
     known = decided.groupBy("verdict").agg(F.count("*").alias("n")).collect()  # three rows at most
     n = {r["verdict"]: r["n"] for r in known}
-    full = decided.join(stats, decided.suffix == stats._suffix, "left").drop("_suffix")
+    full = with_suffix_statistics(decided)
     columns = ["page_id", "host", "path", "rule"]
     if not n.get("block") or not n.get("allow"):
         return full.select(*columns, F.coalesce("verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
