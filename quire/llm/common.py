@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.scratch import drop_scratch, forget, keep, scratch_dir
 
-__all__ = ["WORD", "bits_for", "drop_scratch", "forget", "keep", "read", "scratch_dir", "spread_rank"]
+__all__ = ["WORD", "bits_for", "drop_scratch", "forget", "keep", "numbered", "one_of_alike", "read", "scratch_dir", "spread_rank"]
 
 #: A word: anything between the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,3 +39,20 @@ def spread_rank(df: DataFrame, keys: list[str], by: str, to: str, bits: int, tie
         offsets = offsets.join(extra, keys)
     within = Window.partitionBy(*keys, "_range").orderBy(by, *(ties or []))
     return cut.join(offsets, [*keys, "_range"]).withColumn(to, F.col("_before") + F.row_number().over(within) - 1).drop("_range", "_before")
+
+
+#: Rows alike that are written out one after the other.
+LOT = 10_000
+
+
+def numbered(df: DataFrame, to: str = "_nth") -> DataFrame:
+    """df with to, which numbers rows alike in all columns from 0. They are counted before they are written out again, so they never meet in a sort."""
+    counted = df.groupBy(*(F.col(f"`{c}`") for c in df.columns)).agg(F.count("*").alias("_rows"))
+    lots = counted.withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_rows") - 1) / LOT))))
+    last = F.least(F.col("_rows"), (F.col("_lot") + 1) * LOT) - 1
+    return lots.withColumn(to, F.explode(F.sequence(F.col("_lot") * LOT, last))).drop("_rows", "_lot")
+
+
+def one_of_alike(rows: DataFrame, keys: list[str], row: str) -> DataFrame:
+    """For each keys one of the structs row: the least by its hash, so that a rerun takes the same."""
+    return rows.groupBy(*keys).agg(F.min_by(row, F.struct(F.xxhash64(row), F.xxhash64(F.lit(1), row))).alias(row))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import forget, keep
+from quire.llm.common import forget, keep, one_of_alike
 from quire.llm.components import components
 from quire.llm.textarrays import U64, Block, Prefix, blocks, distinct_within, mix, sorted_within
 
@@ -331,5 +331,5 @@ def drop_near_duplicates(documents: DataFrame) -> DataFrame:
     out = rows.join(good, F.col("_id") == F.col("_kept"), "left_semi").union(rows.where("_id is null"))
     if not repeated:
         return out.select("_row.*")
-    one = F.min_by("_row", F.xxhash64("_row"))
-    return out.groupBy("_id", F.xxhash64("_row.text").alias("_a"), F.xxhash64(F.lit(1), "_row.text").alias("_b")).agg(one.alias("_row")).select("_row.*")
+    texts = out.select("_id", F.xxhash64("_row.text").alias("_a"), F.xxhash64(F.lit(1), "_row.text").alias("_b"), "_row")
+    return one_of_alike(texts, ["_id", "_a", "_b"], "_row").select("_row.*")

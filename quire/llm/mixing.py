@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import WORD, bits_for, keep, spread_rank
+from quire.llm.common import WORD, bits_for, keep, numbered, one_of_alike, spread_rank
 
 #: Weights of sources in code point order, repeated; null comes last.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -29,8 +29,8 @@ def word_count(text: Column) -> Column:
 
 
 def row_key(seed: int) -> Column:
-    """Hash by which documents are told apart and put in order."""
-    return F.xxhash64(F.lit(seed), "doc_id", "source", "text")
+    """128 bits by which documents are told apart; the first half puts them in order."""
+    return F.struct(*(F.xxhash64(F.lit(seed + i), "doc_id", "source", "text").alias(c) for i, c in enumerate("ab")))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -117,8 +117,8 @@ def mix_to_targets(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, s
     last; repeated rows count each; the result depends on neither order nor partitions. An empty table gives an empty result.
     """
     source_key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
-    base = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_key(seed).alias("_h")).withColumn("source_key", source_key)
-    base = keep(base, "sized")
+    base = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_key(seed).alias("row_key")).withColumn("source_key", source_key)
+    base = keep(numbered(base).withColumn("_h", F.xxhash64("row_key.a", "_nth")).drop("_nth"), "sized")
     groups = keep(base.groupBy("source_key", "source", "size").agg(F.count("*").alias("n")), "sizes")
     targets = keep(source_targets(groups.groupBy("source_key", "source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share, most), "targets")
     tilts = entropy_rates(groups.select("source_key", "size", "n").where("size > 0"), targets, most)
@@ -132,20 +132,20 @@ def mix_to_targets(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, s
         rated = settle(rated, most)
     rated = keep(rated.select("source_key", "size", "source_size", "target", "rate", F.expr("_copies div n").cast("int").alias("_whole"), (F.col("_copies") % F.col("n")).alias("_more")), "rates")
     n = groups.agg(F.sum("n")).first()[0] or 0
-    ranked = spread_rank(base.select("doc_id", "source_key", "size", "_h"), ["source_key", "size"], "_h", "_rank", bits_for(n, 1_000_000), extra=rated)
+    ranked = spread_rank(base.select("doc_id", "source_key", "size", "row_key", "_h"), ["source_key", "size"], "_h", "_rank", bits_for(n, 1_000_000), extra=rated)
     copies = F.least(F.col("_whole") + (F.col("_rank") < F.col("_more")).cast("int"), F.lit(int(most)))
-    return ranked.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate", F.col("_h").alias("row_key"))
+    return ranked.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate", "row_key")
 
 
 def take_mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 11) -> DataFrame:
     """documents, each repeated as often as mix_to_targets takes it, with all their columns.
 
-    Rows alike in doc_id, source and text are one row taken as often as all of them together.
+    Rows alike in doc_id, source and text are one row, the least by the hash of all its columns, taken as often as all of them together.
     """
     mixed = mix_to_targets(documents, weights, share, most, seed)
     copies = keep(mixed.groupBy("row_key").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")), "copies")
     rows = documents.select(row_key(seed).alias("_key"), F.struct("*").alias("_row"))
     if not copies.where("_rows > 1").isEmpty():
-        rows = rows.dropDuplicates(["_key"])
-    taken = rows.join(copies.where("_copies > 0"), F.col("_key") == F.col("row_key"))
+        rows = one_of_alike(rows, ["_key"], "_row")
+    taken = rows.join(copies.where("_copies > 0").hint("shuffle_merge"), F.col("_key") == F.col("row_key"))
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bits_for, keep, spread_rank
+from quire.llm.common import bits_for, keep, numbered, spread_rank
 
 #: Blocks stand for the partitions of the shuffle. Their number is fixed, so the matrix does not grow with the rows.
 BLOCKS = 1024
@@ -49,7 +49,8 @@ def shuffle_into_shards(rows: DataFrame, shards: int, identity: list[str], seed:
     """Add shard (int, from 0) and slot (long, gapless from 0 in its shard); shards' counts differ by one at most.
 
     identity: columns whose hash stands for a random number. Rows alike in all of them are interchangeable, so the
-    result doesn't depend on how the rows are partitioned and a lost task repeats its share exactly. Nulls hash like any value;
+    result doesn't depend on how the rows are partitioned and a lost task repeats its share exactly; where very many may be alike, number them
+    first (numbered). Nulls hash like any value;
     repeated rows get places of their own; an empty table gives an empty result. Shards are balanced by rows, so equal texts may part.
     """
     spark = rows.sparkSession
@@ -72,5 +73,5 @@ def shard_documents(documents: DataFrame, shards: int = 40, seed: int = 7) -> Da
     """doc_id, size (UTF-8 bytes of the text, null: none, plus 16), text_crc32, law, shard, slot and grown_shard (null) of every document."""
     text = F.coalesce(F.col("text"), F.lit(""))
     sized = documents.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"))
-    placed = shuffle_into_shards(sized, shards, ["doc_id", "size", "text_crc32"], seed)
+    placed = shuffle_into_shards(numbered(sized), shards, ["doc_id", "size", "text_crc32", "_nth"], seed)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -5,13 +5,14 @@ import hashlib
 import random
 
 import cases
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quire.llm.components import components
-from quire.llm.minhash import BITS, MINIMA, drop_near_duplicates, estimate, near_duplicates, rare_shingles
+from quire.llm.minhash import BITS, MINIMA, differences, drop_near_duplicates, estimate, heavy_links, lightest_other, light_links, near_duplicates
 from quire.llm.substring import dedup_substrings
-from quire.llm.suffix import dedup_bytes
+from quire.llm.suffix import dedup_bytes, repeats_in_order
 
 
 def sets_of(rows):
@@ -93,12 +94,57 @@ def test_an_id_with_several_texts_is_one_document(spark):
     assert sorted(r["doc_id"] for r in drop_near_duplicates(df).collect()) == [3, 4, 6]
 
 
-def test_texts_of_equal_size_under_one_id_keep_all_their_shingles(spark):
-    words = lambda c: [f"{c}{k}" for k in range(64)]
-    texts = cases.documents(spark, [(1, " ".join(words("a")), "s"), (1, " ".join(words("b")), "s"), (2, " ".join(words("a")), "s"), (3, " ".join(words("b")), "s")]).select("doc_id", "text")
-    buckets = spark.createDataFrame([(7, i, 60, i) for i in (1, 2, 3)], "bucket long, doc_id long, n_shingles long, component long")
-    n = {r["doc_id"]: r["n"] for r in rare_shingles(buckets, texts).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
-    assert n == {1: 120, 2: 9, 3: 9}
+def group_of_near_copies(seed, copies, misses):
+    """Copies of one text with up to six words changed, and near misses with seven to twelve."""
+    rng, base = random.Random(seed), [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(copies + misses):
+        changed = rng.sample(range(150), rng.randint(0, 6) if i < copies else rng.randint(7, 12))
+        words = [f"x{rng.randrange(40)}" if k in changed else w for k, w in enumerate(base)]
+        rows.append(" ".join(words))
+    rng.shuffle(rows)
+    return [(i, t, "s") for i, t in enumerate(rows)]
+
+
+def test_a_group_with_many_near_misses(spark):
+    rows = group_of_near_copies(3, 600, 150)
+    found = cases.by_id(near_duplicates(cases.documents(spark, rows).repartition(4)), "n_shingles", "component_id", "kept")
+    assert found == plain_components(rows)
+
+
+@pytest.mark.parametrize("inline", [512, 3], ids=["met", "texts"])
+def test_differences_from_a_centre_decide_all_links(spark, monkeypatch, inline):
+    """Every document a component of its own: light links join what weights decide, heavy ones hold all other links to what is in another component."""
+    monkeypatch.setattr("quire.llm.minhash.INLINE", inline)
+    rows = group_of_near_copies(5, 60, 60)
+    sets = sets_of(rows)
+    df = cases.documents(spark, rows).select("doc_id", "text")
+    links = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    apart = differences(df.selectExpr("7L as centre", "doc_id"), df).cache()
+    weight = {r["doc_id"]: r["weight"] for r in apart.collect()}
+    base = len(sets[7])
+    light = {(r["a"], r["b"]) for r in light_links(apart.withColumn("component", F.col("doc_id"))).collect()}
+    assert light <= links and all(a in {x for p in light for x in p} for a, b in links if weight[a] + weight[b] <= base)
+    group = {i: min((a for a, b in light if i in (a, b)), default=i) for i in sets}
+    while any(group[group[i]] != group[i] for i in group):
+        group = {i: group[group[i]] for i in group}
+    label = spark.createDataFrame(list(group.items()), "node long, component long")
+    rows_in = apart.join(label, apart.doc_id == label.node).drop("node")
+    assert {r["other"] == r["doc_id"] for r in lightest_other(rows_in).collect()} == {False}
+    heavy = {(r["a"], r["b"]) for r in heavy_links(rows_in, df).collect()}
+    assert heavy <= links
+    top = plain_components(rows)
+    parent = {i: group[i] for i in group}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in light | heavy:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    assert {i: root(i) for i in parent} == {i: c for i, (_, c, _) in top.items()}
 
 
 def test_components_of_chains(spark):
@@ -179,6 +225,48 @@ def test_small_windows(spark):
     assert cases.by_id(dedup_bytes(cases.documents(spark, rows), 9), "n_bytes", "n_removed", "n_spans", "kept_sha256") == plain_bytes(rows, 9)
 
 
+def test_sorted_suffixes_find_repeats_in_order():
+    rng = np.random.default_rng(4)
+    data = rng.integers(97, 99, 4000).astype(np.uint8)
+    data[100:110] = 0
+    start = np.sort(rng.choice(3990, 900, replace=False))
+    seen, wanted = set(), []
+    for k in start:
+        part = data[k : k + 9].tobytes()
+        if part in seen:
+            wanted.append(k)
+        seen.add(part)
+    assert sorted(start[repeats_in_order(data, start, 9)]) == wanted
+
+
+def one_id(df, i):
+    return df.withColumn("doc_id", F.lit(i).cast("long"))
+
+
+@pytest.mark.parametrize("same", [None, 2**63 - 1])
+def test_many_rows_of_one_id(spark, same):
+    """3,000 rows without an id, or of one: word windows take nothing from each other, bytes are taken in the order of texts' hashes."""
+    rng = random.Random(6)
+    pool = [" ".join(f"w{rng.randrange(50)}" for _ in range(60)) for _ in range(40)]
+    texts = [f"{rng.choice(pool)} {k} {rng.choice(pool)[: rng.randrange(300)]}" for k in range(3000)]
+    df = one_id(cases.documents(spark, [(k, t, "s") for k, t in enumerate(texts)]), same).repartition(5)
+    found = dedup_substrings(df).collect()
+    assert {r["n_removed"] for r in found} == {0} and {r["doc_id"] for r in found} == {same} and len(found) == 3000
+    key = {r["text"]: r["k"] for r in df.select("text", F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text").bitwiseAND(F.lit(0x7FFF))).alias("k")).collect()}
+    ordered = [(k, t, "s") for k, t in enumerate(sorted(texts, key=lambda t: tuple(key[t])))]
+    assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in dedup_bytes(df).collect()) == sorted(plain_bytes(ordered).values())
+
+
+def test_repeats_in_very_long_texts(spark):
+    rng = random.Random(9)
+    long = " ".join(f"w{rng.randrange(10**5)}" for _ in range(150_000))
+    rows = [(0, long, "s"), (1, "start " + long[5_000:400_000] + " end", "s"), (2, "x" * 300_000, "s"), (3, "x y " * 60_000, "s")]
+    df = cases.documents(spark, rows)
+    assert cases.by_id(dedup_substrings(df), "n_words", "n_removed", "kept_sha256") == plain_windows(rows)
+    assert cases.by_id(dedup_bytes(df), "n_bytes", "n_removed", "n_spans", "kept_sha256") == plain_bytes(rows)
+    assert cases.by_id(near_duplicates(df), "component_id") == {i: i for i in range(4)}
+
+
 def test_repeats_of_nulls_repeated_rows_and_none(spark, empty, clashing):
     t = " ".join(f"w{i}" for i in range(60))
     df = cases.documents(spark, [(None, t, "s"), (2, t, "s"), (2, t, "s"), (1, None, "s"), (2, "other", "s")])
