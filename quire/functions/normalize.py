@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.schemas import CLOSE, LEAST_SCALE, MOST_SCALE, SCALE_STEP
+from quire.schemas import CLOSE, LEAST_SCALE, MOST_SCALE, SCALE_STEP, SCROLL_PX
 
 
 def _col(x) -> Column:
@@ -75,3 +75,8 @@ def scroll_to_anchor(scroll_top: Column, page_top: Column, page_height: Column)
 
 def anchor_to_scroll(offset: Column, page_top: Column, page_height: Column) -> Column:
     return page_top + normalize_offset(offset) * F.greatest(page_height, F.lit(1.0))
+
+
+def applied_scroll(current: Column, target: Column, tolerance: float = SCROLL_PX) -> Column:
+    """Where a view is scrolled to: the target, unless the view is as near to it as the tolerance."""
+    return F.when(F.abs(current - target) > tolerance, target).otherwise(current)

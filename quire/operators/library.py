@@ -33,9 +33,10 @@ def lookup(rows: DataFrame, key: str, value) -> DataFrame:
 
 
 def search(rows: DataFrame, query: str, title: str = "title", path: str = "file_path") -> DataFrame:
-    """Rows whose title and path, joined by a space, contain the query whatever its case; a blank query keeps all."""
+    """Rows whose title and path, joined by a space, contain the query whatever its case; a blank query keeps all. A null counts as empty."""
     needle = F.lower(trim_space(F.lit(query)))
-    return rows.where(F.contains(F.lower(F.concat(F.col(title), F.lit(" "), F.col(path))), needle))
+    both = F.concat(F.coalesce(F.col(title), F.lit("")), F.lit(" "), F.coalesce(F.col(path), F.lit("")))
+    return rows.where(F.contains(F.lower(both), needle))
 
 
 def recent_summary(rows: DataFrame, query: str, title: str = "title", path: str = "file_path") -> DataFrame:

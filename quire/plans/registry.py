@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import guards as G
 from quire.functions import labels as L
 from quire.functions import normalize as N
 from quire.functions import paths as P
@@ -41,16 +42,23 @@ def _props(name: str = "k"):
     return F.get_json_object("props", f"$.{name}").cast("double")
 
 
+#: Kinds of view events by event type and event_id % 3.
+KINDS = {
+    "view": ("goto", "page", "scroll"), "click": ("rotate", "rotation", "rotate"), "signup": ("toggle_sync", "split", "fit"),
+    "error": ("activate", "zoom_in", "zoom_out"), "purchase": ("scroll", "scale", "apply"),
+}
+
+
 def view_events(events: DataFrame) -> DataFrame:
-    """Stand-in pane events: user as document, event type as kind, value and props as fields."""
-    kind = F.col("event_type")
-    k, value = _props(), F.col("value")
-    pane = F.when(F.col("event_id") % 2 == 0, "original").otherwise("companion")
-    kinds = F.when(kind == "view", "goto").when(kind == "click", "rotate").when(kind == "signup", "toggle_sync").when(kind == "error", F.when(F.col("event_id") % 3 == 0, "activate").otherwise("zoom_in")).otherwise("scroll")
+    """Stand-in pane events of all kinds: user as document, kind by event type and number, value and props as fields."""
+    k, value, event_type = _props(), F.col("value"), F.col("event_type")
+    even = F.col("event_id") % 2 == 0
+    names = F.get(F.create_map(*(x for t, kinds in KINDS.items() for x in (F.lit(t), F.array(*map(F.lit, kinds)))))[event_type], (F.col("event_id") % 3).cast("int"))
+    text = F.when(names == "split", F.when(even, "single").otherwise("stacked")).when(names == "fit", "page-fit")
     return events.select(
-        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("doc_id"), pane.alias("pane_id"), kinds.alias("kind"),
-        k.alias("page_number"), F.pmod(value, F.lit(1.0)).alias("relative_offset_y"), F.lit(None).cast("string").alias("scale_value"),
-        F.lit(None).cast("double").alias("scale"), F.lit(None).cast("double").alias("rotation"),
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("doc_id"), F.when(even, "original").otherwise("companion").alias("pane_id"),
+        names.alias("kind"), k.alias("page_number"), F.pmod(value, F.lit(1.0)).alias("relative_offset_y"), text.alias("scale_value"),
+        F.when(names == "scale", value / 50).alias("scale"), F.when(names == "rotation", value * 3).alias("rotation"),
     ).to(PANE_EVENT)
 
 
@@ -112,12 +120,15 @@ def title_fallback(spark, d):
 
 @query(r"""
 SELECT page_id, regexp_matches(url, '[^/\\]\.html$', 'i') AS has_ending, starts_with(url, 'browser://') AS in_browser,
-  CASE WHEN NOT regexp_matches(url, '[^/\\]\.pdf$', 'i') THEN 'not a pdf' END AS error, ends_with(lower(url), '.pdf') AS accepted FROM pages""")
+  CASE WHEN NOT regexp_matches(path, '[^/\\]\.pdf$', 'i') THEN 'not a pdf' WHEN length(html) < 1000 THEN 'not found' WHEN page_id % 2 = 1 THEN 'not a file' END AS error,
+  ends_with(lower(path), '.pdf') AS accepted
+FROM (SELECT *, url || CASE WHEN contains(url, '?') THEN '' ELSE '.PDF' END AS path FROM pages)""")
 def path_checks(spark, d):
-    url = F.col("url")
+    url, path = F.col("url"), F.concat("url", F.when(F.contains("url", F.lit("?")), "").otherwise(".PDF"))
+    exists, is_file = F.length("html") >= 1000, F.col("page_id") % 2 == 0
     return table(spark, d, "pages").select(
         "page_id", url.rlike(r"(?i)[^/\\]\.html\z").alias("has_ending"), P.is_browser_path(url).alias("in_browser"),
-        P.path_error(url, F.lit(True), F.lit(True)).alias("error"), P.browser_accepts(F.lit("text/html"), url).alias("accepted"),
+        P.path_error(path, exists, is_file).alias("error"), P.browser_accepts(F.lit("text/html"), path).alias("accepted"),
     )
 
 
@@ -145,16 +156,18 @@ def restore_views(spark, d):
     return B.restore(_opened(spark, d)).select("id", "original.*", "active")
 
 
-_OLD = "SELECT user_id AS id, count(*) AS n, max(value) AS top, max(ts) AS opened FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id HAVING user_id % 3 <> 0"
-_NEW = "SELECT user_id AS id, count(*) AS n, max(value) AS top, max(ts) AS opened FROM events WHERE event_type NOT IN ('view', 'click') GROUP BY user_id HAVING user_id % 3 <> 1"
+#: The library is from users seen before the first time, the batch of updates from those seen since the second; some are on one side only.
+UNTIL, SINCE = "2024-01-02 00:00:00", "2024-01-29 12:00:00"
+_OLD = f"SELECT user_id AS id, count(*) AS n, max(value) AS top, max(ts) AS opened FROM events WHERE ts < TIMESTAMP '{UNTIL}' GROUP BY user_id"
+_NEW = f"SELECT user_id AS id, count(*) AS n, max(value) AS top, max(ts) AS opened FROM events WHERE ts >= TIMESTAMP '{SINCE}' GROUP BY user_id"
 
 
 def _slices(spark, d) -> tuple[DataFrame, DataFrame]:
-    """A library and a batch of updates: users of two kinds of events."""
+    """A library and a batch of updates: users of early and of late events."""
     rows = table(spark, d, "events").withColumnRenamed("user_id", "id")
     made = lambda part: part.groupBy("id").agg(F.count("*").alias("n"), F.max("value").alias("top"), F.max("ts").alias("opened"))
-    some = F.col("event_type").isin("view", "click")
-    return made(rows.where(some)).where("id % 3 <> 0"), made(rows.where(~some)).where("id % 3 <> 1")
+    time = lambda text: F.lit(text).cast("timestamp_ntz")
+    return made(rows.where(F.col("ts") < time(UNTIL))), made(rows.where(F.col("ts") >= time(SINCE)))
 
 
 @query(f"WITH o AS ({_OLD}), n AS ({_NEW}) SELECT * FROM n UNION ALL SELECT * FROM o WHERE id NOT IN (SELECT id FROM n)")
@@ -295,12 +308,14 @@ def scale_step(spark, d):
     return table(spark, d, "events").select("event_id", N.scale_by(F.col("value") / 20, F.col("event_type") == "view").alias("scale"))
 
 
-@query("SELECT event_id, 100 + least(greatest((value * 30 - 100) / greatest(value, 1), 0), 1) * greatest(value, 1) AS scroll_top, "
-       "least(greatest((value * 30 - 100) / greatest(value, 1), 0), 1) AS anchor FROM events")
+@query("""
+SELECT *, CASE WHEN abs(value * 30 - scroll_top) > 3 THEN scroll_top ELSE value * 30 END AS scrolled FROM (
+  SELECT event_id, value, 100 + anchor * greatest(value, 1) AS scroll_top, anchor FROM (SELECT *, least(greatest((value * 30 - 100) / greatest(value, 1), 0), 1) AS anchor FROM events))""")
 def scroll_anchor(spark, d):
     value = F.col("value")
     anchor = N.scroll_to_anchor(value * 30, F.lit(100.0), value)
-    return table(spark, d, "events").select("event_id", anchor.alias("anchor"), N.anchor_to_scroll(anchor, F.lit(100.0), value).alias("scroll_top"))
+    target = N.anchor_to_scroll(anchor, F.lit(100.0), value)
+    return table(spark, d, "events").select("event_id", "value", anchor.alias("anchor"), target.alias("scroll_top"), N.applied_scroll(value * 30, target).alias("scrolled"))
 
 
 @query("SELECT event_id, k AS page FROM events, unnest(from_json('[' || props || ']', '[{\"k\":\"DOUBLE\"}]')) u(p), LATERAL (SELECT p.k AS k)")
@@ -319,10 +334,15 @@ def status_labels(spark, d):
 
 
 @query("""
-SELECT doc_id, doc_id <= 1 AS previous_off, doc_id >= 50 AS next_off, source = 'src1' AS sync_off, doc_id = 7 AS active FROM documents""")
+SELECT doc_id, NOT has OR doc_id <= 1 AS previous_off, NOT has OR doc_id >= 50 AS next_off, NOT has OR source = 'src1' AS sync_off, doc_id = 7 AS active, has AND n_chars > 100 AS ready
+FROM (SELECT *, lang <> 'de' AS has FROM documents)""")
 def navigation_guards(spark, d):
-    page, mode = F.col("doc_id"), F.when(F.col("source") == "src1", "single").otherwise("stacked")
-    return table(spark, d, "documents").select("doc_id", (page <= 1).alias("previous_off"), (page >= 50).alias("next_off"), (mode == "single").alias("sync_off"), (F.col("doc_id") == 7).alias("active"))
+    page, has, mode = F.col("doc_id"), F.col("lang") != "de", F.when(F.col("source") == "src1", "single").otherwise("stacked")
+    height = F.when(F.col("n_chars") > 100, F.col("n_chars"))
+    return table(spark, d, "documents").select(
+        "doc_id", G.previous_off(has, page).alias("previous_off"), G.next_off(has, page, F.lit(50)).alias("next_off"), G.sync_off(has, mode).alias("sync_off"),
+        G.is_active(page, F.lit(7)).alias("active"), G.is_ready(has, height).alias("ready"),
+    )
 
 
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS n_documents, CASE WHEN event_id % 2 = 0 THEN user_id END AS page_count FROM events")
@@ -333,19 +353,58 @@ def browser_store_scan(spark, d):
     return rows.select("event_id", F.size("list").alias("n_documents"), F.get("list", F.lit(0))["page_count"].cast("bigint").alias("page_count"))
 
 
-@query()
+@query("""
+SELECT event_id, CASE WHEN ts::DATE = DATE '2024-01-30' THEN CASE WHEN hour(ts) < 12 THEN '오전' ELSE '오후' END || strftime(ts, ' %I:%M')
+  ELSE month(ts) || '월 ' || day(ts) || '일' END AS label FROM events""")
 def label_recent(spark, d):
     return table(spark, d, "events").select("event_id", L.recent_label(F.col("ts"), F.lit("2024-01-30 12:00:00").cast("timestamp")).alias("label"))
 
 
-@query()
+def _fold_sql() -> str:
+    """The fold as a recursive query: one row per user and step, with page, offset, scale and rotation of both panes."""
+    kinds = " ".join(f"WHEN '{t}' THEN {list(names)}" for t, names in KINDS.items())
+    fields = {
+        "page": "floor(least(greatest(coalesce(CASE WHEN kind IN ('page', 'scroll', 'goto') THEN k END, c_page), 1), 80) + 0.5)",
+        "place": "least(greatest(coalesce(CASE kind WHEN 'goto' THEN 0 WHEN 'scroll' THEN value % 1 END, c_place), 0), 1)",
+        "scale": "least(greatest(CASE kind WHEN 'zoom_in' THEN c_scale * 1.1::DOUBLE WHEN 'zoom_out' THEN c_scale * (1::DOUBLE / 1.1::DOUBLE) WHEN 'scale' THEN value / 50 ELSE c_scale END, 0.25), 4)",
+        "turn": "(floor(CASE kind WHEN 'rotate' THEN c_turn + 90 WHEN 'rotation' THEN value * 3 ELSE c_turn END / 90 + 0.5) * 90) % 360",
+    }
+    of = lambda pane: [f"{pane}_{f}" for f in fields]
+    current = ", ".join(f"CASE WHEN pane = 'original' THEN o_{f} ELSE s_{f} END AS c_{f}" for f in fields)
+    active = ", ".join(f"CASE WHEN active = 'original' THEN o_{f} ELSE s_{f} END AS a_{f}" for f in fields)
+    put = ", ".join(
+        f"(CASE WHEN kind = 'toggle_sync' AND NOT sync THEN a_{f} WHEN moves AND (sync OR pane = '{name}') THEN {new} ELSE {p}_{f} END)::DOUBLE"
+        for p, name in (("o", "original"), ("s", "companion")) for f, new in fields.items()
+    )
+    return f"""
+WITH RECURSIVE e AS (
+  SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, epoch_us(ts) AS us, event_id % 2 = 0 AS even, value,
+    CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, (CASE event_type {kinds} END)[event_id % 3 + 1] AS kind FROM events),
+f(user_id, n, {", ".join(of("o") + of("s"))}, sync, active, split, applied) AS (
+  SELECT DISTINCT user_id, 0::BIGINT, 1::DOUBLE, 0::DOUBLE, 1::DOUBLE, 0::DOUBLE, 1::DOUBLE, 0::DOUBLE, 1::DOUBLE, 0::DOUBLE, true, 'original', 'side-by-side', NULL::BIGINT FROM events
+  UNION ALL
+  SELECT user_id, n, {put}, CASE WHEN kind = 'toggle_sync' THEN NOT sync ELSE sync END,
+    CASE WHEN kind = 'activate' THEN own WHEN kind = 'split' AND even THEN 'original' ELSE active END,
+    CASE WHEN kind = 'split' THEN CASE WHEN even THEN 'single' ELSE 'stacked' END ELSE split END, CASE WHEN kind = 'apply' THEN us ELSE applied END
+  FROM (SELECT *, {current}, {active}, toolbar OR (kind IN ('page', 'scale', 'rotation', 'scroll') AND coalesce(us - applied > 80000, true)) AS moves
+    FROM (SELECT *, CASE WHEN toolbar THEN active ELSE own END AS pane
+      FROM (SELECT f.* EXCLUDE n, e.* EXCLUDE user_id, CASE WHEN even THEN 'original' ELSE 'companion' END AS own, kind IN ('goto', 'zoom_in', 'zoom_out', 'fit', 'rotate') AS toolbar
+        FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1))))
+SELECT user_id::VARCHAR AS doc_id, sync, active, split, {", ".join(f"{p}_{f}{kind} AS {name}_{column}" for p, name in (("o", "original"), ("s", "companion"))
+    for f, column, kind in (("page", "page_number", "::INT"), ("place", "relative_offset_y", ""), ("scale", "scale", ""), ("turn", "rotation", "::INT")))}
+FROM f WHERE n = (SELECT count(*) FROM events x WHERE x.user_id = f.user_id)"""
+
+
+@query(_fold_sql())
 def pane_fold(spark, d):
     events = view_events(table(spark, d, "events"))
     folded = E.fold_panes(events, F.lit(80)).select("doc_id", "state.*")
-    return folded.select("doc_id", "sync", "active", *(F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in ("original", "companion") for c in ("page_number", "relative_offset_y", "scale", "rotation")))
+    return folded.select("doc_id", "sync", "active", "split", *(F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in ("original", "companion") for c in ("page_number", "relative_offset_y", "scale", "rotation")))
 
 
-@query()
+@query("""
+SELECT event_id, user_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS following FROM events)
+WHERE following IS NULL OR following > ts + INTERVAL 6 HOUR""")
 def debounce_sessions(spark, d):
     """The same saves by sessions instead of a look at the next event; a gap equal to the threshold merges here."""
     rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))

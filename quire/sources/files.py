@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import sqlite3
+from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +44,21 @@ def write_store(documents: DataFrame, n: int = RECENT) -> DataFrame:
     return renumber(documents, n).agg(F.to_json(ordered).alias("store"))
 
 
+def _time(text: str) -> datetime:
+    """A time as scripts write it, such as 2024-01-01T00:00:00.000Z; without a zone it is UTC."""
+    value = datetime.fromisoformat(text)
+    return value if value.tzinfo else value.replace(tzinfo=timezone.utc)
+
+
+def _decoder(kind: T.DataType) -> Callable | None:
+    """What turns a value that SQLite holds into one of Spark's type, if anything has to."""
+    if isinstance(kind, T.BooleanType):
+        return bool
+    if isinstance(kind, T.TimestampType):
+        return _time
+    return float if isinstance(kind, T.DoubleType) else None
+
+
 class SqliteRange(InputPartition):
     def __init__(self, low: int, high: int) -> None:
         self.low, self.high = low, high
@@ -54,9 +71,10 @@ class SqliteReader(DataSourceReader):
         self.equal: list[tuple[str, object]] = []
 
     def pushFilters(self, filters: list):
-        """Equality with a value is left to the database."""
+        """Equality with a value is left to the database, but for times, which it holds as text of any precision."""
+        times = {f.name for f in self.schema if isinstance(f.dataType, T.TimestampType)}
         for f in filters:
-            if isinstance(f, EqualTo) and len(f.attribute) == 1:
+            if isinstance(f, EqualTo) and len(f.attribute) == 1 and f.attribute[0] not in times:
                 self.equal.append((f.attribute[0], f.value))
             else:
                 yield f
@@ -75,11 +93,11 @@ class SqliteReader(DataSourceReader):
     def read(self, partition: SqliteRange):
         columns = ", ".join(f'"{c}"' for c in self.schema.fieldNames())
         where = "".join(f' AND "{name}" = ?' for name, _ in self.equal)
-        booleans = [i for i, f in enumerate(self.schema) if isinstance(f.dataType, T.BooleanType)]
+        decoders = [_decoder(f.dataType) for f in self.schema]
         with self._connect() as db:
             values = (partition.low, partition.high, *(v for _, v in self.equal))
             for row in db.execute(f'SELECT {columns} FROM "{self.table}" WHERE rowid >= ? AND rowid < ?{where}', values):
-                yield tuple(bool(v) if i in booleans and v is not None else v for i, v in enumerate(row))
+                yield tuple(decode(v) if decode and v is not None else v for decode, v in zip(decoders, row, strict=True))
 
 
 class SqliteSource(DataSource):
