@@ -9,7 +9,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quire.functions.paths import browser_path
 from quire.operators.library import renumber
@@ -68,16 +68,7 @@ class SqliteReader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict) -> None:
         self.schema, self.path, self.table = schema, options["path"], options["dbtable"]
         self.parts = int(options.get("numpartitions", 4))
-        self.equal: list[tuple[str, object]] = []
-
-    def pushFilters(self, filters: list):
-        """Equality with a value is left to the database, but for times, which it holds as text of any precision."""
-        times = {f.name for f in self.schema if isinstance(f.dataType, T.TimestampType)}
-        for f in filters:
-            if isinstance(f, EqualTo) and len(f.attribute) == 1 and f.attribute[0] not in times:
-                self.equal.append((f.attribute[0], f.value))
-            else:
-                yield f
+        self.key = options.get("key"), options.get("value")
 
     def _connect(self) -> sqlite3.Connection:
         return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
@@ -92,16 +83,21 @@ class SqliteReader(DataSourceReader):
 
     def read(self, partition: SqliteRange):
         columns = ", ".join(f'"{c}"' for c in self.schema.fieldNames())
-        where = "".join(f' AND "{name}" = ?' for name, _ in self.equal)
+        name, wanted = self.key
+        where = f' AND "{name}" = ?' if name else ""
         decoders = [_decoder(f.dataType) for f in self.schema]
         with self._connect() as db:
-            values = (partition.low, partition.high, *(v for _, v in self.equal))
+            values = (partition.low, partition.high, *([wanted] if name else []))
             for row in db.execute(f'SELECT {columns} FROM "{self.table}" WHERE rowid >= ? AND rowid < ?{where}', values):
                 yield tuple(decode(v) if decode and v is not None else v for decode, v in zip(decoders, row, strict=True))
 
 
 class SqliteSource(DataSource):
-    """spark.read.format("sqlite"): a table of an SQLite file that every executor can open, in ranges of rowid. A schema is needed."""
+    """spark.read.format("sqlite"): a table of an SQLite file that every executor can open, in ranges of rowid. A schema is needed.
+
+    Options key and value leave an equality to the database. Filters of Spark are not pushed: what is pushed for one query of a DataFrame would
+    stay for the next.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -112,5 +108,4 @@ class SqliteSource(DataSource):
 
 
 def register_sqlite(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SqliteSource)

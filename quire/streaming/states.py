@@ -1,4 +1,4 @@
-"""View events as streams: states folded batch by batch into versions of a table, and debounced saves."""
+"""View events as streams: states folded batch by batch into a table of whole versions and deltas, and debounced saves."""
 
 from __future__ import annotations
 
@@ -8,42 +8,71 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quire.scratch import forget
 from quire.operators.events import STATE, fold_panes
-from quire.operators.library import partial_update
-from quire.schemas import DEBOUNCE_MS
+from quire.operators.library import partial_update, recent
+from quire.schemas import DEBOUNCE_MS, RECENT
 
 
-def _paths(spark: SparkSession, folder: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    done = [s.getPath().getName() for s in fs.listStatus(path) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return sorted(int(name.removeprefix("v")) for name in done)
+#: Every so many batches the deltas become a whole table.
+COMPACT = 20
 
 
-def states(spark: SparkSession, folder: str, before: int | None = None, kind: str = "string") -> DataFrame:
-    """doc_id and state after all batches, or after those before one."""
-    found = [v for v in _paths(spark, folder) if before is None or v < before]
-    if not found:
-        return spark.createDataFrame([], f"doc_id {kind}, state {STATE}")
-    return spark.read.schema(f"doc_id {kind}, state {STATE}").parquet(f"{folder}/v{found[-1]}")
+def _folder(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def fold_stream(events: DataFrame, folder: str, checkpoint: str, page_count: int, available_now: bool = True) -> StreamingQuery:
-    """Fold a stream of events into states: each batch reads the last version, folds its events from there and writes the next.
+def _versions(spark: SparkSession, folder: str) -> tuple[list[int], list[int]]:
+    """Batches with a finished whole table, and those with a finished delta."""
+    path, fs = _folder(spark, folder)
+    if not fs.exists(path):
+        return [], []
+    jvm = spark.sparkContext._jvm
+    names = [s.getPath().getName() for s in fs.listStatus(path) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return tuple(sorted(int(name[1:]) for name in names if name[0] == kind) for kind in "wd")
 
-    The fold is the batch one, in the JVM. A batch that is repeated after a failure starts from the same version and overwrites its own. Events are
-    folded in order within a batch; batches are folded as they arrive.
+
+def states(spark: SparkSession, folder: str, before: int | None = None, kind: str = "string") -> DataFrame:
+    """doc_id and state after all batches, or after those before one: the last whole table and the deltas since."""
+    whole, deltas = ([v for v in found if before is None or v < before] for found in _versions(spark, folder))
+    paths = [f"{folder}/w{whole[-1]}"] if whole else []
+    paths += [f"{folder}/d{v}" for v in deltas if not whole or v > whole[-1]]
+    schema = f"doc_id {kind}, state {STATE}, version long"
+    if not paths:
+        return spark.createDataFrame([], schema).drop("version")
+    rows = spark.read.schema(schema).parquet(*paths)
+    if len(paths) == 1:
+        return rows.drop("version")
+    return rows.groupBy("doc_id").agg(F.max_by("state", "version").alias("state"))
+
+
+def _compact(spark: SparkSession, folder: str, number: int, kind: str) -> None:
+    """Write the whole table as it is before a batch, and delete what came before the whole table before it, which readers may still hold."""
+    whole, deltas = _versions(spark, folder)
+    earlier = [v for v in whole if v < number - 1]
+    states(spark, folder, number, kind).withColumn("version", F.lit(number - 1).cast("long")).write.mode("overwrite").parquet(f"{folder}/w{number - 1}")
+    if not earlier:
+        return
+    for name in [f"w{v}" for v in earlier[:-1]] + [f"d{v}" for v in deltas if v <= earlier[-1]]:
+        path, fs = _folder(spark, f"{folder}/{name}")
+        fs.delete(path, True)
+
+
+def fold_stream(events: DataFrame, folder: str, checkpoint: str, page_count: int, available_now: bool = True, compact: int = COMPACT) -> StreamingQuery:
+    """Fold a stream of events into states: each batch reads the states of its own documents, folds its events from there and writes these alone.
+
+    The fold is the batch one, in the JVM. A batch that is repeated after a failure starts from the same states and overwrites its own. Events are
+    folded in order within a batch; batches are folded as they arrive. Every compact batches the table is written whole and older files go.
     """
     kind = events.schema["doc_id"].dataType.simpleString()
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = states(spark, folder, number, kind)
+        if number and number % compact == 0:
+            _compact(spark, folder, number, kind)
+        touched = batch.select(F.col("doc_id").alias("_touched")).distinct()
+        before = states(spark, folder, number, kind).join(touched, F.col("doc_id").eqNullSafe(F.col("_touched")), "left_semi")
         folded = fold_panes(batch, F.lit(page_count), "doc_id", before)
-        rest = before.join(folded.select(F.col("doc_id").alias("_done")), F.col("doc_id").eqNullSafe(F.col("_done")), "left_anti")
-        folded.unionByName(rest).write.mode("overwrite").parquet(f"{folder}/v{number}")
+        folded.withColumn("version", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{folder}/d{number}")
         if hasattr(folded, "_scratch"):
             forget(folded)
 
@@ -63,3 +92,8 @@ def save_views(library: DataFrame, states_: DataFrame, now) -> DataFrame:
     view = states_.select(F.col("doc_id").alias("id"), "state.original.*", F.col("state.split").alias("split_mode"), F.col("state.sync").alias("sync_enabled"))
     stamped = view.withColumn("last_opened_at", now).withColumn("updated_at", now)
     return partial_update(library, stamped, [c for c in stamped.columns if c != "id"])
+
+
+def recent_after(library: DataFrame, states_: DataFrame, now, n: int = RECENT) -> DataFrame:
+    """The recent list as it is after the views have been saved."""
+    return recent(save_views(library, states_, now), "last_opened_at", "id", n)

@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from test_operators import made_events
 
 from quire.operators.events import fold_panes
+from quire.operators.library import recent
 from quire.schemas import LIBRARY, PANE_EVENT
-from quire.sources.files import parse_store, pdf_files, read_store, register_sqlite, write_store
-from quire.streaming.states import debounced_saves, fold_stream, save_views, states
+from quire.sources.files import browser_files, parse_store, pdf_files, read_store, register_sqlite, write_store
+from quire.streaming.states import debounced_saves, fold_stream, recent_after, save_views, states
 
 
 def test_stream_ends_in_the_batch_state(spark, tmp_path):
     events = made_events(9, 90)
-    for i in range(3):
-        spark.createDataFrame([tuple(e.values()) for e in events[30 * i : 30 * i + 30]], PANE_EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for i in range(6):
+        spark.createDataFrame([tuple(e.values()) for e in events[15 * i : 15 * i + 15]], PANE_EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(PANE_EVENT).parquet(str(tmp_path / "in"))
-        fold_stream(stream, str(tmp_path / "out"), str(tmp_path / "check"), 12).awaitTermination()
+        fold_stream(stream, str(tmp_path / "out"), str(tmp_path / "check"), 12, compact=2).awaitTermination()
     whole = fold_panes(spark.createDataFrame([tuple(e.values()) for e in events], PANE_EVENT), F.lit(12))
     streamed = {r["doc_id"]: r["state"] for r in states(spark, str(tmp_path / "out")).collect()}
     assert streamed == {r["doc_id"]: r["state"] for r in whole.collect()}
@@ -26,6 +27,9 @@ def test_stream_ends_in_the_batch_state(spark, tmp_path):
     saved = {r["id"]: r for r in save_views(library, states(spark, str(tmp_path / "out")), F.lit("2025-01-01").cast("timestamp")).collect()}
     assert saved["d0"]["page_number"] == streamed["d0"]["original"]["page_number"] and saved["d0"]["updated_at"].year == 2025
     assert saved["other"]["page_number"] == 1 and len(saved) == 2
+    assert [r["id"] for r in recent_after(library, states(spark, str(tmp_path / "out")), F.lit("2025-01-01").cast("timestamp")).collect()] == ["d0", "other"]
+    kept = sorted(p.name for p in (tmp_path / "out").iterdir())
+    assert kept == ["d2", "d3", "d4", "d5", "w1", "w3"]  # the whole tables of the last two compactions, and deltas since the first
 
 
 def test_debounced_saves_on_a_stream(spark, tmp_path):
@@ -62,4 +66,30 @@ def test_sqlite_library(spark, tmp_path):
     register_sqlite(spark)
     df = spark.read.format("sqlite").schema("id string, page_count bigint, scale double, sync_enabled boolean").option("path", path).option("dbtable", "documents").load()
     assert df.count() == 10 and df.rdd.getNumPartitions() == 4
-    assert [tuple(r) for r in df.where("id = 'd3'").collect()] == [("d3", 3, 0.75, True)]
+    assert [tuple(r) for r in df.where("id = 'd3'").collect()] == [("d3", 3, 0.75, True)] and df.count() == 10
+    one = spark.read.format("sqlite").schema(df.schema).options(path=path, dbtable="documents", key="id", value="d3").load()
+    assert [tuple(r) for r in one.collect()] == [("d3", 3, 0.75, True)]
+
+
+def test_sqlite_library_with_times(spark, tmp_path):
+    """The library's own table, whose times are text."""
+    path = str(tmp_path / "whole.db")
+    kinds = {"string": "TEXT", "int": "INTEGER", "double": "REAL", "boolean": "INTEGER", "timestamp": "TEXT"}
+    columns = ", ".join(f"{f.name} {kinds[f.dataType.simpleString()]} NOT NULL" for f in LIBRARY)
+    rows = [("a", "/a.pdf", "A", 3, "2024-01-01T10:20:30.456Z", 2, 0.5, "page-width", 1, 90, "single", 1, "2024-02-01T00:00:00.000Z"), ("b", "/b.pdf", "B", 0, "2023-01-01", 1, 0, "x", 1.5, 0, "stacked", 0, "2024-02-01T01:00:00+01:00")]
+    with sqlite3.connect(path) as db:
+        db.execute(f"CREATE TABLE documents ({columns})")
+        db.executemany(f"INSERT INTO documents VALUES ({', '.join('?' * len(rows[0]))})", rows)
+    register_sqlite(spark)
+    df = spark.read.format("sqlite").schema(LIBRARY).option("path", path).option("dbtable", "documents").load()
+    found = {r["id"]: r for r in df.collect()}
+    assert (found["a"]["last_opened_at"], found["a"]["updated_at"]) == (datetime(2024, 1, 1, 10, 20, 30, 456_000), datetime(2024, 2, 1))
+    assert found["b"]["updated_at"] == datetime(2024, 2, 1) and found["b"]["sync_enabled"] is False and found["a"]["scale"] == 1.0
+    assert [r["id"] for r in df.where(F.col("updated_at") == F.lit("2024-02-01").cast("timestamp")).orderBy("id").collect()] == ["a", "b"]
+    assert [r["id"] for r in df.where("id = 'b' and page_count = 0").collect()] == ["b"]
+    assert [r["id"] for r in recent(df, "last_opened_at", "id").collect()] == ["a", "b"]
+
+
+def test_browser_files_get_a_path(spark):
+    df = spark.createDataFrame([("x.pdf",)], "name string")
+    assert browser_files(df, "name").first()["file_path"] == "browser://x.pdf"
