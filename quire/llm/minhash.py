@@ -168,11 +168,15 @@ def differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def lightest_other(rows: DataFrame) -> DataFrame:
-    """rows (centre, doc_id, component, weight) with other_weight and other, the least weight around the centre in another component and who has it."""
-    light = F.min(F.struct("weight", "component", "doc_id"))
-    first = rows.groupBy("centre").agg(light.alias("_first"))
-    second = rows.join(first, "centre").where("component <> _first.component").groupBy("centre").agg(light.alias("_second"))
-    both = first.join(second, "centre")
+    """rows (centre, doc_id, component, weight) with other_weight and other, the least weight around the centre in another component and who has it.
+
+    The two lightest components of each centre are written first, so that the join with rows can split a centre that very many share.
+    """
+    per = keep(rows.groupBy("centre", "component").agg(F.min(F.struct("weight", "doc_id")).alias("_least")), "components")
+    light = F.min(F.struct("_least.weight", "component", "_least.doc_id"))
+    first = per.groupBy("centre").agg(light.alias("_first"))
+    second = per.join(first, "centre").where("component <> _first.component").groupBy("centre").agg(light.alias("_second"))
+    both = keep(first.join(second, "centre"), "lightest")
     other = F.when(F.col("component") == F.col("_first.component"), F.col("_second")).otherwise(F.col("_first"))
     return rows.join(both, "centre").withColumn("_other", other).withColumns({"other_weight": F.col("_other.weight"), "other": F.col("_other.doc_id")}).drop("_first", "_second", "_other")
 

@@ -294,3 +294,35 @@ def test_pipeline_stages(spark):
     assert mixed.where("count > 2").isEmpty() and {r["doc_id"] for r in mixed.collect()} <= kept
     pieces = tables[5]
     assert pieces.select("doc_id").distinct().count() == mixed.count() and pieces.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
+
+
+def edge_rows():
+    """Documents of all kinds: null in each column, empty and long texts, repeated rows and ids, ties."""
+    rng = random.Random(21)
+    line = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "of", "the"]) + str(rng.randrange(300)) for _ in range(n))
+    rows = [(i, line(rng.randrange(20, 200)) + ".", "en", f"src{i % 3}", 5) for i in range(40)]
+    rows += [rows[0], rows[0], (41, rows[1][1], "en", "src9", 1), (None, line(50), "en", "src0", 1), (None, line(50), None, None, None), (3, line(60), None, "src1", None)]
+    return rows + [(50, None, "en", "src0", 0), (51, "", "en", None, 0), (52, " \n", "en", "src0", 2), (53, line(6000), "de", "src2", None), (54, "mail ab@cd.org " + line(40), None, None, 1)]
+
+
+@pytest.mark.parametrize("rows", [edge_rows(), [], [(None, None, None, None, None)]], ids=["mixed", "none", "null"])
+def test_pipeline_stages_on_odd_tables(spark, tmp_path, rows):
+    """Every stage, written and read again; columns named as the operators name their own come along."""
+    import corpus_pipeline
+
+    folder = str(tmp_path)
+    spark.createDataFrame([(i, 1, 0) for i in range(40)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs = spark.createDataFrame(rows, cases.SCHEMA)
+    for extra in (False, True):
+        table = docs.withColumns({c: F.lit(1) for c in ("kept", "size", "_row", "_key", "component", "copies", "row_key", "_found")}) if extra else docs
+        columns = table.columns
+        for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            path = f"{folder}/{extra}{n}"
+            stage(spark, table, folder).write.parquet(path)
+            table = spark.read.parquet(path)
+            if n < 4:
+                assert table.columns == columns
+            if n == 1 and len(rows) > 1:
+                ids = [r["doc_id"] for r in table.collect()]
+                assert ids.count(0) == 1 and 41 not in ids and ids.count(None) == 2
+        assert {"sequence_id", "offset", "length"} <= set(table.columns) and (table.count() > 0) == (len(rows) > 1)
