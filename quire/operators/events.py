@@ -139,10 +139,30 @@ def fold_panes(events: DataFrame, page_count: Column, key: str = "doc_id", befor
     return done
 
 
-def fold_absolute(events: DataFrame, keys: list[str], fields: list[str], order: list[str]) -> DataFrame:
+def last_known(events: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], inclusive: bool = True, forward: bool = True, most: int | None = None) -> DataFrame:
+    """events with, for each name, the last value that is not null among the rows of the same keys up to each row, or before it.
+
+    forward: in order, else from the end. A key with more than most (RANGE) events is cut into ranges (in_ranges): values are looked for within
+    a range, and what is not found there is the last one of the ranges before, of which only a row each meet.
+    """
+    ranged = in_ranges(events.withColumn("_keys", F.struct(*keys)), "_keys", order, most or RANGE)
+    turned = lambda c: F.col(c).asc() if forward else F.col(c).desc()
+    here = Window.partitionBy("_keys", "_range").orderBy(*map(turned, order)).rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    found = ranged.withColumns({name: F.last(value, ignorenulls=True).over(here) for name, value in values.items()})
+    if not hasattr(ranged, "_scratch"):
+        return found.drop("_keys", "_range")
+    pick = F.max_by if forward else F.min_by
+    ends = ranged.groupBy("_keys", "_range").agg(*(pick(value, F.when(value.isNotNull(), F.struct(*order))).alias(name) for name, value in values.items()))
+    across = Window.partitionBy("_keys").orderBy(turned("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("_keys", "_range", *(F.last(name, ignorenulls=True).over(across).alias(f"_far_{name}") for name in values))
+    joined = found.join(carried, ["_keys", "_range"]).withColumns({name: F.coalesce(name, f"_far_{name}") for name in values})
+    return joined.drop("_keys", "_range", *(f"_far_{name}" for name in values))
+
+
+def fold_absolute(events: DataFrame, keys: list[str], fields: list[str], order: list[str], most: int | None = None) -> DataFrame:
     """Views after each event while sync is constant and updates absolute: each field's last value that is not null."""
-    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return events.withColumns({c: F.last(c, ignorenulls=True).over(upto) for c in fields})
+    known = last_known(events, keys, order, {f"_last_{c}": F.col(c) for c in fields}, most=most)
+    return known.select(*(F.col(f"_last_{c}").alias(c) if c in fields else F.col(c) for c in events.columns))
 
 
 def rotations(events: DataFrame, key: str, turns: Column) -> DataFrame:
@@ -174,29 +194,24 @@ def fan_out(events: DataFrame, sync: Column, pane: str = "pane_id") -> DataFrame
     return events.withColumn("target", F.explode(panes))
 
 
-def suppress_echoes(events: DataFrame, keys: list[str], order: list[str], applies: Column, within_us: int = ECHO_MS * 1000, ts: str = "ts") -> DataFrame:
+def suppress_echoes(events: DataFrame, keys: list[str], order: list[str], applies: Column, within_us: int = ECHO_MS * 1000, ts: str = "ts", most: int | None = None) -> DataFrame:
     """Events that do not follow an apply of their key within a time; applies themselves are left out."""
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    marked = events.withColumn("_applied", F.last(F.when(applies, at), ignorenulls=True).over(before))
+    marked = last_known(events, keys, order, {"_applied": F.when(applies, at)}, inclusive=False, most=most)
     return marked.where(~applies & (F.col("_applied").isNull() | (at - F.col("_applied") > within_us))).drop("_applied")
 
 
-def debounce(events: DataFrame, keys: list[str], order: list[str], gap_us: int = DEBOUNCE_MS * 1000, ts: str = "ts", flush_at_end: bool = True) -> DataFrame:
+def debounce(events: DataFrame, keys: list[str], order: list[str], gap_us: int = DEBOUNCE_MS * 1000, ts: str = "ts", flush_at_end: bool = True, most: int | None = None) -> DataFrame:
     """Events after which a key is quiet for the gap: those that are saved. flush_at_end keeps the last one of each key too."""
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    following = F.lead(at).over(Window.partitionBy(*keys).orderBy(*order))
-    return events.withColumn("_next", following).where((F.col("_next") - at >= gap_us) | (F.col("_next").isNull() & F.lit(flush_at_end))).drop("_next")
+    known = last_known(events, keys, order, {"_next": at}, inclusive=False, forward=False, most=most)
+    return known.where((F.col("_next") - at >= gap_us) | (F.col("_next").isNull() & F.lit(flush_at_end))).drop("_next")
 
 
-def on_change(events: DataFrame, keys: list[str], order: list[str], fields: list[str]) -> DataFrame:
+def on_change(events: DataFrame, keys: list[str], order: list[str], fields: list[str], most: int | None = None) -> DataFrame:
     """Events that change a field against the one before; the first of a key does."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    first = F.row_number().over(w) == 1
-    differs = first
-    for c in fields:
-        differs = differs | ~F.col(c).eqNullSafe(F.lag(c).over(w))
-    return events.withColumn("_differs", differs).where("_differs").drop("_differs")
+    known = last_known(events, keys, order, {"_before": F.struct(*fields)}, inclusive=False, most=most)
+    return known.where(F.col("_before").isNull() | (F.col("_before") != F.struct(*fields))).drop("_before")
 
 
 def coalesce_scrolls(events: DataFrame, keys: list[str], frame: str, value: str, order: list[str], ts: str = "ts") -> DataFrame:

@@ -264,11 +264,8 @@ def echo_suppress(spark, d):
 SELECT event_id, coalesce(event_type = lag(event_type) OVER w AND abs(value - lag(value) OVER w) < 0.002, false) AS close
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def state_close(spark, d):
-    from pyspark.sql import Window
-
     view = F.struct(F.lit(1).alias("page_number"), F.lit(0.0).alias("relative_offset_y"), F.col("event_type").alias("scale_value"), F.col("value").alias("scale"), F.lit(0).alias("rotation"))
-    rows = table(spark, d, "events").withColumn("view", view)
-    rows = rows.withColumn("before", F.lag("view").over(Window.partitionBy("user_id").orderBy(*ORDER)))
+    rows = E.last_known(table(spark, d, "events").withColumn("view", view), ["user_id"], ORDER, {"before": F.col("view")}, inclusive=False)
     return rows.select("event_id", F.coalesce(N.view_is_close(F.col("view"), F.col("before")), F.lit(False)).alias("close"))
 
 
