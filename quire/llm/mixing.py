@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import WORD, bits_for, keep, numbered, one_of_alike, spread_rank
@@ -37,11 +37,17 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     """source_key, source, source_size and target: share of all words by weight, none above most times its source's size.
 
     What a full source can't take is shared by weight among the others until none is above. A target follows
-    from one scalar per round, so sources are never collected; only numbering them, a row per source, takes a single sort.
+    from one scalar per round, so sources are never collected; they are numbered in order by ranges, whose counts are summed up.
     """
-    place = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
+    order = [F.col("source").isNull(), F.col("source")]
+    cut = keep(sizes.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "cut")
+    counts = cut.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
     weight = F.array(*map(F.lit, weights))
-    ranked = keep(sizes.withColumn("_weight", F.get(weight, (place % len(weights)).cast("int"))), "sources")
+    ranked = cut.join(F.broadcast(offsets), "_part").withColumn("_weight", F.get(weight, (place % len(weights)).cast("int"))).drop("_part", "_before")
+    ranked = keep(ranked, "sources")
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     cap = F.col("source_size") * most
     level = 0.0
@@ -88,8 +94,10 @@ def entropy_rates(groups: DataFrame, targets: DataFrame, most: float = MOST) ->
         close = F.abs(F.col("words") - F.col("target")) <= F.greatest(F.col("target") * CLOSE, F.lit(0.5))
         moved = state.join(F.broadcast(sums) if n_sources <= FEW else sums, "source_key", "left").withColumns({"low": low, "high": high}).withColumn("_next", F.when(fits, newton).otherwise(middle))
         open_ = F.col("words").isNotNull() & ~F.col("done")
-        state = keep(moved.select("source_key", "target", "scale", "source_size", F.when(open_ & ~close, F.col("_next")).otherwise(F.col("tilt")).alias("tilt"), "low", "high", (F.col("done") | close | F.col("words").isNull()).alias("done")), "tilts")
-        if state.where(~F.col("done")).isEmpty():
+        still = Observation()
+        moved = moved.select("source_key", "target", "scale", "source_size", F.when(open_ & ~close, F.col("_next")).otherwise(F.col("tilt")).alias("tilt"), "low", "high", (F.col("done") | close | F.col("words").isNull()).alias("done"))
+        state = keep(moved.observe(still, F.count_if(~F.col("done")).alias("open")), "tilts")
+        if not still.get.get("open"):
             break
     full = (F.col("source_size") > 0) & (F.col("target") >= most * F.col("source_size"))
     return state.select("source_key", "tilt", "scale", full.alias("full"))

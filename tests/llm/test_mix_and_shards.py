@@ -7,6 +7,7 @@ import cases
 import numpy as np
 import pytest
 
+from quire.llm.common import numbered
 from quire.llm.mixing import mix_to_targets, source_targets, take_mix
 from quire.llm.sharding import communication_matrix, hypergeometric, shard_documents
 
@@ -94,3 +95,34 @@ def test_shards_of_repeated_rows_and_none(spark, empty, clashing):
     counts = collections.Counter(r["shard"] for r in shard_documents(same).collect())
     assert sum(counts.values()) == 103 and set(counts.values()) <= {2, 3}
     assert shard_documents(empty).count() == 0 and shard_documents(clashing).count() == len(cases.prose())
+
+
+def test_shuffle_is_uniform(spark):
+    """Documents of eight ranges of ids are spread over eight shards, and over places in them, as chance would."""
+    df = cases.documents(spark, [(i, f"t{i}", "s") for i in range(8000)])
+    found = shard_documents(df, shards=8).collect()
+    counts, halves = np.zeros((8, 8)), np.zeros((8, 2))
+    for r in found:
+        counts[r["doc_id"] // 1000, r["shard"]] += 1
+        halves[r["doc_id"] // 1000, r["slot"] // 500] += 1
+    assert counts.sum(0).tolist() == [1000] * 8
+    assert 15 < ((counts - 125) ** 2 / 125).sum() < 100  # 49 degrees of freedom
+    assert ((halves - 500) ** 2 / 500).sum() < 35  # 8 degrees of freedom
+    other = {r["doc_id"]: r["shard"] for r in shard_documents(df, shards=8, seed=8).collect()}
+    assert 700 < sum(other[r["doc_id"]] == r["shard"] for r in found) < 1300
+
+
+def test_many_sources_are_numbered_in_order(spark):
+    names = [f"s{k:03d}" for k in range(300)] + ["", "é", "\U0001f600", None]
+    sizes = {s: 10 + (7 * k) % 90 for k, s in enumerate(names)}
+    df = spark.createDataFrame([(f"={s}" if s is not None else "-", s, n) for s, n in sizes.items()], "source_key string, source string, source_size long").repartition(6)
+    found = {r["source"]: r["target"] for r in source_targets(df).collect()}
+    assert found == {s: pytest.approx(t) for s, t in water_level(sizes).items()}
+
+
+def test_rows_alike_are_numbered(spark):
+    df = spark.createDataFrame([("a", None)] * 25_000 + [("a", 1.0)] * 3 + [(None, None)], "x string, y double")
+    found = collections.defaultdict(list)
+    for r in numbered(df).collect():
+        found[r["x"], r["y"]].append(r["_nth"])
+    assert {k: sorted(v) for k, v in found.items()} == {("a", None): list(range(25_000)), ("a", 1.0): [0, 1, 2], (None, None): [0]}

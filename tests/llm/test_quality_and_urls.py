@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import re
 
 import cases
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.llm.quality import FEATURES, fit_trees, keep_good, quality_verdicts, statistics
-from quire.llm.urlfilter import entropy, filter_urls, host_of, path_of
+from quire.llm.urlfilter import entropy, filter_urls, host_of, lexical_features, path_of
 
 
 def plain_statistics(text):
@@ -121,3 +122,37 @@ def test_entropy(spark, text):
     counts = collections.Counter(text)
     expected = -sum(n / len(text) * math.log2(n / len(text)) for n in counts.values())
     assert spark.range(1).select(entropy(F.lit(text))).first()[0] == pytest.approx(expected)
+
+
+def test_features_are_the_plain_ones(spark):
+    rng = random.Random(2)
+    part = lambda n: "".join(rng.choice("abcXYZ0123-._~%") for _ in range(rng.randrange(n)))
+    urls = [u for u, *_ in URLS] + [f"http{rng.choice(['', 's'])}://{part(20)}.{part(5)}/{part(9)}/{part(9)}{rng.choice(['', '?a=' + part(5), '?a=1&b=' + part(4), '#x'])}" for _ in range(150)]
+    for r in lexical_features(pages(spark, urls)).collect():
+        url = urls[r["page_id"]] or ""
+        rest = re.split(r"[/?#]", url.split("://", 1)[1], maxsplit=1)[0] if "://" in url else ""
+        host = re.sub("[A-Z]", lambda m: m[0].lower(), rest)
+        path = re.match(r"[^?#]*", url.split("://", 1)[1][len(rest) :])[0] if "://" in url else ""
+        query = url.split("?", 1)[1].split("#")[0] if "?" in url else ""
+        chars = collections.Counter(url)
+        bits = -sum(n / len(url) * math.log2(n / len(url)) for n in chars.values())
+        wanted = (host, path, len(url), len(host), len(path), host.count("."), len(re.findall("/[^/]", path)), sum(c in "0123456789" for c in url) / max(len(url), 1), host.count("-"), query.count("&") + 1 if query else 0, float("#" in url))
+        assert (r["host"], r["path"], r["length"], r["host_length"], r["path_length"], r["labels"], r["depth"], pytest.approx(r["digits"]), r["hyphens"], r["parameters"], r["fragment"]) == wanted, url
+        assert r["entropy"] == pytest.approx(bits) and r["suffix"] == host.rsplit(".", 1)[-1]
+
+
+def test_repeated_and_very_long_urls(spark):
+    long = "http://a.example.net/en/" + "x/" * 500_000 + "?" + "&" * 100_000
+    rows = [("http://b.biz/1",)] * 3 + [(long,), ("http://" + "a." * 200_000 + "net/",), ("http://q.org/fr/1",)]
+    df = spark.createDataFrame([(i % 4, *r) for i, r in enumerate(rows)], "page_id long, url string")
+    found = filter_urls(df).collect()
+    assert len(found) == 6 and len({(r["verdict"], r["score"]) for r in found if r["host"] == "b.biz"}) == 1
+    assert sorted((r["rule"], r["verdict"]) for r in found if r["rule"]) == [("example.net/en/", "allow"), ("net/", "block"), ("org/fr/", "allow")]
+
+
+def test_quality_of_repeated_rows_and_long_texts(spark):
+    long = " ".join(f"w{k % 70_000}" for k in range(200_000))
+    df = cases.documents(spark, [(1, "one two three " * 9, "s")] * 3 + [(2, long, "s"), (None, long, "s")])
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    found = quality_verdicts(df, none).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_repeat_words"], r["kept"]) for r in found) == [(0, 200_000, 200_000, False), *[(1, 27, 27, False)] * 3, (2, 200_000, 200_000, False)]
