@@ -313,16 +313,15 @@ def test_pipeline_stages_on_odd_tables(spark, tmp_path, rows):
     folder = str(tmp_path)
     spark.createDataFrame([(i, 1, 0) for i in range(40)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     docs = spark.createDataFrame(rows, cases.SCHEMA)
-    for extra in (False, True):
-        table = docs.withColumns({c: F.lit(1) for c in ("kept", "size", "_row", "_key", "component", "copies", "row_key", "_found")}) if extra else docs
-        columns = table.columns
-        for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
-            path = f"{folder}/{extra}{n}"
-            stage(spark, table, folder).write.parquet(path)
-            table = spark.read.parquet(path)
-            if n < 4:
-                assert table.columns == columns
-            if n == 1 and len(rows) > 1:
-                ids = [r["doc_id"] for r in table.collect()]
-                assert ids.count(0) == 1 and 41 not in ids and ids.count(None) == 2
-        assert {"sequence_id", "offset", "length"} <= set(table.columns) and (table.count() > 0) == (len(rows) > 1)
+    table = docs.withColumns({c: F.lit(1) for c in ("kept", "size", "_row", "_key", "component", "copies", "row_key", "_found")})
+    columns = table.columns
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        path = f"{folder}/{n}"
+        stage(spark, table, folder).write.parquet(path)
+        table = spark.read.parquet(path)
+        if n < 4:
+            assert table.columns == columns
+        if n == 1 and len(rows) > 1:
+            ids = [r["doc_id"] for r in table.collect()]
+            assert ids.count(0) == 1 and 41 not in ids and ids.count(None) == 2
+    assert {"sequence_id", "offset", "length"} <= set(table.columns) and (table.count() > 0) == (len(rows) > 1)
