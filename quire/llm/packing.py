@@ -32,6 +32,19 @@ def marks_apart(word: bytes) -> tuple[bytes, bytes] | None:
     return stem, word[len(stem) :]
 
 
+def lowered_words(text: bytes) -> list[bytes]:
+    """The words of a text, with A-Z lowered unless the tokenizer, which composes letters with marks first, would see another word.
+
+    Letters of ASCII are composed only with U+0300 to U+036F, whose UTF-8 begins with CC or CD, as that of no other character does but a few. In texts with
+    these, words with other than ASCII stay as they are, and so do texts that may hold special tokens.
+    """
+    if b"<|" in text:
+        return text.split()
+    if b"\xcc" not in text and b"\xcd" not in text:
+        return text.lower().split()
+    return [w.lower() if w.isascii() else w for w in text.split()]
+
+
 class Tokens:
     """Ids of texts by a tokenizer file. Its words never span ASCII white space, so each word between is tokenized once and remembered."""
 
@@ -55,13 +68,12 @@ class Tokens:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids as unsigned 32-bit numbers, little-endian as all machines that Spark runs on are.
 
-        The tokenizer lowers case last, so A-Z of ASCII words are lowered before; other words, whose letters may first be composed with marks
-        behind them, and special tokens stay as they are. ASCII marks right behind a
+        The tokenizer lowers case, so A-Z are lowered before where that changes nothing (lowered_words). ASCII marks right behind a
         letter or digit are a word of their own to it, so they are looked up apart.
         """
         if len(self.known) > CACHED_WORDS:
             self.known = {}
-        words = [t.lower().split() if t.isascii() and b"<|" not in t else [w.lower() if w.isascii() and b"<|" not in t else w for w in t.split()] for t in texts]
+        words = list(map(lowered_words, texts))
         known, new = self.known, set()
         for text in words:
             new.update(text)
