@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.ann import nearest_neighbours
 from quire.llm.common import read
+from quire.llm.filteraudit import audit_filters
 from quire.llm.minhash import near_duplicates
 from quire.llm.mixing import mix_to_targets
-from quire.llm.oracles import NEAR_DUPLICATES, REPEATED_BYTES, WINDOWS_OF_WORDS
+from quire.llm.oracles import FILTER_AUDIT, NEAR_DUPLICATES, REPEATED_BYTES, WINDOWS_OF_WORDS
 from quire.llm.packing import pack_documents
 from quire.llm.pii import pseudonymize
 from quire.llm.quality import quality_verdicts
@@ -22,7 +23,7 @@ from quire.llm.urlfilter import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: The other operators' verdicts, draws, plans and digests are beyond SQL; tests/llm compares them with plain Python.
-ORACLES = {"op7_substring_dedup": WINDOWS_OF_WORDS, "op8_minhash_near_dedup": NEAR_DUPLICATES, "op9_suffix_dedup": REPEATED_BYTES}
+ORACLES = {"op7_substring_dedup": WINDOWS_OF_WORDS, "op8_minhash_near_dedup": NEAR_DUPLICATES, "op9_suffix_dedup": REPEATED_BYTES, "op12_filter_audit": FILTER_AUDIT}
 
 
 def op10_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +67,8 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_quality_rules, op4_pii_pseudonyms, op5_url_filter, op6_multi_index_search, op7_substring_dedup, op8_minhash_near_dedup, op9_suffix_dedup, op10_shuffle_shards)}
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES |= {f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_quality_rules, op4_pii_pseudonyms, op5_url_filter, op6_multi_index_search, op7_substring_dedup, op8_minhash_near_dedup, op9_suffix_dedup, op10_shuffle_shards, op12_filter_audit)}
