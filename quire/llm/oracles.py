@@ -55,3 +55,24 @@ SELECT part, filter_order, step, sum(CASE WHEN mask & (before | bit) = 0 THEN n
   sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
   sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost, any_value(shapley)::BIGINT AS shapley
 FROM steps, cell JOIN share USING (part) WHERE of_bit = bit GROUP BY part, filter_order, step"""
+
+
+def _round(n: int) -> str:
+    """Each part's nearest entry of the codebooks of a round, and the codebooks after it."""
+    return f"""near{n} AS (SELECT vec_id, label, row, part.p, part.a, part.b, part.c, part.d, arg_min(e, (dist, e)) AS e, min(dist) AS dist FROM (
+  SELECT part.*, e, (part.a - book.a)**2 + (part.b - book.b)**2 + (part.c - book.c)**2 + (part.d - book.d)**2 AS dist FROM part JOIN book{n} book USING (p)) part GROUP BY ALL),
+book{n + 1} AS (SELECT old.p, old.e, {", ".join(f"coalesce(new.{x}, old.{x}) AS {x}" for x in "abcd")} FROM book{n} old LEFT JOIN (
+  SELECT p, e, {", ".join(f"floor(sum({x}) / count(*))::BIGINT AS {x}" for x in "abcd")} FROM near{n} GROUP BY ALL) new USING (p, e)),"""
+
+
+VECTOR_CODES = f"""
+WITH k AS (SELECT vec_id, label, embedding AS v, row_number() OVER () AS row FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+part AS (SELECT vec_id, label, row, p, {", ".join(f"floor(256 * v[4 * p + {i}]::DOUBLE)::BIGINT AS {x}" for i, x in enumerate("abcd", 1))} FROM k, range(16) r(p)),
+book0 AS (SELECT p, e, a, b, c, d FROM part JOIN (SELECT row, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k ORDER BY vec_id LIMIT 64) USING (row)),
+{_round(0)}
+{_round(1)}
+{_round(2)}
+coded AS (SELECT vec_id, label, row, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY p) AS code, sum(dist)::BIGINT AS error FROM near2 GROUP BY ALL)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(concat_ws(',', a, b, c, d), ',' ORDER BY p, e)) FROM book2) AS codebooks_sha256 FROM coded"""

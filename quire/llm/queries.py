@@ -12,7 +12,7 @@ from quire.llm.common import read
 from quire.llm.filteraudit import audit_filters
 from quire.llm.minhash import near_duplicates
 from quire.llm.mixing import mix_to_targets
-from quire.llm.oracles import FILTER_AUDIT, NEAR_DUPLICATES, REPEATED_BYTES, WINDOWS_OF_WORDS
+from quire.llm.oracles import FILTER_AUDIT, NEAR_DUPLICATES, REPEATED_BYTES, VECTOR_CODES, WINDOWS_OF_WORDS
 from quire.llm.packing import pack_documents
 from quire.llm.pii import pseudonymize
 from quire.llm.quality import quality_verdicts
@@ -20,10 +20,11 @@ from quire.llm.sharding import shard_documents
 from quire.llm.substring import dedup_substrings
 from quire.llm.suffix import dedup_bytes
 from quire.llm.urlfilter import filter_urls
+from quire.llm.vectorcodes import compress_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: The other operators' verdicts, draws, plans and digests are beyond SQL; tests/llm compares them with plain Python.
-ORACLES = {"op7_substring_dedup": WINDOWS_OF_WORDS, "op8_minhash_near_dedup": NEAR_DUPLICATES, "op9_suffix_dedup": REPEATED_BYTES, "op12_filter_audit": FILTER_AUDIT}
+ORACLES = {"op7_substring_dedup": WINDOWS_OF_WORDS, "op8_minhash_near_dedup": NEAR_DUPLICATES, "op9_suffix_dedup": REPEATED_BYTES, "op11_annular_codes": VECTOR_CODES, "op12_filter_audit": FILTER_AUDIT}
 
 
 def op10_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +68,12 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_annular_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_quality_rules, op4_pii_pseudonyms, op5_url_filter, op6_multi_index_search, op7_substring_dedup, op8_minhash_near_dedup, op9_suffix_dedup, op10_shuffle_shards, op12_filter_audit)}
+QUERIES |= {f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_quality_rules, op4_pii_pseudonyms, op5_url_filter, op6_multi_index_search, op7_substring_dedup, op8_minhash_near_dedup, op9_suffix_dedup, op10_shuffle_shards, op11_annular_codes, op12_filter_audit)}
