@@ -22,6 +22,8 @@ FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
 #: Texts, in bytes as they are kept, that a task remembers before it passes them on.
 REMEMBERED = 48 << 20
+#: Bytes of texts for each partition that they are routed to; nothing adapts these at runtime.
+PARTITION = 128 << 20
 #: Groups of input partitions whose copies of a text that is frequent in each meet first.
 LANES = 32
 _UPPER, _SIGNS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#$%&*|"
@@ -133,7 +135,8 @@ def marked_copies(documents: DataFrame) -> DataFrame:
     copies meet in lanes before they meet in one task, so a text that a third of all rows hold never does so row by row.
     """
     spark = documents.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), size // PARTITION)
     pairs = documents.select(F.col("doc_id").cast("long"), "text", F.col("source").alias("part")).rdd.mapPartitionsWithIndex(_read)
     for last in (False, True):
         pairs = pairs.repartitionAndSortWithinPartitions(parts, _place).mapPartitions(lambda found, last=last: _meet(found, last))
