@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.ann import nearest_neighbours
 from quire.llm.common import read
+from quire.llm.contextmix import score_documents
 from quire.llm.filteraudit import audit_filters
 from quire.llm.minhash import near_duplicates
 from quire.llm.mixing import mix_to_targets
@@ -76,4 +77,8 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_quality_rules, op4_pii_pseudonyms, op5_url_filter, op6_multi_index_search, op7_substring_dedup, op8_minhash_near_dedup, op9_suffix_dedup, op10_shuffle_shards, op11_annular_codes, op12_filter_audit)}
+def op13_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read(spark, sf_dir, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_quality_rules, op4_pii_pseudonyms, op5_url_filter, op6_multi_index_search, op7_substring_dedup, op8_minhash_near_dedup, op9_suffix_dedup, op10_shuffle_shards, op11_annular_codes, op12_filter_audit, op13_context_mixing)}
