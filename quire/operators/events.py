@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.labels import number_text, preset_or_number
-from quire.functions.normalize import merge_view, scale_by
+from quire.functions.normalize import normalize_offset, normalize_page, normalize_rotation, normalize_scale, scale_by
 from quire.scratch import forget, keep
-from quire.schemas import DEBOUNCE_MS, DEFAULT_SPLIT, DEFAULT_SYNC, DEFAULT_VIEW, ECHO_MS, LEAST_SCALE, MOST_SCALE, SCALE_STEP
+from quire.schemas import DEBOUNCE_MS, DEFAULT_SPLIT, DEFAULT_SYNC, DEFAULT_VIEW, ECHO_MS, LEAST_SCALE, MOST_SCALE
 
 PANE_KINDS = ("page", "scale", "rotation", "scroll")
 TOOLBAR_KINDS = ("goto", "zoom_in", "zoom_out", "fit", "rotate")
 _EVENT = ("ts", "event_id", "pane_id", "kind", "page_number", "relative_offset_y", "scale_value", "scale", "rotation")
-#: Events of a key that meet in one array at most.
+_ORDER = ["ts", "event_id"]
+VIEWS = ("original", "companion")
+#: Events of a key that one window sorts, and zoom steps that meet in one array, at most.
 RANGE = 100_000
 STATE = "struct<original:{v},companion:{v},sync:boolean,active:string,split:string,applied:timestamp>".format(v="struct<page_number:int,relative_offset_y:double,scale_value:string,scale:double,rotation:int>")
 
@@ -26,56 +28,6 @@ def initial_state() -> Column:
     ).cast(STATE)
 
 
-def _let(value: Column, body) -> Column:
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def next_state(state: Column, event: Column, page_count: Column, echo_ms: int = ECHO_MS) -> Column:
-    """The state after an event.
-
-    Events of a pane change it, toolbar events the active one; in sync both panes get the result. Right after an apply, events of panes are
-    its echo and are dropped. Turning sync on copies the active pane; a single pane makes the original one active.
-    """
-    kind = event["kind"]
-    toolbar = kind.isin(*TOOLBAR_KINDS)
-    pane = F.when(toolbar, state["active"]).otherwise(event["pane_id"])
-
-    def changed(current: Column) -> Column:
-        zoom = scale_by(current["scale"], kind == "zoom_in")
-        zooms = kind.isin("zoom_in", "zoom_out")
-        update = {
-            "page_number": F.when(kind.isin("page", "scroll", "goto"), event["page_number"]),
-            "relative_offset_y": F.when(kind == "goto", 0.0).when(kind == "scroll", event["relative_offset_y"]),
-            "scale_value": F.when(zooms, number_text(zoom)).when(kind == "scale", preset_or_number(event["scale_value"], event["scale"])).when(kind == "fit", event["scale_value"]),
-            "scale": F.when(zooms, zoom).when(kind == "scale", event["scale"]),
-            "rotation": F.when(kind == "rotate", current["rotation"] + 90.0).when(kind == "rotation", event["rotation"]),
-        }
-        return merge_view(current, update, page_count)
-
-    def put(view: Column) -> Column:
-        return F.struct(
-            F.when(state["sync"] | (pane == "original"), view).otherwise(state["original"]).alias("original"),
-            F.when(state["sync"] | (pane == "companion"), view).otherwise(state["companion"]).alias("companion"),
-            state["sync"].alias("sync"), state["active"].alias("active"), state["split"].alias("split"), state["applied"].alias("applied"),
-        ).cast(STATE)
-
-    def control(**fields: Column) -> Column:
-        return F.struct(*(fields.get(n, state[n]).alias(n) for n in ("original", "companion", "sync", "active", "split", "applied"))).cast(STATE)
-
-    active_view = F.when(state["active"] == "original", state["original"]).otherwise(state["companion"])
-    echo = kind.isin(*PANE_KINDS) & state["applied"].isNotNull() & ((F.unix_micros(event["ts"]) - F.unix_micros(state["applied"])) <= echo_ms * 1000)
-    current = F.when(pane == "original", state["original"]).otherwise(state["companion"])
-    moves = (toolbar | (kind.isin(*PANE_KINDS) & pane.isin("original", "companion"))) & (page_count > 0)
-    return (
-        F.when(kind == "toggle_sync", F.when(state["sync"], control(sync=F.lit(False))).otherwise(control(sync=F.lit(True), original=active_view, companion=active_view)))
-        .when((kind == "activate") & event["pane_id"].isin("original", "companion"), control(active=event["pane_id"]))
-        .when(kind == "split", control(split=event["scale_value"], active=F.when(event["scale_value"] == "single", F.lit("original")).otherwise(state["active"])))
-        .when(kind == "apply", control(applied=event["ts"]))
-        .when(moves & ~F.coalesce(echo, F.lit(False)), _let(changed(current), put))
-        .otherwise(state)
-    )
-
-
 def in_ranges(events: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
     """Add _range, from 0, which cuts each key's events in order into ranges of most events each, the last one may have fewer.
 
@@ -85,56 +37,171 @@ def in_ranges(events: DataFrame, key: str, order: list[str], most: int) -> DataF
     if not events.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).take(1):
         return events.withColumn("_range", F.lit(0).cast("long"))
     cut = keep(events.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()), "cut")
-    counts = cut.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_at")).agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_key", "_at", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    counts = cut.groupBy(F.col(key).alias("_cut_key"), F.col("_part").alias("_at")).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_cut_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_cut_key", "_at", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     place = F.col("_before") + F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order)) - 1
-    placed = cut.join(offsets, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_at"))).withColumn("_range", F.floor(place / most))
-    ranged = keep(placed.drop("_key", "_at", "_part", "_before").repartitionByRange("_range", key), "ranges")  # so that a reader of one range skips the others
+    placed = cut.join(offsets, F.col(key).eqNullSafe(F.col("_cut_key")) & (F.col("_part") == F.col("_at"))).withColumn("_range", F.floor(place / most))
+    ranged = keep(placed.drop("_cut_key", "_at", "_part", "_before").repartitionByRange("_range", key), "ranges")  # so that a reader of one range skips the others
     forget(cut)
     return ranged
 
 
-def _folded(rows: DataFrame, key: str, before: DataFrame | None) -> DataFrame:
-    """key, _pages and state after rows, from before (the same columns or key and state), else the default state."""
-    rows = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*_EVENT))).alias("_events"), F.max("_pages").alias("_pages"))
-    start, pages = initial_state(), F.col("_pages")
-    if before is not None:
-        rows = rows.join(before.select(F.col(key).alias("_key"), F.col("state").alias("_before"), *([F.col("_pages").alias("_most")] if "_pages" in before.columns else [])), F.col(key).eqNullSafe(F.col("_key")), "left")
-        start = F.coalesce("_before", start)
-        pages = F.col("_most") if "_most" in rows.columns else pages
-    folded = F.aggregate("_events", start, lambda s, e: next_state(s, e, pages))
-    return rows.select(key, pages.alias("_pages"), folded.alias("state"))
+def zoomed(scale: Column, steps: Column) -> Column:
+    """scale after zoom steps in order, true for in."""
+    return F.aggregate(steps, scale, lambda x, zoom_in: scale_by(x, zoom_in))
 
 
-def fold_panes(events: DataFrame, page_count: Column, key: str = "doc_id", before: DataFrame | None = None, most: int | None = None) -> DataFrame:
-    """key and state after all events of each key, in order of ts and event_id.
+def zoom_steps(rows: DataFrame, keys: list[str], order: list[str], zoom_in: Column, **sums: Column) -> DataFrame:
+    """keys, _scale, _steps, and sums: zoom steps of rows (zoom_in is null where a row is none) by _range, reduced to what still counts.
 
-    before: key and state to start from, else the default. A fold depends on order, so a key's events are folded range by range (in_ranges),
-    each from the state after the one before; no array has more than most (RANGE) events. Keys of one range are done after the first turn; the
-    others, at most one for each RANGE events, are carried along.
+    A step keeps the order of two scales. So where the least and the greatest scale end alike after a range, all do: _scale is where they end in the
+    last such range, else null, and _steps are the steps behind it, so the result is exact to the last digit wherever ranges are cut. Steps at
+    random reach a bound after some hundred; a key that never does keeps a byte for each.
     """
-    ranged = in_ranges(events.select(key, *(c for c in _EVENT if c != key), page_count.alias("_pages")), key, ["ts", "event_id"], most or RANGE)
+    steps = F.transform(F.array_sort(F.collect_list(F.when(zoom_in.isNotNull(), F.struct(*order, zoom_in.alias("_in"))))), lambda x: x["_in"])
+    ranges = rows.groupBy(*keys, "_range").agg(steps.alias("_steps"), *(F.sum(c).alias(n) for n, c in sums.items()))
+    ends = ranges.withColumns({"_low": zoomed(F.lit(LEAST_SCALE), F.col("_steps")), "_high": zoomed(F.lit(MOST_SCALE), F.col("_steps"))})
+    last = F.max(F.when(F.col("_low") == F.col("_high"), F.col("_range"))).over(Window.partitionBy(*keys))
+    marked = ends.withColumn("_last", F.coalesce(last, F.lit(-1)))
+    behind = F.collect_list(F.when((F.col("_range") > F.col("_last")) & (F.size("_steps") > 0), F.struct("_range", "_steps")))
+    return marked.groupBy(*keys).agg(
+        F.max(F.when(F.col("_range") == F.col("_last"), F.col("_low"))).alias("_scale"),
+        F.flatten(F.transform(F.array_sort(behind), lambda x: x["_steps"])).alias("_steps"),
+        *(F.sum(n).alias(n) for n in sums),
+    )
+
+
+def _carried(ranged: DataFrame, values: dict[str, Column], count: Column) -> DataFrame:
+    """ranged with the last value of each name before each row of its _key, and _count, how many rows before it meet count."""
+    here = Window.partitionBy("_key", "_range").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    number = count.cast("long")
+    found = ranged.withColumns({n: F.last(v, ignorenulls=True).over(here) for n, v in values.items()} | {"_count": F.coalesce(F.sum(number).over(here), F.lit(0))})
     if not hasattr(ranged, "_scratch"):
-        return _folded(ranged, key, before).select(key, "state")
-    pages = ranged.groupBy(F.col(key)).agg(F.max("_pages").alias("_pages"))
-    if before is None:
-        start = pages.withColumn("state", initial_state())
+        return found
+    last = [F.max_by(v, F.when(v.isNotNull(), F.struct(*_ORDER))).alias(n) for n, v in values.items()]
+    ends = ranged.groupBy("_key", "_range").agg(F.sum(number).alias("_number"), *last)
+    across = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    far = ends.select(
+        F.col("_key").alias("_far_key"), F.col("_range").alias("_far_range"), F.coalesce(F.sum("_number").over(across), F.lit(0)).alias("_far_count"),
+        *(F.last(n, ignorenulls=True).over(across).alias(f"_far{n}") for n in values),
+    )
+    joined = found.join(far, F.col("_key").eqNullSafe(F.col("_far_key")) & (F.col("_range") == F.col("_far_range")), "left")
+    joined = joined.withColumns({n: F.coalesce(n, f"_far{n}") for n in values} | {"_count": F.col("_count") + F.col("_far_count")})
+    return joined.drop("_far_key", "_far_range", "_far_count", *(f"_far{n}" for n in values))
+
+
+def _lines(ranged: DataFrame, start: DataFrame | None, echo_ms: int) -> tuple[DataFrame, DataFrame]:
+    """Events that count, each with its _line, and what it sets.
+
+    Sync, the active pane and applies depend on no view, so windows give them at every event. While sync is on there is one view; when it is turned
+    on, the active pane's view becomes that of both. So the views at the end come from one line of events that both share ("both"), and, while sync is
+    off at the end, from those of each pane since. Events of a pane that was given up, and echoes, are in no line. "control" are the others. Also
+    all events as they were before they were sorted into lines.
+    """
+    kind, pane = F.col("kind"), F.col("pane_id")
+    is_kind = lambda *names: F.coalesce(kind.isin(*names), F.lit(False))
+    toggle = is_kind("toggle_sync")
+    turns = F.when(is_kind("activate") & pane.isin(*VIEWS), pane).when(is_kind("split") & (F.col("scale_value") == "single"), "original")
+    known = _carried(ranged, {"_active": turns, "_applied": F.when(is_kind("apply"), F.col("ts"))}, toggle)
+    if start is None:
+        known = known.withColumns({"_sync0": F.lit(DEFAULT_SYNC), "_active0": F.lit("original"), "_applied0": F.lit(None).cast("timestamp")})
     else:
-        old = before.select(F.col(key).alias("_key"), F.col("state").alias("_before"))
-        start = pages.join(old, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, "_pages", F.coalesce("_before", initial_state()).alias("state"))
-    first = keep(_folded(ranged.where("_range = 0"), key, start), "states")
-    longer = ranged.where("_range = 1").select(F.col(key).alias("_key")).distinct()
-    match = F.col(key).eqNullSafe(F.col("_key"))
-    carried = keep(first.join(longer, match, "left_semi"), "states")
-    for turn in range(1, ranged.agg(F.max("_range")).first()[0] + 1):
-        folded = _folded(ranged.where(F.col("_range") == turn), key, carried)
-        new = folded.select(F.col(key).alias("_key"), F.col("state").alias("_state"))
-        after = keep(carried.join(new, match, "left").select(key, "_pages", F.coalesce("_state", "state").alias("state")), "states")
-        forget(carried)
-        carried = after
-    done = keep(first.join(longer, match, "left_anti").unionByName(carried).select(key, "state"), "states")
-    for table in (ranged, first, carried):
+        known = known.join(start, F.col("_key").eqNullSafe(F.col("_start_key")), "left").drop("_start_key")
+        known = known.withColumns({"_sync0": F.coalesce("_sync0", F.lit(DEFAULT_SYNC)), "_active0": F.coalesce("_active0", F.lit("original"))})
+    active, applied = F.coalesce("_active", "_active0"), F.coalesce("_applied", "_applied0")
+    sync = F.col("_sync0") != (F.col("_count") % 2 == 1)
+    echo = is_kind(*PANE_KINDS) & applied.isNotNull() & (F.unix_micros("ts") - F.unix_micros(applied) <= echo_ms * 1000)
+    target = F.when(is_kind(*TOOLBAR_KINDS), active).when(is_kind(*PANE_KINDS) & pane.isin(*VIEWS) & ~F.coalesce(echo, F.lit(False)), pane)
+    control = toggle | turns.isNotNull() | is_kind("split", "apply")
+    some = known.select(
+        "_key", "_range", *_ORDER, "kind", target.alias("_target"), sync.alias("_sync"), F.col("_count").alias("_phase"), active.alias("_now"), control.alias("_control"),
+        turns.alias("_turns"), "page_number", "relative_offset_y", "scale_value", "scale", "rotation",
+    )
+    some = keep(some.where(F.col("_target").isNotNull() | F.col("_control")), "known")
+    chosen = some.where((F.col("kind") == "toggle_sync") & ~F.col("_sync")).select(F.col("_key").alias("_of"), F.col("_phase").alias("_until"), F.col("_now").alias("_chosen"))
+    joined = some.join(chosen, F.col("_key").eqNullSafe(F.col("_of")) & (F.col("_phase") == F.col("_until")), "left")
+    line = F.when(F.col("_control"), "control").when(F.col("_sync") | (F.col("_target") == F.col("_chosen")), "both").when(F.col("_chosen").isNull(), F.col("_target"))
+    return keep(joined.withColumn("_line", line).where("_line is not null").drop("_of", "_until", "_chosen"), "lines"), some
+
+
+def _set_by(lines: DataFrame) -> DataFrame:
+    """What each line of each key sets: its last page, place, text of the scale, scale and rotation, quarter turns and zoom steps since, and control."""
+    kind, at = F.col("kind"), F.struct(*_ORDER)
+    last = lambda value, here: F.max_by(value, F.when(here, at))
+    zooms = kind.isin("zoom_in", "zoom_out")
+    text = F.when(kind == "scale", preset_or_number(F.col("scale_value"), F.col("scale"))).when(kind == "fit", F.col("scale_value"))
+    pages, scales, rotates = kind.isin("page", "scroll", "goto") & F.col("page_number").isNotNull(), (kind == "scale") & F.col("scale").isNotNull(), (kind == "rotation") & F.col("rotation").isNotNull()
+    place = F.when(kind == "goto", F.lit(0.0)).when(kind == "scroll", F.col("relative_offset_y"))
+    found = lines.groupBy("_key", "_line").agg(
+        last(F.col("page_number"), pages).alias("page"), last(place, place.isNotNull()).alias("place"), last(F.struct(text.alias("text"), zooms.alias("zoomed")), zooms | text.isNotNull()).alias("text"),
+        last(F.col("scale"), scales).alias("scale"), F.max(F.when(scales, at)).alias("scale_at"), last(F.col("rotation"), rotates).alias("rotation"), F.max(F.when(rotates, at)).alias("rotation_at"),
+        F.count_if(kind == "toggle_sync").alias("toggles"), last(F.col("_turns"), F.col("_turns").isNotNull()).alias("active"),
+        last(F.struct("scale_value"), kind == "split").alias("split"), last(F.col("ts"), kind == "apply").alias("applied"),
+    )
+    steps = lines.where(kind.isin("zoom_in", "zoom_out", "rotate")).withColumnsRenamed({"_key": "_of", "_line": "_in"})
+    positions = found.select("_key", "_line", "scale_at", "rotation_at")
+    counted = steps.join(positions, F.col("_key").eqNullSafe(F.col("_of")) & (F.col("_line") == F.col("_in")))
+    behind = lambda c: F.col(c).isNull() | (at > F.col(c))
+    zoom_in = F.when(kind.isin("zoom_in", "zoom_out") & behind("scale_at"), kind == "zoom_in")
+    turns = F.when((kind == "rotate") & behind("rotation_at"), 1).otherwise(0)
+    reduced = zoom_steps(counted.drop("_of", "_in"), ["_key", "_line"], _ORDER, zoom_in, turns=turns).withColumnsRenamed({"_key": "_of", "_line": "_in"})
+    both = found.join(reduced, F.col("_key").eqNullSafe(F.col("_of")) & (F.col("_line") == F.col("_in")), "left")
+    return both.drop("_of", "_in", "scale_at", "rotation_at")
+
+
+def _after(view: Column, line: Column, pages: Column) -> Column:
+    """A view after a line's events; no line, or a document without pages, leaves it as it is."""
+    start = normalize_scale(F.coalesce(line["scale"], view["scale"]))
+    scale = zoomed(F.coalesce(line["_scale"], start), F.coalesce(line["_steps"], F.array().cast("array<boolean>")))
+    text = F.when(line["text"]["zoomed"], number_text(scale)).otherwise(F.coalesce(line["text"]["text"], view["scale_value"]))
+    turned = normalize_rotation(F.coalesce(line["rotation"], view["rotation"].cast("double")) + 90.0 * F.coalesce(line["turns"], F.lit(0)))
+    new = F.struct(
+        normalize_page(F.coalesce(line["page"], view["page_number"].cast("double")), pages).alias("page_number"), normalize_offset(F.coalesce(line["place"], view["relative_offset_y"])).alias("relative_offset_y"),
+        text.alias("scale_value"), scale.alias("scale"), turned.alias("rotation"),
+    )
+    return F.when(line.isNull() | ~F.coalesce(pages > 0, F.lit(False)), view).otherwise(new)
+
+
+def fold_panes(events: DataFrame, page_count: Column, key: str = "doc_id", before: DataFrame | None = None, most: int | None = None, echo_ms: int = ECHO_MS) -> DataFrame:
+    """key and state after all events of each key, in order of ts and event_id.
+
+    Events of a pane change it, toolbar events the active one; in sync both panes get the result. Right after an apply, events of panes are its echo
+    and are dropped. Turning sync on copies the active pane; a single pane makes the original one active. A document without pages keeps its views.
+
+    before: key and state to start from, else the default. The fold depends on order, but no event waits for the one before: control state comes from
+    windows, events are sorted into lines (_lines), and a line is reduced by partial aggregates to what it sets last (_set_by). The number of jobs
+    does not depend on the number of events; a key with more than most (RANGE) is cut into ranges (in_ranges) for windows and zoom steps.
+    """
+    columns = [F.col(c) for c in _EVENT]
+    ranged = in_ranges(events.select(F.col(key).alias("_key"), *columns, page_count.alias("_pages")), "_key", _ORDER, most or RANGE)
+    start = None
+    if before is not None:
+        start = before.select(F.col(key).alias("_start_key"), F.col("state.sync").alias("_sync0"), F.col("state.active").alias("_active0"), F.col("state.applied").alias("_applied0"))
+    lines, known = _lines(ranged, start, echo_ms)
+    # The pane whose first view "both" goes on from: the one that the first event in sync changes, or the active one when sync is first turned on.
+    first = F.when(F.col("_sync") & (F.col("_phase") == 0) & F.col("_target").isNotNull(), F.col("_target")).when((F.col("kind") == "toggle_sync") & ~F.col("_sync"), F.col("_now"))
+    origin = known.groupBy(F.col("_key").alias("_of")).agg(F.min_by(first, F.when(first.isNotNull(), F.struct(*_ORDER))).alias("_origin"))
+    whole = _set_by(lines)
+    one = lambda name: F.first(F.when(F.col("_line") == name, F.struct(*(c for c in whole.columns if c not in ("_key", "_line")))), ignorenulls=True).alias(f"_{name}")
+    found = whole.groupBy(F.col("_key").alias("_set_key")).agg(*map(one, ("control", "both", *VIEWS)))
+    keys = ranged.groupBy("_key").agg(F.max("_pages").alias("_pages"))
+    same = lambda other: F.col("_key").eqNullSafe(F.col(other))
+    rows = keys.join(found, same("_set_key"), "left").join(origin, same("_of"), "left")
+    state = initial_state()
+    if before is not None:
+        rows = rows.join(before.select(F.col(key).alias("_start_key"), F.col("state").alias("_before")), same("_start_key"), "left")
+        state = F.coalesce("_before", state)
+    rows = rows.withColumn("_state", state)
+    pages, old, control = F.col("_pages"), F.col("_state"), F.col("_control")
+    shared = rows.withColumn("_shared", F.when(F.col("_origin").isNotNull(), _after(F.when(F.col("_origin") == "original", old["original"]).otherwise(old["companion"]), F.col("_both"), pages)))
+    views = [_after(F.coalesce("_shared", old[v]), F.col(f"_{v}"), pages).alias(v) for v in VIEWS]
+    folded = F.struct(
+        *views, F.when(control["toggles"] % 2 == 1, ~old["sync"]).otherwise(old["sync"]).alias("sync"), F.coalesce(control["active"], old["active"]).alias("active"),
+        F.when(control["split"].isNotNull(), control["split"]["scale_value"]).otherwise(old["split"]).alias("split"), F.coalesce(control["applied"], old["applied"]).alias("applied"),
+    ).cast(STATE)
+    done = keep(shared.select(F.col("_key").alias(key), folded.alias("state")), "states")
+    for table in (lines, known, *([ranged] if hasattr(ranged, "_scratch") else [])):
         forget(table)
     return done
 
@@ -171,21 +238,10 @@ def rotations(events: DataFrame, key: str, turns: Column) -> DataFrame:
 
 
 def zooms(events: DataFrame, key: str, order: list[str], zoom_in: Column, most: int | None = None) -> DataFrame:
-    """Scale of each key after its zoom steps in order; each is clamped, so order counts.
-
-    Steps in a row are one clamped product: min(max(scale * factor, low), high). So each range of most (RANGE) steps of a key is reduced to that,
-    and a key's ranges are applied one after the other. The first is followed from 1 exactly; later ones may differ from single steps by rounding.
-    """
-    clamped = lambda x: F.least(F.greatest(x, F.lit(LEAST_SCALE)), F.lit(MOST_SCALE))
-    factor = F.when(zoom_in, F.lit(SCALE_STEP)).otherwise(F.lit(1.0 / SCALE_STEP))
-    ranged = in_ranges(events.select(key, *(c for c in order if c != key), factor.alias("_f")), key, order, most or RANGE)
-    steps = F.transform(F.array_sort(F.collect_list(F.struct(*order, "_f"))), lambda x: x["_f"])
-    whole = F.struct(F.lit(1.0).alias("factor"), F.lit(0.0).alias("low"), F.lit(float("inf")).alias("high"), F.lit(1.0).alias("one"))
-    step = lambda s, f: F.struct((s["factor"] * f).alias("factor"), *(clamped(s[c] * f).alias(c) for c in ("low", "high", "one")))
-    products = ranged.groupBy(key, "_range").agg(F.aggregate(steps, whole, step).alias("_p"))
-    in_order = products.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_range", "_p"))).alias("_all"))
-    first, later = F.get("_all", F.lit(0))["_p"]["one"], F.slice("_all", F.lit(2), F.size("_all"))
-    return in_order.select(key, F.aggregate(later, first, lambda s, r: F.least(F.greatest(s * r["_p"]["factor"], r["_p"]["low"]), r["_p"]["high"])).alias("scale"))
+    """Scale of each key after its zoom steps in order, from 1; each is clamped, so order counts. Ranges of most (RANGE) steps are reduced alone (zoom_steps)."""
+    ranged = in_ranges(events.select(key, *(c for c in order if c != key), zoom_in.alias("_zoom")), key, order, most or RANGE)
+    reduced = zoom_steps(ranged, [key], order, F.col("_zoom"))
+    return reduced.select(key, zoomed(F.coalesce("_scale", F.lit(1.0)), F.col("_steps")).alias("scale"))
 
 
 def fan_out(events: DataFrame, sync: Column, pane: str = "pane_id") -> DataFrame:
