@@ -1,87 +1,102 @@
-"""View events as streams: states folded batch by batch into a table of whole versions and deltas, and debounced saves."""
+"""View events as streams: states folded batch by batch into a bucketed table, and echoes, frames and saves by event time."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from quire.scratch import forget
 from quire.operators.events import STATE, fold_panes
 from quire.operators.library import partial_update, recent
-from quire.schemas import DEBOUNCE_MS, RECENT
+from quire.scratch import forget
+from quire.schemas import DEBOUNCE_MS, ECHO_MS, RECENT
+from quire.sources.buckets import BUCKETS, COMMITS, BucketedTable
 
 
-#: Every so many batches the deltas become a whole table.
-COMPACT = 20
+def state_table(spark: SparkSession, folder: str, kind: str = "string", buckets: int = BUCKETS, commits: int = COMMITS) -> BucketedTable:
+    """States by document."""
+    return BucketedTable(spark, folder, "doc_id", T.StructType.fromDDL(f"doc_id {kind}, state {STATE}"), buckets, commits)
 
 
-def _folder(spark: SparkSession, folder: str):
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def states(spark: SparkSession, folder: str, kind: str = "string") -> DataFrame:
+    """doc_id and state after all batches."""
+    return state_table(spark, folder, kind).rows()
 
 
-def _versions(spark: SparkSession, folder: str) -> tuple[list[int], list[int]]:
-    """Batches with a finished whole table, and those with a finished delta."""
-    path, fs = _folder(spark, folder)
-    if not fs.exists(path):
-        return [], []
-    jvm = spark.sparkContext._jvm
-    names = [s.getPath().getName() for s in fs.listStatus(path) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return tuple(sorted(int(name[1:]) for name in names if name[0] == kind) for kind in "wd")
+def fold_stream(events: DataFrame, folder: str, checkpoint: str, page_count: int, available_now: bool = True, buckets: int = BUCKETS, commits: int = COMMITS, after=None) -> StreamingQuery:
+    """Fold a stream of events into states: each batch opens the buckets that hold its documents, folds its events from there and commits these states alone.
+
+    The fold is the batch one. The number of a batch is noted with its commit, so one that is repeated after a failure is not folded twice. Events are
+    folded in order within a batch; batches are folded as they arrive. after: called with (states, batch number) once a batch is committed.
+    """
+    kind = events.schema["doc_id"].dataType.simpleString()
 
+    def step(batch: DataFrame, number: int) -> None:
+        table = state_table(batch.sparkSession, folder, kind, buckets, commits)
+        if table.notes().get("batch", -1) < number:
+            base = table.version()
+            folded = fold_panes(batch, F.lit(page_count), "doc_id", table.having(batch, version=base))
+            table.commit(folded, {"batch": number}, base)
+            forget(folded)
+        if after is not None:
+            after(table.rows(), number)
+
+    writer = events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()
 
-def states(spark: SparkSession, folder: str, before: int | None = None, kind: str = "string") -> DataFrame:
-    """doc_id and state after all batches, or after those before one: the last whole table and the deltas since."""
-    whole, deltas = ([v for v in found if before is None or v < before] for found in _versions(spark, folder))
-    paths = [f"{folder}/w{whole[-1]}"] if whole else []
-    paths += [f"{folder}/d{v}" for v in deltas if not whole or v > whole[-1]]
-    schema = f"doc_id {kind}, state {STATE}, version long"
-    if not paths:
-        return spark.createDataFrame([], schema).drop("version")
-    rows = spark.read.schema(schema).parquet(*paths)
-    if len(paths) == 1:
-        return rows.drop("version")
-    return rows.groupBy("doc_id").agg(F.max_by("state", "version").alias("state"))
 
+#: An event that says that no more follow; its time lets every watermark pass.
+END, END_TIME = "end of stream", datetime(9000, 1, 1)
 
-def _compact(spark: SparkSession, folder: str, number: int, kind: str) -> None:
-    """Write the whole table as it is before a batch, and delete what came before the whole table before it, which readers may still hold."""
-    whole, deltas = _versions(spark, folder)
-    earlier = [v for v in whole if v < number - 1]
-    states(spark, folder, number, kind).withColumn("version", F.lit(number - 1).cast("long")).write.mode("overwrite").parquet(f"{folder}/w{number - 1}")
-    if not earlier:
-        return
-    for name in [f"w{v}" for v in earlier[:-1]] + [f"d{v}" for v in deltas if v <= earlier[-1]]:
-        path, fs = _folder(spark, f"{folder}/{name}")
-        fs.delete(path, True)
 
+def end_stream(spark: SparkSession, schema: T.StructType, folder: str, kind: str = "kind", ts: str = "ts") -> None:
+    """Append an end to a folder of event files that streams read. Windows and sessions that are still open close then; without it they stay open."""
+    row = {f.name: END if f.name == kind else END_TIME if f.name == ts else None for f in schema}
+    spark.createDataFrame([tuple(row.values())], schema).coalesce(1).write.mode("append").parquet(folder)
 
-def fold_stream(events: DataFrame, folder: str, checkpoint: str, page_count: int, available_now: bool = True, compact: int = COMPACT) -> StreamingQuery:
-    """Fold a stream of events into states: each batch reads the states of its own documents, folds its events from there and writes these alone.
 
-    The fold is the batch one, in the JVM. A batch that is repeated after a failure starts from the same states and overwrites its own. Events are
-    folded in order within a batch; batches are folded as they arrive. Every compact batches the table is written whole and older files go.
+def before_end(ts: str = "ts") -> Column:
+    """Whether a row is no end. It asks for the time and not for the kind, since the optimizer would take an end out before its time reached the watermark."""
+    return F.col(ts) < F.lit(END_TIME).cast("timestamp")
+
+
+def without_echoes(events: DataFrame, late: str, applies: Column | None = None, within_ms: int = ECHO_MS, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Events that do not follow an apply of their key within a time, whatever order they arrive in; applies are left out.
+
+    An event waits until the watermark is past it, since its apply may come later; applies are kept as long as an event could follow them. Both are
+    dropped then, so state is as long as late and the guard. The end of the stream is no event.
     """
-    kind = events.schema["doc_id"].dataType.simpleString()
+    applies = F.coalesce(F.col("kind") == "apply" if applies is None else applies, F.lit(False))
+    ends = F.coalesce(F.col("kind") == END, F.lit(False))  # on both sides, so that both watermarks pass
+    mine = events.where(~applies | ends).withWatermark("ts", late)
+    guards = events.where(applies | ends).select(*(F.col(k).alias(f"_g_{k}") for k in keys), F.col("ts").alias("_g_ts"), F.col("event_id").alias("_g_id")).withWatermark("_g_ts", late)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
+    earlier = (F.col("_g_ts") < F.col("ts")) | ((F.col("_g_ts") == F.col("ts")) & (F.col("_g_id") < F.col("event_id")))
+    near = (F.col("_g_ts") <= F.col("ts")) & (F.col("_g_ts") >= F.col("ts") - F.expr(f"INTERVAL {within_ms} MILLISECONDS"))
+    joined = mine.join(guards, same & near & earlier, "left_outer")
+    return joined.where(F.col("_g_ts").isNull() & before_end()).select(*events.columns)
 
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        if number and number % compact == 0:
-            _compact(spark, folder, number, kind)
-        touched = batch.select(F.col("doc_id").alias("_touched")).distinct()
-        before = states(spark, folder, number, kind).join(touched, F.col("doc_id").eqNullSafe(F.col("_touched")), "left_semi")
-        folded = fold_panes(batch, F.lit(page_count), "doc_id", before)
-        folded.withColumn("version", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{folder}/d{number}")
-        if hasattr(folded, "_scratch"):
-            forget(folded)
 
-    writer = events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).outputMode("append")
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()
+def coalesced_frames(events: DataFrame, late: str, frame: str, value: str, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The last value of each frame of time, once the watermark is past it. Rows that come later are not looked at; late_rows counts them."""
+    last = F.max_by(F.col(value), F.struct("ts", "event_id")).alias(value)
+    frames = events.withWatermark("ts", late).groupBy(*keys, F.window("ts", frame).alias("_frame")).agg(last)
+    return frames.select(*keys, F.col("_frame.start").alias("frame_start"), value)
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a query's batches so far dropped because the watermark was past them."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
 
 
 def debounced_saves(events: DataFrame, late: str, gap: str = f"{DEBOUNCE_MS} milliseconds", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The last event of each session of a key, once the watermark is past the gap. Sessions still open when the stream ends are not saved."""
+    """The last event of each session of a key, once the watermark is past the gap. Sessions that are open when the stream ends are saved if it has an end
+    (end_stream), else they are lost, as changes are that a teardown cancels."""
     last = F.max_by(F.struct("*"), F.struct("ts", "event_id")).alias("_last")
     sessions = events.withWatermark("ts", late).groupBy(*keys, F.session_window("ts", gap).alias("_session"))
     return sessions.agg(last).select("_last.*")

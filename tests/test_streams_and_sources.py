@@ -1,46 +1,121 @@
 """Streams against batches, and sources against what was written."""
 
 import json
+import random
 import sqlite3
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 from test_operators import made_events
 
-from quire.operators.events import fold_panes
+from quire.operators.events import coalesce_scrolls, fold_panes, suppress_echoes
 from quire.operators.library import recent
 from quire.schemas import LIBRARY, PANE_EVENT
 from quire.sources.files import browser_files, parse_store, pdf_files, read_store, register_sqlite, write_store
-from quire.streaming.states import debounced_saves, fold_stream, recent_after, save_views, states
+from quire.streaming.states import END, coalesced_frames, debounced_saves, end_stream, fold_stream, late_rows, recent_after, save_views, state_table, states, without_echoes
+
+
+def write(spark, events, folder):
+    spark.createDataFrame([tuple(e.values()) for e in events], PANE_EVENT).coalesce(1).write.mode("append").parquet(str(folder))
 
 
 def test_stream_ends_in_the_batch_state(spark, tmp_path):
-    events = made_events(9, 90)
+    events, lists = made_events(9, 90), []
+    library = spark.createDataFrame([(d, d, "t", 12, datetime(2024, 1, 1), 1, 0.0, "x", 1.0, 0, "single", True, datetime(2024, 1, 1)) for d in ("d0", "other")], LIBRARY)
+    now = F.lit("2025-01-01").cast("timestamp")
     for i in range(6):
-        spark.createDataFrame([tuple(e.values()) for e in events[15 * i : 15 * i + 15]], PANE_EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        write(spark, events[15 * i : 15 * i + 15], tmp_path / "in")
         stream = spark.readStream.schema(PANE_EVENT).parquet(str(tmp_path / "in"))
-        fold_stream(stream, str(tmp_path / "out"), str(tmp_path / "check"), 12, compact=2).awaitTermination()
-    whole = fold_panes(spark.createDataFrame([tuple(e.values()) for e in events], PANE_EVENT), F.lit(12))
-    streamed = {r["doc_id"]: r["state"] for r in states(spark, str(tmp_path / "out")).collect()}
-    assert streamed == {r["doc_id"]: r["state"] for r in whole.collect()}
-    library = spark.createDataFrame([(d, d, "t", 12, datetime(2024, 1, 1), 1, 0.0, "x", 1.0, 0, "single", True, datetime(2024, 1, 1)) for d in ("d0", "other")], LIBRARY)
-    saved = {r["id"]: r for r in save_views(library, states(spark, str(tmp_path / "out")), F.lit("2025-01-01").cast("timestamp")).collect()}
+        refreshed = lambda found, n: lists.append((n, [r["id"] for r in recent_after(library, found, now).collect()]))
+        fold_stream(stream, str(tmp_path / "out"), str(tmp_path / "check"), 12, buckets=8, commits=2, after=refreshed).awaitTermination()
+    whole = {r["doc_id"]: r["state"] for r in fold_panes(spark.createDataFrame([tuple(e.values()) for e in events], PANE_EVENT), F.lit(12)).collect()}
+    of = lambda: {r["doc_id"]: r["state"] for r in states(spark, str(tmp_path / "out")).collect()}
+    streamed = of()
+    assert streamed == whole and [n for n, _ in lists] == list(range(6)) and lists[-1][1] == ["d0", "other"]
+    saved = {r["id"]: r for r in save_views(library, states(spark, str(tmp_path / "out")), now).collect()}
     assert saved["d0"]["page_number"] == streamed["d0"]["original"]["page_number"] and saved["d0"]["updated_at"].year == 2025
     assert saved["other"]["page_number"] == 1 and len(saved) == 2
-    assert [r["id"] for r in recent_after(library, states(spark, str(tmp_path / "out")), F.lit("2025-01-01").cast("timestamp")).collect()] == ["d0", "other"]
-    kept = sorted(p.name for p in (tmp_path / "out").iterdir())
-    assert kept == ["d2", "d3", "d4", "d5", "w1", "w3"]  # the whole tables of the last two compactions, and deltas since the first
+    assert [r["id"] for r in recent_after(library, states(spark, str(tmp_path / "out")), now).collect()] == ["d0", "other"]
+    # A batch whose end was lost is run again and changes nothing.
+    (tmp_path / "check" / "commits" / "5").unlink()
+    (tmp_path / "check" / "commits" / ".5.crc").unlink(missing_ok=True)
+    fold_stream(spark.readStream.schema(PANE_EVENT).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check"), 12).awaitTermination()
+    table = state_table(spark, str(tmp_path / "out"))
+    assert of() == whole and table.version() == 6 and max(map(len, table._manifest()["parts"].values())) <= 2
+
+
+def test_a_batch_opens_and_writes_the_buckets_of_its_documents(spark, tmp_path):
+    many = [{**e, "doc_id": f"d{n}"} for n in range(200) for e in made_events(n, 2, 1)]
+    write(spark, many, tmp_path / "in")
+    run = lambda: fold_stream(spark.readStream.schema(PANE_EVENT).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check"), 12, buckets=32).awaitTermination()
+    run()
+    files = lambda: {str(p) for p in (tmp_path / "out" / "data").rglob("*.parquet")}
+    before, few = files(), [e for e in many if e["doc_id"] in ("d3", "d77")]
+    table = state_table(spark, str(tmp_path / "out"))
+    batch = spark.createDataFrame([tuple(e.values()) for e in few], PANE_EVENT)
+    assert len(table.having(batch).inputFiles()) == len(table.touched(batch)) <= 2 < len(before)
+    write(spark, few, tmp_path / "in")
+    run()
+    assert len(files() - before) == len(table.touched(batch))
+    assert {r["doc_id"] for r in states(spark, str(tmp_path / "out")).collect()} == {e["doc_id"] for e in many}
+
+
+def replay(spark, tmp_path, rows, kind, seed, files, end=True, per=1):
+    """A stream of rows in shuffled files, one a batch."""
+    rows = random.Random(seed).sample(rows, len(rows)) if seed is not None else rows
+    folder = str(tmp_path / f"in{seed}{end}")
+    schema = spark.createDataFrame([], kind).schema
+    for n in range(files):
+        spark.createDataFrame(rows[n::files] if seed is not None else rows[len(rows) * n // files : len(rows) * (n + 1) // files], schema).coalesce(1).write.mode("append").parquet(folder)
+    if end:
+        end_stream(spark, schema, folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per).parquet(folder)
+
+
+def run(stream, name):
+    query = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query, sorted(map(tuple, stream.sparkSession.table(name).collect()), key=repr)
+
+
+KIND = "doc_id string, kind string, ts timestamp, event_id int, value double"
 
 
-def test_debounced_saves_on_a_stream(spark, tmp_path):
-    t0 = datetime(2024, 1, 1)
+def moments(seed, n=160):
+    rng, t0 = random.Random(seed), datetime(2024, 1, 1)
+    return [(rng.choice(["a", "b", None]), rng.choice(["apply", "page", "page", "scroll", None]), t0 + timedelta(milliseconds=rng.randrange(0, 6000, 5)), i, rng.random()) for i in range(n)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_echoes_of_a_shuffled_stream_are_those_of_the_batch(spark, tmp_path, seed):
+    rows = moments(seed)
+    _, found = run(without_echoes(replay(spark, tmp_path, rows, KIND, seed, 4), "1 minute"), f"echoes{seed}")
+    batch = suppress_echoes(spark.createDataFrame(rows, KIND), ["doc_id"], ["ts", "event_id"], F.coalesce(F.col("kind") == "apply", F.lit(False)))
+    assert found == sorted(map(tuple, batch.select("doc_id", "kind", "ts", "event_id", "value").collect()), key=repr)
+    assert 10 < len(found) < sum(r[1] != "apply" for r in rows)
+
+
+def test_frames_of_a_shuffled_stream_and_late_rows(spark, tmp_path):
+    rows = moments(3)
+    query, found = run(coalesced_frames(replay(spark, tmp_path, rows, KIND, 3, 5), "1 minute", "100 milliseconds", "value"), "frames")
+    batch = coalesce_scrolls(spark.createDataFrame(rows, KIND), ["doc_id"], "100 milliseconds", "value", ["ts", "event_id"])
+    ended = [r for r in found if r[1].year < 9000]
+    assert ended == sorted(map(tuple, batch.collect()), key=repr) and late_rows(query) == 0
+    # In order of time but for one row, which comes when its frame is long closed.
+    ordered = sorted((r for r in rows if r[2].second >= 1), key=lambda r: r[2])
+    stray = ("a", "scroll", datetime(2024, 1, 1), 999, 0.5)
+    query, late = run(coalesced_frames(replay(spark, tmp_path, [*ordered, stray], KIND, None, 4), "1 second", "100 milliseconds", "value"), "late")
+    batch = coalesce_scrolls(spark.createDataFrame(ordered, KIND), ["doc_id"], "100 milliseconds", "value", ["ts", "event_id"])
+    assert [r for r in late if r[1].year < 9000] == sorted(map(tuple, batch.collect()), key=repr) and late_rows(query) == 1
+
+
+@pytest.mark.parametrize("end", [True, False])
+def test_debounced_saves_on_a_stream(spark, tmp_path, end):
     at = [0, 100, 1000, 1100, 60_000]
-    df = spark.createDataFrame([("d", t0 + timedelta(milliseconds=ms), i) for i, ms in enumerate(at)], "doc_id string, ts timestamp, event_id int")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    query = debounced_saves(stream, "1 second").writeStream.format("memory").queryName("saves").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert sorted(r["event_id"] for r in spark.table("saves").collect()) == [1, 3]
+    rows = [("d", "page", datetime(2024, 1, 1) + timedelta(milliseconds=ms), i, 0.0) for i, ms in enumerate(at)]
+    _, found = run(debounced_saves(replay(spark, tmp_path, rows, KIND, None, 1, end), "1 second").where(F.col("kind") != END), f"saves{end}")
+    assert sorted(r[3] for r in found) == ([1, 3, 4] if end else [1, 3])  # without an end a teardown cancels the last
 
 
 def test_pdf_files(spark, tmp_path):
