@@ -1,0 +1,58 @@
+"""Searches by an index and the recent list by a layout: same rows as without, fewer files."""
+
+import random
+from datetime import datetime, timedelta
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from quire.operators.index import TextIndex, grams, lay_out_by_time, recent_from_layout
+from quire.operators.library import recent, search
+
+WORDS = ["Alpha", "beta", "GAMMA", "50%", "x_y", "öl", "日本語", "a\\b", "é", "straße"]
+
+
+@pytest.fixture(scope="module")
+def made(spark, tmp_path_factory):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices(WORDS, k=3)), f"/p/{rng.choice(WORDS)}/{i}.pdf", 1) for i in range(300)] + [(300, None, None, 1), (301, "", "", 1), (None, "beta", "null key", 1), (302, "ab", None, 1)]
+    df = spark.createDataFrame(rows, "id long, title string, file_path string, gram int").repartition(3)
+    index = TextIndex(spark, str(tmp_path_factory.mktemp("index") / "i"), "id", "title", "file_path")
+    index.build(df)
+    return df, index
+
+
+@pytest.mark.parametrize("query", ["alpha", " BETA gamma", "%", "_", "öl", "日本語", "本", "/p/", "a\\b", "a", "b ", "x_y /p/", "nothing here", "", " \t", "ÉÉ", "2.pdf", "aaa", "straSSe"])
+def test_found_rows_are_those_of_a_scan(made, query):
+    df, index = made
+    ids = lambda found: sorted((r["id"] if r["id"] is not None else -1) for r in found.collect())
+    assert ids(index.search(df, query)) == ids(search(df, query))
+
+
+def test_a_search_reads_few_files(spark, made):
+    _, index = made
+    whole = {str(p): p.stat().st_size for p in Path(index.folder).rglob("*.parquet")}
+    plan = index.postings(index.wanted("alpha"))
+    shelves = len({f.split("shelf=")[1].split("/")[0] for f in (r[0] for r in plan.select(F.input_file_name()).distinct().collect())})
+    read = sum(size for f, size in whole.items() if any(f"shelf={s}/" in f for s in {r["shelf"] for r in plan.select("shelf").distinct().collect()}))
+    assert shelves <= 3 and read < sum(whole.values()) / 20
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in text and "PushedFilters: [In(gram" in text
+
+
+def test_runs_of_characters(spark):
+    found = spark.createDataFrame([("abcab",), ("ab",), ("",), ("日本語",)], "t string").select(grams(F.col("t"), 3), grams(F.col("t"), 1)).collect()
+    assert [tuple(map(sorted, r)) for r in found] == [(["abc", "bca", "cab"], ["a", "b", "c"]), ([], ["a", "b"]), ([], []), (["日本語"], ["日", "本", "語"])]
+
+
+@pytest.mark.parametrize(("n", "ties", "nulls"), [(2000, 1, 0), (2000, 700, 5), (12, 1, 3), (0, 1, 0), (25, 1, 23)])
+def test_recent_list_of_a_layout(spark, tmp_path, n, ties, nulls):
+    t0 = datetime(2024, 1, 1)
+    rows = [(i, None if i < nulls else t0 + timedelta(minutes=i // ties), 1) for i in range(n)]
+    df = spark.createDataFrame(random.Random(n).sample(rows, n), "id long, opened timestamp, n int").repartition(4)
+    lay_out_by_time(df, str(tmp_path / "t"), "opened", "id", 16)
+    found = recent_from_layout(spark, str(tmp_path / "t"), "opened", "id")
+    assert found.collect() == recent(df, "opened", "id").collect()
+    if (n, ties) == (2000, 1):
+        assert len(found.inputFiles()) <= 2 < len(list((tmp_path / "t" / "rows").glob("*.parquet")))
