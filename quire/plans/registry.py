@@ -6,6 +6,7 @@ paths; urls of pages are paths and their html titles metadata.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +18,13 @@ from quire.functions import normalize as N
 from quire.functions import paths as P
 from quire.operators import events as E
 from quire.operators import library as B
-from quire.schemas import PANE_EVENT
+from quire.operators.index import TextIndex, lay_out_by_time, recent_from_layout
+from quire.schemas import DEFAULT_VIEW, LIBRARY, PANE_EVENT
+from quire.scratch import scratch_dir
 from quire.session import table
-from quire.sources.files import parse_store
+from quire.sources.buckets import BucketedTable
+from quire.sources.files import parse_store, read_store, write_store
+from quire.streaming import states as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,6 +95,23 @@ def search_all(spark, d):
     return B.search(table(spark, d, "documents"), "SRC1 the", "source", "text").select("doc_id", "source", "lang")
 
 
+@query("SELECT page_id, url FROM pages WHERE contains(lower(url || ' ' || regexp_extract(html, '<title>([^<]*)</title>', 1)), 'net/')")
+def search_indexed(spark, d):
+    """A search by an index of runs of characters, over addresses and titles of pages."""
+    rows = table(spark, d, "pages").select("page_id", "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    index = TextIndex(spark, f"{scratch_dir(spark)}/index-{uuid.uuid4().hex}", "page_id", "url", "title")
+    index.build(rows)
+    return index.search(rows, " NET/ ").select("page_id", "url")
+
+
+@query("SELECT event_id, ts, user_id FROM events ORDER BY ts DESC, event_id LIMIT 20")
+def recent_laid_out(spark, d):
+    """The recent list from files laid out by time."""
+    folder = f"{scratch_dir(spark)}/layout-{uuid.uuid4().hex}"
+    lay_out_by_time(table(spark, d, "events"), folder, "ts", "event_id")
+    return recent_from_layout(spark, folder, "ts", "event_id").select("event_id", "ts", "user_id")
+
+
 @query("""
 WITH r AS (SELECT * FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20)
 SELECT (SELECT count(*) FROM r) AS n_recent, (SELECT count(*) FROM r WHERE contains(lower(source || ' ' || text), '%')) AS n_found,
@@ -121,14 +143,15 @@ def title_fallback(spark, d):
 @query(r"""
 SELECT page_id, regexp_matches(url, '[^/\\]\.html$', 'i') AS has_ending, starts_with(url, 'browser://') AS in_browser,
   CASE WHEN NOT regexp_matches(path, '[^/\\]\.pdf$', 'i') THEN 'not a pdf' WHEN length(html) < 1000 THEN 'not found' WHEN page_id % 2 = 1 THEN 'not a file' END AS error,
-  ends_with(lower(path), '.pdf') AS accepted
+  starts_with(html, '<!') OR ends_with(lower(path), '.pdf') AS accepted
 FROM (SELECT *, url || CASE WHEN contains(url, '?') THEN '' ELSE '.PDF' END AS path FROM pages)""")
 def path_checks(spark, d):
     url, path = F.col("url"), F.concat("url", F.when(F.contains("url", F.lit("?")), "").otherwise(".PDF"))
     exists, is_file = F.length("html") >= 1000, F.col("page_id") % 2 == 0
+    mime = F.when(F.startswith("html", F.lit("<!")), "application/pdf").otherwise("text/html")  # a stand-in
     return table(spark, d, "pages").select(
         "page_id", url.rlike(r"(?i)[^/\\]\.html\z").alias("has_ending"), P.is_browser_path(url).alias("in_browser"),
-        P.path_error(path, exists, is_file).alias("error"), P.browser_accepts(F.lit("text/html"), path).alias("accepted"),
+        P.path_error(path, exists, is_file).alias("error"), P.browser_accepts(mime, path).alias("accepted"),
     )
 
 
@@ -138,12 +161,16 @@ _OPENED = """SELECT d.doc_id AS id, 10 AS page_count, coalesce(l.quality + 2, 1)
   l.doc_id IS NULL AS sync_enabled FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
 
 
-def _opened(spark, d) -> DataFrame:
+def _opened_and_saved(spark, d) -> tuple[DataFrame, DataFrame]:
     saved = table(spark, d, "labels").select(
         F.col("doc_id").alias("id"), (F.col("quality") + 2).alias("page_number"), (F.col("toxic") / 2).alias("relative_offset_y"), F.lit("page-fit").alias("scale_value"),
         F.lit(8.0).alias("scale"), F.lit(100).alias("rotation"), F.lit("single").alias("split_mode"), F.lit(False).alias("sync_enabled"),
     )
-    return B.with_previous(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit(10).alias("page_count")), saved)
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit(10).alias("page_count")), saved
+
+
+def _opened(spark, d) -> DataFrame:
+    return B.with_previous(*_opened_and_saved(spark, d))
 
 
 @query(_OPENED)
@@ -151,35 +178,90 @@ def restore_defaults(spark, d):
     return _opened(spark, d)
 
 
+@query(_OPENED)
+def restore_from_table(spark, d):
+    """The same from a stored library, of which only buckets of opened documents are read."""
+    opened, saved = _opened_and_saved(spark, d)
+    return B.with_previous(opened, _stored(spark, saved).having(opened))
+
+
 @query(f"SELECT id, page_number, relative_offset_y, scale_value, least(scale, 4.0) AS scale, CASE WHEN rotation = 100 THEN 90 ELSE 0 END AS rotation, 'original' AS active FROM ({_OPENED})")
 def restore_views(spark, d):
     return B.restore(_opened(spark, d)).select("id", "original.*", "active")
 
 
-#: The library is from users seen before the first time, the batch of updates from those seen since the second; some are on one side only.
-UNTIL, SINCE = "2024-01-02 00:00:00", "2024-01-29 12:00:00"
-_OLD = f"SELECT user_id AS id, count(*) AS n, max(value) AS top, max(ts) AS opened FROM events WHERE ts < TIMESTAMP '{UNTIL}' GROUP BY user_id"
-_NEW = f"SELECT user_id AS id, count(*) AS n, max(value) AS top, max(ts) AS opened FROM events WHERE ts >= TIMESTAMP '{SINCE}' GROUP BY user_id"
+#: The library is of what was not bought, the batch of updates of purchases; ids are of a user and a number of theirs, so some are on one side only.
+_SIDE = "SELECT user_id * 100 + json_extract_string(props, '$.k')::BIGINT AS id, count(*) AS n, max(value) AS top, max(ts) AS opened FROM events WHERE event_type {} 'purchase' GROUP BY 1"
+_OLD, _NEW = _SIDE.format("<>"), _SIDE.format("=")
 
 
 def _slices(spark, d) -> tuple[DataFrame, DataFrame]:
-    """A library and a batch of updates: users of early and of late events."""
-    rows = table(spark, d, "events").withColumnRenamed("user_id", "id")
+    """A library and a batch of updates; together they read all events."""
+    rows = table(spark, d, "events").withColumn("id", F.col("user_id") * 100 + _props().cast("bigint"))
     made = lambda part: part.groupBy("id").agg(F.count("*").alias("n"), F.max("value").alias("top"), F.max("ts").alias("opened"))
-    time = lambda text: F.lit(text).cast("timestamp_ntz")
-    return made(rows.where(F.col("ts") < time(UNTIL))), made(rows.where(F.col("ts") >= time(SINCE)))
+    return made(rows.where(F.col("event_type") != "purchase")), made(rows.where(F.col("event_type") == "purchase"))
+
 
+_UPSERTED = f"WITH o AS ({_OLD}), n AS ({_NEW}) SELECT * FROM n UNION ALL SELECT * FROM o WHERE id NOT IN (SELECT id FROM n)"
+_UPDATED = f"WITH o AS ({_OLD}), n AS ({_NEW}) SELECT o.id, o.n, coalesce(n.top, o.top) AS top, coalesce(n.opened, o.opened) AS opened FROM o LEFT JOIN n ON o.id = n.id"
 
-@query(f"WITH o AS ({_OLD}), n AS ({_NEW}) SELECT * FROM n UNION ALL SELECT * FROM o WHERE id NOT IN (SELECT id FROM n)")
+
+@query(_UPSERTED)
 def upsert(spark, d):
     return B.upsert(*_slices(spark, d))
 
 
-@query(f"WITH o AS ({_OLD}), n AS ({_NEW}) SELECT o.id, o.n, coalesce(n.top, o.top) AS top, coalesce(n.opened, o.opened) AS opened FROM o LEFT JOIN n ON o.id = n.id")
+@query(_UPDATED)
 def partial_update(spark, d):
     return B.partial_update(*_slices(spark, d), ["top", "opened"])
 
 
+def _stored(spark, rows: DataFrame, key: str = "id") -> BucketedTable:
+    """rows as a bucketed table in the scratch folder."""
+    stored = BucketedTable(spark, f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}", key, rows.schema)
+    stored.upsert(rows)
+    return stored
+
+
+@query(_UPSERTED)
+def upsert_table(spark, d):
+    """The same by a commit to a stored library."""
+    library, incoming = _slices(spark, d)
+    stored = _stored(spark, library)
+    stored.upsert(incoming)
+    return stored.rows()
+
+
+@query(_UPDATED)
+def update_table(spark, d):
+    library, updates = _slices(spark, d)
+    stored = _stored(spark, library)
+    stored.update(updates, ["top", "opened"])
+    return stored.rows()
+
+
+_TYPED = """SELECT DISTINCT ON (id) * FROM (SELECT user_id * 100 + json_extract_string(props, '$.k')::BIGINT AS id, event_id, ts, value FROM events WHERE event_type {} 'purchase') ORDER BY id, ts DESC, event_id DESC"""
+
+
+@query(f"""
+WITH o AS ({_TYPED.format("<>")}), n AS ({_TYPED.format("=")})
+SELECT o.id::VARCHAR AS id, CASE WHEN n.id IS NULL THEN 1 ELSE floor(n.value)::INT END AS page_number, CASE WHEN n.id IS NULL THEN o.ts ELSE TIMESTAMP '2024-01-29 12:00:00' END AS last_opened_at
+FROM o LEFT JOIN n USING (id) ORDER BY last_opened_at DESC, id LIMIT 20""")
+def recent_after_save(spark, d):
+    """The recent list after views were saved: those of purchases into a library of all else."""
+    rows = table(spark, d, "events").withColumn("id", (F.col("user_id") * 100 + _props().cast("bigint")).cast("string")).withColumn("ts", F.col("ts").cast("timestamp"))
+    newest = lambda part: B.latest_per_key(part, "id", ORDER)
+    default = {f"_{c}": F.lit(v) for c, v in DEFAULT_VIEW.items()}
+    library = newest(rows.where(F.col("event_type") != "purchase")).select(
+        "id", F.col("id").alias("file_path"), F.col("event_type").alias("title"), F.lit(9).alias("page_count"), F.col("ts").alias("last_opened_at"),
+        *(v.alias(c[1:]) for c, v in default.items()), F.lit("single").alias("split_mode"), F.lit(True).alias("sync_enabled"), F.col("ts").alias("updated_at"),
+    ).to(LIBRARY)
+    view = F.struct(F.floor("value").cast("int").alias("page_number"), F.lit(0.5).alias("relative_offset_y"), F.lit("page-fit").alias("scale_value"), F.lit(1.5).alias("scale"), F.lit(90).alias("rotation"))
+    saved = newest(rows.where(F.col("event_type") == "purchase")).select(F.col("id").alias("doc_id"), F.struct(view.alias("original"), F.lit("stacked").alias("split"), F.lit(False).alias("sync")).alias("state"))
+    found = S.recent_after(library, saved, F.lit("2024-01-29 12:00:00").cast("timestamp"))
+    return found.select("id", "page_number", F.col("last_opened_at").cast("timestamp_ntz").alias("last_opened_at"))
+
+
 _STORE = "SELECT user_id AS id, max(ts) AS opened, user_id AS position FROM events GROUP BY user_id"
 
 
@@ -194,6 +276,19 @@ def move_to_front(spark, d):
     return B.move_to_front(store, store.where("id = 5").drop("position"))
 
 
+@query(f"""
+SELECT row_number() OVER (ORDER BY position) - 1 AS position, id::VARCHAR AS id, date_trunc('milliseconds', opened) AS last_opened_at, (position % 7)::INT AS page_number FROM ({_STORE}) ORDER BY position LIMIT 20""")
+def store_written(spark, d):
+    """The browser's list as JSON, read again; times are kept to the millisecond."""
+    view = F.struct((F.col("position") % 7).cast("int").alias("page_number"), F.lit(0.0).alias("relative_offset_y"), F.lit("x").alias("scale_value"), F.lit(1.0).alias("scale"), F.lit(0).alias("rotation"))
+    rows = _store(spark, d).select(
+        F.col("id").cast("string").alias("id"), F.lit("/p").alias("file_path"), F.lit("t").alias("title"), F.lit(9).alias("page_count"), F.col("opened").cast("timestamp").alias("last_opened_at"),
+        view.alias("view_state"), F.lit("single").alias("split_mode"), F.lit(True).alias("sync_enabled"), "position",
+    )
+    found = read_store(write_store(rows), "store")
+    return found.select(F.col("position").cast("bigint").alias("position"), "id", F.col("last_opened_at").cast("timestamp_ntz").alias("last_opened_at"), "view_state.page_number")
+
+
 @query(f"WITH s AS ({_STORE}) SELECT id, opened, row_number() OVER (ORDER BY position) - 1 AS position FROM s ORDER BY position LIMIT 20")
 def truncating_write(spark, d):
     return B.renumber(_store(spark, d))
@@ -364,46 +459,133 @@ def _fold_sql() -> str:
         "page": "floor(least(greatest(coalesce(CASE WHEN kind IN ('page', 'scroll', 'goto') THEN k END, c_page), 1), 80) + 0.5)",
         "place": "least(greatest(coalesce(CASE kind WHEN 'goto' THEN 0 WHEN 'scroll' THEN value % 1 END, c_place), 0), 1)",
         "scale": "least(greatest(CASE kind WHEN 'zoom_in' THEN c_scale * 1.1::DOUBLE WHEN 'zoom_out' THEN c_scale * (1::DOUBLE / 1.1::DOUBLE) WHEN 'scale' THEN value / 50 ELSE c_scale END, 0.25), 4)",
+        "text": "CASE WHEN kind IN ('zoom_in', 'zoom_out') THEN {zoomed} WHEN kind = 'scale' THEN {given} WHEN kind = 'fit' THEN 'page-fit' ELSE c_text END",
         "turn": "(floor(CASE kind WHEN 'rotate' THEN c_turn + 90 WHEN 'rotation' THEN value * 3 ELSE c_turn END / 90 + 0.5) * 90) % 360",
     }
+    number = lambda x: f"CASE WHEN {x} = floor({x}) THEN ({x})::BIGINT::VARCHAR ELSE ({x})::VARCHAR END"
+    fields["text"] = fields["text"].format(zoomed=number(fields["scale"]), given=number("value / 50"))
+    kind_of = {f: "VARCHAR" if f == "text" else "DOUBLE" for f in fields}
     of = lambda pane: [f"{pane}_{f}" for f in fields]
     current = ", ".join(f"CASE WHEN pane = 'original' THEN o_{f} ELSE s_{f} END AS c_{f}" for f in fields)
     active = ", ".join(f"CASE WHEN active = 'original' THEN o_{f} ELSE s_{f} END AS a_{f}" for f in fields)
     put = ", ".join(
-        f"(CASE WHEN kind = 'toggle_sync' AND NOT sync THEN a_{f} WHEN moves AND (sync OR pane = '{name}') THEN {new} ELSE {p}_{f} END)::DOUBLE"
+        f"(CASE WHEN kind = 'toggle_sync' AND NOT sync THEN a_{f} WHEN moves AND (sync OR pane = '{name}') THEN {new} ELSE {p}_{f} END)::{kind_of[f]}"
         for p, name in (("o", "original"), ("s", "companion")) for f, new in fields.items()
     )
     return f"""
 WITH RECURSIVE e AS (
-  SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, epoch_us(ts) AS us, event_id % 2 = 0 AS even, value,
+  SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, epoch_us(ts) AS us, event_id % 2 = 0 AS even, value, user_id % 10 > 1 AS has_pages,
     CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, (CASE event_type {kinds} END)[event_id % 3 + 1] AS kind FROM events),
 f(user_id, n, {", ".join(of("o") + of("s"))}, sync, active, split, applied) AS (
-  SELECT DISTINCT user_id, 0::BIGINT, 1::DOUBLE, 0::DOUBLE, 1::DOUBLE, 0::DOUBLE, 1::DOUBLE, 0::DOUBLE, 1::DOUBLE, 0::DOUBLE, true, 'original', 'side-by-side', NULL::BIGINT FROM events
+  SELECT DISTINCT user_id, 0::BIGINT, 1::DOUBLE, 0::DOUBLE, 1::DOUBLE, 'page-width', 0::DOUBLE, 1::DOUBLE, 0::DOUBLE, 1::DOUBLE, 'page-width', 0::DOUBLE, true, 'original', 'side-by-side', NULL::BIGINT FROM events
   UNION ALL
   SELECT user_id, n, {put}, CASE WHEN kind = 'toggle_sync' THEN NOT sync ELSE sync END,
     CASE WHEN kind = 'activate' THEN own WHEN kind = 'split' AND even THEN 'original' ELSE active END,
     CASE WHEN kind = 'split' THEN CASE WHEN even THEN 'single' ELSE 'stacked' END ELSE split END, CASE WHEN kind = 'apply' THEN us ELSE applied END
-  FROM (SELECT *, {current}, {active}, toolbar OR (kind IN ('page', 'scale', 'rotation', 'scroll') AND coalesce(us - applied > 80000, true)) AS moves
+  FROM (SELECT *, {current}, {active}, has_pages AND (toolbar OR (kind IN ('page', 'scale', 'rotation', 'scroll') AND coalesce(us - applied > 80000, true))) AS moves
     FROM (SELECT *, CASE WHEN toolbar THEN active ELSE own END AS pane
       FROM (SELECT f.* EXCLUDE n, e.* EXCLUDE user_id, CASE WHEN even THEN 'original' ELSE 'companion' END AS own, kind IN ('goto', 'zoom_in', 'zoom_out', 'fit', 'rotate') AS toolbar
         FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1))))
 SELECT user_id::VARCHAR AS doc_id, sync, active, split, {", ".join(f"{p}_{f}{kind} AS {name}_{column}" for p, name in (("o", "original"), ("s", "companion"))
-    for f, column, kind in (("page", "page_number", "::INT"), ("place", "relative_offset_y", ""), ("scale", "scale", ""), ("turn", "rotation", "::INT")))}
+    for f, column, kind in (("page", "page_number", "::INT"), ("place", "relative_offset_y", ""), ("scale", "scale", ""), ("text", "scale_value", ""), ("turn", "rotation", "::INT")))}
 FROM f WHERE n = (SELECT count(*) FROM events x WHERE x.user_id = f.user_id)"""
 
 
-@query(_fold_sql())
+_FOLD = _fold_sql()
+_FOLDED = ("page_number", "relative_offset_y", "scale", "scale_value", "rotation")
+
+
+def _pages():
+    """Documents have 80 pages, but for some whose number is not known yet or 0."""
+    last = F.col("doc_id").cast("bigint") % 10
+    return F.when(last == 0, F.lit(0)).when(last > 1, F.lit(80))
+
+
+def _flat_states(folded: DataFrame) -> DataFrame:
+    rows = folded.select("doc_id", "state.*")
+    return rows.select("doc_id", "sync", "active", "split", *(F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in ("original", "companion") for c in _FOLDED))
+
+
+@query(_FOLD)
 def pane_fold(spark, d):
-    events = view_events(table(spark, d, "events"))
-    folded = E.fold_panes(events, F.lit(80)).select("doc_id", "state.*")
-    return folded.select("doc_id", "sync", "active", "split", *(F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in ("original", "companion") for c in ("page_number", "relative_offset_y", "scale", "rotation")))
+    return _flat_states(E.fold_panes(view_events(table(spark, d, "events")), _pages()))
+
+
+def _replayed(spark, rows: DataFrame, files: int, shuffled: bool, end: bool, kind: str) -> tuple[DataFrame, str]:
+    """rows as a stream of some files, in order of time or in any; end: with an end. Also a folder for what it gives and its checkpoint."""
+    folder = f"{scratch_dir(spark)}/replay-{uuid.uuid4().hex}"
+    dealt = rows.repartition(files, F.xxhash64("event_id")) if shuffled else rows.repartitionByRange(files, *ORDER).sortWithinPartitions(*ORDER)
+    dealt.write.parquet(f"{folder}/in")
+    if end:
+        S.end_stream(spark, rows.schema, f"{folder}/in", kind)
+    return spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), folder
+
+
+def _streamed(stream: DataFrame, folder: str) -> DataFrame:
+    """What a stream in append mode gives once all its files are read."""
+    writer = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").outputMode("append")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def _timed(spark, d) -> DataFrame:
+    return table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query(_FOLD)
+def pane_fold_stream(spark, d):
+    """The fold as a stream into a table of states. Documents come in any order, each document's events together."""
+    events, folder = view_events(table(spark, d, "events")), f"{scratch_dir(spark)}/replay-{uuid.uuid4().hex}"
+    events.repartition(4, "doc_id").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    S.fold_stream(stream, f"{folder}/out", f"{folder}/check", _pages()).awaitTermination()
+    return _flat_states(S.states(spark, f"{folder}/out"))
 
 
 @query("""
-SELECT event_id, user_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS following FROM events)
-WHERE following IS NULL OR following > ts + INTERVAL 6 HOUR""")
+SELECT event_id, user_id FROM (SELECT *, max(CASE WHEN event_type = 'purchase' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS applied FROM events)
+WHERE event_type <> 'purchase' AND (applied IS NULL OR ts > applied + INTERVAL 6 HOUR)""")
+def echo_stream(spark, d):
+    """Echoes suppressed as events arrive, in any order."""
+    rows = _timed(spark, d).withColumnRenamed("event_type", "kind").select("event_id", "user_id", "ts", "kind")
+    stream, folder = _replayed(spark, rows, 4, True, True, "kind")
+    return _streamed(S.without_echoes(stream, "60 days", F.col("kind") == "purchase", HOURS_US // 1000, ("user_id",)), folder).select("event_id", "user_id")
+
+
+@query("SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS frame_start, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL")
+def scroll_stream(spark, d):
+    """Frames closed by event time."""
+    stream, folder = _replayed(spark, _timed(spark, d).select("event_id", "user_id", "ts", "value", "event_type"), 4, True, True, "event_type")
+    found = _streamed(S.coalesced_frames(stream, "60 days", "1 hour", "value", ("user_id",)).where(S.before_end("frame_start")), folder)
+    return found.select("user_id", F.col("frame_start").cast("timestamp_ntz").alias("frame_start"), "value")
+
+
+_SESSIONS = """SELECT event_id, user_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS following FROM events)
+WHERE (following IS NULL OR following > ts + INTERVAL 6 HOUR)"""
+
+
+def _saves(spark, d, end: bool) -> DataFrame:
+    stream, folder = _replayed(spark, _timed(spark, d), 4, False, end, "event_type")
+    saves = S.debounced_saves(stream, "0 seconds" if not end else "60 days", "6 hours", ("user_id",))
+    return _streamed(saves.where(S.before_end()), folder).select("event_id", "user_id")
+
+
+@query(_SESSIONS)
 def debounce_sessions(spark, d):
-    """The same saves by sessions instead of a look at the next event; a gap equal to the threshold merges here."""
-    rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    sessions = rows.groupBy("user_id", F.session_window("ts", "6 hours").alias("_s")).agg(F.max_by("event_id", F.struct(*ORDER)).alias("event_id"))
-    return sessions.select("event_id", "user_id")
+    """The same saves by sessions of a stream with an end instead of a look at the next event; a gap equal to the threshold merges here."""
+    return _saves(spark, d, True)
+
+
+@query(f"{_SESSIONS} AND epoch_us(ts) + {HOURS_US} <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events)")
+def debounce_cancelled(spark, d):
+    """A stream that is torn down: saves that are still waiting then are lost."""
+    return _saves(spark, d, False)
+
+
+@query("""
+SELECT event_id, user_id, ts FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS following FROM events)
+WHERE following >= ts + INTERVAL 6 HOUR""")
+def debounce_teardown(spark, d):
+    """The batch form of it: the last change of each key is never saved."""
+    return E.debounce(table(spark, d, "events"), ["user_id"], ORDER, HOURS_US, flush_at_end=False).select("event_id", "user_id", "ts")

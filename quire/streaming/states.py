@@ -26,7 +26,7 @@ def states(spark: SparkSession, folder: str, kind: str = "string") -> DataFrame:
     return state_table(spark, folder, kind).rows()
 
 
-def fold_stream(events: DataFrame, folder: str, checkpoint: str, page_count: int, available_now: bool = True, buckets: int = BUCKETS, commits: int = COMMITS, after=None) -> StreamingQuery:
+def fold_stream(events: DataFrame, folder: str, checkpoint: str, page_count: int | Column, available_now: bool = True, buckets: int = BUCKETS, commits: int = COMMITS, after=None) -> StreamingQuery:
     """Fold a stream of events into states: each batch opens the buckets that hold its documents, folds its events from there and commits these states alone.
 
     The fold is the batch one. The number of a batch is noted with its commit, so one that is repeated after a failure is not folded twice. Events are
@@ -38,7 +38,7 @@ def fold_stream(events: DataFrame, folder: str, checkpoint: str, page_count: int
         table = state_table(batch.sparkSession, folder, kind, buckets, commits)
         if table.notes().get("batch", -1) < number:
             base = table.version()
-            folded = fold_panes(batch, F.lit(page_count), "doc_id", table.having(batch, version=base))
+            folded = fold_panes(batch, page_count if isinstance(page_count, Column) else F.lit(page_count), "doc_id", table.having(batch, version=base))
             table.commit(folded, {"batch": number}, base)
             forget(folded)
         if after is not None:

@@ -38,9 +38,8 @@ def test_query_is_its_sql(spark, sql, name):
     assert sorted(tuple(plain(v) for v in r) for r in found.select(*columns).collect()) == expected
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
-def test_query_runs(spark, name):
-    assert registry.QUERIES[name](spark, DATA).count() > 0
+def test_every_query_has_its_sql():
+    assert set(registry.QUERIES) == set(registry.ORACLES)
 
 
 def test_plans_prune_and_push(spark):
