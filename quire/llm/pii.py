@@ -40,9 +40,8 @@ def keyed(key: str, text: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat(F.lit(key + "|"), text), 256), 1, 12), 16, 10).cast("long")
 
 
-def feistel(value: Column, low: int | Column, high: int | Column, key: str, tweak: str) -> Column:
-    """A permutation of 0 to high * low - 1: alternately each part gets a keyed number, from the other, added modulo its range."""
-    low, high = (F.lit(x).cast("long") if isinstance(x, int) else x for x in (low, high))
+def exchanged(a: Column, b: Column, low: Column, high: Column, key: str, tweak: str, whole: Callable[[Column], Column]) -> Column:
+    """whole of a struct of parts a, under high, and b, under low: alternately each gets a keyed number, from the other, added modulo its range."""
 
     def step(state: Column, i: Column) -> Column:
         a, b = state["a"], state["b"]
@@ -51,8 +50,13 @@ def feistel(value: Column, low: int | Column, high: int | Column, key: str, twea
             F.struct(a.alias("a"), ((b + keyed(key, F.concat(salt, a.cast("string")))) % low).alias("b"))
         )
 
-    halves = F.struct(F.floor(value / low).cast("long").alias("a"), (value % low).alias("b"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), halves, step, lambda s: s["a"] * low + s["b"])
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(a.alias("a"), b.alias("b")), step, whole)
+
+
+def feistel(value: Column, low: int | Column, high: int | Column, key: str, tweak: str) -> Column:
+    """A permutation of 0 to high * low - 1."""
+    low, high = (F.lit(x).cast("long") if isinstance(x, int) else x for x in (low, high))
+    return exchanged(F.floor(value / low).cast("long"), value % low, low, high, key, tweak, lambda s: s["a"] * low + s["b"])
 
 
 def digits_of(text: Column) -> Column:
@@ -60,11 +64,13 @@ def digits_of(text: Column) -> Column:
 
 
 def permuted_digits(digits: Column, key: str, tweak: str) -> Column:
-    """Another string of as many digits (2 to 18), one to one among those of its length."""
+    """Another string of as many digits (2 to 34), one to one among those of its length. Its halves are numbers of their own, so no digit is out of reach."""
     n = F.length(digits)
-    low = F.pow(F.lit(10.0), F.ceil(n / 2)).cast("long")
-    high = F.pow(F.lit(10.0), F.floor(n / 2)).cast("long")
-    return F.lpad(feistel(digits.cast("long"), low, high, key, tweak).cast("string"), n, "0")
+    left, right = F.floor(n / 2).cast("int"), F.ceil(n / 2).cast("int")
+    part = lambda start, size: F.substring(digits, start, size).try_cast("long")
+    low, high = (F.pow(F.lit(10.0), size).cast("long") for size in (right, left))
+    join = lambda s: F.concat(F.lpad(s["a"].cast("string"), left, "0"), F.lpad(s["b"].cast("string"), right, "0"))
+    return exchanged(part(F.lit(1), left), part(left + 1, right), low, high, key, tweak, join)
 
 
 def overlay(pattern: Column, digits: Column) -> Column:
@@ -97,14 +103,12 @@ def iban_rest(text: Column) -> Column:
 
 
 def iban(text: Column, key: str) -> Column:
-    """Valid IBANs: the digits of the account, up to 18 of its last, are permuted and the check digits follow."""
+    """Valid IBANs: the digits of the account are permuted, all of them, and the check digits follow."""
 
     def replaced(plain: Column) -> Column:
         account = F.substring(plain, F.lit(5), F.length(plain))
         digits = digits_of(account)
-        kept = F.greatest(F.length(digits) - 18, F.lit(0))
-        new = F.concat(F.substring(digits, F.lit(1), kept), permuted_digits(F.substring(digits, kept + 1, F.lit(18)), key, "iban"))
-        rest = overlay(account, new)
+        rest = overlay(account, permuted_digits(digits, key, "iban"))
         check = 98 - iban_rest(F.concat(F.substring(plain, 1, 2), F.lit("00"), rest))
         return F.concat(F.lpad(check.cast("string"), 2, "0"), digits_of(rest))
 
@@ -164,15 +168,16 @@ def phone(text: Column, key: str) -> Column:
 
 
 def email(text: Column, key: str) -> Column:
-    """Addresses of the same person, in any case, get the same user and host, in a domain that nobody has."""
+    """Addresses of the same person, in any case, get the same user and host, in a domain that nobody has. Users of 64 and hosts of 80 bits: among a
+    thousand million addresses, two different ones get one user of one host less than once in a thousand corpora."""
     at = F.split(F.lower(text), "@")
     digest = lambda part, n: F.substring(F.sha2(F.concat(F.lit(key + "|mail|"), part), 256), 1, n)
-    return F.concat(F.lit("u"), digest(F.lower(text), 12), F.lit("@h"), digest(F.get(at, F.lit(1)), 8), F.lit(".example"))
+    return F.concat(F.lit("u"), digest(F.lower(text), 16), F.lit("@h"), digest(F.get(at, F.lit(1)), 20), F.lit(".example"))
 
 
 def secret(text: Column, key: str) -> Column:
-    """The value behind the sign becomes as many hexadecimal digits."""
-    value = F.regexp_extract(text, "[A-Za-z0-9_+/=-]+$", 0)
+    """The value behind the first sign, and a quote, becomes as many hexadecimal digits; however it is written, one value has one pseudonym."""
+    value = F.regexp_extract(text, r"[=:]\s{0,3}[\"']?([A-Za-z0-9_+/=-]{16,})\z", 1)
     digest = F.concat(*(F.sha2(F.concat(F.lit(f"{key}|secret{i}|"), value), 256) for i in range(2)))
     return F.concat(F.substring(text, F.lit(1), F.length(text) - F.length(value)), F.substring(F.repeat(digest, 64), F.lit(1), F.length(value)))
 

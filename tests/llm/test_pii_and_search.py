@@ -53,6 +53,24 @@ def test_equal_values_stay_linked(spark):
     assert changed(spark, ["4845168114407329"], key="other")[0] != re.search(r"\d{16}", a)[0]
 
 
+def test_secrets_keep_all_but_their_value(spark):
+    value = "abcdef0123456789abcd=="
+    forms = ["token={}", "token: {}", 'api_key="{}"', "password = '{}'", "API-KEY:{}", "secret =  {} and more", "passwd\t:\n{}\n"]
+    out = changed(spark, [f.format(value) for f in forms])
+    new = re.fullmatch("token=([0-9a-f]{22})", out[0])[1]
+    assert out == [f.format(new) for f in forms] and new != value
+
+
+def test_long_accounts_change_in_all_digits(spark):
+    def valid(account):
+        return next(f"PL{c:02d}{account}" for c in range(2, 99) if int(f"{account}2521{c:02d}") % 97 == 1)
+
+    ibans = [valid(f"{n:024d}") for n in (0, 1, 10**23, 109010140000071219812874, 10**24 - 1)]
+    out = changed(spark, ibans)
+    assert len(set(out)) == 5 and all(int(f"{o[4:]}2521{o[2:4]}") % 97 == 1 and re.fullmatch(r"PL\d{26}", o) for o in out)
+    assert all(o[4:10] != i[4:10] and o[-6:] != i[-6:] for i, o in zip(ibans, out, strict=True))
+
+
 def test_dates_map_one_to_one(spark):
     days = [str(date(2020, 1, 1) + timedelta(i)) for i in range(400)]
     assert len(set(changed(spark, days))) == 400
@@ -61,7 +79,7 @@ def test_dates_map_one_to_one(spark):
 def test_the_rest_of_a_text_stays(spark, clashing):
     text = 'A\r\n é "x@y.example.com"  token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"\n\n7536784127813050 4845168114407329!!\n'
     out = changed(spark, [text])[0]
-    pattern = 'A\\r\\n é "u[0-9a-f]{12}@h[0-9a-f]{8}\\.example"  token = "[0-9a-f]{40}"\\n\\n\\d{16} \\d{16}!!\\n'
+    pattern = 'A\\r\\n é "u[0-9a-f]{16}@h[0-9a-f]{20}\\.example"  token = "[0-9a-f]{40}"\\n\\n\\d{16} \\d{16}!!\\n'
     assert re.fullmatch(pattern, out) and "04dbebab" not in out and "4845168114407329" not in out
     assert pseudonymize(clashing).columns == clashing.columns
     assert cases.by_id(pseudonymize(cases.documents(spark, [(1, text, "s"), (2, None, "s")]), count="n"), "n") == {1: 4, 2: 0}
@@ -92,9 +110,10 @@ def plain_pseudonym(match, key):
 
     only = re.sub("[^0-9]", "", match)
     if "@" in match:
-        return f"u{sha(f'{key}|mail|{match.lower()}')[:12]}@h{sha(f'{key}|mail|{match.lower().split(chr(64))[1]}')[:8]}.example"
+        return f"u{sha(f'{key}|mail|{match.lower()}')[:16]}@h{sha(f'{key}|mail|{match.lower().split(chr(64))[1]}')[:20]}.example"
     if re.fullmatch(SECRET, match):
-        value = re.search("[A-Za-z0-9_+/=-]+$", match)[0]
+        name, sign, rest = re.split("([=:])", match, maxsplit=1)
+        value = rest.lstrip(" \t\r\n\v\f").lstrip("\"'")
         return match[: -len(value)] + ((sha(f"{key}|secret0|{value}") + sha(f"{key}|secret1|{value}")) * 64)[: len(value)]
     if re.fullmatch(IBAN, match):
         plain = match.replace(" ", "")
@@ -103,7 +122,7 @@ def plain_pseudonym(match, key):
         digits = re.sub("[^0-9]", "", account)
         if len(plain) < 15 or rest(plain) != 1 or len(digits) < 2:
             return match
-        new = put(account, digits[:-18] + digits_to(digits[-18:], "iban"))
+        new = put(account, digits_to(digits, "iban"))
         return put(match, f"{98 - rest(plain[:2] + '00' + new):02d}" + re.sub("[^0-9]", "", new))
     if re.fullmatch(DATE, match):
         for layout in ("%Y-%m-%d", "%d.%m.%Y", "%d/%m/%Y", "%m/%d/%Y"):
@@ -159,7 +178,7 @@ def test_pseudonyms_equal_plain_ones(spark):
     made = [
         card, iban, lambda: number(3) + "-" + number(2) + "-" + number(4), lambda: f"+49 30 {number(7)}", lambda: f"+4930{number(7)}", lambda: f"+1 ({number(3)}) {number(3)}-{number(4)}", lambda: f"+358 {number(3)} {number(4)}",
         lambda: f"{rng.randint(1890, 2110)}-{rng.randint(1, 13):02d}-{rng.randint(1, 31):02d}", lambda: f"{rng.randint(1, 31):02d}.{rng.randint(1, 12):02d}.{rng.randint(1900, 2099)}", lambda: f"{rng.randint(1, 31):02d}/{rng.randint(1, 12):02d}/1987",
-        lambda: ".".join(str(rng.randint(0, 270)) for _ in range(4)), lambda: f"Ab{number(3)}@Mail.example.org", lambda: f"api_key: {number(20)}", lambda: " ".join(card()[k : k + 4] for k in range(0, 16, 4)),
+        lambda: ".".join(str(rng.randint(0, 270)) for _ in range(4)), lambda: f"Ab{number(3)}@Mail.example.org", lambda: rng.choice(["api_key: {}", "token={}", "secret='{}'", 'password = "{}"']).format(number(20)), lambda: "PL" + next(f"{c:02d}{a}" for a in [number(24)] for c in range(2, 99) if int(f"{a}2521{c:02d}") % 97 == 1), lambda: " ".join(card()[k : k + 4] for k in range(0, 16, 4)),
     ]
     texts = [" and, ".join(rng.choice(made)() for _ in range(4)) for _ in range(300)]
     # the last pattern's groups are numbered alone, so they are looked for in a plain alternation of the kinds
