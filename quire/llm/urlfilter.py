@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -15,7 +15,9 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 #: URLs decided by rules that the trees are fitted to, about, and as many of the others.
 TRAIN_ROWS = 20_000
 #: Weight of an undecided URL as a presumed allow, against 1 of a decided one.
-PRESUMED = 0.5
+PRESUMED = 0.25
+#: Hosts are dealt to so many folds; what a page's suffix is like is learned from the other folds' hosts.
+FOLDS = 5
 FEATURES = ["length", "host_length", "path_length", "labels", "depth", "digits", "hyphens", "entropy", "parameters", "fragment", "suffix_share", "suffix_blocked"]
 TREES, DEPTH, SEED = 12, 4, 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -77,17 +79,26 @@ def lexical_features(pages: DataFrame) -> DataFrame:
     )
 
 
+def fold_of(host: Column) -> Column:
+    return F.pmod(F.xxhash64(host), F.lit(FOLDS)).cast("int")
+
+
 def with_suffix_statistics(decided: DataFrame) -> DataFrame:
-    """decided with, for the last label of each host, its share of all pages and the share of its other pages that rules block.
+    """decided with, for the last label of each host, its share of all pages, and the share that rules block among its pages of other folds of hosts.
 
-    A page's own verdict is left out of its share, so that the trees don't read a label off a feature.
+    All pages of a host have the same two, whatever rules say of them, and no page of the host counts in the second: so the trees can't read a label
+    off a feature, and what they find holds for hosts that they have not seen.
     """
-    counts = keep(decided.groupBy("suffix").agg(F.count("*").alias("_n"), F.count_if(F.col("verdict") == "block").alias("_blocked")), "suffixes")
-    total = counts.agg(F.sum("_n")).first()[0] or 1
-    own = F.coalesce(F.col("verdict") == "block", F.lit(False)).cast("int")
-    full = decided.join(counts.withColumnRenamed("suffix", "_suffix"), F.col("suffix") == F.col("_suffix"), "left").drop("_suffix")
-    others = (F.col("_blocked") - own + 1) / (F.col("_n") - 1 + 10)
-    return full.withColumns({"suffix_share": F.col("_n") / total, "suffix_blocked": others}).drop("_n", "_blocked")
+    by_fold = decided.groupBy("suffix", fold_of(F.col("host")).alias("fold")).agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "block").alias("blocked"))
+    by_fold = keep(by_fold, "suffixes")
+    total = by_fold.agg(F.sum("n")).first()[0] or 1
+    whole = by_fold.groupBy(F.col("suffix").alias("_whole")).agg(F.sum("n").alias("_all"), F.sum("blocked").alias("_all_blocked"))
+    counts = by_fold.join(whole, F.col("suffix") == F.col("_whole")).select(
+        F.col("suffix").alias("_suffix"), F.col("fold").alias("_fold"), (F.col("_all") / total).alias("suffix_share"),
+        ((F.col("_all_blocked") - F.col("blocked") + 1) / (F.col("_all") - F.col("n") + 10)).alias("suffix_blocked"),
+    )
+    mine = (F.col("suffix") == F.col("_suffix")) & (fold_of(F.col("host")) == F.col("_fold"))
+    return decided.join(counts, mine, "left").drop("_suffix", "_fold")
 
 
 def bounded_sample(rows: DataFrame, n: int, most: int) -> DataFrame:
@@ -95,26 +106,44 @@ def bounded_sample(rows: DataFrame, n: int, most: int) -> DataFrame:
     return rows if n <= most else rows.where(F.pmod("_h", F.lit(1 << 30)) < int((1 << 30) * most / n))
 
 
-def filter_urls(pages: DataFrame, threshold: float = 0.5, rows: int = TRAIN_ROWS) -> DataFrame:
-    """page_id, host, path, rule, verdict and score of each page.
+def featured(pages: DataFrame) -> DataFrame:
+    """All pages with their rules' verdicts and all features."""
+    return with_suffix_statistics(keep(lexical_features(pages), "urls"))
 
-    The trees learn from URLs that rules decide, blocked or allowed, and from undecided ones as presumed allows of less weight, since rules that
-    block say little of the rest; an undecided URL is blocked at a score over threshold. Without both verdicts among rules' all undecided ones are
-    allowed. Null URLs, and such without ://, have empty host and path and are judged alike; repeated rows are judged each; the html is not read.
-    """
-    decided = keep(lexical_features(pages), "urls")
-    known = decided.groupBy("verdict").agg(F.count("*").alias("n")).collect()  # three rows at most
+
+def fit_trees(full: DataFrame, rows: int = TRAIN_ROWS) -> GBTClassificationModel | None:
+    """Trees fitted to URLs that rules decide, and to undecided ones as presumed allows of less weight; None without both verdicts among rules' own."""
+    known = full.groupBy("verdict").agg(F.count("*").alias("n")).collect()  # three rows at most
     n = {r["verdict"]: r["n"] for r in known}
-    full = with_suffix_statistics(decided)
-    columns = ["page_id", "host", "path", "rule"]
     if not n.get("block") or not n.get("allow"):
-        return full.select(*columns, F.coalesce("verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
+        return None
     ruled = bounded_sample(full.where("verdict is not null"), n["block"] + n["allow"], rows).withColumn("weight", F.lit(1.0))
     other = bounded_sample(full.where("verdict is null"), n.get(None, 0), rows).withColumn("weight", F.lit(PRESUMED))
     train = keep(ruled.unionByName(other).select(*FEATURES, "weight", (F.coalesce("verdict", F.lit("allow")) == "block").cast("double").alias("label")).coalesce(4), "train")
-    assembler = VectorAssembler(inputCols=FEATURES, outputCol="_features", handleInvalid="keep")
     trees = GBTClassifier(featuresCol="_features", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=SEED)
-    model = trees.fit(assembler.transform(train).coalesce(4))
-    scored = model.transform(assembler.transform(full)).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
+    return trees.fit(assembled(train).coalesce(4))
+
+
+def assembled(rows: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=FEATURES, outputCol="_features", handleInvalid="keep").transform(rows)
+
+
+def judged(full: DataFrame, model: GBTClassificationModel | None, threshold: float = 0.5) -> DataFrame:
+    """page_id, host, path, rule, verdict and score; the trees' verdict where there is no rule's."""
+    columns = ["page_id", "host", "path", "rule"]
+    if model is None:
+        return full.select(*columns, F.coalesce("verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
+    scored = model.transform(assembled(full)).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
     verdict = F.coalesce("verdict", F.when(F.col("score") > threshold, "block").otherwise("allow"))
     return scored.select(*columns, verdict.alias("verdict"), "score")
+
+
+def filter_urls(pages: DataFrame, threshold: float = 0.5, rows: int = TRAIN_ROWS) -> DataFrame:
+    """page_id, host, path, rule, verdict and score of each page.
+
+    The trees learn from URLs that rules decide, and from undecided ones as presumed allows of less weight, since rules that block say little of the
+    rest; an undecided URL is blocked at a score over threshold. Without both verdicts among rules' all undecided ones are allowed. Null URLs, and such
+    without ://, have empty host and path and are judged alike; repeated rows are judged each; a score equal to threshold allows; the html is not read.
+    """
+    full = featured(pages)
+    return judged(full, fit_trees(full, rows), threshold)

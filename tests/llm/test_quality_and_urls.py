@@ -9,10 +9,12 @@ import cases
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
+from quire.llm import urlfilter
 from quire.llm.quality import FEATURES, fit_trees, keep_good, quality_verdicts, statistics
-from quire.llm.urlfilter import entropy, filter_urls, host_of, lexical_features, path_of
+from quire.llm.urlfilter import entropy, featured, filter_urls, host_of, judged, lexical_features, path_of
 
 
 def plain_statistics(text):
@@ -117,6 +119,86 @@ def test_trees_agree_with_rules_on_urls_they_were_not_fitted_to(spark):
     assert [r["verdict"] for r in found[800:]].count("block") <= 10
 
 
+def tree_of(lines, depth):
+    """(feature, at most, left, right) or a number, from a tree's lines."""
+    line = lines.pop(0).strip()
+    if line.startswith("Predict"):
+        return float(line.split(":")[1])
+    feature, bound = re.match(r"If \(feature (\d+) <= (\S+)\)", line).groups()
+    left = tree_of(lines, depth + 1)
+    assert lines.pop(0).strip().startswith("Else")
+    return int(feature), float(bound), left, tree_of(lines, depth + 1)
+
+
+def plain_score(model, features):
+    margin = 0.0
+    for tree, weight in zip(model.trees, model.treeWeights, strict=True):
+        node = tree_of(tree.toDebugString.strip().split("\n")[1:], 0)
+        while isinstance(node, tuple):
+            node = node[2] if features[node[0]] <= node[1] else node[3]
+        margin += weight * node
+    return 1 / (1 + math.exp(-2 * margin))
+
+
+def made_urls(seed, n=500):
+    rng = random.Random(seed)
+    name = lambda k: "".join(rng.choice("abcdefghij") for _ in range(k))
+    hosts = [f"{rng.choice(['www.', '', 'm.'])}{name(rng.randint(3, 12))}.example.{rng.choice(['com', 'net', 'org'])}" for _ in range(40)]
+    return [f"https://{rng.choice(hosts)}/{rng.choice(['en', 'de', 'fr'])}/{rng.randint(1, 10**rng.randint(1, 9))}{rng.choice(['', '.html', '?a=1&b=2', '#x'])}" for _ in range(n)]
+
+
+def test_suffix_statistics_and_verdicts_are_the_plain_ones(spark):
+    """Shares from other folds of hosts, and the trees walked node by node."""
+    urls = made_urls(4)
+    full = featured(pages(spark, urls))
+    model = urlfilter.fit_trees(full)
+    rows, found = {r["page_id"]: r for r in full.collect()}, {r["page_id"]: r for r in judged(full, model).collect()}
+    fold = {r["host"]: (xxhash.xxh64_intdigest(r["host"], 42) + (1 << 63)) % (1 << 64) - (1 << 63) for r in rows.values()}
+    fold = {h: x % urlfilter.FOLDS for h, x in fold.items()}
+    for i, r in rows.items():
+        mine = [o for o in rows.values() if o["suffix"] == r["suffix"]]
+        others = [o for o in mine if fold[o["host"]] != fold[r["host"]]]
+        assert r["suffix_share"] == pytest.approx(len(mine) / len(urls))
+        assert r["suffix_blocked"] == pytest.approx((sum(o["verdict"] == "block" for o in others) + 1) / (len(others) + 10))
+        score = plain_score(model, [r[c] for c in urlfilter.FEATURES])
+        assert found[i]["score"] == pytest.approx(score, abs=1e-9)
+        assert found[i]["verdict"] == (r["verdict"] or ("block" if found[i]["score"] > 0.5 else "allow"))
+    assert len({round(r["score"], 6) for i, r in found.items() if rows[i]["verdict"] is None}) > 20
+
+
+def test_features_do_not_tell_labels_within_a_host(spark):
+    """All pages of a host, blocked, allowed or undecided, have the same statistics of its suffix."""
+    of = collections.defaultdict(set)
+    for r in featured(pages(spark, made_urls(5))).collect():
+        of[r["host"]].add((r["suffix_share"], r["suffix_blocked"]))
+    assert all(len(x) == 1 for x in of.values())
+
+
+def test_hosts_that_trees_have_not_seen(spark):
+    """Trees fitted without some hosts agree with rules on these hosts' pages, where features tell them: long addresses are blocked ones here."""
+    rng = random.Random(8)
+    name = lambda k: "".join(rng.choice("abcdefghij") for _ in range(k))
+    blocked = [f"http://h{h}x{name(25)}.net/{name(30)}/{rng.randint(0, 10**6)}" for h in range(40) for _ in range(8)]
+    allowed = [f"http://h{h}y.example.net/en/{rng.randint(0, 99)}" for h in range(40) for _ in range(8)]
+    full = featured(pages(spark, blocked + allowed))
+    seen = F.regexp_extract("host", "^h([0-9]+)", 1).cast("int") % 4 != 0
+    model = urlfilter.fit_trees(full.where(seen))
+    unseen = judged(full.where(~seen), model).collect()
+    assert len(unseen) == 160 and np.mean([(r["score"] > 0.5) == (r["verdict"] == "block") for r in unseen]) > 0.95
+
+
+def test_clashing_columns_and_a_score_at_the_threshold(spark):
+    urls = made_urls(6, 120)
+    df = pages(spark, urls)
+    clash = df.withColumns({c: F.lit("x") for c in ("host", "path", "rule", "verdict", "score", "suffix", "fold", "label", "weight", "_features", "_h", "n")})
+    plain = {r["page_id"]: tuple(r) for r in filter_urls(df).collect()}
+    assert {r["page_id"]: tuple(r) for r in filter_urls(clash).collect()} == plain
+    full = featured(df)
+    model = urlfilter.fit_trees(full)
+    score = max(r["score"] for r in judged(full.where("verdict is null"), model).collect())
+    assert {r["verdict"] for r in judged(full.where("verdict is null"), model, score).collect()} == {"allow"}
+
+
 @pytest.mark.parametrize("text", ["", "aaaa", "abab", "hello.world", "a.b*c"])
 def test_entropy(spark, text):
     counts = collections.Counter(text)
