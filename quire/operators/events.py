@@ -91,13 +91,12 @@ def _carried(ranged: DataFrame, values: dict[str, Column], count: Column) -> Dat
     return joined.drop("_far_key", "_far_range", "_far_count", *(f"_far{n}" for n in values))
 
 
-def _lines(ranged: DataFrame, start: DataFrame | None, echo_ms: int) -> tuple[DataFrame, DataFrame]:
+def _lines(ranged: DataFrame, start: DataFrame | None, echo_ms: int) -> DataFrame:
     """Events that count, each with its _line, and what it sets.
 
     Sync, the active pane and applies depend on no view, so windows give them at every event. While sync is on there is one view; when it is turned
     on, the active pane's view becomes that of both. So the views at the end come from one line of events that both share ("both"), and, while sync is
-    off at the end, from those of each pane since. Events of a pane that was given up, and echoes, are in no line. "control" are the others. Also
-    all events as they were before they were sorted into lines.
+    off at the end, from those of each pane since. Events of a pane that was given up, and echoes, are in no line. "control" are the others.
     """
     kind, pane = F.col("kind"), F.col("pane_id")
     is_kind = lambda *names: F.coalesce(kind.isin(*names), F.lit(False))
@@ -118,11 +117,11 @@ def _lines(ranged: DataFrame, start: DataFrame | None, echo_ms: int) -> tuple[Da
         "_key", "_range", *_ORDER, "kind", target.alias("_target"), sync.alias("_sync"), F.col("_count").alias("_phase"), active.alias("_now"), control.alias("_control"),
         turns.alias("_turns"), "page_number", "relative_offset_y", "scale_value", "scale", "rotation",
     )
-    some = keep(some.where(F.col("_target").isNotNull() | F.col("_control")), "known")
+    some = some.where(F.col("_target").isNotNull() | F.col("_control"))
     chosen = some.where((F.col("kind") == "toggle_sync") & ~F.col("_sync")).select(F.col("_key").alias("_of"), F.col("_phase").alias("_until"), F.col("_now").alias("_chosen"))
     joined = some.join(chosen, F.col("_key").eqNullSafe(F.col("_of")) & (F.col("_phase") == F.col("_until")), "left")
     line = F.when(F.col("_control"), "control").when(F.col("_sync") | (F.col("_target") == F.col("_chosen")), "both").when(F.col("_chosen").isNull(), F.col("_target"))
-    return keep(joined.withColumn("_line", line).where("_line is not null").drop("_of", "_until", "_chosen"), "lines"), some
+    return keep(joined.withColumn("_line", line).where("_line is not null").drop("_of", "_until", "_chosen"), "lines")
 
 
 def _set_by(lines: DataFrame) -> DataFrame:
@@ -178,10 +177,10 @@ def fold_panes(events: DataFrame, page_count: Column, key: str = "doc_id", befor
     start = None
     if before is not None:
         start = before.select(F.col(key).alias("_start_key"), F.col("state.sync").alias("_sync0"), F.col("state.active").alias("_active0"), F.col("state.applied").alias("_applied0"))
-    lines, known = _lines(ranged, start, echo_ms)
+    lines = _lines(ranged, start, echo_ms)
     # The pane whose first view "both" goes on from: the one that the first event in sync changes, or the active one when sync is first turned on.
     first = F.when(F.col("_sync") & (F.col("_phase") == 0) & F.col("_target").isNotNull(), F.col("_target")).when((F.col("kind") == "toggle_sync") & ~F.col("_sync"), F.col("_now"))
-    origin = known.groupBy(F.col("_key").alias("_of")).agg(F.min_by(first, F.when(first.isNotNull(), F.struct(*_ORDER))).alias("_origin"))
+    origin = lines.groupBy(F.col("_key").alias("_of")).agg(F.min_by(first, F.when(first.isNotNull(), F.struct(*_ORDER))).alias("_origin"))
     whole = _set_by(lines)
     one = lambda name: F.first(F.when(F.col("_line") == name, F.struct(*(c for c in whole.columns if c not in ("_key", "_line")))), ignorenulls=True).alias(f"_{name}")
     found = whole.groupBy(F.col("_key").alias("_set_key")).agg(*map(one, ("control", "both", *VIEWS)))
@@ -200,12 +199,17 @@ def fold_panes(events: DataFrame, page_count: Column, key: str = "doc_id", befor
         *views, F.when(control["toggles"] % 2 == 1, ~old["sync"]).otherwise(old["sync"]).alias("sync"), F.coalesce(control["active"], old["active"]).alias("active"),
         F.when(control["split"].isNotNull(), control["split"]["scale_value"]).otherwise(old["split"]).alias("split"), F.coalesce(control["applied"], old["applied"]).alias("applied"),
     ).cast(STATE)
-    done = keep(shared.select(F.col("_key").alias(key), folded.alias("state")), "states")
-    for table in (lines, known, *([ranged] if hasattr(ranged, "_scratch") else [])):
-        forget(table)
+    done = shared.select(F.col("_key").alias(key), folded.alias("state"))
+    done._reads = [t for t in (lines, ranged) if hasattr(t, "_scratch")]
     return done
 
 
+def release(folded: DataFrame) -> None:
+    """Delete the scratch tables that a fold reads, once it has been written."""
+    for table in folded._reads:
+        forget(table)
+
+
 def last_known(events: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], inclusive: bool = True, forward: bool = True, most: int | None = None) -> DataFrame:
     """events with, for each name, the last value that is not null among the rows of the same keys up to each row, or before it.
 

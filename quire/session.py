@@ -20,10 +20,11 @@ def share_code(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
 
 
-def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A UTC session on this machine, for tests and the bench."""
+def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g", scratch: str | None = None) -> SparkSession:
+    """A UTC session on this machine, for tests and the bench. scratch: the folder that spark.checkpoint.dir names."""
+    builder = SparkSession.builder.config("spark.checkpoint.dir", f"file://{scratch}") if scratch else SparkSession.builder
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName("quire")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from quire.operators.events import STATE, fold_panes
+from quire.operators.events import STATE, fold_panes, release
 from quire.operators.library import partial_update, recent
-from quire.scratch import forget
 from quire.schemas import DEBOUNCE_MS, ECHO_MS, RECENT
 from quire.sources.buckets import BUCKETS, COMMITS, BucketedTable
 
@@ -40,7 +39,7 @@ def fold_stream(events: DataFrame, folder: str, checkpoint: str, page_count: int
             base = table.version()
             folded = fold_panes(batch, page_count if isinstance(page_count, Column) else F.lit(page_count), "doc_id", table.having(batch, version=base))
             table.commit(folded, {"batch": number}, base)
-            forget(folded)
+            release(folded)
         if after is not None:
             after(table.rows(), number)
 

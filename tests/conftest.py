@@ -9,8 +9,8 @@ from quire.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("4", 4, "6g")
+def spark(tmp_path_factory):
+    session = local_session("4", 4, "6g", str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
