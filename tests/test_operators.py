@@ -178,6 +178,33 @@ def test_fold_of_long_keys_goes_by_ranges(spark, most):
         assert (s["original"], s["companion"], s["sync"], s["active"], s["split"]) == (panes["original"], panes["companion"], sync, active, split)
 
 
+def test_fold_goes_on_from_states_and_takes_as_many_jobs_for_any_ranges(spark):
+    events = made_events(11, 120, 3)
+    frame = lambda some: spark.createDataFrame([tuple(e.values()) for e in some], PANE_EVENT)
+    whole = {r["doc_id"]: r["state"] for r in E.fold_panes(frame(events), F.lit(12)).collect()}
+    half = spark.createDataFrame(E.fold_panes(frame(events[:50]), F.lit(12)).collect(), f"doc_id string, state {E.STATE}")
+    jobs = []
+    for most in (1, 5):
+        spark.sparkContext.setJobGroup(f"fold{most}", "")
+        found = {r["doc_id"]: r["state"] for r in E.fold_panes(frame(events[50:]), F.lit(12), before=half, most=most).collect()}
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fold{most}")))
+        assert found == whole
+    spark.sparkContext.setJobGroup("tests", "")
+    assert abs(jobs[0] - jobs[1]) <= 2, jobs  # 70 ranges and 14
+
+
+def test_fold_from_panes_that_differ_in_sync(spark):
+    """A start that no fold leaves: in sync, but with different views. The first event's pane becomes both."""
+    view = lambda page: (page, 0.5, "page-fit", 2.0, 90)
+    start = spark.createDataFrame([("a", (view(3), view(7), True, "companion", "stacked", None)), ("b", (view(3), view(7), True, "companion", "stacked", None))], f"doc_id string, state {E.STATE}")
+    event = dict.fromkeys(PANE_EVENT.fieldNames()) | {"event_id": 1, "ts": T0, "pane_id": "original"}
+    made = [event | {"doc_id": "a", "kind": "rotate"}, event | {"doc_id": "b", "kind": "scroll", "relative_offset_y": 0.25}]
+    df = spark.createDataFrame([tuple(e.values()) for e in made], PANE_EVENT)
+    found = {r["doc_id"]: r["state"] for r in E.fold_panes(df, F.lit(12), before=start).collect()}
+    assert (found["a"]["original"]["page_number"], found["a"]["companion"]["page_number"], found["a"]["original"]["rotation"]) == (7, 7, 180)
+    assert (found["b"]["original"]["page_number"], found["b"]["companion"]["relative_offset_y"]) == (3, 0.25)
+
+
 def test_zooms_of_long_keys_go_by_ranges(spark):
     rng, made = random.Random(9), []
     for key, n, up in (("up", 300, 0.6), ("even", 500, 0.5), (None, 90, 0.4), ("swing", 40, None), ("one", 1, 1)):
