@@ -16,8 +16,17 @@ NO_MATCH, NO_DOCUMENT = "일치하는 논문이 없습니다.", "아직 연 논
 
 
 def number_text(value: Column) -> Column:
-    """A number as a script prints it: whole ones without a point."""
-    return F.when(value == F.floor(value), value.cast("bigint").cast("string")).otherwise(value.cast("string"))
+    """A number as a script prints it: whole ones without a point, an exponent only below a millionth and from 1e21 on."""
+    value = value.cast("double")
+    sign, size, text = F.when(value < 0, "-").otherwise(""), F.abs(value), F.abs(value).cast("string")
+    mantissa, exponent = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", ""), F.substring_index(text, "E", -1).try_cast("int")
+    digits = F.replace(mantissa, F.lit("."), F.lit(""))
+    scientific = F.concat(mantissa, F.when(exponent < 0, "e").otherwise("e+"), exponent.cast("string"))
+    small = F.concat(F.lit("0."), F.lpad(digits, F.length(digits) - exponent - 1, F.lit("0")))
+    whole = F.rpad(digits, F.greatest(F.length(digits), exponent + 1), F.lit("0"))
+    large = F.concat(F.substr(whole, F.lit(1), exponent + 1), F.when(F.length(whole) > exponent + 1, F.concat(F.lit("."), F.substr(whole, exponent + 2))).otherwise(""))
+    moved = F.when((size < 1e-6) | (size >= 1e21), scientific).when(exponent < 0, small).otherwise(large)
+    return F.concat(sign, F.when(text.contains("E"), moved).otherwise(F.regexp_replace(text, r"\.0$", "")))
 
 
 def preset_or_number(preset: Column, scale: Column) -> Column:

@@ -88,3 +88,16 @@ def test_labels(spark):
 def test_scroll_and_anchor_are_inverse(spark):
     anchor = N.scroll_to_anchor(F.lit(150.0), F.lit(100.0), F.lit(200.0))
     assert one(spark, anchor, N.anchor_to_scroll(anchor, F.lit(100.0), F.lit(200.0)), N.scroll_to_anchor(F.lit(5.0), F.lit(0.0), F.lit(0.0))) == (0.25, 150.0, 1.0)
+
+
+@pytest.mark.parametrize(
+    ("number", "expected"),
+    [(0.0002, "0.0002"), (0.02 / 50, "0.0004"), (-0.0004, "-0.0004"), (1.25e-6, "0.00000125"), (1.25e-7, "1.25e-7"), (3e-7, "3e-7"), (12345678.5, "12345678.5"), (2.5e7, "25000000"),
+     (1e20, "100000000000000000000"), (1e21, "1e+21"), (1.5, "1.5"), (2.0, "2"), (0.0, "0"), (-0.0, "0"), (-3.0, "-3"), (math.nan, "NaN"), (math.inf, "Infinity"), (-math.inf, "-Infinity")],
+)
+def test_numbers_are_printed_without_exponent(spark, number, expected):
+    assert one(spark, L.number_text(F.lit(number)), L.preset_or_number(F.lit(""), F.lit(number))) == (expected, expected)
+
+
+def test_an_absent_number_has_no_text(spark):
+    assert one(spark, L.number_text(F.lit(None).cast("double"))) is None
