@@ -6,19 +6,21 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import bits_for, keep, spread_rank
 
 CAPACITY = 2048
-#: Token ids cached per task: words up to so many bytes, and so many of them in each Python worker before it starts anew.
-CACHED_BYTES, CACHED_WORDS = 48, 1_000_000
-#: Texts whose new words are tokenized together.
-TOGETHER = 256
+#: Token ids cached per task: words up to so many bytes, and so many of them in each Python worker before it drops the later half.
+CACHED_BYTES, CACHED_WORDS = 48, 300_000
+#: Texts whose new words are tokenized together, and their bytes; a longer text is alone.
+TOGETHER, TOGETHER_BYTES = 256, 1 << 20
 
 
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -72,7 +74,7 @@ class Tokens:
         letter or digit are a word of their own to it, so they are looked up apart.
         """
         if len(self.known) > CACHED_WORDS:
-            self.known = {}
+            self.known = dict(islice(self.known.items(), CACHED_WORDS // 2))  # the first ones, as frequent words come early
         words = list(map(lowered_words, texts))
         known, new = self.known, set()
         for text in words:
@@ -97,6 +99,16 @@ class Tokens:
         return out
 
 
+def together(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First text and number of texts that are tokenized together: TOGETHER of them, and TOGETHER_BYTES, at most."""
+    ends, at = np.cumsum(sizes, dtype=np.int64), 0
+    while at < len(sizes):
+        fit = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER_BYTES, side="right")) - at
+        n = max(1, min(TOGETHER, fit, len(sizes) - at))
+        yield at, n
+        at += n
+
+
 def token_pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece: ids of the text and a final 0, cut at capacity."""
 
@@ -104,8 +116,8 @@ def token_pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY)
         tokens = Tokens.of(tokenizer)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
-            for at in range(0, len(batch), TOGETHER):
-                part = [t or b"" for t in texts.slice(at, TOGETHER).to_pylist()]
+            for at, n in together(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)):
+                part = [t or b"" for t in texts.slice(at, n).to_pylist()]
                 owner, piece, length, crc = [], [], [], []
                 for row, data in enumerate(tokens.encode(part)):
                     data += b"\0\0\0\0"

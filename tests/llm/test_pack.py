@@ -10,7 +10,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from quire.llm.packing import Tokens, pack_documents, plan_sequences, price_best, slots
+from quire.llm import packing
+from quire.llm.packing import Tokens, pack_documents, plan_sequences, price_best, slots, together
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -89,3 +90,21 @@ def test_plan_uses_every_piece_once_and_few_sequences(shape):
     assert n <= len(decreasing) + 2
     places = slots(plan)
     assert sum(times * len(config) for config, times in plan) == counts.sum() and (np.diff(places["length"]) >= 0).all()
+
+
+def test_few_words_are_remembered_the_first_ones(plain, monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 20)
+    tokens = Tokens(PATH)
+    for k in range(0, 100, 10):
+        text = "the of and " + " ".join(f"w{j}x" for j in range(k, k + 10))
+        assert np.frombuffer(tokens.encode([text.encode()])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert {b"the", b"of", b"and"} <= set(tokens.known) and len(tokens.known) <= 20 + 13
+    assert b"w0x" in tokens.known  # not forgotten with the later ones
+
+
+def test_large_texts_are_not_tokenized_together():
+    sizes = np.array([10, 600_000, 600_000, 3_000_000, 0, 5, *[1] * 600])
+    parts = list(together(sizes))
+    assert [at for at, _ in parts[1:]] == [at + n for at, n in parts[:-1]] and sum(n for _, n in parts) == len(sizes)
+    assert parts[:4] == [(0, 2), (2, 1), (3, 1), (4, 256)] and max(n for _, n in parts) == 256
+    assert list(together(np.zeros(0, np.int64))) == []
