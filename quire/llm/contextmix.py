@@ -452,16 +452,32 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 
 def packed_counts(counts: np.ndarray) -> bytes:
-    """How wide counts are, places of those that are not 0, and these."""
+    """A block's counts, those that are not 0: their places, as numbers where they are few or else a bit for each place, and the counts less one in four bits.
+
+    Those of 16 and more follow, in one byte each or in four; before all stand this width and how many places there are.
+    """
     at = np.flatnonzero(counts)
-    kind = np.uint8 if counts.max() < 256 else np.uint32
-    return bytes([np.dtype(kind).itemsize]) + at.astype(np.uint16).tobytes() + counts[at].astype(kind).tobytes()
+    less = counts[at].astype(np.int64) - 1
+    few = np.minimum(less, 15).astype(np.uint8)
+    if len(few) % 2:
+        few = np.append(few, np.uint8(0))
+    many = less[less >= 15] - 15
+    kind = np.uint8 if not len(many) or many.max() < 256 else np.uint32
+    places = at.astype(np.uint16) if 16 * len(at) < len(counts) else np.packbits(counts > 0)
+    return bytes([np.dtype(kind).itemsize]) + len(at).to_bytes(2, "little") + places.tobytes() + (few[::2] | (few[1::2] << 4)).tobytes() + many.astype(kind).tobytes()
 
 
 def add_packed(sums: np.ndarray, packed: bytes) -> None:
-    width = packed[0]
-    n = (len(packed) - 1) // (2 + width)
-    sums[np.frombuffer(packed, np.uint16, n, 1)] += np.frombuffer(packed, f"u{width}", n, 1 + 2 * n)
+    width, n, begin = packed[0], int.from_bytes(packed[1:3], "little"), 3
+    if 16 * n < len(sums):
+        at, begin = np.frombuffer(packed, np.uint16, n, begin), begin + 2 * n
+    else:
+        at, begin = np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8, len(sums) // 8, begin))), begin + len(sums) // 8
+    halves = np.frombuffer(packed, np.uint8, (n + 1) // 2, begin)
+    less = np.stack([halves & 15, halves >> 4], axis=1).ravel()[:n].astype(np.int64)
+    many = np.flatnonzero(less == 15)
+    less[many] += np.frombuffer(packed, f"u{width}", len(many), begin + len(halves))
+    sums[at] += less + 1
 
 
 class SlotCounts:

@@ -142,3 +142,22 @@ def test_counts_are_those_of_single_words(spark, docs):
     code = lambda x: np.searchsorted(cm.COUNTS, x, side="right") - 1
     for found, wanted in zip(tables, expected, strict=True):
         assert (found == code(wanted[:, 0]) * 256 + code(wanted[:, 1])).all()
+
+
+@pytest.mark.parametrize("share", [0.001, 0.05, 0.07, 0.4, 1.0])
+def test_packed_counts_are_the_counts(share):
+    rng = np.random.default_rng(5)
+    counts = np.where(rng.random(2 * cm.SLOTS) < share, rng.choice([1, 2, 14, 15, 16, 17, 270, 271, 272], 2 * cm.SLOTS), 0).astype(np.uint32)
+    counts[77] = 1
+    for most in (3, 1 << 31):
+        counts[4000] = most
+        sums = np.ones(2 * cm.SLOTS, np.int64)
+        cm.add_packed(sums, cm.packed_counts(counts))
+        assert (sums == counts.astype(np.int64) + 1).all()
+
+
+def test_dense_counts_take_little_room():
+    """Four in ten places hold a count, most of them 1, as in the table of pairs after 50 MB of text."""
+    rng = np.random.default_rng(6)
+    counts = np.where(rng.random(2 * cm.SLOTS) < 0.4, rng.geometric(0.6, 2 * cm.SLOTS), 0).astype(np.uint32)
+    assert len(cm.packed_counts(counts)) < 0.4 * 3 * np.count_nonzero(counts)
