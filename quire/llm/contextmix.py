@@ -5,7 +5,7 @@ word without bytes. For every bit several predictors look up how often it was 0
 or all of them and the word before. Their log odds are added up with weights that a gate chooses, and the sum is refined by what was seen where sums
 were alike. The product over all bits is a probability of the text.
 
-Counts are of all training texts. They are added up in the tasks, merged in blocks of slots by Spark, and what reaches the driver and every task is
+Counts, weights and the refinement are of all training texts. Counts are added up in the tasks, merged in blocks of slots by Spark, and what reaches the driver and every task is
 the table of slots: MOST_BITS bounds it.
 """
 
@@ -27,8 +27,6 @@ from quire.llm.common import forget, keep
 from quire.llm.textarrays import LOWER, U64, Block, Prefix, mix
 
 FOLDS, HELD_OUT = 5, 1
-#: One in so many training documents also teaches the weights, with its own counts taken out.
-TUNING = 16
 #: Each predictor has 2 to the power of at most so many slots; fewer where there are fewer than a quarter as many training tokens.
 MOST_BITS = (16, 20, 22, 24, 24)
 #: Bytes of texts that share a table of their words, and of those that a task looks at together.
@@ -47,6 +45,8 @@ BUCKETS, REACH = 64, 8.0
 SLOTS = 4096
 #: Bits, and words, that are looked at together.
 CHUNK, WORDS = 1 << 18, 1 << 15
+#: Bits after which the weights that are being learned change.
+STEP = 1 << 14
 RATE, PRIOR = 0.05, 30.0
 _NODES = mix(np.arange(1, 513, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _CODES = mix(np.arange(1, 257, dtype=U64) * U64(0xD1B54A32D192ED03))
@@ -368,26 +368,80 @@ def scores(model: Model, texts: Texts, n: int, alone: np.ndarray | None = None)
     return np.bincount(texts.text, alone[texts.token] + of_pair[pairs.token], n)
 
 
-def lessons(model: Model, texts: Texts) -> Iterator[tuple]:
-    """For tuning, pieces of (gate, rows of log odds, bit, byte before, how often), with each bit's own count taken out."""
-    times = np.bincount(texts.token, minlength=len(texts.words))
-    for piece in bits_of(texts.words, late=True):
+@dataclass
+class Lesson:
+    """For learning: gates, log odds of the first predictors, bit, byte before, and how often; each bit's own count is taken out."""
+
+    gates: np.ndarray
+    rows: list[np.ndarray]
+    bit: np.ndarray
+    last: np.ndarray
+    times: np.ndarray
+
+
+def late_lessons(model: Model, words: pa.Array, times: np.ndarray) -> Iterator[Lesson]:
+    """Of words' bytes behind the first ones, for which the word before counts nothing."""
+    for piece in bits_of(words, late=True):
         x, gates = model.inputs(piece, True)
-        yield gates, np.vstack([x, np.zeros(x.shape[1], np.float32)]), piece.bit, piece.last, times[piece.word]
+        yield Lesson(gates, list(x), piece.bit, piece.last, times[piece.word])
+
+
+def early_lessons(model: Model, texts: Texts) -> Iterator[Lesson]:
+    """Of the first bytes of all words."""
     first, x, gates = opened(model, texts.words, True)
     pairs = pairs_of(texts)
     times = np.bincount(pairs.token, minlength=len(pairs.first))
     for pair, at, hashes in first.of_pairs(pairs, word_hashes(texts.words)):
         bit = first.bits.bit[at]
         odds, sure = model.with_before(hashes, bit)
-        yield gates[at] + sure, np.vstack([x[:, at], odds]), bit, first.bits.last[at], times[pair]
+        yield Lesson(gates[at] + sure, [*(row[at] for row in x), odds], bit, first.bits.last[at], times[pair])
+
+
+class Learner:
+    """Weights that follow lessons online, in steps of STEP bits, and what was seen by last byte and bucket of the weighted sum."""
+
+    def __init__(self) -> None:
+        self.weights, self.squares, self.seen = plain_weights(), np.full((GATES, INPUTS), 1e-4), np.zeros(GATES)
+        self.ones, self.all = np.zeros(256 * BUCKETS), np.zeros(256 * BUCKETS)
+
+    def learn(self, lesson: Lesson) -> None:
+        sums = np.empty(len(lesson.gates), np.float32)
+        for low in range(0, len(sums), STEP):
+            few = slice(low, low + STEP)
+            g, here, rows = lesson.gates[few], lesson.times[few], [row[few] for row in lesson.rows]
+            weights = self.weights.T.astype(np.float32)
+            x = weights[0][g]
+            for row, weight in zip(rows, weights[1:], strict=False):
+                x += row * weight[g]
+            sums[few] = x
+            miss = (lesson.bit[few] - squash(x)) * here
+            total = np.bincount(g, here, GATES)
+            slope = np.zeros((GATES, INPUTS))
+            slope[:, 0] = np.bincount(g, miss, GATES)
+            for k, row in enumerate(rows, 1):
+                slope[:, k] = np.bincount(g, miss * row, GATES)
+            slope /= np.maximum(total, 1)[:, None]
+            self.squares += slope**2
+            self.weights += RATE * slope / np.sqrt(self.squares)
+            self.seen += total
+        cell = cells(sums, lesson.last)
+        self.all += np.bincount(cell, lesson.times, len(self.all))
+        self.ones += np.bincount(cell, lesson.times * lesson.bit, len(self.ones))
+
+    def learned(self) -> pa.RecordBatch:
+        """gate, at, total and seen: of each gate that was seen the weights times how many bits that were, and with gate -1 cells."""
+        made = [(g, i, self.weights[g, i] * self.seen[g], self.seen[g]) for g in np.flatnonzero(self.seen).tolist() for i in range(INPUTS)]
+        made += [(-1, c, self.ones[c], self.all[c]) for c in np.flatnonzero(self.all).tolist()]
+        columns = list(zip(*made, strict=True)) or [[]] * 4
+        kinds = (pa.int32(), pa.int32(), pa.float64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["gate", "at", "total", "seen"])
 
 
 # Jobs. ----------------------------------------------------------------------------------------------------------------------------
 
 
 def buffered(documents: DataFrame) -> DataFrame:
-    """doc_id, held_out, tuning, text and buffer: rows that a task reads in a row share a buffer of about BUFFER bytes; a longer text has its own.
+    """doc_id, held_out, text and buffer: rows that a task reads in a row share a buffer of about BUFFER bytes; a longer text has its own.
 
     A null doc_id counts as empty text, which is not held out.
     """
@@ -402,8 +456,8 @@ def buffered(documents: DataFrame) -> DataFrame:
 
     sum_ = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     held = sum_ % FOLDS == HELD_OUT
-    some = documents.select(F.col("doc_id").cast("long"), held.alias("held_out"), (~held & (F.floor(sum_ / FOLDS) % TUNING == 0)).alias("tuning"), "text")
-    return some.mapInArrow(number, "doc_id long, held_out boolean, tuning boolean, text string, buffer long")
+    some = documents.select(F.col("doc_id").cast("long"), held.alias("held_out"), "text")
+    return some.mapInArrow(number, "doc_id long, held_out boolean, text string, buffer long")
 
 
 def by_buffer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -572,41 +626,35 @@ def slot_tables(words: DataFrame, rows: DataFrame, bits: list[int]) -> list[np.n
     return np.split(whole, np.cumsum([1 << b for b in bits])[:-1])
 
 
-def tuned(rows: DataFrame, bits: list[int], tables) -> tuple[np.ndarray, np.ndarray]:
-    """Weights by gate, and the share of ones by last byte and bucket of the weighted sum. tables: broadcast.
+def taught(rows: DataFrame, counts: DataFrame, bits: list[int], tables) -> DataFrame:
+    """What each task has learned from all of its training texts. tables: broadcast.
 
-    Each task learns online from its tuning texts, in small blocks of bits, from the weights that it has so far; the tasks' weights are averaged by how
-    many bits each saw, and what they saw by bucket is added up.
+    It learns online in small blocks of bits, from the weights that it has so far. First bytes are learned from texts, the others, which the word before does not change, from each buffer's
+    distinct words with how often they are in its training texts.
     """
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(bits, tables.value, plain_weights(), plain_refinement())
-        weights, squares, seen = model.weights, np.full((GATES, INPUTS), 1e-4), np.zeros(GATES)
-        ones, all_ = np.zeros(256 * BUCKETS), np.zeros(256 * BUCKETS)
+    def early(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, learner = Model(bits, tables.value, plain_weights(), plain_refinement()), Learner()
         for part in (part for table in by_buffer(batches) for part in slices(table)):
-            for gates, x, bit, last, times in lessons(model, lexed(part.column("text"))):
-                for low in range(0, len(gates), 1 << 14):
-                    few = slice(low, low + (1 << 14))
-                    g, inputs, here = gates[few], np.vstack([np.ones((1, len(gates[few])), np.float32), x[:, few]]), times[few]
-                    sums = (inputs * weights.T[:, g]).sum(axis=0)
-                    cell = cells(sums, last[few])
-                    all_ += np.bincount(cell, here, len(all_))
-                    ones += np.bincount(cell, here * bit[few], len(ones))
-                    miss = (bit[few] - squash(sums)) * here
-                    total = np.bincount(g, here, GATES)
-                    slope = np.stack([np.bincount(g, miss * row, GATES) for row in inputs], axis=1) / np.maximum(total, 1)[:, None]
-                    squares += slope**2
-                    weights += RATE * slope / np.sqrt(squares)
-                    seen += total
-        made = [(g, i, weights[g, i] * seen[g], seen[g]) for g in np.flatnonzero(seen).tolist() for i in range(INPUTS)]
-        made += [(-1, c, ones[c], all_[c]) for c in np.flatnonzero(all_).tolist()]
-        columns = list(zip(*made, strict=True)) or [[]] * 4
-        kinds = (pa.int32(), pa.int32(), pa.float64(), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["gate", "at", "total", "seen"])
+            for lesson in early_lessons(model, lexed(part.column("text"))):
+                learner.learn(lesson)
+        yield learner.learned()
+
+    def late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, learner = Model(bits, tables.value, plain_weights(), plain_refinement()), Learner()
+        for batch in batches:
+            for lesson in late_lessons(model, batch.column("word").cast(pa.large_binary()), batch.column("n").to_numpy()):
+                learner.learn(lesson)
+        yield learner.learned()
+
+    schema = "gate int, at int, total double, seen double"
+    return rows.where("not held_out").select("text", "buffer").mapInArrow(early, schema).unionByName(counts.where("n > 0").select("word", "n").mapInArrow(late, schema))
+
 
-    found = rows.where("tuning").select("text", "buffer").mapInArrow(learn, "gate int, at int, total double, seen double")
+def tuned(taught: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Weights by gate, the tasks' ones averaged by how many bits each saw, and the share of ones by last byte and bucket of the weighted sum."""
     weights, refined = plain_weights(), plain_refinement()
-    for r in found.groupBy("gate", "at").agg(F.sum("total").alias("total"), F.sum("seen").alias("seen")).collect():  # GATES * INPUTS + 256 * BUCKETS rows at most
+    for r in taught.groupBy("gate", "at").agg(F.sum("total").alias("total"), F.sum("seen").alias("seen")).collect():  # GATES * INPUTS + 256 * BUCKETS rows at most
         if r["gate"] < 0:
             refined[r["at"]] = (r["total"] + PRIOR * refined[r["at"]]) / (r["seen"] + PRIOR)
         else:
@@ -634,7 +682,7 @@ def train(rows: DataFrame, counts: DataFrame, most_bits: tuple[int, ...] = MOST_
     tokens, distinct = total["n"] or 0, total["v"] or 0
     bits = [min(most, max(12, math.ceil(math.log2(max(tokens, 1))) + 2)) for most in most_bits]
     tables = rows.sparkSession.sparkContext.broadcast(slot_tables(words, rows, bits))
-    return Trained(bits, tables, *tuned(rows, bits, tables), words, tokens, distinct)
+    return Trained(bits, tables, *tuned(taught(rows, counts, bits, tables)), words, tokens, distinct)
 
 
 def with_late_scores(trained: Trained) -> DataFrame:

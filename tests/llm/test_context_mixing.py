@@ -161,3 +161,16 @@ def test_dense_counts_take_little_room():
     rng = np.random.default_rng(6)
     counts = np.where(rng.random(2 * cm.SLOTS) < 0.4, rng.geometric(0.6, 2 * cm.SLOTS), 0).astype(np.uint32)
     assert len(cm.packed_counts(counts)) < 0.4 * 3 * np.count_nonzero(counts)
+
+
+def test_weights_are_learned_from_every_training_text(spark, docs):
+    """Every bit of every training token is in the refinement's counts, and the gates have seen as many."""
+    bits = [12] * cm.PREDICTORS
+    rows = cm.keep(cm.buffered(docs), "texts")
+    counts = cm.keep(cm.word_counts(rows), "counts")
+    tables = cm.slot_tables(counts.groupBy("word").agg(F.sum("n").alias("n")), rows, bits)
+    found = cm.taught(rows, counts, bits, spark.sparkContext.broadcast(tables)).groupBy((F.col("gate") < 0).alias("cells")).agg(F.sum(F.when((F.col("gate") < 0) | (F.col("at") == 0), F.col("seen"))).alias("n")).collect()
+    seen = {r["cells"]: r["n"] for r in found}
+    width = lambda token: int(cm.PATH_SIZE[np.frombuffer(token + b" ", np.uint8)].sum())
+    wanted = sum(width(t) for i, text, _ in cases.prose() if zlib.crc32(str(i).encode()) % 5 != 1 for t in tokens(text))
+    assert seen == {True: wanted, False: wanted}
