@@ -30,7 +30,7 @@ FOLDS, HELD_OUT = 5, 1
 #: Each predictor has 2 to the power of at most so many slots; fewer where there are fewer than a quarter as many training tokens.
 MOST_BITS = (16, 20, 22, 24, 24)
 #: Bytes of texts that share a table of their words, and of those that a task looks at together.
-BUFFER, SLICE = 16 << 20, 4 << 20
+BUFFER, SLICE = 16 << 20, 2 << 20
 #: Bytes of a word that the word before speaks for.
 SPOKEN = 3
 STOP = 0x20
@@ -732,11 +732,12 @@ def score_documents(documents: DataFrame, most_bits: tuple[int, ...] = MOST_BITS
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         words = right.column("word").combine_chunks().cast(pa.large_binary())
         n_of, late_of = right.column("n").to_numpy(), right.column("late").to_numpy().astype(np.float64)
-        parts = list(slices(left))
-        texts = [lexed(part.column("text")) for part in parts]
-        at = pc.index_in(pa.concat_arrays([t.words for t in texts]), value_set=words).to_numpy()  # all words are there
-        at = np.split(at, np.cumsum([len(t.words) for t in texts])[:-1])
-        return pa.concat_tables([scored(part, t, n_of[i], late_of[i]) for part, t, i in zip(parts, texts, at, strict=True)])
+        found = []
+        for part in slices(left):  # one at a time in memory
+            texts = lexed(part.column("text"))
+            at = pc.index_in(texts.words, value_set=words).to_numpy()  # all words are there
+            found.append(scored(part, texts, n_of[at], late_of[at]))
+        return pa.concat_tables(found)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     return rows.select("doc_id", "held_out", "text", "buffer").groupBy("buffer").cogroup(known.groupBy("buffer")).applyInArrow(score, schema)
