@@ -211,22 +211,27 @@ def word_hashes(words: pa.Array) -> np.ndarray:
 
 @dataclass
 class Pairs:
-    """Distinct (word before, word): the words' numbers, number of each token's pair, and bits of the words' first bytes for each pair."""
+    """Heads, the distinct first bytes of words, and distinct (word before, head): number of the word, number of the head, and number of each token's pair.
 
+    Bits of first bytes depend on no more of a word than its head, of which there are few.
+    """
+
+    heads: pa.Array
     first: np.ndarray
     second: np.ndarray
     token: np.ndarray
 
 
 def pairs_of(texts: Texts) -> Pairs:
-    n = len(texts.words)
-    key, number = np.unique((texts.before + 1) * n + texts.token, return_inverse=True)
-    return Pairs(key // n - 1, key % n, number)
+    heads = pc.binary_slice(texts.words, 0, SPOKEN).dictionary_encode()
+    n, head = max(len(heads.dictionary), 1), heads.indices.to_numpy().astype(np.int64)
+    key, number = np.unique((texts.before + 1) * n + head[texts.token], return_inverse=True)
+    return Pairs(heads.dictionary, key // n - 1, key % n, number)
 
 
 @dataclass
 class Opening:
-    """Bits of the first bytes of words, where each word's begin and how many there are."""
+    """Bits of heads, where each head's begin and how many there are."""
 
     bits: Bits
     start: np.ndarray
@@ -247,7 +252,7 @@ class Opening:
 
 
 def opening(pieces: list[Bits], n: int) -> Opening:
-    """The first bytes' bits of n words, from their pieces."""
+    """The bits of n heads, from their pieces."""
     if not pieces:
         none = np.zeros(0, np.int32)
         return Opening(Bits(none, none, none.astype(np.uint8), none, [none.astype(U64)]), np.zeros(n, np.int64), np.zeros(n, np.int64))
@@ -331,16 +336,16 @@ def gate(place: np.ndarray, sure: np.ndarray) -> np.ndarray:
     return (np.minimum(place, PLACES - 1) * SURE + sure) * SPOKEN_SURE
 
 
-def opened(model: Model, words: pa.Array, taken_out: bool) -> tuple[Opening, np.ndarray, np.ndarray]:
-    """The first bytes' bits of words, with their rows of log odds and gates."""
+def opened(model: Model, heads: pa.Array, taken_out: bool) -> tuple[Opening, np.ndarray, np.ndarray]:
+    """The bits of heads, with their rows of log odds and gates."""
     pieces, rows, gates = [], [np.zeros((PREDICTORS - 1, 0), np.float32)], [np.zeros(0, np.int32)]
-    for piece in bits_of(words, late=False):
+    for piece in bits_of(heads, late=False):
         x, g = model.inputs(piece, taken_out)
         rows.append(x)
         gates.append(g)
         piece.hashes = piece.hashes[-1:]
         pieces.append(piece)
-    return opening(pieces, len(words)), np.concatenate(rows, axis=1), np.concatenate(gates)
+    return opening(pieces, len(heads)), np.concatenate(rows, axis=1), np.concatenate(gates)
 
 
 def late_scores(model: Model, words: pa.Array) -> np.ndarray:
@@ -355,8 +360,8 @@ def late_scores(model: Model, words: pa.Array) -> np.ndarray:
 def scores(model: Model, texts: Texts, n: int, alone: np.ndarray | None = None) -> np.ndarray:
     """log10 of the probability of each of n texts. alone: late_scores of the words, where they are known."""
     alone = late_scores(model, texts.words) if alone is None else alone
-    first, x, gates = opened(model, texts.words, False)
     pairs = pairs_of(texts)
+    first, x, gates = opened(model, pairs.heads, False)
     of_pair = np.zeros(len(pairs.first))
     by_sureness = np.stack([model.weighted(x, gates + s) for s in range(SPOKEN_SURE)], axis=1).ravel()
     spoken = model.weights[:, -1].astype(np.float32)[gates[:, None] + np.arange(SPOKEN_SURE)].ravel()
@@ -388,8 +393,8 @@ def late_lessons(model: Model, words: pa.Array, times: np.ndarray) -> Iterator[L
 
 def early_lessons(model: Model, texts: Texts) -> Iterator[Lesson]:
     """Of the first bytes of all words."""
-    first, x, gates = opened(model, texts.words, True)
     pairs = pairs_of(texts)
+    first, x, gates = opened(model, pairs.heads, True)
     times = np.bincount(pairs.token, minlength=len(pairs.first))
     for pair, at, hashes in first.of_pairs(pairs, word_hashes(texts.words)):
         bit = first.bits.bit[at]
@@ -591,7 +596,8 @@ def count_pairs(rows: DataFrame, bits: list[int]) -> DataFrame:
         for table in by_buffer(batches):
             for part in slices(table):
                 texts = lexed(part.column("text"))
-                first, before, pairs = opening(list(bits_of(texts.words, False, ())), len(texts.words)), word_hashes(texts.words), pairs_of(texts)
+                pairs, before = pairs_of(texts), word_hashes(texts.words)
+                first = opening(list(bits_of(pairs.heads, False, ())), len(pairs.heads))
                 times = np.bincount(pairs.token, minlength=len(pairs.first))
                 for pair, at, hashes in first.of_pairs(pairs, before):
                     yield from counts.handed_on_if_full(int(times[pair].sum()))

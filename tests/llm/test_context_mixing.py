@@ -119,6 +119,17 @@ def test_small_pieces_change_nothing(monkeypatch):
     assert scores(model(2), texts, 2) == pytest.approx(whole, rel=1e-6)
 
 
+def test_first_bytes_are_looked_at_once_for_each_head():
+    """Words that begin alike share their first bits, and pairs with the word before; each token has its own word's."""
+    texts = lexed(pa.array([" ".join(f"{head}{i}" for i in range(2000) for head in ("abc", "abd")) + " ab a é", "", None]))
+    pairs = cm.pairs_of(texts)
+    assert sorted(pairs.heads.to_pylist()) == [b"", b"a", b"ab", b"abc", b"abd", "é".encode()]
+    assert sum(len(b) for b in cm.opened(model(), pairs.heads, False)[1][:1]) < 100
+    words, heads = texts.words.to_pylist(), pairs.heads.to_pylist()
+    assert [heads[h] for h in pairs.second[pairs.token]] == [words[w][: cm.SPOKEN] for w in texts.token]
+    assert pairs.first[pairs.token].tolist() == texts.before.tolist()
+
+
 def test_counts_are_those_of_single_words(spark, docs):
     """Merged blocks of slots against one count of every bit of every training token."""
     bits = [12] * cm.PREDICTORS
