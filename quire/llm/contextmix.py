@@ -89,7 +89,7 @@ def _log_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 _ZEROS, _ONES = np.repeat(COUNTS, 256), np.tile(COUNTS, 256)
 #: By a slot's 16 bits: the log odds; the same without one 0 or one 1; and how sure it is.
 STRETCH = _log_odds(_ZEROS, _ONES)
-WITHOUT = np.stack([_log_odds(_ZEROS - 1, _ONES), _log_odds(_ZEROS, _ONES - 1)])
+WITHOUT = np.concatenate([_log_odds(_ZEROS - 1, _ONES), _log_odds(_ZEROS, _ONES - 1)])
 SURENESS = np.searchsorted([1, 2, 4, 16], _ZEROS + _ONES, side="right").astype(np.int32)
 _SPOKEN = np.array([0, 1, 1, 2, 2], np.int32)
 SURENESS_WITHOUT = np.searchsorted([1, 2, 4, 16], _ZEROS + _ONES - 1, side="right").astype(np.int32)
@@ -294,7 +294,7 @@ class Model:
 
     @staticmethod
     def odds(code: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
-        return STRETCH[code] if bit is None else WITHOUT[bit, code]
+        return STRETCH[code] if bit is None else WITHOUT[code | (bit.astype(np.int64) << 16)]
 
     def chance(self, sums: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities of a 1: by the sums alone, and refined."""
@@ -304,7 +304,7 @@ class Model:
     def logarithms(self, sums: np.ndarray, last: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """log10 of the probability of each bit."""
         _, p = self.chance(sums, last)
-        return np.log10(np.abs(p - (1 - bit)))
+        return np.log(np.abs(p - (1 - bit).astype(np.float32))) * np.float32(1 / math.log(10))
 
 
 def squash(x: np.ndarray) -> np.ndarray:
@@ -413,7 +413,7 @@ class Learner:
         sums = np.empty(len(lesson.gates), np.float32)
         for low in range(0, len(sums), STEP):
             few = slice(low, low + STEP)
-            g, here, rows = lesson.gates[few], lesson.times[few], [row[few] for row in lesson.rows]
+            g, here, rows = lesson.gates[few].astype(np.intp), lesson.times[few].astype(np.float64), [row[few] for row in lesson.rows]
             weights = self.weights.T.astype(np.float32)
             x = weights[0][g]
             for row, weight in zip(rows, weights[1:], strict=False):
@@ -632,11 +632,11 @@ def slot_tables(words: DataFrame, rows: DataFrame, bits: list[int]) -> list[np.n
     return np.split(whole, np.cumsum([1 << b for b in bits])[:-1])
 
 
-def taught(rows: DataFrame, counts: DataFrame, bits: list[int], tables) -> DataFrame:
+def taught(rows: DataFrame, words: DataFrame, bits: list[int], tables) -> DataFrame:
     """What each task has learned from all of its training texts. tables: broadcast.
 
-    It learns online in small blocks of bits, from the weights that it has so far. First bytes are learned from texts, the others, which the word before does not change, from each buffer's
-    distinct words with how often they are in its training texts.
+    It learns online in small blocks of bits, from the weights that it has so far. First bytes are learned from texts, the others, which the word before does not change, from all
+    distinct words with how often they are in training texts.
     """
 
     def early(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -654,7 +654,7 @@ def taught(rows: DataFrame, counts: DataFrame, bits: list[int], tables) -> DataF
         yield learner.learned()
 
     schema = "gate int, at int, total double, seen double"
-    return rows.where("not held_out").select("text", "buffer").mapInArrow(early, schema).unionByName(counts.where("n > 0").select("word", "n").mapInArrow(late, schema))
+    return rows.where("not held_out").select("text", "buffer").mapInArrow(early, schema).unionByName(words.where("n > 0").select("word", "n").mapInArrow(late, schema))
 
 
 def tuned(taught: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -688,7 +688,7 @@ def train(rows: DataFrame, counts: DataFrame, most_bits: tuple[int, ...] = MOST_
     tokens, distinct = total["n"] or 0, total["v"] or 0
     bits = [min(most, max(12, math.ceil(math.log2(max(tokens, 1))) + 2)) for most in most_bits]
     tables = rows.sparkSession.sparkContext.broadcast(slot_tables(words, rows, bits))
-    return Trained(bits, tables, *tuned(taught(rows, counts, bits, tables)), words, tokens, distinct)
+    return Trained(bits, tables, *tuned(taught(rows, words, bits, tables)), words, tokens, distinct)
 
 
 def with_late_scores(trained: Trained) -> DataFrame:
