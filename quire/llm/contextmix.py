@@ -44,7 +44,7 @@ BUCKETS, REACH = 64, 8.0
 #: Slots that are merged as one row.
 SLOTS = 4096
 #: Bits, and words, that are looked at together.
-CHUNK, WORDS = 1 << 18, 1 << 15
+CHUNK, WORDS = 1 << 16, 1 << 13
 #: Bits after which the weights that are being learned change.
 STEP = 1 << 14
 RATE, PRIOR = 0.05, 30.0
@@ -568,19 +568,28 @@ class SlotCounts:
 
 
 def count_words(words: DataFrame, bits: list[int]) -> DataFrame:
-    """Blocks of counts for the predictors that look at a word alone, from all distinct words with how often each is in training texts."""
+    """Blocks of counts for the predictors that look at a word alone, from all distinct words with how often each is in training texts.
+
+    The largest one, of all bytes of the word, is counted apart, so that no task holds its slots beside the others'.
+    """
+    whole = PREDICTORS - 2
+    return _count_words(words, bits, ORDERS, 0, whole).unionByName(_count_words(words, bits, (), whole, whole + 1))
+
+
+def _count_words(words: DataFrame, bits: list[int], orders: tuple[int, ...], first: int, behind: int) -> DataFrame:
+    """Those of the predictors from first on; orders: what bits_of needs to have their hashes first."""
     most = 1 << 20  # more than a slot can take at once is added in several goes
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = SlotCounts(bits, 0, PREDICTORS - 1)
+        counts = SlotCounts(bits, first, behind)
         for batch in batches:
             n, column, go = batch.column("n").to_numpy(), batch.column("word").cast(pa.large_binary()), 0
             while len(some := np.flatnonzero(n > go * most)):
                 times = np.minimum(n[some] - go * most, most)
-                for piece in bits_of(column.take(pa.array(some))):
+                for piece in bits_of(column.take(pa.array(some)), orders=orders):
                     t = times[piece.word]
                     yield from counts.handed_on_if_full(int(t.sum()))
-                    for k, h in enumerate(piece.hashes):
+                    for k, h in zip(range(first, behind), piece.hashes, strict=False):
                         counts.add(k, h, piece.bit, t)
                 go += 1
         yield from counts.handed_on()
