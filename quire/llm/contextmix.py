@@ -14,13 +14,14 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import forget, keep
@@ -30,7 +31,9 @@ FOLDS, HELD_OUT = 5, 1
 #: Each predictor has 2 to the power of at most so many slots; fewer where there are fewer than a quarter as many training tokens.
 MOST_BITS = (16, 20, 22, 24, 24)
 #: Bytes of texts that share a table of their words, and of those that a task looks at together.
-BUFFER, SLICE = 16 << 20, 2 << 20
+BUFFER, SLICE = 16 << 20, 1 << 20
+#: Rows that Spark hands to a task's Python at once: a batch of texts is held on both sides.
+ROWS = 2000
 #: Bytes of a word that the word before speaks for.
 SPOKEN = 3
 STOP = 0x20
@@ -445,6 +448,18 @@ class Learner:
 # Jobs. ----------------------------------------------------------------------------------------------------------------------------
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run meanwhile hand ROWS rows at most to Python at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), ROWS) if int(before) > 0 else ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def buffered(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, text and buffer: rows that a task reads in a row share a buffer of about BUFFER bytes; a longer text has its own.
 
@@ -465,47 +480,48 @@ def buffered(documents: DataFrame) -> DataFrame:
     return some.mapInArrow(number, "doc_id long, held_out boolean, text string, buffer long")
 
 
-def by_buffer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows in a row that share a buffer."""
-    held: list[pa.RecordBatch] = []
+def slices(rows: pa.Table | pa.RecordBatch) -> Iterator[pa.Table | pa.RecordBatch]:
+    """Rows of a buffer in pieces of about SLICE bytes; a longer text is alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(rows.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(ends // SLICE)) + 1, [len(ends)]]).tolist()
+    for low, high in zip(cut[:-1], cut[1:], strict=True):
+        yield rows.slice(low, high - low)
+        pa.default_memory_pool().release_unused()
+
+
+def by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Each row's buffer with rows in a row that share it, about SLICE bytes of them at most; no more than one batch is in memory."""
     for batch in batches:
         if not batch.num_rows:
             continue
         buffer = batch.column("buffer").to_numpy()
         cut = np.concatenate([[0], np.flatnonzero(np.diff(buffer)) + 1, [len(buffer)]]).tolist()
         for low, high in zip(cut[:-1], cut[1:], strict=True):
-            if held and held[0].column("buffer")[0].as_py() != buffer[low]:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(low, high - low))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def slices(table: pa.Table) -> Iterator[pa.Table]:
-    """Rows of a buffer in pieces of about SLICE bytes; a longer text is alone."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(table.column("text")), 0).to_numpy().astype(np.int64) + 16)
-    cut = np.concatenate([[0], np.flatnonzero(np.diff(ends // SLICE)) + 1, [len(ends)]]).tolist()
-    for low, high in zip(cut[:-1], cut[1:], strict=True):
-        yield table.slice(low, high - low)
-        pa.default_memory_pool().release_unused()
+            for part in slices(batch.slice(low, high - low)):
+                yield int(buffer[low]), part
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
     """buffer, word and n, how often it is in training texts of the buffer; words of held-out texts alone have 0."""
 
+    def total(buffer: int, words: list[pa.Array], n: list[np.ndarray]) -> pa.RecordBatch:
+        found = pa.concat_arrays(words).dictionary_encode()
+        times = np.bincount(found.indices.to_numpy(), np.concatenate(n), len(found.dictionary)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(times), buffer), pa.int64()), found.dictionary.cast(pa.binary()), pa.array(times)], ["buffer", "word", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in by_buffer(batches):
-            words, n = [], []
-            for part in slices(table):
-                texts = lexed(part.column("text"))
-                train = ~part.column("held_out").to_numpy()
-                words.append(texts.words)
-                n.append(np.bincount(texts.token, train[texts.text], len(texts.words)))
-            found = pa.concat_arrays(words).dictionary_encode()
-            total = np.bincount(found.indices.to_numpy(), np.concatenate(n), len(found.dictionary)).astype(np.int64)
-            buffer = pa.array(np.full(len(total), table.column("buffer")[0].as_py()), pa.int64())
-            yield pa.RecordBatch.from_arrays([buffer, found.dictionary.cast(pa.binary()), pa.array(total)], ["buffer", "word", "n"])
+        held, words, n = None, [], []
+        for buffer, part in by_slice(batches):
+            if words and buffer != held:
+                yield total(held, words, n)
+                words, n = [], []
+            held = buffer
+            texts = lexed(part.column("text"))
+            train = ~part.column("held_out").to_numpy(zero_copy_only=False)
+            words.append(texts.words)
+            n.append(np.bincount(texts.token, train[texts.text], len(texts.words)))
+        if words:
+            yield total(held, words, n)
 
     return rows.select("held_out", "text", "buffer").mapInArrow(count, "buffer long, word binary, n long")
 
@@ -602,15 +618,14 @@ def count_pairs(rows: DataFrame, bits: list[int]) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = SlotCounts(bits, PREDICTORS - 1, PREDICTORS)
-        for table in by_buffer(batches):
-            for part in slices(table):
-                texts = lexed(part.column("text"))
-                pairs, before = pairs_of(texts), word_hashes(texts.words)
-                first = opening(list(bits_of(pairs.heads, False, ())), len(pairs.heads))
-                times = np.bincount(pairs.token, minlength=len(pairs.first))
-                for pair, at, hashes in first.of_pairs(pairs, before):
-                    yield from counts.handed_on_if_full(int(times[pair].sum()))
-                    counts.add(PREDICTORS - 1, hashes, first.bits.bit[at], times[pair])
+        for _, part in by_slice(batches):
+            texts = lexed(part.column("text"))
+            pairs, before = pairs_of(texts), word_hashes(texts.words)
+            first = opening(list(bits_of(pairs.heads, False, ())), len(pairs.heads))
+            times = np.bincount(pairs.token, minlength=len(pairs.first))
+            for pair, at, hashes in first.of_pairs(pairs, before):
+                yield from counts.handed_on_if_full(int(times[pair].sum()))
+                counts.add(PREDICTORS - 1, hashes, first.bits.bit[at], times[pair])
         yield from counts.handed_on()
 
     return rows.where("not held_out").select("text", "buffer").mapInArrow(count, "block int, counts binary")
@@ -650,7 +665,7 @@ def taught(rows: DataFrame, words: DataFrame, bits: list[int], tables) -> DataFr
 
     def early(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, learner = Model(bits, tables.value, plain_weights(), plain_refinement()), Learner()
-        for part in (part for table in by_buffer(batches) for part in slices(table)):
+        for _, part in by_slice(batches):
             for lesson in early_lessons(model, lexed(part.column("text"))):
                 learner.learn(lesson)
         yield learner.learned()
@@ -718,8 +733,13 @@ def score_documents(documents: DataFrame, most_bits: tuple[int, ...] = MOST_BITS
 
     Both scores are of the words, lower-cased, and the end; bits_per_byte is the second one's bits over the bytes of the text, null without any. A null
     text is empty and has its end alone. Repeated rows count and are scored each. A null doc_id is not held out. Without training documents no token is
-    known, and predictors know nothing. Other columns are not read.
+    known, and predictors know nothing. Other columns are not read. The result is written, so all jobs run here.
     """
+    with small_batches(documents.sparkSession):
+        return _score_documents(documents, most_bits)
+
+
+def _score_documents(documents: DataFrame, most_bits: tuple[int, ...]) -> DataFrame:
     rows = keep(buffered(documents), "texts")
     counts = keep(word_counts(rows), "counts")
     trained = train(rows, counts, most_bits)
@@ -755,4 +775,7 @@ def score_documents(documents: DataFrame, most_bits: tuple[int, ...] = MOST_BITS
         return pa.concat_tables(found)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return rows.select("doc_id", "held_out", "text", "buffer").groupBy("buffer").cogroup(known.groupBy("buffer")).applyInArrow(score, schema)
+    done = keep(rows.select("doc_id", "held_out", "text", "buffer").groupBy("buffer").cogroup(known.groupBy("buffer")).applyInArrow(score, schema), "scores")
+    forget(rows)
+    forget(known)
+    return done

@@ -155,6 +155,41 @@ def test_counts_are_those_of_single_words(spark, docs):
         assert (found == code(wanted[:, 0]) * 256 + code(wanted[:, 1])).all()
 
 
+def test_a_task_holds_one_batch_of_texts():
+    """Texts of a buffer are looked at as they come; they were held until the buffer was whole."""
+
+    class Rows:
+        def __getattr__(self, name):
+            return lambda *_: self
+
+        def mapInArrow(self, f, schema):
+            return f
+
+    held = []
+
+    def batches():
+        for k in range(30):
+            held.append(pa.total_allocated_bytes())
+            yield pa.RecordBatch.from_pydict({"held_out": [False] * 500, "text": ["some words again " * 50] * 500, "buffer": pa.array([k // 20] * 500, pa.int64())})
+
+    for f in (cm.word_counts(Rows()), cm.count_pairs(Rows(), [12] * cm.PREDICTORS)):
+        held.clear()
+        out = pa.Table.from_batches(list(f(batches())))
+        assert len(held) == 30 and max(held) - held[0] < 3_000_000  # of 425,000 bytes each
+        if "n" in out.column_names:
+            assert sorted((r["buffer"], r["word"], r["n"]) for r in out.to_pylist()) == [(b, w, n * (20, 10)[b]) for b in (0, 1) for w, n in ((b"", 500), (b"again", 25_000), (b"some", 25_000), (b"words", 25_000))]
+
+
+def test_few_rows_are_handed_to_python_at_once(spark, docs, monkeypatch):
+    name, seen, keep = "spark.sql.execution.arrow.maxRecordsPerBatch", [], cm.keep
+    before = spark.conf.get(name)
+    monkeypatch.setattr(cm, "ROWS", 7)
+    monkeypatch.setattr(cm, "keep", lambda df, to: (seen.append((to, spark.conf.get(name))), keep(df, to))[1])
+    found = score_documents(docs, (12,) * cm.PREDICTORS).select("doc_id", "n_tokens").collect()
+    assert seen == [(to, "7") for to in ("texts", "counts", "words", "slots", "known", "scores")] and spark.conf.get(name) == before
+    assert sorted((r[0], r[1]) for r in found) == sorted((i, len(tokens(t))) for i, t, _ in cases.prose())
+
+
 @pytest.mark.parametrize("share", [0.001, 0.05, 0.07, 0.4, 1.0])
 def test_packed_counts_are_the_counts(share):
     rng = np.random.default_rng(5)
