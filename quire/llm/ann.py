@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from quire.llm.common import keep
+from quire.llm.common import forget, keep
 
 #: Vectors the codebooks are fitted to, about: a sample by hash above that. Every vector is indexed.
 SAMPLE = 20_000
 #: Vectors of the sample that are searched in it, exactly and by cells, to find the share of vectors a query has to take,
 #: and the part of their neighbours that must be among these.
 TRIED, RECALL = 400, 0.94
-#: Distinct vectors of a bucket, which is a run of cells or a part of a large one, and queries looked up together.
-BUCKET, TOGETHER = 4_096, 64
+#: A bucket is a run of first centroids, or a part of one that many vectors have. About so many buckets, of LEAST distinct vectors at least and
+#: of MOST numbers at most, which is what a task holds while queries pass by.
+BUCKETS, LEAST, MOST = 64, 1_024, 1 << 23
+#: Queries looked up together. Queries and vectors of a bucket compared at a time, which stays in a core's cache.
+TOGETHER, BLOCK, PIECE = 64, 128, 1_024
 #: Vectors of the sample for each centroid of a half, and centroids of a half at most. Fine halves make summed distances tell cells apart.
 PER_CENTROID, MOST_CENTROIDS = 4, 2_048
 ITERATIONS, SEED = 6, 3
@@ -36,14 +40,21 @@ def usable(vector: Column, size: int) -> Column:
 
 
 def distinct_vectors(vectors: DataFrame, ids: int) -> DataFrame:
-    """vector and ids: the smallest ids, so many at most, of the rows that have it; more can't be among a query's nearest.
+    """vector and ids, as a scratch table: the smallest ids, so many at most, of the rows that have it; more can't be among a query's nearest.
 
-    A vector that very many rows share is thinned out in salted parts first.
+    Vectors of one id are told by their least and largest id. One that very many rows share is thinned out in salted parts first.
     """
-    salted = vectors.withColumn("_salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
+    ends = keep(vectors.groupBy("vector").agg(F.min("vec_id").alias("low"), F.max("vec_id").alias("high")), "ends")
+    alone = ends.where("low = high").select("vector", F.array("low").alias("ids"))
+    shared = ends.where("low < high").select("vector")
+    if shared.isEmpty():
+        return alone
+    salted = vectors.join(shared, "vector", "left_semi").withColumn("_salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
     order = Window.partitionBy("vector", "_salt").orderBy("vec_id")
     least = salted.distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= ids)
-    return least.groupBy("vector").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, ids).alias("ids"))
+    distinct = keep(alone.union(least.groupBy("vector").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, ids).alias("ids"))), "vectors")
+    forget(ends)
+    return distinct
 
 
 def centroids(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -63,8 +74,18 @@ def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    parts = [squared(x[at : at + CHUNK], c).argmin(1) for at in range(0, len(x), CHUNK)]
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    """The nearest row of c to each row of x. What rounding leaves in doubt is measured directly, so a vector has the same cell wherever it is looked at."""
+    norms = (c * c).sum(1)
+    at = np.zeros(len(x), np.int64)
+    for low in range(0, len(x), CHUNK):
+        some = x[low : low + CHUNK]
+        far = norms / 2 - some @ c.T
+        at[low : low + CHUNK] = far.argmin(1)
+        close = far <= (far.min(1) + ERROR * ((some * some).sum(1) + norms.max()))[:, None]
+        for row in np.flatnonzero(np.count_nonzero(close, axis=1) > 1):
+            which = np.flatnonzero(close[row])
+            at[low + row] = which[((c[which] - some[row]) ** 2).sum(1).argmin()]
+    return at
 
 
 class Cells:
@@ -74,30 +95,16 @@ class Cells:
         order = np.argsort(cell)
         self.cell, self.counts = cell[order], counts[order]
         self.first, self.second = self.cell // width, self.cell % width
-        self.rows = np.flatnonzero(np.diff(self.first, prepend=-1))
-        self.ends = np.append(self.rows[1:], len(self.cell))
 
     def in_order(self, first: np.ndarray, second: np.ndarray, enough: int) -> np.ndarray:
-        """Places of cells by summed distance of their halves, until they hold enough vectors.
+        """Places of cells by summed distance of their halves, until they hold enough vectors."""
+        order = np.argsort(first[self.first] + second[self.second], kind="stable")
+        return order[: np.searchsorted(np.cumsum(self.counts[order]), enough) + 1]
 
-        Multi-sequence order over the cells in use: the cells of a first centroid are a list sorted by the second's distance, and a heap holds
-        the next cell of each list.
-        """
-        sums = first[self.first] + second[self.second]
-        order = np.lexsort((sums, self.first))
-        value, held = sums[order].tolist(), self.counts[order].tolist()
-        heap = [(value[at], at, end) for at, end in zip(self.rows.tolist(), self.ends.tolist(), strict=True)]
-        heapq.heapify(heap)
-        found = []
-        while heap and enough > 0:
-            _, at, end = heap[0]
-            found.append(at)
-            enough -= held[at]
-            if at + 1 < end:
-                heapq.heapreplace(heap, (value[at + 1], at + 1, end))
-            else:
-                heapq.heappop(heap)
-        return order[found]
+    def reach(self, first: np.ndarray, second: np.ndarray, enough: int) -> float:
+        """Summed distance of the last cell that is taken; infinite if all are."""
+        taken = self.in_order(first, second, enough)
+        return math.inf if len(taken) == len(self.cell) else first[self.first[taken[-1]]] + second[self.second[taken[-1]]]
 
 
 def share_for(sample: np.ndarray, books: list[np.ndarray], half: int, k: int, recall: float) -> float:
@@ -119,14 +126,79 @@ def share_for(sample: np.ndarray, books: list[np.ndarray], half: int, k: int, re
 
 
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, size)
+
+
+def _vectors(x: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()).cast(kind))
+
+
+def least(row: np.ndarray, ids: np.ndarray, far: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest ids of each row, nearest first, ties to the smaller id; an id counts once, where it is nearest."""
+    order = np.lexsort((far, ids, row))
+    row, ids, far = row[order], ids[order], far[order]
+    once = np.ones(len(row), bool)
+    once[1:] = (np.diff(row) != 0) | (np.diff(ids) != 0)
+    row, ids, far = row[once], ids[once], far[once]
+    order = np.lexsort((ids, far, row))
+    row, ids, far = row[order], ids[order], far[order]
+    good = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[good], ids[good], far[good]
+
+
+class Bucket:
+    """The vectors of a bucket, with their cells and ids."""
+
+    def __init__(self, batches: list[pa.RecordBatch], size: int) -> None:
+        column = lambda name: [b.column(name) for b in batches]
+        self.size = size
+        self.first, self.second = (np.concatenate([c.to_numpy() for c in column(name)]) for name in ("first", "second"))
+        self.wide = np.empty((len(self.first), size + 1))
+        for low, c in zip(np.cumsum([0, *map(len, batches)]), column("vector"), strict=False):
+            self.wide[low : low + len(c), :size] = _matrix(c, size)
+        norms = np.square(self.wide[:, :size]).sum(1)
+        self.wide[:, size], self.largest = -norms / 2, norms.max()
+        self.ids = np.concatenate([c.flatten().to_numpy() for c in column("ids")])
+        self.times = np.concatenate([pc.list_value_length(c).to_numpy() for c in column("ids")])
+        self.starts = np.cumsum(self.times) - self.times
+
+    def nearest(self, ids: np.ndarray, q: np.ndarray, reach: np.ndarray, bound: np.ndarray, books: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of q, vec_ids and distances of each row's k nearest other ids, of the vectors whose cell's summed distance is within reach.
+
+        bound: squared distance within which k others are known to be, or infinite.
+        """
+        half, low = self.size // 2, self.first.min()
+        first, second = squared(q[:, :half], books[0][low : self.first.max() + 1]), squared(q[:, half:], books[1])
+        norms, bound = (q * q).sum(1), bound.copy()
+        error = ERROR * (norms + self.largest)
+        wide = np.hstack([q, np.ones((len(q), 1))])
+        found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for at in range(0, len(self.wide), PIECE):
+            close = wide @ self.wide[at : at + PIECE].T  # half of: q's square less the squared distance
+            row, e = np.divmod(np.flatnonzero(close >= ((norms - bound) / 2 - error)[:, None]), close.shape[1])
+            e += at
+            taken = first[row, self.first[e] - low] + second[row, self.second[e]] <= reach[row]
+            row, e = row[taken], e[taken]
+            if not len(row):
+                continue
+            far = np.concatenate([np.sqrt(((self.wide[:, : self.size][e[c : c + CHUNK]] - q[row[c : c + CHUNK]]) ** 2).sum(1)) for c in range(0, len(row), CHUNK)])
+            times = self.times[e]
+            own = self.ids[np.repeat(self.starts[e] - np.cumsum(times) + times, times) + np.arange(times.sum())]
+            row, far = np.repeat(row, times), np.repeat(far, times)
+            others = own != ids[row]
+            found = least(*(np.concatenate([old, new[others]]) for old, new in zip(found, (row, own, far), strict=True)), k)
+            full = np.flatnonzero(found[0][k - 1 :] == found[0][: len(found[0]) - k + 1]) + k - 1 if len(found[0]) >= k else np.zeros(0, np.int64)
+            bound[found[0][full]] = np.minimum(bound[found[0][full]], found[2][full] ** 2)
+        return found
 
 
 def nearest_neighbours(embeddings: DataFrame, every: int = 100, k: int = 10, share: float | None = None, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) of the k nearest found to each row whose vec_id is divisible by every.
 
-    A query takes cells until they hold a share of all distinct vectors: the one given, or else what a part recall of neighbours needs within a
-    sample. Candidates are all rows of another vec_id. Rows with a null vec_id, a vector that is null, zero, of another length than most or has null or
+    A query takes cells, nearest first, until they hold a share of the sample's distinct vectors, and every vector in a cell as near as the last: the
+    share given, or else what a part recall of neighbours needs within the sample. Up to SAMPLE distinct vectors, the sample has them all. The driver
+    holds the sample and its codebooks, and nothing that grows with the table.
+    Candidates are all rows of another vec_id. Rows with a null vec_id, a vector that is null, zero, of another length than most or has null or
     non-finite components take no part; rows alike in vec_id and vector count once, and a vec_id with several vectors is as near as its nearest
     is to any of the query's. Fewer candidates than k are all returned, nearest first, ties to the smaller vec_id. Other columns are not
     read; without usable rows the result is empty.
@@ -138,102 +210,96 @@ def nearest_neighbours(embeddings: DataFrame, every: int = 100, k: int = 10, sha
         return spark.createDataFrame([], schema)
     size = sizes["size"]
     half = size // 2
-    rows = embeddings.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"), size)).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("vector"))
-    distinct = keep(distinct_vectors(rows, k + 1), "vectors")
+    number, kind = ("float", pa.float32()) if isinstance(embeddings.schema["embedding"].dataType.elementType, FloatType) else ("double", pa.float64())
+    rows = embeddings.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"), size)).select(F.col("vec_id").cast("long"), F.col("embedding").cast(f"array<{number}>").alias("vector"))
+    distinct = distinct_vectors(rows, k + 1)
     total = distinct.count()
     if not total:
         return spark.createDataFrame([], schema)
     picked = distinct if total <= SAMPLE else distinct.where(F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) < int((1 << 30) * SAMPLE / total))
-    sample = _matrix(picked.select("vector").toArrow().column(0).combine_chunks(), size)  # bounded by SAMPLE
-    sample = sample[np.lexsort(sample.T)]
+    drawn = picked.select("vector", F.col("ids")[0].alias("id")).toArrow().combine_chunks()  # bounded by SAMPLE
+    sample, owner = _matrix(drawn.column(0).combine_chunks(), size), drawn.column(1).to_numpy()
+    order = np.lexsort(sample.T)
+    sample, owner = sample[order], owner[order]
     rng, k_cells = np.random.default_rng(SEED), min(MOST_CENTROIDS, max(8, len(sample) // PER_CENTROID))
     books = [centroids(part, k_cells, rng) for part in (sample[:, :half], sample[:, half:])]
-    width = len(books[1])
-    enough = math.ceil(total * (share_for(sample, books, half, k, recall) if share is None else share))
-
-    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _matrix(batch.column(0), size)
-            cell = nearest(x[:, :half], books[0]) * width + nearest(x[:, half:], books[1])
-            yield pa.RecordBatch.from_arrays([pa.array(cell), *batch.columns], ["cell", "vector", "ids"])
-
-    index = keep(distinct.select("vector", "ids").mapInArrow(indexed, "cell long, vector array<double>, ids array<long>"), "index")
-    counted = index.groupBy("cell").agg(F.count("*").alias("n")).toArrow()  # at most MOST_CENTROIDS squared rows
-    cells = Cells(*(counted.column(c).to_numpy() for c in ("cell", "n")), width)
-    parts = np.maximum(1, -(-cells.counts // BUCKET))
+    enough = math.ceil(len(sample) * (share_for(sample, books, half, k, recall) if share is None else share))
+    first_of, second_of = nearest(sample[:, :half], books[0]), nearest(sample[:, half:], books[1])
+    cells = Cells(*np.unique(first_of * len(books[1]) + second_of, return_counts=True), len(books[1]))
+
+    # buckets as the sample fills them
+    most = min(max(LEAST, total // BUCKETS), max(1, MOST // size))
+    counts = np.bincount(first_of, minlength=len(books[0])) * (total / len(sample))
+    parts = np.maximum(1, np.ceil(counts / most)).astype(np.int64)
     large = parts > 1
-    bucket = np.cumsum(np.where(large, 0, cells.counts)) // BUCKET
-    bucket[large] = bucket.max(initial=0) + 1 + np.cumsum(parts[large]) - parts[large]
+    bucket = np.unique(np.cumsum(np.where(large, 0, counts)) // most, return_inverse=True)[1]
+    bucket[large] = bucket.max() + 1 + np.cumsum(parts[large]) - parts[large]
+    held = np.repeat(np.arange(len(parts)), parts)  # first centroids of each bucket, by bucket
+    holder = np.repeat(bucket, parts) + np.arange(len(held)) - np.repeat(np.cumsum(parts) - parts, parts)
+    by_bucket = np.argsort(holder, kind="stable")
+    held, (holder, begins) = held[by_bucket], np.unique(holder[by_bucket], return_index=True)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each vector's bucket, and the place of its cell among all."""
+        """Each vector's bucket and cell."""
         for batch in batches:
-            at = np.searchsorted(cells.cell, batch.column(0).to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[at] + batch.column(3).to_numpy() % parts[at]), pa.array(at), *batch.columns[1:3]], ["bucket", "cell", "vector", "ids"])
+            x = _matrix(batch.column(0), size)
+            first, second = nearest(x[:, :half], books[0]), nearest(x[:, half:], books[1])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first] + batch.column(2).to_numpy() % parts[first]), pa.array(first), pa.array(second), *batch.columns[:2]], ["bucket", "first", "second", "vector", "ids"])
 
-    dealt = index.withColumn("_hash", F.xxhash64("vector").bitwiseAND(F.lit((1 << 62) - 1))).mapInArrow(placed, "bucket long, cell long, vector array<double>, ids array<long>")
-    entries = dealt.groupBy("bucket").agg(F.collect_list(F.struct("cell", "vector", "ids")).alias("entries"))
+    hashed = distinct.select("vector", "ids", F.xxhash64("vector").bitwiseAND(F.lit((1 << 62) - 1)).alias("_hash"))
+    entries = hashed.mapInArrow(placed, f"bucket long, first long, second long, vector array<{number}>, ids array<long>").withColumn("asks", F.lit(False))
+    slack = ERROR * max((b * b).sum(1).max() for b in (*books, sample))
+    one = np.unique(owner, return_index=True)[1]  # vector for each id
+    sample, owner, first_of, second_of = sample[one], owner[one], first_of[one], second_of[one]
 
     def lookups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For blocks of queries and each bucket they touch: the queries and the cells each takes there."""
+        """Each query once for each bucket it touches, with its reach and, from the sample, a squared distance within which it has k neighbours."""
         for batch in batches:
             for start in range(0, len(batch), TOGETHER):
                 part = batch.slice(start, TOGETHER)
                 ids, x = part.column(0).to_numpy(), _matrix(part.column(1), size)
+                error = 2 * (slack + ERROR * (x * x).sum(1))
                 first, second = squared(x[:, :half], books[0]), squared(x[:, half:], books[1])
-                taken = [cells.in_order(first[q], second[q], enough) for q in range(len(x))]
-                cell, query = np.concatenate(taken), np.repeat(np.arange(len(x)), list(map(len, taken)))
-                times = parts[cell]  # a large cell is in several buckets
-                to = np.repeat(bucket[cell], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                cell, query = np.repeat(cell, times), np.repeat(query, times)
-                order = np.argsort(to, kind="stable")
-                to, query, cell = to[order], query[order], cell[order]
-                cut = np.flatnonzero(np.diff(to, prepend=-1))
-                for low, high in zip(cut, np.append(cut[1:], len(to)), strict=True):
-                    some, local = np.unique(query[low:high], return_inverse=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([to[low]]), *(pa.array([v]) for v in (ids[some], x[some].ravel(), local, cell[low:high]))], ["bucket", "queries", "vectors", "of", "cells"]
-                    )
+                reach = np.array([cells.reach(*pair, enough) for pair in zip(first, second, strict=True)])
+                far = squared(x, sample)
+                far[(first[:, first_of] + second[:, second_of] > reach[:, None]) | (owner == ids[:, None])] = math.inf
+                bound = np.partition(far, k - 1, axis=1)[:, k - 1] + error if far.shape[1] >= k else np.full(len(x), math.inf)
+                reach += error
+                touched = np.logical_or.reduceat((first + second.min(1)[:, None] <= reach[:, None])[:, held], begins, axis=1)
+                query, to = np.nonzero(touched)
+                lot = max(1, (MOST >> 1) // size)
+                for low in range(0, len(query), lot):
+                    q, b = query[low : low + lot], holder[to[low : low + lot]]
+                    yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(ids[q]), pa.array(reach[q]), pa.array(bound[q]), _vectors(x[q], kind)], ["bucket", "query_id", "reach", "bound", "vector"])
 
     queries = keep(rows.where(F.col("vec_id") % every == 0).distinct(), "queries")
     blocks = min(10_000, queries.count() // TOGETHER + 1)
-    asked = queries.repartition(blocks, "vec_id").mapInArrow(lookups, "bucket long, queries array<long>, vectors array<double>, of array<long>, cells array<long>")
-
-    def nearest_ids(q: np.ndarray, query: int, far: np.ndarray, x: np.ndarray, owned: list) -> list[tuple[float, int]]:
-        """Distance and vec_id of the k nearest ids; far: squared distances with an error, infinite for vectors that are not taken."""
-        some = np.flatnonzero(np.isfinite(far))
-        error = ERROR * ((q * q).sum() + (x[some] * x[some]).sum(1).max(initial=0))
-        most = k + 1
-        while True:
-            good = some if most >= len(some) else some[far[some] <= np.partition(far[some], most - 1)[most - 1] + 2 * error]
-            exact = np.sqrt(((x[good] - q) ** 2).sum(1))
-            close: dict[int, float] = {}
-            for d, e in sorted(zip(exact.tolist(), good.tolist(), strict=True)):
-                for v in owned[e]:
-                    if v != query:
-                        close.setdefault(v, d)
-            if len(close) >= k or len(good) == len(some):
-                return sorted((d, v) for v, d in close.items())[:k]
-            most *= 2
+    asked = queries.repartition(blocks, "vec_id").mapInArrow(lookups, f"bucket long, query_id long, reach double, bound double, vector array<{number}>").withColumn("asks", F.lit(True))
 
     def reranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A bucket's vectors come first and are held; queries pass by."""
+        at, parts, vectors = None, [], None
         for batch in batches:
-            for row in range(len(batch)):
-                ids, vectors, of, wanted = (batch.column(i)[row].values.to_numpy(zero_copy_only=False) for i in range(4))
-                entry = batch.column(4)[row].values
-                cell, x, owned = entry.field("cell").to_numpy(), _matrix(entry.field("vector"), size), entry.field("ids").to_pylist()
-                q = vectors.reshape(-1, size)
-                known, place = np.unique(cell, return_inverse=True)
-                taken = np.zeros((len(ids), len(known) + 1), bool)
-                here = np.searchsorted(known, wanted)
-                here[known[np.minimum(here, len(known) - 1)] != wanted] = len(known)
-                taken[of, here] = True
-                far = np.where(taken[:, place], squared(q, x), math.inf)
-                out = [(query, v, d) for n, query in enumerate(ids.tolist()) for d, v in nearest_ids(q[n], query, far[n], x, owned)]
-                columns = list(zip(*out, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "vec_id", "score"])
-
-    met = asked.join(entries, "bucket").select("queries", "vectors", "of", "cells", "entries")
+            bucket, asks = batch.column("bucket").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero((np.diff(bucket) != 0) | (asks[1:] != asks[:-1])) + 1
+            for low, high in zip([0, *cut], [*cut, len(batch)], strict=True):
+                part = batch.slice(low, high - low)
+                if not len(part):
+                    continue
+                if not asks[low]:
+                    if bucket[low] != at:
+                        at, parts, vectors = bucket[low], [], None
+                    parts.append(part)
+                elif bucket[low] == at:
+                    if vectors is None:
+                        vectors, parts = Bucket(parts, size), []
+                    for start in range(0, len(part), BLOCK):
+                        some = part.slice(start, BLOCK)
+                        ids, reach, bound = (some.column(c).to_numpy() for c in ("query_id", "reach", "bound"))
+                        row, near, far = vectors.nearest(ids, _matrix(some.column("vector"), size), reach, bound, books, k)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(near), pa.array(far)], ["query_id", "vec_id", "score"])
+
+    met = entries.unionByName(asked, allowMissingColumns=True).repartition(len(holder), "bucket").sortWithinPartitions("bucket", "asks")
     near = met.mapInArrow(reranked, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

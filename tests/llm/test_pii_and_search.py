@@ -292,6 +292,26 @@ def test_the_share_taken_is_small_and_recall_high(spark, monkeypatch):
     assert shares[0] < 0.2 and hits >= 0.9 * 10 * 200
 
 
+def test_the_driver_holds_a_sample_only(spark, monkeypatch):
+    """Cells of all vectors and what queries look up stay off the driver; most vectors are outside the sample, and buckets are many."""
+    import quire.llm.ann as ann
+
+    monkeypatch.setattr(ann, "SAMPLE", 200)
+    monkeypatch.setattr(ann, "LEAST", 64, raising=False)
+    rows = list(enumerate(np.random.default_rng(4).normal(size=(4000, 16))))
+    df, taken = vectors(spark, rows).repartition(4), []
+    to_arrow = type(df).toArrow
+    monkeypatch.setattr(type(df), "toArrow", lambda self: taken.append(to_arrow(self)) or taken[-1])
+    wanted = nearest(rows)
+    for share, least in ((None, 0.9), (1.0, 1.0)):
+        search = nearest_neighbours(df, share=share)
+        found = search.collect()
+        got = {q: [(r["score"], r["vec_id"]) for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] for q in wanted}
+        assert sum(map(len, taken)) < 300 and "Broadcast" not in search._jdf.queryExecution().executedPlan().toString()
+        assert all(len(v) == 10 for v in got.values()) and sum(len(set(got[q]) & set(wanted[q])) for q in wanted) >= least * 10 * len(wanted)
+        taken.clear()
+
+
 @pytest.mark.skipif(not Path("/root/testdata/sf0.001").is_dir(), reason="no test data here")
 def test_pipeline_stages(spark):
     import corpus_pipeline
