@@ -22,8 +22,10 @@ TRIED, RECALL = 400, 0.94
 #: A bucket is a run of first centroids, or a part of one that many vectors have. About so many buckets, of LEAST distinct vectors at least and
 #: of MOST numbers at most, which is what a task holds while queries pass by.
 BUCKETS, LEAST, MOST = 64, 1_024, 1 << 23
-#: Queries looked up together. Queries and vectors of a bucket compared at a time, which stays in a core's cache.
+#: Queries looked up together. Queries, or vectors to place, and vectors of a bucket compared at a time, which stays in a core's cache.
 TOGETHER, BLOCK, PIECE = 64, 128, 1_024
+#: Vectors of a bucket, about, that are measured exactly at a time.
+MANY = 4_096
 #: Vectors of the sample for each centroid of a half, and centroids of a half at most. Fine halves make summed distances tell cells apart.
 PER_CENTROID, MOST_CENTROIDS = 4, 2_048
 ITERATIONS, SEED = 6, 3
@@ -31,6 +33,8 @@ ITERATIONS, SEED = 6, 3
 CHUNK = 2_000
 #: Relative error of distances by expanded squares, generously.
 ERROR = 1e-11
+#: Likewise in single precision, for each component: these distances only tell which vectors to measure.
+SINGLE = 2.0**-22
 
 
 def usable(vector: Column, size: int) -> Column:
@@ -77,10 +81,10 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     """The nearest row of c to each row of x. What rounding leaves in doubt is measured directly, so a vector has the same cell wherever it is looked at."""
     norms = (c * c).sum(1)
     at = np.zeros(len(x), np.int64)
-    for low in range(0, len(x), CHUNK):
-        some = x[low : low + CHUNK]
+    for low in range(0, len(x), BLOCK):
+        some = x[low : low + BLOCK]
         far = norms / 2 - some @ c.T
-        at[low : low + CHUNK] = far.argmin(1)
+        at[low : low + BLOCK] = far.argmin(1)
         close = far <= (far.min(1) + ERROR * ((some * some).sum(1) + norms.max()))[:, None]
         for row in np.flatnonzero(np.count_nonzero(close, axis=1) > 1):
             which = np.flatnonzero(close[row])
@@ -158,6 +162,8 @@ class Bucket:
             self.wide[low : low + len(c), :size] = _matrix(c, size)
         norms = np.square(self.wide[:, :size]).sum(1)
         self.wide[:, size], self.largest = -norms / 2, norms.max()
+        with np.errstate(over="ignore"):
+            self.narrow = self.wide.astype(np.float32)  # for numbers of usual size
         self.ids = np.concatenate([c.flatten().to_numpy() for c in column("ids")])
         self.times = np.concatenate([pc.list_value_length(c).to_numpy() for c in column("ids")])
         self.starts = np.cumsum(self.times) - self.times
@@ -170,18 +176,28 @@ class Bucket:
         half, low = self.size // 2, self.first.min()
         first, second = squared(q[:, :half], books[0][low : self.first.max() + 1]), squared(q[:, half:], books[1])
         norms, bound = (q * q).sum(1), bound.copy()
-        error = ERROR * (norms + self.largest)
-        wide = np.hstack([q, np.ones((len(q), 1))])
+        error, wide, mine = ERROR * (norms + self.largest), np.hstack([q, np.ones((len(q), 1))]), self.wide
+        rough = (self.size + 8) * SINGLE * (norms + self.largest)
+        if 1e-20 < self.largest < 1e30 and norms.max() < 1e30 and (rough < bound / 1_000).all():
+            error, wide, mine = rough, wide.astype(np.float32), self.narrow
         found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        for at in range(0, len(self.wide), PIECE):
-            close = wide @ self.wide[at : at + PIECE].T  # half of: q's square less the squared distance
-            row, e = np.divmod(np.flatnonzero(close >= ((norms - bound) / 2 - error)[:, None]), close.shape[1])
+        limit, rows, places = None, [], []
+        for at in range(0, len(mine), PIECE):
+            if limit is None:
+                limit = np.nextafter(((norms - bound) / 2 - error).astype(mine.dtype), mine.dtype.type(-math.inf))[:, None]
+            close = wide @ mine[at : at + PIECE].T  # half of: q's square less the squared distance
+            row, e = np.divmod(np.flatnonzero(close >= limit), close.shape[1])
             e += at
             taken = first[row, self.first[e] - low] + second[row, self.second[e]] <= reach[row]
-            row, e = row[taken], e[taken]
-            if not len(row):
+            rows.append(row[taken])
+            places.append(e[taken])
+            if at + PIECE < len(mine) and sum(map(len, rows)) < MANY:
                 continue
-            far = np.concatenate([np.sqrt(((self.wide[:, : self.size][e[c : c + CHUNK]] - q[row[c : c + CHUNK]]) ** 2).sum(1)) for c in range(0, len(row), CHUNK)])
+            row, e = np.concatenate(rows), np.concatenate(places)
+            limit, rows, places = None, [], []
+            far = np.zeros(len(row))
+            for c in range(0, len(row), CHUNK):
+                far[c : c + CHUNK] = np.sqrt(((self.wide[e[c : c + CHUNK], : self.size] - q[row[c : c + CHUNK]]) ** 2).sum(1))
             times = self.times[e]
             own = self.ids[np.repeat(self.starts[e] - np.cumsum(times) + times, times) + np.arange(times.sum())]
             row, far = np.repeat(row, times), np.repeat(far, times)
